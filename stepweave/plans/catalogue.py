@@ -1,0 +1,4 @@
+"""Every query by name, with its SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
