@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import ann, embedding_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_embedding_pca": embedding_dedup.op2_embedding_dedup,
+    "op5_ann_bits": ann.op5_ann_bits,
     "op6_simhash_pivots": simhash.op6_simhash_pivots,
 }
 
