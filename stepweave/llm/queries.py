@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, embedding_dedup, simhash
+from . import ann, embedding_dedup, mixing, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_pca": embedding_dedup.op2_embedding_dedup,
+    "op3_warc_bundles": warc.op3_warc_bundles,
+    "op4_mix_pivotal": mixing.op4_mix_pivotal,
     "op5_ann_bits": ann.op5_ann_bits,
     "op6_simhash_pivots": simhash.op6_simhash_pivots,
 }
