@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, embedding_dedup, mixing, simhash, warc
+from . import ann, embedding_dedup, mixing, sentencepiece_nbest, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece_nbest": sentencepiece_nbest.op1_sentencepiece_nbest,
     "op2_embedding_pca": embedding_dedup.op2_embedding_dedup,
     "op3_warc_bundles": warc.op3_warc_bundles,
     "op4_mix_pivotal": mixing.op4_mix_pivotal,
