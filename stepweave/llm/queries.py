@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, embedding_dedup, mixing, sentencepiece_nbest, simhash, warc
+from . import ann, embedding_dedup, language_id, licenses, mixing, quality, sentencepiece_nbest, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_nbest": sentencepiece_nbest.op1_sentencepiece_nbest,
@@ -15,6 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_pivotal": mixing.op4_mix_pivotal,
     "op5_ann_bits": ann.op5_ann_bits,
     "op6_simhash_pivots": simhash.op6_simhash_pivots,
+    "op7_toxicity_automata": toxicity.op7_toxicity_automata,
+    "op8_license_index": licenses.op8_license_index,
+    "op9_language_hd": language_id.op9_language_hd,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}

@@ -206,16 +206,22 @@ class Lattice:
         return b"".join([text[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
-_lattices: dict[int, Lattice] = {}
+_lattices: dict[tuple, Lattice] = {}
 
 
-def _lattice(pieces, n_best: int) -> Lattice:
-    """One for each Python worker, over its tasks."""
-    key = hash((pieces.id, n_best))
-    if key not in _lattices:
-        _lattices.clear()
-        _lattices[key] = Lattice(pieces.value, n_best)
-    return _lattices[key]
+def _shipped(docs: DataFrame, model: str, n_best: int):
+    """A function that gives a Python worker its lattice: one for all of its tasks."""
+    pieces = load_pieces(model)
+    key = (model, zlib.crc32(repr(pieces).encode()), n_best)
+    sent = docs.sparkSession.sparkContext.broadcast(pieces)
+
+    def lattice() -> Lattice:
+        if key not in _lattices:
+            _lattices.clear()
+            _lattices[key] = Lattice(sent.value, n_best)
+        return _lattices[key]
+
+    return lattice
 
 
 def encoded(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL, alternatives: bool = False) -> DataFrame:
@@ -229,12 +235,12 @@ def encoded(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL, alternati
     taken = {"scores", "pieces", "round_trip", "others"} & set(docs.columns)
     if taken:
         raise ValueError(f"docs has columns of the names that are added: {sorted(taken)}")
-    pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
+    ready = _shipped(docs, model, n_best)
     rows = docs.withColumn("__text", F.col("text"))
     schema = docs.withColumns({"scores": F.array(F.lit(0.0)), "pieces": F.array(F.lit(0)), "round_trip": F.lit(True)} | ({"others": F.array(F.array(F.lit(0)))} if alternatives else {})).schema
 
     def run(batches):
-        lattice = _lattice(pieces, n_best)
+        lattice = ready()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -256,11 +262,11 @@ def encoded(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL, alternati
 
 def decoded(rows: DataFrame, pieces: str = "pieces", text: str = "decoded", model: str = MODEL) -> DataFrame:
     """rows with the text of a column of ids; null stays null."""
-    vocabulary = rows.sparkSession.sparkContext.broadcast(load_pieces(model))
+    ready = _shipped(rows, model, 1)
     schema = rows.withColumn(text, F.lit("")).schema
 
     def run(batches):
-        lattice = _lattice(vocabulary, 1)
+        lattice = ready()
         for batch in batches:
             found = [None if x.as_py() is None else lattice.decode(x.as_py()) for x in batch.column(pieces)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], schema.names)
@@ -271,11 +277,11 @@ def decoded(rows: DataFrame, pieces: str = "pieces", text: str = "decoded", mode
 def digest(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, n_found, score, margin (loss of the second best; null without one), pieces_crc (CRC-32 of the
     ids as little-endian 32-bit numbers) and round_trip of every row."""
-    pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
+    ready = _shipped(docs, model, n_best)
     schema = "doc_id long, n_pieces long, n_found int, score double, margin double, pieces_crc long, round_trip boolean"
 
     def run(batches):
-        lattice = _lattice(pieces, n_best)
+        lattice = ready()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part, out = batch.slice(k, 256), []
