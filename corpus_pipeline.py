@@ -1,18 +1,54 @@
-"""A corpus pipeline out of the operators of stepweave.llm."""
+"""A corpus pipeline out of the operators of stepweave.llm: filter, deduplicate, mix, encode."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stepweave.llm import simhash
+from stepweave.llm import language_id, mixing, quality, sentencepiece_nbest, simhash
 from stepweave.llm.common import table, written
 
+#: A document goes if no language is as likely as this.
+LANGUAGE_SCORE = 0.4
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble doesn't reject; labels of its training folds alone are learned from."""
+    labels = table(spark, sf_dir, "labels").where(quality.in_training(F.col("doc_id")))
+    return quality.keep_good(docs, quality.fit(docs, labels))
+
+
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the corpus's languages; prototypes are learned from what is here."""
+    prototypes = language_id.train(docs.where(language_id.in_training(F.col("doc_id"))))
+    found = language_id.predict(docs, prototypes)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id."""
     return simhash.keep_one_each(docs)
 
 
-STAGES = [("simhash_near_dedup", near_copies)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix by target weights takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document of the mix with the ids of its best segmentation and the scores of the best few."""
+    return sentencepiece_nbest.encoded(docs.select("doc_id", "lang", "source", "text")).drop("text")
+
+
+STAGES = [
+    ("quality_classifier", good_documents),
+    ("language_id", known_languages),
+    ("simhash_near_dedup", near_copies),
+    ("mix_to_weights", mixed),
+    ("sentencepiece", encoded),
+]
+
+#: Hashes, learned models and the piece lattice are out of SQL's reach.
 ORACLE_SQL = None
 
 
