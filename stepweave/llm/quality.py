@@ -48,9 +48,18 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
+def with_statistics(docs: DataFrame, *keep: str, prefix: str = "") -> DataFrame:
+    """The columns to keep and the statistics of every row.
+
+    They leave a generator of one row, which neither filters nor projections are pushed through: each is computed once,
+    however many rules use it.
+    """
+    row = F.struct(*[c.cast("double").alias(f"{prefix}{k}") for k, c in statistics(F.col("text")).items()])
+    return docs.select(*keep, F.inline(F.array(row)))
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of every row."""
-    return docs.select("doc_id", *[c.cast("double").alias(k) for k, c in statistics(F.col("text")).items()])
+    return with_statistics(docs, "doc_id")
 
 
 def _tree(x: np.ndarray, bins: list[np.ndarray], codes: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int, path: tuple, out: list) -> np.ndarray:
@@ -172,10 +181,8 @@ def in_training(doc_id):
 
 def keep_good(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of docs that the model doesn't reject, all their columns."""
-    taken = docs.columns
-    stats = {f"__{k}": c.cast("double") for k, c in statistics(F.col("text")).items()}
     renamed = model | {"names": [f"__{k}" for k in model["names"]]}
-    return docs.withColumns(stats).where(compiled(renamed) >= 0.5).select(*taken)
+    return with_statistics(docs, *docs.columns, prefix="__").where(compiled(renamed) >= 0.5).select(*docs.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
