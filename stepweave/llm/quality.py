@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,45 +19,42 @@ TREES, DEPTH, CUTS = 40, 3, 32
 LASSO = 0.01
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """The statistics by name, for a whole text; all are 0 for a null or empty one."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    count = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
-    share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
-    words = F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " ")
-    n_words, lines = F.size(words), F.split(t, "\n")
-    upper = n - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    lower = n - F.length(F.translate(t, "abcdefghijklmnopqrstuvwxyz", ""))
-    marks = lambda chars: n - F.length(F.translate(t, chars, ""))
-    return {
-        "log_words": F.log1p(n_words.cast("double")),
-        "word_length": share(n - n_words + 1, n_words),
-        "distinct_words": share(F.size(F.array_distinct(words)), n_words),
-        "upper": share(upper, n),
-        "lower": share(lower, n),
-        "digits": share(marks("0123456789"), n),
-        "stops": share(marks(".,;:"), n_words),
-        "calls": share(marks("!?"), n_words),
-        "pipes": share(marks("|"), n_words),
-        "symbols": share(marks("#$%&*+<=>@[]\\^_`{}~/"), n_words),
-        "brackets": share(marks("()'\"-"), n_words),
-        "wide": share(F.octet_length(t) - n, n),
-        "log_lines": F.log1p(F.size(lines).cast("double")),
-        "distinct_lines": share(F.size(F.array_distinct(lines)), F.size(lines)),
-        "line_words": share(n_words, F.size(lines)),
-        "line_ends": share(count(r"[.!?](?=\n|$)"), F.size(lines)),
-    }
+STATISTICS = ("log_words", "word_length", "distinct_words", "upper", "lower", "digits", "stops", "calls", "pipes", "symbols", "brackets", "wide", "log_lines", "distinct_lines", "line_words", "line_ends")
+#: The bytes whose shares are statistics, by name.
+BYTES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digits": b"0123456789", "stops": b".,;:", "calls": b"!?", "pipes": b"|", "symbols": b"#$%&*+<=>@[]\\^_`{}~/", "brackets": b"()'\"-", "wide": bytes(range(128, 256))}
+_KINDS = np.array([[b in chars for b in range(256)] for chars in BYTES.values()], np.float64).T
 
 
-def with_statistics(docs: DataFrame, *keep: str, prefix: str = "") -> DataFrame:
-    """The columns to keep and the statistics of every row.
+def statistics(text: str | None) -> list[float]:
+    """STATISTICS of a whole text; all are 0 for a null or empty one."""
+    if not text:
+        return [0.0] * len(STATISTICS)
+    data = text.encode("utf-8", "surrogatepass")
+    upper, lower, digits, stops, calls, pipes, symbols, brackets, wide = np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ _KINDS
+    words, lines, n = text.split(), text.split("\n"), len(data)
+    w = max(len(words), 1)
+    ends = sum(x.endswith((".", "!", "?")) for x in lines)
+    return [
+        math.log1p(len(words)), sum(map(len, words)) / w, len(set(words)) / w, upper / n, lower / n, digits / n, stops / w, calls / w, pipes / w, symbols / w, brackets / w, wide / n,
+        math.log1p(len(lines)), len(set(lines)) / len(lines), len(words) / len(lines), ends / len(lines),
+    ]
 
-    They leave a generator of one row, which neither filters nor projections are pushed through: each is computed once,
-    however many rules use it.
-    """
-    row = F.struct(*[c.cast("double").alias(f"{prefix}{k}") for k, c in statistics(F.col("text")).items()])
-    return docs.select(*keep, F.inline(F.array(row)))
+
+def with_statistics(docs: DataFrame, *keep: str, prefix: str = "") -> DataFrame:
+    """The columns to keep and the statistics of every row, each computed once, however many rules use it."""
+    names = [f"{prefix}{k}" for k in STATISTICS]
+    rows = docs.select(*keep, F.col("text").alias("__text"))
+    schema = docs.select(*keep, *[F.lit(0.0).alias(k) for k in names]).schema
+    columns = schema.names
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                found = np.array([statistics(t.as_py()) for t in part.column("__text")], np.float64).reshape(-1, len(names))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, found.T)], columns)
+
+    return rows.mapInArrow(run, schema)
 
 
 def features(docs: DataFrame) -> DataFrame:
