@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm import language_id, mixing, quality, sentencepiece_nbest, simhash
-from stepweave.llm.common import table, written
+from stepweave.llm.common import fresh, table, written
 
 #: A document goes if no language is as likely as this.
 LANGUAGE_SCORE = 0.4
@@ -21,8 +21,9 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the corpus's languages; prototypes are learned from what is here."""
     prototypes = language_id.train(docs.where(language_id.in_training(F.col("doc_id"))))
-    found = language_id.predict(docs, prototypes)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")
+    found = language_id.predict(docs, prototypes, into=(pred, score))
+    return found.where((F.col(pred) != "und") & (F.col(score) >= LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

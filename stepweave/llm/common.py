@@ -40,5 +40,9 @@ def hash_share(*cols):
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
 
 
-def arrow_texts(column) -> list[str | None]:
-    return column.to_pylist()
+def fresh(taken: list[str], name: str) -> str:
+    """The name, or one like it that none of the columns has."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, hash_share, table
+from .common import fold_of, fresh, hash_share, table
 
 DIM, GRAM, SEED = 512, 3, 9
 #: Letters share random vectors by their code point modulo this, the space between words having its own.
@@ -116,17 +116,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM, gra
     return {k: v / np.linalg.norm(v) for k, v in sorted(found.items()) if np.linalg.norm(v)}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, gram: int = GRAM, seed: int = SEED) -> DataFrame:
-    """docs with lang_pred and score, its share among the prototypes by cosine (0 to 1).
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, gram: int = GRAM, seed: int = SEED, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score, its share among the prototypes by cosine (0 to 1); columns of these names are replaced.
 
     A null text, or one without a letter, is `und` with score 0, as is everything where nothing was learned. Whole
     texts count, long ones in pieces. Ties go to the language that sorts first. Other columns pass.
     """
-    if {"lang_pred", "score"} & set(docs.columns):
-        raise ValueError("docs has a column lang_pred or score")
-    names, rows = list(prototypes), docs.withColumn("__text", F.col("text"))
+    names, rows = list(prototypes), docs.drop(*into).select("*", docs["text"].alias(fresh(docs.columns, "__text")))
     models = np.stack([prototypes[k] for k in names]) if names else np.zeros((0, dim))
-    schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = rows.select(*rows.columns[:-1], F.lit("").alias(into[0]), F.lit(0.0).alias(into[1])).schema
+    columns = schema.names
 
     def run(batches):
         space = _space(dim, gram, seed)
@@ -134,7 +133,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 langs, scores = [], []
-                for x in part.column("__text"):
+                for x in part.columns[-1]:
                     profile = space.profile(x.as_py())
                     size = 0 if profile is None else np.linalg.norm(profile)
                     if not size or not names:
@@ -145,7 +144,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
                     best = int(cosine.argmax())
                     langs.append(names[best])
                     scores.append(float(1 / np.exp(SHARP * (cosine - cosine[best])).sum()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], columns)
 
     return rows.mapInArrow(run, schema)
 

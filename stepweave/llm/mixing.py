@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -163,10 +165,12 @@ def mixed_rows(docs: DataFrame, seed: int = 4) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
     chosen = mix(docs, seed=seed).where("copies > 0").select("doc_id", "source", "size", "nth", "copies")
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    numbered = docs.withColumn("__size", size).withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text"))))
-    on = numbered["doc_id"].eqNullSafe(chosen["doc_id"]) & numbered["source"].eqNullSafe(chosen["source"]) & (numbered["__size"] == chosen["size"]) & (numbered["__nth"] == chosen["nth"])
-    taken = numbered.join(chosen, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*[numbered[c] for c in docs.columns])
+    own = F.struct(*docs.columns)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("order"), own.alias("row"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("order")))
+    on = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("doc_id", "source", "size", "nth")])
+    taken = rows.alias("r").join(chosen.alias("c"), on).select("r.row", F.explode(F.sequence(F.lit(1), F.col("c.copies"))))
+    return taken.select("row.*")
 
 
 def op4_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:

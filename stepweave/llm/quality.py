@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, hash_share, table
+from .common import fold_of, fresh, hash_share, table
 
 #: Labelled rows that the rules are fitted on, about: a documented bound; which ones depends on their ids alone.
-SAMPLE = 20_000
-TREES, DEPTH, CUTS = 40, 3, 32
+SAMPLE = 12_000
+TREES, DEPTH, CUTS = 24, 3, 32
 #: Strength of the lasso, a share of the weight that would leave no rule.
 LASSO = 0.01
 
@@ -43,7 +43,7 @@ def statistics(text: str | None) -> list[float]:
 def with_statistics(docs: DataFrame, *keep: str, prefix: str = "") -> DataFrame:
     """The columns to keep and the statistics of every row, each computed once, however many rules use it."""
     names = [f"{prefix}{k}" for k in STATISTICS]
-    rows = docs.select(*keep, F.col("text").alias("__text"))
+    rows = docs.select(*keep, F.col("text").alias(fresh(docs.columns, "__text")))
     schema = docs.select(*keep, *[F.lit(0.0).alias(k) for k in names]).schema
     columns = schema.names
 
@@ -51,7 +51,7 @@ def with_statistics(docs: DataFrame, *keep: str, prefix: str = "") -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                found = np.array([statistics(t.as_py()) for t in part.column("__text")], np.float64).reshape(-1, len(names))
+                found = np.array([statistics(t.as_py()) for t in part.columns[-1]], np.float64).reshape(-1, len(names))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, found.T)], columns)
 
     return rows.mapInArrow(run, schema)
@@ -120,12 +120,12 @@ def applies(rule: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def lasso_logistic(z: np.ndarray, y: np.ndarray, share: float = LASSO, rounds: int = 400) -> tuple[np.ndarray, float]:
+def lasso_logistic(z: np.ndarray, y: np.ndarray, share: float = LASSO, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression with an L1 penalty, by accelerated proximal gradient steps."""
     n = max(len(y), 1)
     mean = y.mean() if len(y) else 0.5
     strength = share * np.abs(z.T @ (y - mean)).max(initial=0) / n
-    step = 4 * n / max(np.linalg.norm(z, 2) ** 2 if z.size else 1, 1) / 1.05
+    step = 4 * n / max(np.linalg.eigvalsh(z.T @ z)[-1] if z.size else 1, n) / 1.05
     w, b = np.zeros(z.shape[1]), float(np.log((mean + 1e-6) / (1 - mean + 1e-6)))
     v, vb, t = w, b, 1.0
     for _ in range(rounds):
@@ -153,7 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     names = [c for c in rows.columns if c not in ("doc_id", "y")]
     x, y = rows[names].to_numpy(np.float64), rows["y"].to_numpy(np.float64)
     rules = tree_rules(x, y, seed=seed) if 0 < y.sum() < len(y) else []
-    z = np.stack([applies(r, x) for r in rules], 1).astype(np.float64) if rules else np.zeros((len(y), 0))
+    z = np.stack([applies(r, x) for r in rules], 1) if rules else np.zeros((len(y), 0), bool)
+    _, first = np.unique(np.packbits(z, axis=0), axis=1, return_index=True)  # of rules that hold for the same rows, the first
+    rules, z = [rules[k] for k in sorted(first)], z[:, sorted(first)].astype(np.float64)
     w, b = lasso_logistic(z, y)
     return {"names": names, "rules": [r for r, v in zip(rules, w) if v], "weights": [float(v) for v in w if v], "intercept": b}
 
@@ -180,8 +182,9 @@ def in_training(doc_id):
 
 def keep_good(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of docs that the model doesn't reject, all their columns."""
-    renamed = model | {"names": [f"__{k}" for k in model["names"]]}
-    return with_statistics(docs, *docs.columns, prefix="__").where(compiled(renamed) >= 0.5).select(*docs.columns)
+    prefix = fresh([c[: len(c) - len(k)] for c in docs.columns for k in STATISTICS if c.lower().endswith(k)], "__")
+    renamed = model | {"names": [f"{prefix}{k}" for k in model["names"]]}
+    return with_statistics(docs, *docs.columns, prefix=prefix).where(compiled(renamed) >= 0.5).select(*docs.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

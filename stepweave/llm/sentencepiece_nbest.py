@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
@@ -230,14 +230,14 @@ def encoded(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL, alternati
 
     Whole texts are segmented; the vocabulary, which doesn't grow with the data, is read by the driver and broadcast. A
     null or empty text has one segmentation, of no pieces, with score 0. The character U+2581 is written as a space, so a text that
-    holds it comes back with spaces. A text of one unbroken word is one lattice, linear in its length. Other columns pass.
+    holds it comes back with spaces. A text of one unbroken word is one lattice, linear in its length. Other columns pass, but for those of
+    the names that are added, which are replaced.
     """
-    taken = {"scores", "pieces", "round_trip", "others"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"docs has columns of the names that are added: {sorted(taken)}")
     ready = _shipped(docs, model, n_best)
-    rows = docs.withColumn("__text", F.col("text"))
-    schema = docs.withColumns({"scores": F.array(F.lit(0.0)), "pieces": F.array(F.lit(0)), "round_trip": F.lit(True)} | ({"others": F.array(F.array(F.lit(0)))} if alternatives else {})).schema
+    added = {"scores": F.array(F.lit(0.0)), "pieces": F.array(F.lit(0)), "round_trip": F.lit(True)} | ({"others": F.array(F.array(F.lit(0)))} if alternatives else {})
+    rows = docs.drop(*added).select("*", docs["text"].alias(fresh(docs.columns, "__text")))
+    schema = rows.select(*rows.columns[:-1], *[c.alias(k) for k, c in added.items()]).schema
+    columns = schema.names
 
     def run(batches):
         lattice = ready()
@@ -245,7 +245,7 @@ def encoded(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL, alternati
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 scores, best, same, others = [], [], [], []
-                for x in part.column("__text"):
+                for x in part.columns[-1]:
                     text = x.as_py()
                     s, ids, more = lattice.encode(text, alternatives)
                     scores.append(s)
@@ -255,7 +255,7 @@ def encoded(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL, alternati
                 cols = [*part.columns[:-1], pa.array(scores, pa.list_(pa.float64())), pa.array(best, pa.list_(pa.int32())), pa.array(same)]
                 if alternatives:
                     cols.append(pa.array(others, pa.list_(pa.list_(pa.int32()))))
-                yield pa.RecordBatch.from_arrays(cols, schema.names)
+                yield pa.RecordBatch.from_arrays(cols, columns)
 
     return rows.mapInArrow(run, schema)
 
@@ -264,12 +264,15 @@ def decoded(rows: DataFrame, pieces: str = "pieces", text: str = "decoded", mode
     """rows with the text of a column of ids; null stays null."""
     ready = _shipped(rows, model, 1)
     schema = rows.withColumn(text, F.lit("")).schema
+    columns, place = rows.columns, rows.columns.index(pieces)
+    if text in columns:
+        raise ValueError(f"rows has a column {text} already")
 
     def run(batches):
         lattice = ready()
         for batch in batches:
-            found = [None if x.as_py() is None else lattice.decode(x.as_py()) for x in batch.column(pieces)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], schema.names)
+            found = [None if x.as_py() is None else lattice.decode(x.as_py()) for x in batch.columns[place]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*columns, text])
 
     return rows.mapInArrow(run, schema)
 
