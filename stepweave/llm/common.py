@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,18 @@ def hash_share(*cols):
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What a Python worker keeps from task to task: one object, the one asked for last, so that the tables of stages
+    that a worker served before don't add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def fresh(taken: list[str], name: str) -> str:
     """The name, or one like it that none of the columns has."""
     low = {c.lower() for c in taken}

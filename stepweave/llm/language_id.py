@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, fresh, hash_share, table
+from .common import fold_of, fresh, hash_share, held, table
 
 DIM, GRAM, SEED = 512, 3, 9
 #: Letters share random vectors by their code point modulo this, the space between words having its own.
@@ -16,8 +16,8 @@ LETTERS = 1 << 12
 PER_LANGUAGE = 4000
 #: Sharpness of the score: how fast it falls as another prototype comes as near.
 SHARP = 40.0
-#: Code points of a text that are bound at once.
-PIECE = 1 << 16
+#: Vectors of n-grams that a Python worker keeps.
+KNOWN = 1 << 16
 
 
 class Space:
@@ -27,12 +27,11 @@ class Space:
         self.dim, self.gram = dim, gram
         letters = np.random.default_rng(seed).integers(0, 2, (LETTERS + 1, dim), np.int8) * np.int8(2) - np.int8(1)
         self.turned = [np.roll(letters, gram - 1 - k, axis=1) for k in range(gram)]
-        every = np.arange(0x110000)
-        self.letter = np.zeros(0x110000, bool)
-        self.letter[[c for c in range(0x110000) if chr(c).isalpha()]] = True
-        self.code = np.where(self.letter, every % LETTERS + 1, 0)
+        self.code = np.zeros(0x110000, np.int16)
+        found = np.array([c for c in range(0x110000) if chr(c).isalpha()])
+        self.code[found] = found % LETTERS + 1
         self.rows: dict[int, int] = {}
-        self.known = np.empty((1 << 12, dim), np.float32)
+        self.known = np.empty((KNOWN, dim), np.int8)
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """The distinct n-grams of letters and single spaces of a whole text, as numbers, and how often each comes; None without a letter."""
@@ -52,13 +51,11 @@ class Space:
     def vectors(self, grams: np.ndarray) -> np.ndarray:
         """Places, in `known`, of the vectors of n-grams: the product of its letters' turned vectors."""
         rows = self.rows
-        if len(rows) + len(grams) > 1 << 16:
+        if len(rows) + len(grams) > KNOWN:
             rows.clear()
         new = [g for g in grams.tolist() if g not in rows]
         if new:
             at = len(rows)
-            while at + len(new) > len(self.known):
-                self.known = np.resize(self.known, (2 * len(self.known), self.dim))
             g, product = np.array(new), 1
             for k in reversed(range(self.gram)):
                 product = product * self.turned[k][g % (LETTERS + 1)]
@@ -75,30 +72,27 @@ class Space:
         out = np.zeros(self.dim, np.float32)
         for k in range(0, len(found[0]), 1 << 12):
             grams, counts = found[0][k : k + (1 << 12)], found[1][k : k + (1 << 12)]
-            rows = self.vectors(grams)  # may enlarge the table
-            out += counts.astype(np.float32) @ self.known[rows]
+            out += counts.astype(np.float32) @ self.known[self.vectors(grams)].astype(np.float32)
         return out
 
 
-_spaces: dict[tuple, Space] = {}
-
-
 def _space(*key) -> Space:
-    if key not in _spaces:
-        _spaces[key] = Space(*key)
-    return _spaces[key]
+    return held(("space", *key), lambda: Space(*key))
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM, gram: int = GRAM, seed: int = SEED) -> dict[str, np.ndarray]:
     """Unit prototypes by language: the sums of the unit profiles of its documents.
 
     Rows without lang or text don't count. Of a language of more than per_language documents a share is taken by the
-    ids' hash, so a hot language costs no more than others. Partitions are summed before Spark adds them up; the driver
-    gets one vector a language, which is the model.
+    ids' hash, so a hot language costs no more than others, and no text is shuffled. Partitions are summed before Spark
+    adds them up; the driver gets one count and one vector a language, which is the model.
     """
     good = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    shares = good.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
-    taken = good.join(shares, "lang").where(hash_share(F.col("doc_id"), F.lit(seed)) < F.col("share")).select("lang", "text")
+    counts = {r.lang: r.n for r in good.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, per_language / n)])[F.col("lang")]
+    taken = good.where(hash_share(F.col("doc_id"), F.lit(seed)) < share).select("lang", "text")
 
     def run(batches):
         space, sums = _space(dim, gram, seed), {}

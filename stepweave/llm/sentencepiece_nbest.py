@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, held, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
@@ -206,22 +206,13 @@ class Lattice:
         return b"".join([text[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
-_lattices: dict[tuple, Lattice] = {}
-
-
 def _shipped(docs: DataFrame, model: str, n_best: int):
     """A function that gives a Python worker its lattice: one for all of its tasks."""
     pieces = load_pieces(model)
-    key = (model, zlib.crc32(repr(pieces).encode()), n_best)
+    key = ("lattice", model, zlib.crc32(repr(pieces).encode()), n_best)
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
 
-    def lattice() -> Lattice:
-        if key not in _lattices:
-            _lattices.clear()
-            _lattices[key] = Lattice(sent.value, n_best)
-        return _lattices[key]
-
-    return lattice
+    return lambda: held(key, lambda: Lattice(sent.value, n_best))
 
 
 def encoded(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL, alternatives: bool = False) -> DataFrame:

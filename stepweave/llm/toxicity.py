@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, hash_share, table
+from .common import fold_of, hash_share, held, table
 
 #: Labelled rows that lexicon and weights are learned from, about: a documented bound; which ones depends on their ids alone.
 SAMPLE = 24_000
@@ -218,17 +218,6 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60
     return w
 
 
-_automata: dict[tuple, Automaton] = {}
-
-
-def _automaton(terms: dict[str, str]) -> Automaton:
-    key = tuple(sorted(terms.items()))
-    if key not in _automata:
-        _automata.clear()
-        _automata[key] = Automaton(terms)
-    return _automata[key]
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, seed: int = 7) -> dict:
     """The model: lexicon and weights. Two thirds of the sampled rows give the lexicon, the others the weights.
 
@@ -253,7 +242,7 @@ def measured(rows: DataFrame, terms: dict[str, str]) -> DataFrame:
     names, columns = rows.drop("text").columns, kept.columns
 
     def run(batches):
-        automaton = _automaton(terms)
+        automaton = held(("automaton", *sorted(terms.items())), lambda: Automaton(terms))
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
