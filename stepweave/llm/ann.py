@@ -15,8 +15,8 @@ from .vectors import matrix, moments, usable
 PART, QUERIES = 8192, 8192
 #: Standard deviations of an estimate that its error bound covers.
 SIGMAS = 2.5
-#: Bits of a query's components.
-PLANES = 6
+#: Vectors that are ranked exactly for a query before the error bounds are asked, in multiples of k.
+FIRST = 10
 
 
 class Codes:
@@ -30,74 +30,53 @@ class Codes:
         #: Inner product of the unit residual with its code's unit vector.
         self.fit = np.where(self.norm > 0, np.abs(r).sum(1) / (safe * np.sqrt(d)), 1)
         self.spread = np.sqrt(np.maximum(0, 1 - self.fit**2)) / self.fit / np.sqrt(max(d - 1, 1))
-        packed = np.packbits(r > 0, axis=1, bitorder="little")
-        self.words = np.zeros((len(r), -(-packed.shape[1] // 8) * 8), np.uint8)
-        self.words[:, : packed.shape[1]] = packed
-        self.words = self.words.view("<u8")
-        self.ones = np.bitwise_count(self.words).sum(1, dtype=np.int32)
+        self.bits, self.d = np.packbits(r > 0, axis=1, bitorder="little"), d
+
+    def signs(self) -> np.ndarray:
+        return np.unpackbits(self.bits, axis=1, count=self.d, bitorder="little").astype(np.float32) * 2 - 1
 
 
 def estimate(codes: Codes, queries: np.ndarray, centre: np.ndarray, rotation: np.ndarray):
     """Estimated inner products of queries (rows) with coded vectors (columns), and a standard deviation for each.
 
-    A query's rotated components are quantised to PLANES bits, so that the product with a sign code is a sum of bit
-    counts of the packed words.
+    The packed bits are opened to signs, which a matrix product with the rotated queries takes.
     """
     q = queries.astype(np.float64) @ rotation
     d = q.shape[1]
-    low, step = q.min(1), np.maximum((q.max(1) - q.min(1)) / ((1 << PLANES) - 1), 1e-300)
-    level = np.rint((q - low[:, None]) / step[:, None]).astype(np.uint8)
-    total = np.zeros((len(q), len(codes.norm)), np.float32)
-    for p in range(PLANES):
-        packed = np.packbits((level >> p) & 1, axis=1, bitorder="little")
-        words = np.zeros((len(q), codes.words.shape[1] * 8), np.uint8)
-        words[:, : packed.shape[1]] = packed
-        words = words.view("<u8")
-        for w in range(words.shape[1]):
-            total += np.bitwise_count(words[:, w, None] & codes.words[None, :, w]) * np.float32(1 << p)
-    total *= (2 * step)[:, None].astype(np.float32)
-    total += (2 * low)[:, None].astype(np.float32) * codes.ones[None, :].astype(np.float32)
-    total -= (low * d + step * level.sum(1))[:, None].astype(np.float32)
-    scale = codes.norm / (codes.fit * np.sqrt(d))
-    total *= scale.astype(np.float32)
+    total = q.astype(np.float32) @ codes.signs().T
+    total *= (codes.norm / (codes.fit * np.sqrt(d))).astype(np.float32)
     total += (queries.astype(np.float64) @ centre)[:, None].astype(np.float32)
     own = np.sqrt((q * q).sum(1))
-    # the spread of the code's error, and of the query's quantisation
-    sd = own[:, None].astype(np.float32) * (codes.norm * codes.spread).astype(np.float32) + (step * np.sqrt(d / 12))[:, None].astype(np.float32) * scale.astype(np.float32)
-    return total, sd
+    return total, own[:, None].astype(np.float32) * (codes.norm * codes.spread).astype(np.float32)
 
 
 def search(ids, vectors, query_ids, queries, k: int, centre, rotation, sigmas: float = SIGMAS):
     """For each query its k nearest of the vectors, by inner product in double precision: (query's row, vector's row, score).
 
-    The best k by estimate are ranked exactly; every other vector whose estimate plus error bound reaches the k-th of
-    them is ranked too.
+    The best FIRST * k by estimate are ranked exactly; every other vector whose estimate plus error bound reaches the
+    k-th of them is ranked too.
     """
     codes = Codes(vectors, centre, rotation)
     exact = vectors.astype(np.float64)
+    first = min(FIRST * k, len(ids))
     out = []
     for s in range(0, len(queries), 64):
         block = queries[s : s + 64].astype(np.float64)
         total, sd = estimate(codes, block, centre, rotation)
         total[query_ids[s : s + 64, None] == ids[None, :]] = -np.inf
-        # far below any score, so that k candidates at most are looked up where there are fewer
-        n = min(k, len(ids))
-        best = np.argpartition(-total, n - 1, axis=1)[:, :n]
-        got = np.einsum("qd,qnd->qn", block, exact[best])
-        got[np.take_along_axis(total, best, 1) == -np.inf] = -np.inf
-        least = got.min(1) if n == k else np.full(len(block), -np.inf)
-        total += np.float32(sigmas) * sd
-        q, c = np.nonzero(total >= (least - 1e-6)[:, None].astype(np.float32))
-        real = total[q, c] > -np.inf
-        q, c = q[real], c[real]
-        score = np.empty(len(q))
-        for t in range(0, len(q), 1 << 16):
-            score[t : t + (1 << 16)] = np.einsum("ij,ij->i", block[q[t : t + (1 << 16)]], exact[c[t : t + (1 << 16)]])
-        order = np.lexsort((ids[c], -score, q))
-        q, c, score = q[order], c[order], score[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        top = rank < k
-        out.append((q[top] + s, c[top], score[top]))
+        best = np.argpartition(-total, first - 1, axis=1)[:, :first]
+        sd *= np.float32(sigmas)
+        sd += total
+        for row, (q, likely, bound) in enumerate(zip(block, best, sd)):
+            own = np.where(total[row, likely] > -np.inf, exact[likely] @ q, -np.inf)
+            least = np.partition(own, first - k)[first - k] if first >= k else -np.inf
+            c = np.flatnonzero((bound >= np.float32(least - 1e-6)) & (bound > -np.inf))
+            score = exact[c] @ q
+            if len(c) > k:  # what can be among the k; equal vectors then get equal sums, wherever they stand
+                c = c[score >= np.partition(score, len(c) - k)[len(c) - k] - 1e-9]
+            score = np.einsum("ij,ij->i", exact[c], np.broadcast_to(q, (len(c), len(q))))
+            top = np.lexsort((ids[c], -score))[:k]
+            out.append((np.full(len(top), row + s), c[top], score[top]))
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
 
 
