@@ -38,8 +38,8 @@ def source_targets(items: DataFrame, weights: tuple[int, ...] = WEIGHTS, total:
     sums = items.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranged = sums.repartitionByRange(F.col("source").isNull(), "source").withColumn("range", F.spark_partition_id())
     ranged = written(ranged, "sources")
-    before = ranged.groupBy("range").count()
-    starts = before.alias("l").join(before.alias("r"), F.col("r.range") < F.col("l.range"), "left").groupBy(F.col("l.range").alias("range")).agg(F.coalesce(F.sum("r.count"), F.lit(0)).alias("start"))
+    # one row a range, however many sources
+    starts = ranged.groupBy("range").count().withColumn("start", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("start")
     turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
     named = written(ranged.join(starts, "range").withColumn("weight", turn).select("source", "source_size", "weight"), "weights")
@@ -156,7 +156,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTA
     repeat a doc_id are rounded one by one, and nth numbers those that agree in source and size as well. Results depend
     on the rows and the seed only. An empty table gives an empty result; other columns are not read.
     """
-    items = sizes(docs)
+    items = written(sizes(docs), "sizes")  # texts are read once
     chosen = copies(items, source_targets(items, weights, total, most), seed=seed)
     return chosen.withColumn("taken", F.col("copies") * F.col("size"))
 
