@@ -20,6 +20,8 @@ from .common import shared_dir, table, written
 #: Magic numbers of the public seekable format: the skippable frame that holds the table, and the table's own end.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 28
+#: Frames that a task reads back, about, and tasks at most, beyond which each reads more.
+FRAMES, TASKS = 64, 20_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Record ids of pages: this tag, then the page's number in 64 bits.
@@ -187,7 +189,9 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 0, frame_bytes: in
 def read_bundles(index: DataFrame, payload: bool = False) -> DataFrame:
     """Every record of the bundles that the index names, read frame by frame; each payload is held against its digest."""
     frames = index.groupBy("bundle", "frame").agg(F.count("*").alias("n"), F.max("offset").alias("last"))
-    frames = frames.repartition(F.col("bundle"), (F.col("frame") / 16).cast("int")).sortWithinPartitions("bundle", "frame")
+    # a row of the index is small, the frame it names isn't: partitions are told by number, not left to their bytes
+    tasks = min(-(-frames.count() // FRAMES) or 1, TASKS)
+    frames = frames.repartition(tasks, F.col("bundle"), (F.col("frame") / 16).cast("int")).sortWithinPartitions("bundle", "frame")
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, bundle string, frame int, offset int" + ", payload binary" * payload
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "frame": pa.int32(), "offset": pa.int32(), "payload": pa.binary()}
