@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, hash_share, held, table
+from .common import fold_of, hash_share, held, table, written
 
 #: Labelled rows that lexicon and weights are learned from, about: a documented bound; which ones depends on their ids alone.
 SAMPLE = 24_000
@@ -227,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     share = min(1.0, sample / max(known.count(), 1))
     at = hash_share(F.col("doc_id"), F.lit(seed))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.where(at < share), "doc_id")
+    taken = F.broadcast(known.where(at < share))  # of `sample` rows, about
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(taken, "doc_id"), "labelled")
     terms = learn_lexicon(rows.where(at < share * 2 / 3))
     found = measured(rows.where(at >= share * 2 / 3).select("doc_id", "text", "y"), terms).toPandas()
     x, y = np.array(found["features"].tolist(), float).reshape(-1, len(FEATURES)), found["y"].to_numpy(float)
