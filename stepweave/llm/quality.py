@@ -143,12 +143,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """The model: names of the statistics, rules, weights and intercept.
 
     Rows without a label don't count, nor do labels other than 0 and 1. Of more labelled rows than `sample`, a share is
-    taken by the ids' hash; the driver gets their statistics alone. Texts are shuffled for labelled rows only. One
+    taken by the ids' hash; the driver gets their statistics alone. No text is shuffled. One
     label alone, or none, gives a constant score.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     count = known.count()
-    taken = known.where(hash_share(F.col("doc_id"), F.lit(seed)) < sample / max(count, 1))
+    taken = F.broadcast(known.where(hash_share(F.col("doc_id"), F.lit(seed)) < sample / max(count, 1)))  # of `sample` rows, about
     rows = features(docs.join(taken, "doc_id", "left_semi")).join(taken, "doc_id").toPandas().sort_values("doc_id", kind="stable")
     names = [c for c in rows.columns if c not in ("doc_id", "y")]
     x, y = rows[names].to_numpy(np.float64), rows["y"].to_numpy(np.float64)
