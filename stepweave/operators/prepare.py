@@ -50,10 +50,10 @@ class Prepared:
     def sequences(self) -> Sequences:
         return Sequences(self.long, ("actor", "session"))
 
-    def sequence_data(self, width: int) -> DataFrame:
+    def sequence_data(self, width: int | None = None) -> DataFrame:
         return to_wide(Sequences(self.long, ("session_id",)), width)
 
-    def time_data(self, width: int) -> DataFrame:
+    def time_data(self, width: int | None = None) -> DataFrame:
         return to_wide(Sequences(self.long, ("session_id",)), width, "time_", "ts")
 
     def meta_data(self, columns: list[str]) -> DataFrame:

@@ -57,8 +57,15 @@ def from_wide(rows: DataFrame, columns: list[str], id: str, groups: tuple[str, .
     return Sequences(long.withColumn("state", F.when(~gone, F.col("state"))), (id,), groups)
 
 
-def to_wide(seqs: Sequences, width: int, prefix: str = "action_", value: str = "state", position: str = "raw_pos") -> DataFrame:
-    """One row a sequence with the first `width` places as columns; the width is given, so no pass over the data finds it."""
+def width_of(seqs: Sequences) -> int:
+    """Places of the longest sequence, padding counted: one number of one pass."""
+    return (seqs.frame.agg(F.max("raw_pos")).first()[0] or 0) + 1
+
+
+def to_wide(seqs: Sequences, width: int | None = None, prefix: str = "action_", value: str = "state", position: str = "raw_pos") -> DataFrame:
+    """One row a sequence, a column a place: as many as the longest sequence has, which takes a pass, or the first `width`."""
+    if width is None:
+        width = width_of(seqs)
     cells = [F.max(F.when(F.col(position) == k, F.col(value))).alias(f"{prefix}{k + 1}") for k in range(width)]
     return seqs.frame.groupBy(*seqs.keys).agg(*cells)
 

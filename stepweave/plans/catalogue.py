@@ -143,6 +143,20 @@ def _(spark, d):
     return rows.select("session_id", *[F.unix_micros(F.col(f"time_{k + 1}").cast("timestamp")).alias(f"time_{k + 1}") for k in range(8)])
 
 
+# The SQL of the two above has 8 columns and no more; these have every place, whatever the longest session.
+
+
+@query("sequences_wide_all")
+def _(spark, d):
+    return event_sessions(spark, d).sequence_data()
+
+
+@query("time_wide_all")
+def _(spark, d):
+    rows = event_sessions(spark, d).time_data()
+    return rows.select("session_id", *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in rows.columns[1:]])
+
+
 @query("sequences_long", _sql(E, select="SELECT seq AS session_id, p AS raw_pos, s AS state FROM e"))
 def _(spark, d):
     return event_sessions(spark, d).long.select("session_id", F.col("raw_pos").cast("int").alias("raw_pos"), "state")
@@ -150,8 +164,8 @@ def _(spark, d):
 
 @query("wide_round_trip", _sql(C, select="SELECT seq AS seq_id, CAST(p AS INTEGER) AS raw_pos, s AS state FROM c WHERE p < 8"))
 def _(spark, d):
-    wide = to_wide(conversations(spark, d), 8)
-    return from_wide(wide, [f"action_{k + 1}" for k in range(8)], "seq_id").present().select("seq_id", "raw_pos", "state")
+    wide = to_wide(conversations(spark, d))
+    return from_wide(wide, wide.columns[1:], "seq_id").present().select("seq_id", "raw_pos", "state")
 
 
 @query("seq_concat", _sql(O, select="SELECT seq // 2 AS seq_id, CAST(p + (seq % 2) * 50 AS INTEGER) AS raw_pos, s AS state FROM o"))
