@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,8 @@ from .sequences import Sequences
 
 #: Sequences in a block of the distance matrix; sequences whose matrix the driver takes.
 BLOCK, DRIVER_ROWS = 512, 20_000
+#: Metrics by which equal sequences are at distance 0: by lv and osa they are not.
+COLLAPSING = ("hamming", "lcs")
 
 
 def arrays(seqs: Sequences, na_syms: tuple[str, ...] = ("*", "%")) -> DataFrame:
@@ -51,7 +54,16 @@ def _block(metric: str, weighted: bool, lambda_: float):
                 d += w * (codes[left, k, None] != codes[None, right, k])
         else:
             states, kernel = part.column("states").to_pylist(), editing.KERNELS[metric]
-            d = np.array([[kernel(states[i], states[j]) if not same or i < j else 0.0 for j in right] for i in left]).reshape(len(left), len(right))
+            number = {}  # equal sequences have equal distances
+            at = np.array([number.setdefault(tuple(s), len(number)) for s in states])
+            d = np.empty((len(left), len(right)))
+            known, kinds = {}, list(number)
+            for i, x in enumerate(at[left].tolist()):
+                for j, y in enumerate(at[right].tolist()):
+                    if not same or i < j:
+                        if (x, y) not in known:
+                            known[x, y] = kernel(kinds[x], kinds[y])
+                        d[i, j] = known[x, y]
         i, j = np.nonzero(np.triu(np.ones(d.shape, bool), 1) if same else np.ones(d.shape, bool))
         a, b = ids[left[i]], ids[right[j]]
         return pa.table({"i": np.minimum(a, b), "j": np.maximum(a, b), "d": d[i, j]})
@@ -59,20 +71,72 @@ def _block(metric: str, weighted: bool, lambda_: float):
     return run
 
 
-def distances(seqs: Sequences, metric: str = "hamming", weighted: bool = False, lambda_: float = 1.0, na_syms: tuple[str, ...] = ("*", "%"), blocks: int = 1) -> DataFrame:
+def distances(seqs: Sequences, metric: str = "hamming", weighted: bool = False, lambda_: float = 1.0, na_syms: tuple[str, ...] = ("*", "%"), blocks: int | None = None) -> DataFrame:
     """i, j and d for all i < j, which is the result: it grows as the square of the sequences.
 
-    Sequences are dealt into `blocks` and each pair of blocks is a group of its own, so no task holds more than two. Ids
-    must be numbers. Edit distances are looked up pair by pair, Hamming distances place by place for a whole block.
+    Sequences are dealt into `blocks`, of about BLOCK sequences each if no number is given, and each pair of blocks is a
+    group of its own, so no task holds more than two. Ids must be numbers. Edit distances are looked up pair by pair, Hamming distances place by place for a whole block.
     """
     if metric not in editing.METRICS:
         raise ValueError(f"unknown metric {metric!r}; known are {', '.join(editing.METRICS)}")
-    rows = arrays(seqs, na_syms).withColumn("id", F.col("id").cast("long")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return _pairs(arrays(seqs, na_syms).withColumn("id", F.col("id").cast("long")), metric, weighted, lambda_, blocks)
+
+
+def _pairs(rows: DataFrame, metric: str, weighted: bool, lambda_: float, blocks: int | None = None) -> DataFrame:
+    """distances() of rows with id and states."""
+    if blocks is None:
+        blocks = max(1, math.ceil(rows.count() / BLOCK))
+    rows = rows.select("id", "states").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     rows = rows.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "states")
     return rows.groupBy("x", "y").applyInArrow(_block(metric, weighted, lambda_), "i long, j long, d double")
 
 
+def classes(rows: DataFrame) -> DataFrame:
+    """Rows with id and states, equal ones as one: id and last (its smallest and largest id), states and n (its rows)."""
+    return rows.groupBy("states").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count("*").alias("n"))
+
+
+def _trimmed(seqs: Sequences, na_syms: tuple[str, ...]) -> DataFrame:
+    """arrays() up to the last state that isn't missing, which no distance looks behind."""
+    there = F.transform("states", lambda s, k: F.when(s != editing.MISSING, k + 1).otherwise(0))
+    return arrays(seqs, na_syms).select(F.col("id").cast("long").alias("id"), F.slice("states", F.lit(1), F.array_max(there)).alias("states"))
+
+
+def sequence_silhouette(seqs: Sequences, member: DataFrame, metric: str = "hamming", weighted: bool = False, lambda_: float = 1.0, na_syms: tuple[str, ...] = ("*", "%")) -> DataFrame:
+    """silhouette() of a membership (id, cluster) from distances of different sequences, times how often they come.
+
+    Equal sequences must be at distance 0, which lv and osa do not give them: these are not collapsed.
+    """
+    rows = _trimmed(seqs, na_syms)
+    kinds = classes(rows) if metric in COLLAPSING else rows.withColumns({"last": F.col("id"), "n": F.lit(1).cast("long")})
+    dist = _pairs(kinds, metric, weighted, lambda_)
+    if metric not in COLLAPSING:
+        return silhouette(dist, member)
+    return _silhouette_of_classes(dist, _class_of(rows, kinds), member)
+
+
+def _class_of(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """id and the class of each row."""
+    return rows.join(kinds.select(F.col("id").alias("class"), "states"), "states").select("id", "class")
+
+
+def _silhouette_of_classes(dist: DataFrame, class_of: DataFrame, member: DataFrame) -> DataFrame:
+    counts = class_of.join(member, "id").groupBy("class", "cluster").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("cluster").agg(F.sum("n").alias("size"))
+    both = dist.select("i", "j", "d").unionByName(dist.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    both = both.unionByName(counts.select(F.col("class").alias("i"), F.col("class").alias("j"), F.lit(0.0).alias("d")).distinct())
+    sums = both.join(counts.withColumnRenamed("class", "j"), "j").groupBy("i", "cluster").agg(F.sum(F.col("n") * F.col("d")).alias("sum")).join(F.broadcast(sizes), "cluster")
+    own = counts.select(F.col("class").alias("i"), F.col("cluster").alias("own"), "n")
+    inner = F.col("cluster") == F.col("own")
+    sides = own.join(sums, "i").groupBy("i", "own", "n").agg(
+        F.max(F.when(inner, F.col("size"))).alias("size"), F.max(F.when(inner & (F.col("size") > 1), F.col("sum") / (F.col("size") - 1))).alias("a"), F.min(F.when(~inner, F.col("sum") / F.col("size"))).alias("b")
+    )
+    top = F.greatest("a", "b")
+    s = F.when((F.col("size") == 1) | F.col("b").isNull() | (top == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / top)
+    return sides.agg((F.sum(s * F.col("n")) / F.sum("n")).alias("silhouette"))
+
+
 def silhouette(dist: DataFrame, member: DataFrame) -> DataFrame:
     """One row, the mean silhouette of a membership (id, cluster)."""
     both = dist.select("i", "j", "d").unionByName(dist.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))

@@ -724,16 +724,16 @@ hd AS (SELECT a.seq AS i, b.seq AS j, CAST(sum(CASE WHEN a.s <> b.s THEN {w} ELS
 
 @query("dist_hamming", _sql(PAD.format(w="1"), select="SELECT i, j, d FROM hd"))
 def _(spark, d):
-    return clustering.distances(conversations(spark, d), blocks=3)
+    return clustering.distances(conversations(spark, d))
 
 
 @query("dist_hamming_weighted", _sql(PAD.format(w="exp(-0.5 * a.p)"), select="SELECT i, j, round(d, 9) AS d FROM hd"))
 def _(spark, d):
-    return _rounded(clustering.distances(conversations(spark, d), weighted=True, lambda_=0.5, blocks=2), "d")
+    return _rounded(clustering.distances(conversations(spark, d), weighted=True, lambda_=0.5), "d")
 
 
 for _metric in ("lv", "osa", "lcs"):
-    QUERIES[f"dist_{_metric}"] = lambda spark, d, m=_metric: clustering.distances(conversations(spark, d), m, blocks=4)
+    QUERIES[f"dist_{_metric}"] = lambda spark, d, m=_metric: clustering.distances(conversations(spark, d), m)
 
 
 @query("silhouette", _sql(PAD.format(w="1"), """b2 AS (SELECT i, j, d FROM hd UNION ALL SELECT j, i, d FROM hd), mm AS (SELECT i, i % 3 AS own, j % 3 AS c, avg(d) AS m FROM b2 GROUP BY 1, 2, 3),
@@ -742,7 +742,7 @@ sz AS (SELECT seq % 3 AS c, count(*) AS n FROM (SELECT DISTINCT seq FROM c) GROU
 def _(spark, d):
     seqs = conversations(spark, d)
     member = seqs.frame.select(F.col("seq_id").alias("id")).distinct().withColumn("cluster", F.pmod("id", F.lit(3)))
-    return _rounded(clustering.silhouette(clustering.distances(seqs, blocks=2), member), "silhouette")
+    return _rounded(clustering.sequence_silhouette(seqs, member), "silhouette")
 
 
 @query("cluster_pam")

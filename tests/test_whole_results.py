@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from stepweave.operators import sequences
+from stepweave.functions import editing
+from stepweave.operators import clustering, sequences
 from stepweave.plans import catalogue
 
 
@@ -37,3 +39,40 @@ def test_wide_round_trip_has_every_place(spark, tmp_path):
     spark.range(11).select(F.lit(1).alias("conv_id"), F.col("id").cast("int").alias("turn"), F.concat(F.lit("r"), "id").alias("role")).write.parquet(f"{tmp_path}/conversations.parquet")
     got = catalogue.QUERIES["wide_round_trip"](spark, str(tmp_path)).orderBy("raw_pos").collect()
     assert [tuple(r) for r in got] == [(1, k, f"r{k}") for k in range(11)]
+
+
+def random_sequences(spark, n, seed, longest=4):
+    rng = np.random.default_rng(seed)
+    rows = {k: [str(x) for x in rng.choice(list("AB*"), rng.integers(1, longest + 1))] for k in range(n)}
+    frame = spark.createDataFrame([(k, p, s) for k, row in rows.items() for p, s in enumerate(row)], "seq_id long, raw_pos int, state string")
+    return rows, sequences.Sequences(frame)
+
+
+def matrix(rows, metric):
+    def one(a, b):
+        if metric != "hamming":
+            return editing.KERNELS[metric](a, b)
+        n = max(len(a), len(b))
+        return float(sum(x != y for x, y in zip(a + ["*"] * (n - len(a)), b + ["*"] * (n - len(b)))))
+
+    return np.array([[0.0 if i == j else one(rows[i], rows[j]) for j in rows] for i in rows])
+
+
+@pytest.mark.parametrize("metric", editing.METRICS)
+def test_blocks_follow_the_sequences(spark, monkeypatch, metric):
+    monkeypatch.setattr(clustering, "BLOCK", 8)
+    rows, seqs = random_sequences(spark, 40, 1)
+    d = matrix(rows, metric)
+    found = clustering.distances(seqs, metric)
+    assert {(r.i, r.j): r.d for r in found.collect()} == {(i, j): d[i, j] for i in rows for j in rows if i < j}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod(xxhash64" in plan and ", 5)" in plan, plan  # 40 sequences are 5 blocks of about 8
+
+
+@pytest.mark.parametrize("metric", editing.METRICS)
+def test_silhouette_of_classes_is_that_of_all_pairs(spark, metric):
+    rows, seqs = random_sequences(spark, 40, 2)
+    member = np.array([k % 3 for k in rows])
+    member[7] = 3  # alone
+    frame = spark.createDataFrame([(k, int(member[k])) for k in rows], "id long, cluster int")
+    assert clustering.sequence_silhouette(seqs, frame, metric).first()[0] == pytest.approx(editing.silhouette(matrix(rows, metric), member), abs=1e-12)
