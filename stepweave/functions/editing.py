@@ -102,15 +102,22 @@ def pam(d: np.ndarray, k: int) -> np.ndarray:
 LINKAGES = ("single", "complete", "average", "mcquitty", "ward.D", "ward.D2", "median", "centroid")
 
 
-def hierarchical(d: np.ndarray, k: int, linkage: str) -> np.ndarray:
+def hierarchical(d: np.ndarray, k: int, linkage: str, weights: np.ndarray | None = None) -> np.ndarray:
     """Agglomeration by Lance and Williams; the first of tied pairs merges.
 
-    Clusters are numbered untouched points first, by index, then merged ones as they came to be.
+    Clusters are numbered untouched points first, by index, then merged ones as they came to be. A weight is the number of
+    points at distance 0 that a row stands for; they count as merged, in the order of the rows, before anything else.
     """
     n = len(d)
     d = d.astype(float) ** (2 if linkage == "ward.D2" else 1)
     np.fill_diagonal(d, np.inf)
     alive, sizes, made = list(range(n)), np.ones(n), {}
+    if weights is not None:
+        sizes = weights.astype(float)
+        made = {int(i): i - n for i in np.flatnonzero(weights > 1)}
+        if linkage.startswith("ward"):
+            d = d * (2 * sizes[:, None] * sizes / (sizes[:, None] + sizes))
+            np.fill_diagonal(d, np.inf)
     members = {i: [i] for i in range(n)}
     for step in range(n - k):
         part = np.where(np.triu(np.ones((len(alive),) * 2, bool), 1), d[np.ix_(alive, alive)], np.inf)

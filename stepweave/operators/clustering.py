@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,28 +161,96 @@ class Clusters:
     sizes: list[int]
 
 
-def cluster_sequences(seqs: Sequences, k: int, dissimilarity: str = "hamming", method: str = "pam", na_syms: tuple[str, ...] = ("*", "%"), weighted: bool = False, lambda_: float = 1.0, blocks: int = 1) -> Clusters:
+def _written(df: DataFrame) -> DataFrame:
+    """df, computed once into Parquet in the folder that driver and executors share."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = f"file://{tempfile.mkdtemp(prefix='stepweave-')}"
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/clusters-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _pam(dist: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
+    """id of each of the kinds (id, last, n) and its cluster: editing.pam with its choices among ties, every cost a sum by Spark.
+
+    The driver gets one candidate a step. A step reads the written distances once.
+    """
+    turned = dist.select("i", "j", "d").unionByName(dist.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    turned = turned.unionByName(kinds.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d")))
+    both = _written(turned.join(kinds.select(F.col("id").alias("j"), "n"), "j").join(kinds.select(F.col("id").alias("i"), "last"), "i"))
+
+    def to_nearest(medoids):
+        return both.join(both.where(F.col("i").isin(medoids)).groupBy("j").agg(F.min("d").alias("near")), "j")
+
+    def chosen(costs, to_beat=None):
+        """Of the least cost: in BUILD the last, in SWAP the first; and the cost of the present medoid."""
+        tie = -F.col("last") if to_beat is None else F.col("i")
+        return costs.agg(F.min(F.struct("cost", tie.alias("tie"), "i")).alias("best"), F.max(F.when(F.col("i") == F.lit(to_beat), F.col("cost"))).alias("now")).first()
+
+    medoids = [chosen(both.groupBy("i", "last").agg(F.sum(F.col("n") * F.col("d")).alias("cost"))).best.i]
+    while len(medoids) < k:
+        gains = to_nearest(medoids).groupBy("i", "last").agg(-F.sum(F.col("n") * F.greatest(F.col("near") - F.col("d"), F.lit(0.0))).alias("gain"))
+        gains = gains.toDF("i", "last", "cost").where(~F.col("i").isin(medoids))
+        best = chosen(gains).best
+        if best is None:  # fewer different sequences than clusters: the others stay empty
+            break
+        medoids.append(best.i)
+    for _ in range(100 if len(medoids) == k else 0):
+        changed = False
+        for slot, present in enumerate(medoids):
+            rest = [m for j, m in enumerate(medoids) if j != slot]
+            costs = to_nearest(rest).groupBy("i", "last").agg(F.sum(F.col("n") * F.least("near", "d")).alias("cost")).where(~F.col("i").isin(rest))
+            found = chosen(costs, present)
+            if found.best.cost < found.now:
+                medoids[slot], changed = found.best.i, True
+        if not changed:
+            break
+    number = F.create_map(*[F.lit(x).cast(t) for slot, m in enumerate(medoids) for x, t in ((m, "long"), (slot + 1, "int"))])
+    return both.where(F.col("i").isin(medoids)).groupBy(F.col("j").alias("id")).agg(F.min(F.struct("d", F.element_at(number, F.col("i")).alias("cluster"))).cluster.alias("cluster"))
+
+
+def _hierarchical(dist: DataFrame, kinds: DataFrame, k: int, method: str) -> DataFrame:
+    """id of each of the kinds (id, n) and its cluster, by the whole matrix of the kinds on the driver."""
+    rows = kinds.select("id", "n").orderBy("id").limit(DRIVER_ROWS + 1).toPandas()
+    if len(rows) > DRIVER_ROWS:
+        raise ValueError(f"more than {DRIVER_ROWS} different sequences: cluster a part of them")
+    pairs = dist.toPandas()
+    d = np.zeros((len(rows), len(rows)))
+    i, j = np.searchsorted(rows.id, pairs.i), np.searchsorted(rows.id, pairs.j)
+    d[i, j] = d[j, i] = pairs.d
+    member = editing.hierarchical(d, k, method, rows.n.to_numpy())
+    return dist.sparkSession.createDataFrame(pd.DataFrame({"id": rows.id, "cluster": member + 1}), "id long, cluster int")
+
+
+def cluster_sequences(seqs: Sequences, k: int, dissimilarity: str = "hamming", method: str = "pam", na_syms: tuple[str, ...] = ("*", "%"), weighted: bool = False, lambda_: float = 1.0, blocks: int | None = None) -> Clusters:
     """Clusters (from 1) by PAM or a linkage of hierarchical clustering.
 
-    Distances are computed by Spark; these algorithms need the whole matrix in one place, so more than DRIVER_ROWS
-    sequences raise an error before anything is collected.
+    Equal sequences are one point of their number, except by lv and osa, which do not give them distance 0. PAM runs as
+    Spark jobs. A linkage merges one pair after the other over the whole matrix, which the driver takes: more than
+    DRIVER_ROWS points raise an error before any distance is collected.
     """
     if method != "pam" and method not in editing.LINKAGES:
         raise ValueError(f"unknown method {method!r}; known are pam, {', '.join(editing.LINKAGES)}")
     if dissimilarity not in editing.METRICS:
         raise ValueError(f"unknown metric {dissimilarity!r}; known are {', '.join(editing.METRICS)}")
-    (id,) = seqs.ids
-    ids = [r[0] for r in seqs.frame.select(F.col(id).cast("long")).distinct().orderBy(id).limit(DRIVER_ROWS + 1).collect()]
-    if k < 2 or k > len(ids):
+    rows = _written(_trimmed(seqs, na_syms))
+    single = rows.withColumns({"last": F.col("id"), "n": F.lit(1).cast("long")})
+    if k < 2 or k > rows.count():
         raise ValueError("k must be 2 at least and no more than the sequences")
-    if len(ids) > DRIVER_ROWS:
-        raise ValueError(f"more than {DRIVER_ROWS} sequences: cluster a part of them")
-    dist = distances(seqs, dissimilarity, weighted, lambda_, na_syms, blocks)
-    pairs = dist.toPandas()
-    at = {v: n for n, v in enumerate(ids)}
-    d = np.zeros((len(ids), len(ids)))
-    i, j = pairs.i.map(at), pairs.j.map(at)
-    d[i, j] = d[j, i] = pairs.d
-    member = editing.pam(d, k) if method == "pam" else editing.hierarchical(d, k, method)
-    frame = seqs.frame.sparkSession.createDataFrame(pd.DataFrame({"id": ids, "cluster": member + 1}), "id long, cluster int")
-    return Clusters(frame, dist, k, method, editing.silhouette(d, member), np.bincount(member, minlength=k).tolist())
+    kinds = single
+    if dissimilarity in COLLAPSING:
+        kinds = _written(classes(rows))
+        if method != "pam" and kinds.count() < k:  # equal sequences must part
+            kinds = single
+    dist = _pairs(kinds, dissimilarity, weighted, lambda_, blocks)
+    found = _pam(dist, kinds, k) if method == "pam" else _hierarchical(dist, kinds, k, method)
+    if kinds is single:
+        member = _written(found)
+    else:
+        member = _written(_class_of(rows, kinds).join(found.withColumnRenamed("id", "class"), "class").select("id", "cluster"))
+    sizes = {r.cluster: r["count"] for r in member.groupBy("cluster").count().collect()}
+    score = silhouette(dist, member) if kinds is single else _silhouette_of_classes(dist, _class_of(rows, kinds), member)
+    return Clusters(member, distances(seqs, dissimilarity, weighted, lambda_, na_syms, blocks), k, method, score.first()[0] or 0.0, [sizes.get(c + 1, 0) for c in range(k)])

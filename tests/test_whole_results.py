@@ -76,3 +76,21 @@ def test_silhouette_of_classes_is_that_of_all_pairs(spark, metric):
     member[7] = 3  # alone
     frame = spark.createDataFrame([(k, int(member[k])) for k in rows], "id long, cluster int")
     assert clustering.sequence_silhouette(seqs, frame, metric).first()[0] == pytest.approx(editing.silhouette(matrix(rows, metric), member), abs=1e-12)
+
+
+@pytest.mark.parametrize(("metric", "method", "k"), [("hamming", "pam", 3), ("lcs", "pam", 4), ("lv", "pam", 3), ("osa", "pam", 2), *[(m, x, 3) for m, x in zip(("hamming", "lcs") * 4, editing.LINKAGES)], ("lv", "average", 3)])
+def test_clusters_are_those_of_the_whole_matrix(spark, monkeypatch, metric, method, k):
+    rows, seqs = random_sequences(spark, 40, 3, 3)
+    d = matrix(rows, metric)
+    want = editing.pam(d, k) if method == "pam" else editing.hierarchical(d, k, method)
+    if method == "pam" or metric in clustering.COLLAPSING:
+        monkeypatch.setattr(clustering, "DRIVER_ROWS", 39)  # neither needs a matrix of all sequences
+    found = clustering.cluster_sequences(seqs, k, metric, method)
+    assert {r.id: r.cluster - 1 for r in found.assignments.collect()} == dict(zip(rows, want.tolist()))
+    assert found.silhouette == pytest.approx(editing.silhouette(d, want), abs=1e-12) and found.sizes == np.bincount(want, minlength=k).tolist()
+
+
+def test_linkages_refuse_more_points_than_the_driver_takes(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "DRIVER_ROWS", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        clustering.cluster_sequences(random_sequences(spark, 40, 3, 3)[1], 3, "hamming", "average")
