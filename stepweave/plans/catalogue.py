@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import clustering, model, network, patterns, plotdata, prepare, resample, scaling, transitions
-from ..operators.sequences import Sequences, bounded, from_wide, glued, to_wide
+from ..operators.sequences import Sequences, bounded, from_wide, glued, to_wide, width_of
 from ..sources.tables import conversations, event_sessions, orders, table
 
 QUERIES: dict = {}
@@ -171,7 +171,8 @@ def _(spark, d):
 @query("seq_concat", _sql(O, select="SELECT seq // 2 AS seq_id, CAST(p + (seq % 2) * 50 AS INTEGER) AS raw_pos, s AS state FROM o"))
 def _(spark, d):
     seqs = orders(spark, d)
-    return glued(Sequences(seqs.frame.withColumn("number", F.col("seq_id"))), "number", 2, 50).frame
+    width = max(50, width_of(seqs))  # the SQL's places, and more where a customer has more orders
+    return glued(Sequences(seqs.frame.withColumn("number", F.col("seq_id"))), "number", 2, width).frame
 
 
 @query("seq_begin_end", _sql(O, select="""SELECT seq AS seq_id, CAST(p AS INTEGER) AS raw_pos, s AS state FROM o UNION ALL SELECT DISTINCT seq, -1, 'begin' FROM o

@@ -94,3 +94,10 @@ def test_linkages_refuse_more_points_than_the_driver_takes(spark, monkeypatch):
     monkeypatch.setattr(clustering, "DRIVER_ROWS", 3)
     with pytest.raises(ValueError, match="more than 3"):
         clustering.cluster_sequences(random_sequences(spark, 40, 3, 3)[1], 3, "hamming", "average")
+
+
+def test_glued_customers_do_not_overlap(spark, tmp_path):
+    orders = spark.range(63).select(F.when(F.col("id") < 60, 2).otherwise(3).cast("long").alias("o_custkey"), F.lit("2024-01-01").cast("date").alias("o_orderdate"), F.col("id").alias("o_orderkey"), F.concat(F.lit("p"), "id").alias("o_orderpriority"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.QUERIES["seq_concat"](spark, str(tmp_path)).orderBy("raw_pos").collect()
+    assert [tuple(r) for r in got] == [(1, k, f"p{k}") for k in range(63)]
