@@ -194,13 +194,19 @@ def _long(t: str, expr: str, w: str, place: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-def _days(spark: SparkSession, d: str) -> DataFrame:
+def _kinds(spark: SparkSession, d: str) -> list[str]:
+    """The types of events that there are: as many as the model has states. The SQL knows those of the test tables."""
+    return sorted(r[0] for r in table(spark, d, "events").select("event_type").where("event_type is not null").distinct().collect())
+
+
+def _days(spark: SparkSession, d: str, kinds: list[str]) -> DataFrame:
     rows = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_type")
-    return rows.groupBy("user_id", "day").agg(*[F.max(F.when(F.col("event_type") == k, 1).otherwise(0)).alias(k) for k in KINDS])
+    return rows.groupBy("user_id", "day").agg(*[F.max(F.when(F.col("event_type") == k, 1).otherwise(0)).alias(k) for k in kinds])
 
 
 def _onehot(spark, d, **o) -> DataFrame:
-    seqs, _ = prepare.onehot(_days(spark, d), list(KINDS), ["day"], actor="user_id", **o)
+    kinds = _kinds(spark, d)
+    seqs, _ = prepare.onehot(_days(spark, d, kinds), kinds, ["day"], actor="user_id", **o)
     return seqs.frame.select("user_id", "w", "raw_pos", "state")
 
 
@@ -279,7 +285,8 @@ def _(spark, d):
 
 @query("model_onehot_ctna", _sql(H, f"e AS (SELECT user_id AS seq, raw_pos AS p, state AS s FROM ({_long('h', '{c}', 'r // 2', '(r // 2) * 10 + (r % 2) * 5')}) WHERE state IS NOT NULL)", _full("e", _pairs("e", "a.p // 10 = b.p // 10"), normal=False)))
 def _(spark, d):
-    seqs, params = prepare.onehot(_days(spark, d), list(KINDS), ["day"], actor="user_id", window_size=2)
+    kinds = _kinds(spark, d)
+    seqs, params = prepare.onehot(_days(spark, d, kinds), kinds, ["day"], actor="user_id", window_size=2)
     return _edges(model.ctna(seqs, **params))
 
 
@@ -314,7 +321,8 @@ def _(spark, d):
 
 @query("model_matrix_pivot", _sql(E, E_REL, select="SELECT from_state, " + ", ".join(f"round(max(CASE WHEN to_state = '{k}' THEN weight END), 9) AS {k}" for k in KINDS) + " FROM w GROUP BY 1"))
 def _(spark, d):
-    return _rounded(model.tna(_e(spark, d)).to_dataframe(list(KINDS)), *KINDS)
+    kinds = _kinds(spark, d)
+    return _rounded(model.tna(_e(spark, d)).to_dataframe(kinds), *kinds)
 
 
 @query("model_from_matrix", _sql(E, E_REL))
@@ -427,7 +435,7 @@ def _diffused(steps: int) -> str:
 
 @query("cent_diffusion", _sql(E, E_REL, _diffused(5), select="SELECT s AS state, round(sum(x), 9) AS value FROM (" + " UNION ALL ".join(f"SELECT * FROM v{k}" for k in range(1, 6)) + ") GROUP BY 1"))
 def _(spark, d):
-    return _rounded(network.diffusion(model.tna(_e(spark, d)), 5), "value")
+    return _rounded(network.diffusion(model.tna(_e(spark, d)), len(_kinds(spark, d))), "value")
 
 
 @query("cent_clustering", _sql(E, E_REL, "z AS (SELECT w.from_state AS f, w.to_state AS t, CASE WHEN w.from_state = w.to_state THEN 0 ELSE w.weight + v.weight END AS m FROM w JOIN w v ON v.from_state = w.to_state AND v.to_state = w.from_state)",
@@ -685,7 +693,7 @@ def _(spark, d):
     seqs = orders(spark, d, segments=True)
     names = seqs.frame.select("grp").distinct().agg(F.array_sort(F.collect_set("grp")).alias("names"))
     ids = seqs.frame.select("seq_id").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1)))).crossJoin(F.broadcast(names))  # one row
-    shuffled = ids.select("rep", "seq_id", F.element_at("names", (F.pmod(_u(), F.lit(5)) + 1).cast("int")).alias("grp"))
+    shuffled = ids.select("rep", "seq_id", F.element_at("names", (F.pmod(_u(), F.size("names")) + 1).cast("int")).alias("grp"))
     rows = patterns.permutation_test(seqs, "grp", shuffled, (1, 2, 3), min_freq=0)
     return rows.select("length", "pattern", F.round("statistic", 6).alias("statistic"), (F.round("effect_size", 6) + 0.0).alias("effect_size"), F.round("p_value", 9).alias("p_value"), F.round("p_adjusted", 9).alias("p_adjusted"))
 

@@ -101,3 +101,39 @@ def test_glued_customers_do_not_overlap(spark, tmp_path):
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     got = catalogue.QUERIES["seq_concat"](spark, str(tmp_path)).orderBy("raw_pos").collect()
     assert [tuple(r) for r in got] == [(1, k, f"p{k}") for k in range(63)]
+
+
+@pytest.fixture
+def other_types(spark, tmp_path):
+    """Events of six types, customers of six segments."""
+    rows = [(k, dt.datetime(2024, 1, 1, 0, k), 1 + k // 12, f"kind{k * k % 7 % 6}" if k % 5 else "sixth", 1.0, "") for k in range(36)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(12).select(F.col("id").alias("c_custkey"), F.concat(F.lit("segment"), F.col("id") % 6).alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
+    orders = spark.range(48).select((F.col("id") % 12).alias("o_custkey"), F.lit("2024-01-01").cast("date").alias("o_orderdate"), F.col("id").alias("o_orderkey"), F.when(F.col("id") % 7 < 3, "a").otherwise("b").alias("o_orderpriority"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    return str(tmp_path), sorted({r[3] for r in rows})
+
+
+def test_every_type_of_event_is_a_state(spark, other_types):
+    path, kinds = other_types
+    of = lambda name: catalogue.QUERIES[name](spark, path)
+    for name in ("onehot_tumbling", "onehot_tumbling_agg"):
+        assert {r.state for r in of(name).where("state is not null").collect()} == set(kinds)
+    assert {r.from_state for r in of("model_onehot_ctna").collect()} == set(kinds)
+    assert of("model_matrix_pivot").columns == ["from_state", *kinds]
+
+
+def test_diffusion_takes_a_step_a_state(spark, other_types):
+    path, kinds = other_types
+    cells = {(r.from_state, r.to_state): r.weight for r in catalogue.QUERIES["model_relative"](spark, path).collect()}
+    w = np.array([[0 if a == b else cells[a, b] for b in kinds] for a in kinds])
+    want = sum(np.linalg.matrix_power(w, k + 1) for k in range(len(kinds))).sum(1)
+    got = {r.state: r.value for r in catalogue.QUERIES["cent_diffusion"](spark, path).collect()}
+    assert [got[k] for k in kinds] == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def test_shuffled_groups_are_all_groups(spark, other_types, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(catalogue.patterns, "permutation_test", lambda seqs, grp, shuffled, *a, **o: drawn.append(shuffled) or seqs.frame.selectExpr("1 as length", "'' as pattern", "0d as statistic", "0d as effect_size", "0d as p_value", "0d as p_adjusted"))
+    catalogue.QUERIES["patterns_perm_test"](spark, other_types[0])
+    assert {r.grp for r in drawn[0].select("grp").distinct().collect()} == {f"segment{k}" for k in range(6)}
