@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 from .components import connected_components
 
 BITS = 64
@@ -206,6 +206,12 @@ def _links_within(pivots: PivotTable, fps, run, across, right):
         yield pa.RecordBatch.from_arrays([pa.array(fps[pairs[:, k]].view(np.int64)) for k in (0, 1)], ["a", "b"])
 
 
+def _labelled(classes: DataFrame, seed: int, tile: int) -> DataFrame:
+    """classes, one row a fingerprint, and the component of each."""
+    found = connected_components(links(classes, seed, tile))
+    return classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def simhash_groups(docs: DataFrame, width: int = 3, seed: int = 6, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable by links of at most 3 bits) of every row.
 
@@ -215,19 +221,23 @@ def simhash_groups(docs: DataFrame, width: int = 3, seed: int = 6, tile: int = T
     """
     fps = written(fingerprints(docs, width), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = connected_components(links(classes, seed, tile))
-    labelled = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    labelled = _labelled(classes, seed, tile)
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = labelled.select("fp", "component").join(least, "component").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_each(docs: DataFrame, width: int = 3, seed: int = 6) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group, all their columns; a row with a null doc_id stays."""
-    groups = simhash_groups(docs.select("doc_id", "text"), width, seed)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    nulls = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").unionByName(nulls)
+    """One row of docs of each group, all its columns: that of the smallest doc_id, nulls last.
+
+    Rows are told apart by a key of their own, written once with them, as ids may be repeated or null.
+    """
+    key = fresh(docs.columns, "row_key")
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    fps = written(fingerprints(rows.select("doc_id", F.col(key).alias("row_key"), "text"), width, keep=("doc_id", "row_key")), "fingerprints")
+    classes = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row_key")).alias("first"))
+    kept = _labelled(classes, seed, TILE).groupBy("component").agg(F.min("first").alias("first"))
+    return rows.join(kept.select(F.col("first.row_key").alias(key)), key, "left_semi").select(*docs.columns)
 
 
 def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
