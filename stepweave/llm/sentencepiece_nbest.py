@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 import string
 import zlib
 from array import array
+from bisect import insort
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,29 @@ def load_pieces(path: str = MODEL) -> list[tuple[str, float, str]]:
     return [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.vocab_size())]
 
 
+class Cutter:
+    """Parts of a text that no piece of the vocabulary reaches over, in any context.
+
+    A piece lies over a place between two characters only if the two stand side by side in it. The cutter's places are
+    those before a white space that follows something else, on both sides of a line's end or tab that is in no longer
+    piece, and before a mark that stands behind a plain character. Plain is what isn't punctuation nor, like ², stands
+    before punctuation in some piece without being a letter; marks are the punctuation that follows no plain character
+    in any piece. Should a pair of a piece be one of these places after all, texts are not cut.
+    """
+
+    def __init__(self, pieces: list[str]):
+        pairs = {x for piece in pieces for x in zip(piece, piece[1:])}
+        inside = {c for x in pairs for c in x}
+        self.alone = "".join(c for c in "\n\t\r" if c not in inside)
+        sticky = {x for x, y in pairs if y in string.punctuation and not x.isalpha()}
+        self.other = "".join(sorted({SPACE, *self.alone, *string.punctuation, *sticky}))
+        self.marks = "".join(sorted(set(string.punctuation) - {y for x, y in pairs if x not in self.other}))
+        self.whole = any((y == SPACE != x) or x in self.alone or y in self.alone or (x not in self.other and y in self.marks) for x, y in pairs)
+        plain = f"[^{re.escape(self.other)}]++(?=[{re.escape(self.marks)}{SPACE}{self.alone}]|\\Z)"
+        cut = f"{SPACE}*(?:{plain}|[^{SPACE}{self.alone}]+)|{SPACE}+" + (f"|[{self.alone}]" if self.alone else "")
+        self.find = re.compile(r"(?s).+" if self.whole else cut).findall
+
+
 class Lattice:
     """Segmentation of texts into pieces of a vocabulary.
 
@@ -43,7 +66,6 @@ class Lattice:
         self.trie: dict[str, list] = {}
         self.bytes = [-1] * 256
         self.text: list[bytes] = []
-        pairs, joins = set(), False
         worst = min((s for _, s, k in pieces if k == "n" and s > -1e8), default=0.0)
         for i, (piece, score, kind) in enumerate(pieces):
             if kind == "b":
@@ -58,27 +80,17 @@ class Lattice:
             for c in piece:
                 node = kids.setdefault(c, [{}, None])
                 kids = node[0]
-            node[1] = (score, (i,))
-            pairs.update(zip(piece, piece[1:]))
-            joins |= bool(re.search(f"[^{SPACE}]{SPACE}", piece))
+            node[1] = (score, array("i", (i,)).tobytes())
         self.spelled = worst - 10
-        # No piece reaches over a white space that follows something else, over a line's end or tab that is in no longer
-        # piece, or from a letter to a mark that follows none in any piece: there the lattice falls into segments, which
-        # are solved one by one and put together.
-        spread = {c for x in pairs for c in x}
-        alone = "".join(c for c in "\n\t\r" if c not in spread)
-        after = {y for x, y in pairs if x.isalpha()}
-        marks = re.escape("".join(c for c in string.punctuation if c not in after))
-        letters = rf"[^\W\d_]+(?=[{marks}{SPACE}{alone}]|\Z)"
-        self.cut = re.compile(r"(?s).+" if joins else rf"{SPACE}*(?:{letters}|[^{SPACE}{alone}]+)|{SPACE}+" + (f"|[{alone}]" if alone else ""))
+        self.cut = Cutter([p for p, _, k in pieces if k == "n"]).find
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
         self.paths: dict[str, list] = {}
 
     def _forward(self, s: str):
-        """Arcs (from, to, (score, ids)) of the lattice of s by where they start, Viterbi scores, and best arcs into each place."""
+        """Arcs (from, score, ids) of the lattice of s by where they end, forward Viterbi scores, and the best arc into each place."""
         n, trie = len(s), self.trie
-        forward, back, arcs = [0.0] + [-1e300] * n, [None] * (n + 1), []
+        forward, back, into = [0.0] + [-1e300] * n, [None] * (n + 1), [[] for _ in range(n + 1)]
         for i in range(n):
             at, kids, single = forward[i], trie, False
             for j in range(i, n):
@@ -87,8 +99,8 @@ class Lattice:
                     break
                 kids, piece = node
                 if piece is not None:
-                    arc = (i, j + 1, piece)
-                    arcs.append(arc)
+                    arc = (i, *piece)
+                    into[j + 1].append(arc)
                     if i == j:
                         single = True
                     score = at + piece[0]
@@ -96,106 +108,114 @@ class Lattice:
                         forward[j + 1] = score
                         back[j + 1] = arc
             if not single:
-                arc = (i, i + 1, (self.spelled, tuple(self.bytes[b] for b in s[i].encode("utf-8", "surrogatepass"))))
-                arcs.append(arc)
+                arc = (i, self.spelled, array("i", [self.bytes[b] for b in s[i].encode("utf-8", "surrogatepass")]).tobytes())
+                into[i + 1].append(arc)
                 if at + self.spelled > forward[i + 1]:
                     forward[i + 1] = at + self.spelled
                     back[i + 1] = arc
-        return arcs, forward, back
-
-    def best(self, s: str) -> tuple[bytes, float, float]:
-        """ids (in 32 bits each) and score of the best segmentation of s, and what the second best loses: a path off the best one comes
-        back to it by an arc that isn't the best into its end, so forward and backward Viterbi scores give its score."""
-        n = len(s)
-        arcs, forward, back = self._forward(s)
-        second, backward = -1e300, [-1e300] * n + [0.0]
-        for arc in reversed(arcs):
-            i, j, piece = arc
-            score = piece[0] + backward[j]
-            if score > backward[i]:
-                backward[i] = score
-            if forward[i] + score > second and back[j] is not arc:
-                second = forward[i] + score
-        path, at = [], n
-        while at:
-            arc = back[at]
-            path.append(arc[2][1])
-            at = arc[0]
-        return array("i", [i for ids in reversed(path) for i in ids]).tobytes(), forward[n], forward[n] - second
+        return into, forward, back
 
-    def segment(self, s: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The n_best segmentations of s, best first.
+    def segment(self, s: str, most: int) -> tuple[list[tuple[bytes, float]], float]:
+        """The `most` best segmentations of s, best first: ids, in 32 bits each, and score; and what the next one would lose.
 
-        Forward Viterbi scores are exact for what is left of a backward path, so A* takes complete paths off its heap in
-        the order of their scores. Among equal scores the path nearer to its end goes first, which keeps the search from
-        spreading over ties; which of tied paths come is fixed by that, too.
+        A* from the end of s to its start. Forward Viterbi scores are exact for what is left of a backward path, so a
+        path's estimate falls only where it leaves the best arc into a place: the search walks down best arcs at once,
+        and what waits is one path for each arc beside them, ordered by estimate. As each of those ends as a segmentation of
+        just that estimate, no more of them wait than are still wanted. Among equal estimates the one met first goes
+        first.
         """
-        n = len(s)
-        arcs, best, _ = self._forward(s)
-        into: list[list] = [[] for _ in range(n + 1)]
-        for i, j, (score, ids) in arcs:
-            into[j].append((i, score, ids))
-        out, heap, count = [], [(-best[n], n, 0, 0.0, None)], 0
-        push, pop, most = heapq.heappush, heapq.heappop, self.n_best
-        while heap:
-            f, at, _, score, path = pop(heap)
-            if not at:
-                ids = []
-                while path:
-                    ids += path[0]
-                    path = path[1]
-                out.append((-f, tuple(ids)))
-                if len(out) == most:
-                    break
-                continue
-            for i, own, ids in into[at]:
-                count += 1
-                s2 = score + own
-                push(heap, (-(s2 + best[i]), i, count, s2, (ids, path)))
-        return out
+        into, forward, back = self._forward(s)
+        out, waiting, order = [], [], 0
+        at, tail, score = len(s), None, 0.0
+        best = forward[at]
+        while True:
+            room, worst = most - len(out), 1e300
+            if len(waiting) >= room:
+                del waiting[room:]
+                worst = waiting[-1][0]
+            while at:
+                arc = back[at]
+                arcs = into[at]
+                if len(arcs) > 1:
+                    for other in arcs:
+                        if other is not arc:
+                            loss = best - (forward[other[0]] + other[1] + score)
+                            if loss < worst:
+                                order += 1
+                                insort(waiting, (loss, order, other, score, tail))
+                                if len(waiting) >= room:
+                                    del waiting[room:]
+                                    worst = waiting[-1][0]
+                score += arc[1]
+                tail = (arc, tail)
+                at = arc[0]
+            total, ids = 0.0, []
+            while tail:
+                (_, own, piece), tail = tail
+                total += own
+                ids.append(piece)
+            out.append((b"".join(ids), total))
+            if len(out) == most or not waiting:
+                return out, waiting[0][0] if waiting else 1e300
+            _, _, arc, score, tail = waiting.pop(0)
+            score += arc[1]
+            tail = (arc, tail)
+            at = arc[0]
 
-    def encode(self, text: str | None, alternatives: bool = False):
-        """(scores, ids, others): the scores of the n_best segmentations of a whole text, the ids of the best and, if
-        asked for, those of the others.
+    def n_best_of(self, text: str | None) -> tuple[list[float], list[bytes]]:
+        """Scores and ids, in 32 bits each, of the n_best segmentations of a whole text, best first.
 
-        A segmentation of the text is one of each segment. The k-th best strays from the best in segments of the
-        k - 1 smallest losses only, so those alone are put together.
+        A segmentation of the text is one of each of its segments. The k-th best strays from the best in segments of
+        the k - 1 smallest losses only, loss being what a segment's second best lacks, so those alone are put together.
         """
         if not text:
-            return [0.0], array("i"), []
+            return [0.0], [b""]
         young, old, found = self.young, self.old, []
-        segments = self.cut.findall(SPACE + text.replace(" ", SPACE))
+        segments = self.cut(SPACE + text.replace(" ", SPACE))
         for s in segments:
             entry = young.get(s)
             if entry is None:
-                entry = old.get(s) or self.best(s)
+                entry = old.get(s)
+                if entry is None:
+                    (first,), loss = self.segment(s, 1)
+                    entry = (*first, loss)
                 if len(young) >= REMEMBERED:
                     self.old, self.young = old, young = young, {}
                 if len(s) < 64:
                     young[s] = entry
             found.append(entry)
-        ids = array("i")
-        ids.frombytes(b"".join([e[0] for e in found]))
-        total = sum([e[1] for e in found])
+        parts = [e[0] for e in found]
+        total, few = sum([e[1] for e in found]), self.n_best - 1
+        if not few:
+            return [total], [b"".join(parts)]
         loss = np.array([e[2] for e in found])
-        few = self.n_best - 1
-        near = np.argpartition(loss, few)[: few + 1] if len(loss) > few + 1 else np.arange(len(loss))
+        near = np.flatnonzero(loss <= np.partition(loss, few - 1)[few - 1]) if len(loss) > few else np.arange(len(loss))
         ways = [(0.0, ())]
-        for k in sorted(near.tolist(), key=lambda k: (loss[k], k))[:few]:
+        for k in near[np.argsort(loss[near], kind="stable")][:few].tolist():
             paths = self._remembered(segments[k])
-            ways = sorted((w[0] + paths[0][0] - p[0], w[1] + ((k, p[1]),) * (p is not paths[0])) for w in ways for p in paths)[: self.n_best]
-        others = []
-        for _, changes in ways[1:] if alternatives else []:
-            put = dict(changes)
-            others.append([i for k, e in enumerate(found) for i in (put[k] if k in put else array("i", e[0]))])
-        return [total - w[0] for w in ways], ids, others
-
-    def _remembered(self, s: str) -> list[tuple[float, tuple[int, ...]]]:
+            ways = sorted((w[0] + paths[0][1] - p[1], w[1] + ((k, p[0]),) * (p is not paths[0])) for w in ways for p in paths)[: self.n_best]
+        ids = []
+        for _, changes in ways:
+            for k, other in changes:
+                parts[k] = other
+            ids.append(b"".join(parts))
+            for k, _ in changes:
+                parts[k] = found[k][0]
+        return [total - w[0] for w in ways], ids
+
+    def encode(self, text: str | None, alternatives: bool = False):
+        """(scores, ids, others): the scores of the n_best segmentations of a whole text, the ids of the best and, if
+        asked for, those of the others."""
+        scores, ids = self.n_best_of(text)
+        first, *others = (array("i", x) for x in (ids if alternatives else ids[:1]))
+        return scores, first, others
+
+    def _remembered(self, s: str) -> list[tuple[bytes, float]]:
         paths = self.paths.get(s)
         if paths is None:
             if len(self.paths) >= 20_000:
                 self.paths.clear()
-            paths = self.segment(s)
+            paths, _ = self.segment(s, self.n_best)
             if len(s) < 64:
                 self.paths[s] = paths
         return paths
@@ -269,10 +289,17 @@ def decoded(rows: DataFrame, pieces: str = "pieces", text: str = "decoded", mode
 
 
 def digest(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces, n_found, score, margin (loss of the second best; null without one), pieces_crc (CRC-32 of the
-    ids as little-endian 32-bit numbers) and round_trip of every row."""
+    """doc_id, n_pieces, n_found, score, margin, pieces_crc, n_best_crc and round_trip of every row.
+
+    n_pieces and score are the best segmentation's; margin is what the second best loses (null without one); the CRC-32
+    are over the ids as little-endian 32-bit numbers, of the best and of the n_found best one after the other. A null or
+    empty text has one segmentation, of no pieces, score 0 and CRC 0. Repeated rows and null ids come back as often as
+    they are there; other columns are not read, whatever their names; an empty table gives an empty result.
+    """
     ready = _shipped(docs, model, n_best)
-    schema = "doc_id long, n_pieces long, n_found int, score double, margin double, pieces_crc long, round_trip boolean"
+    schema = "doc_id long, n_pieces long, n_found int, score double, margin double, pieces_crc long, n_best_crc long, round_trip boolean"
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_())
 
     def run(batches):
         lattice = ready()
@@ -281,15 +308,18 @@ def digest(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) -> DataFra
                 part, out = batch.slice(k, 256), []
                 for doc_id, x in zip(part.column("doc_id").to_pylist(), part.column("text")):
                     text = x.as_py()
-                    scores, ids, _ = lattice.encode(text)
-                    same = lattice.decode(ids) == (text or "").replace(SPACE, " ")
-                    out.append((doc_id, len(ids), len(scores), scores[0], scores[0] - scores[1] if len(scores) > 1 else None, zlib.crc32(ids), same))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
+                    scores, ids = lattice.n_best_of(text)
+                    every = 0
+                    for one in ids:
+                        every = zlib.crc32(one, every)
+                    same = lattice.decode(array("i", ids[0])) == (text or "").replace(SPACE, " ")
+                    out.append((doc_id, len(ids[0]) // 4, len(ids), scores[0], scores[0] - scores[1] if len(scores) > 1 else None, zlib.crc32(ids[0]), every, same))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [x.split()[0] for x in schema.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every document: nulls, empty, long and repeated texts as there."""
     return digest(table(spark, sf_dir, "documents"))

@@ -85,6 +85,56 @@ def test_n_best_are_the_best_of_all_segmentations(lattice):
         assert lattice.decode(ids) == text.replace("▁", " ")
 
 
+def k_best(pieces, lattice, s, k):
+    """Scores of the k best paths of the whole, uncut lattice."""
+    by_text = {p: score for p, score, kind in pieces if kind == "n"}
+    longest, at = max(map(len, by_text)), [[] for _ in range(len(s) + 1)]
+    at[0] = [0.0]
+    for end in range(1, len(s) + 1):
+        found = [x + by_text[s[i:end]] for i in range(max(0, end - longest), end) if s[i:end] in by_text for x in at[i]]
+        if s[end - 1] not in by_text:
+            found += [x + lattice.spelled for x in at[end - 1]]
+        at[end] = sorted(found, reverse=True)[:k]
+    return at[-1]
+
+
+#: Characters of every class that texts hold, those that pieces join in odd ways among them.
+CLASSES = "aTheß éЖж漢字かقا한²½①٣7305_-.,;:!?()[]{}<>=+*/|&%$#@~^`'\"\\“”‘’«»…–—▁ \t\n\r\u00a0\u200b\u0301€£🙂\x07İ"
+
+
+def test_whole_texts_of_all_characters_get_the_best_of_the_uncut_lattice(lattice):
+    pieces, rng = sentencepiece_nbest.load_pieces(), np.random.default_rng(2)
+    kinds = {i: (s, k) for i, (_, s, k) in enumerate(pieces)}
+    joined = [p.replace("▁", " ") for p, _, k in pieces if k == "n" and len(p) > 1 and not p.isalpha()]
+    texts = ["x².", "10 m². Then", "½-²_a.b"] + ["".join(rng.choice(list(CLASSES), rng.integers(1, 60))) for _ in range(250)]
+    texts += ["".join(rng.choice(joined + list(CLASSES), rng.integers(1, 25))) for _ in range(250)]
+    for text in texts:
+        scores, ids, others = lattice.encode(text, alternatives=True)
+        want = k_best(pieces, lattice, "▁" + text.replace(" ", "▁"), 4)
+        assert len(scores) == len(want) and np.allclose(scores, want, rtol=0, atol=1e-6 * max(1, abs(want[-1]) * 1e-6)), text
+        found = [tuple(ids), *map(tuple, others)]
+        assert len(set(found)) == len(scores), text
+        for one, score in zip(found, scores):
+            assert lattice.decode(one) == text.replace("▁", " ")
+            plain = sum(kinds[i][0] for i in one if kinds[i][1] == "n")
+            spelled = score - plain
+            assert abs(spelled - lattice.spelled * round(spelled / lattice.spelled)) < 1e-3, text
+
+
+def test_no_piece_is_cut(lattice):
+    names = [p for p, _, k in sentencepiece_nbest.load_pieces() if k == "n"]
+    assert not sentencepiece_nbest.Cutter(names).whole
+    for piece in names:
+        for before, after in ("aa", "..", "▁▁", "²²", "\n\n", "77"):
+            places, at = set(), 0
+            for part in lattice.cut(before + piece + after):
+                at += len(part)
+                places.add(at)
+            assert at == len(piece) + 2 and not places & set(range(2, len(piece) + 1)), piece
+    crossing = sentencepiece_nbest.Cutter(["a", "▁", "a▁", "."])
+    assert crossing.whole and crossing.find("▁a▁a.") == ["▁a▁a."]
+
+
 def test_ids_decode_as_the_library_decodes_them(lattice):
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_nbest.MODEL)
     for text in ("Hello  world\n\nThis is\ta test ẞ … ﬁ  ", " leading", "漢字 émigré 12.5%"):
