@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +17,16 @@ from .common import fold_of, hash_share, held, table, written
 
 #: Labelled rows that lexicon and weights are learned from, about: a documented bound; which ones depends on their ids alone.
 SAMPLE = 24_000
-#: Terms of the lexicon, documents of a term, and log-odds of a term, at most, at least and at least.
-TERMS, LEAST, ODDS = 500, 8, 3.0
+#: Documents and log-odds of a term of the lexicon, at least. There is no bound on terms but the sample's own words.
+LEAST, ODDS = 8, 3.0
 STEMS = (4, 5, 6, 7, 8)
 #: Characters on either side of a term that are looked at for quotation marks.
 WINDOW = 80
 WORD = re.compile(r"\w{3,}")
-QUOTES = "\"“”„«»‹›‘’"
+#: Quotation marks that may open, by the mark that closes them. A straight one closes the one before it.
+CLOSES = {"”": "“„", "“": "„", "»": "«", "«": "»", "›": "‹", "‹": "›", "’": "‘", "‘": "‚", '"': '"'}
+OPENS = frozenset("“„«»‹›‘‚\"")
+MARK = re.compile(r"[\n\"“”„«»‹›‘’‚]")
 #: Automaton states that a Python worker keeps.
 STATES = 100_000
 FEATURES = ("exact", "stem", "one_edit", "two_edits", "quoted", "density", "any")
@@ -123,11 +128,41 @@ class Automaton:
         return (stem, 0, True) if stem else None
 
 
-def is_quoted(text: str, start: int, end: int) -> bool:
-    """Whether quotation marks open before and close after the place, on its line and within the window."""
-    before, after = text[max(0, start - WINDOW) : start].rsplit("\n", 1)[-1], text[end : end + WINDOW].split("\n", 1)[0]
-    opens = sum(before.count(q) for q in QUOTES)
-    return opens % 2 == 1 and any(q in after for q in QUOTES)
+def quotations(text: str) -> list[tuple[int, int]]:
+    """The places of opening and closing marks of all quotations of a text, by where they close.
+
+    Marks are paired by kind and within a line. An apostrophe, ’ or ‘ between letters or digits, is no mark, and ’
+    closes nothing where no ‘ is open. A mark that may do both opens at the start of a word, behind a space. A mark that
+    opens again while open starts anew.
+    """
+    out, at = [], {}
+    for m in MARK.finditer(text):
+        mark, k = m[0], m.start()
+        if mark == "\n":
+            at.clear()
+            continue
+        if mark in "’‘" and 0 < k < len(text) - 1 and text[k - 1].isalnum() and text[k + 1].isalnum():
+            continue
+        own = [at[x] for x in CLOSES.get(mark, "") if x in at]
+        opens = mark in OPENS and mark != '"' and text[k + 1 : k + 2].isalnum() and (not k or text[k - 1].isspace())
+        if own and not opens:
+            start = max(own)
+            out.append((start, k))
+            at = {x: p for x, p in at.items() if p < start}
+        elif mark in OPENS:
+            at[mark] = k
+    return out
+
+
+def is_quoted(marks: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a quotation opens before and closes after the place, both within the window."""
+    for k in range(bisect_left(marks, end, key=itemgetter(1)), len(marks)):
+        opened, closed = marks[k]
+        if closed >= end + WINDOW:
+            return False
+        if start - WINDOW <= opened < start:
+            return True
+    return False
 
 
 def measure(automaton: Automaton, text: str | None) -> list[float]:
@@ -137,10 +172,10 @@ def measure(automaton: Automaton, text: str | None) -> list[float]:
     hits = {w: hit for w in set(words) if (hit := automaton.look_up(w))}
     if not hits:
         return [0.0] * len(FEATURES)
-    counts = dict.fromkeys(FEATURES, 0)
+    counts, marks = dict.fromkeys(FEATURES, 0), quotations(text)
     for m in WORD.finditer(text):
         if hit := hits.get(m[0]):
-            kind = "quoted" if is_quoted(text, m.start(), m.end()) else "stem" if hit[2] else ("exact", "one_edit", "two_edits")[hit[1]]
+            kind = "quoted" if is_quoted(marks, m.start(), m.end()) else "stem" if hit[2] else ("exact", "one_edit", "two_edits")[hit[1]]
             counts[kind] += 1
     own = sum(counts.values()) - counts["quoted"]
     return [*(float(np.log1p(counts[k])) for k in FEATURES[:5]), 10 * own / len(words), float(own > 0)]
@@ -148,7 +183,6 @@ def measure(automaton: Automaton, text: str | None) -> list[float]:
 
 def _terms_of(text: str) -> set[tuple[str, str]]:
     words = set(WORD.findall(text.lower()))
-    words = {w for w in words if len(w) <= 40}
     return {(w, "word") for w in words if len(w) > 3} | {(w[:k], "stem") for w in words for k in STEMS if len(w) > k}
 
 
@@ -156,7 +190,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, str]:
     """Terms and their kinds, from rows of text and label y: words and stems that toxic rows have far oftener.
 
     Of rows that are copies or near copies, by two minima of their words' hashes, one counts. Partitions are counted
-    before Spark adds them up, and only terms that pass reach the driver, TERMS at most.
+    before Spark adds them up, and only terms that pass reach the driver: words of LEAST toxic rows of the sample.
     """
 
     def signed(batches):
@@ -190,17 +224,20 @@ def learn_lexicon(rows: DataFrame) -> dict[str, str]:
         if total is None or not total["pos"]:
             return {}
         odds = F.log((F.col("pos") + 0.5) / (total["pos"] + 1.0)) - F.log((F.col("neg") + 0.5) / (total["neg"] + 1.0))
-        best = counts.where("kind <> ''").where(odds >= ODDS).orderBy(F.col("pos").desc(), F.length("term").desc(), "term").limit(4 * TERMS).collect()
+        best = counts.where("kind <> ''").where(odds >= ODDS).orderBy(F.col("pos").desc(), F.length("term").desc(), "term").collect()
     finally:
         counts.unpersist()
-    taken: dict[str, tuple[str, int]] = {}
+    taken: dict[str, str] = {}
+    longer: dict[str, int] = {}  # by the start of taken terms, the most documents of one
     for r in best:
         term, kind, n = r["term"], r["kind"], r["pos"]
-        covered = any(k == "stem" and term.startswith(t) for t, (k, _) in taken.items())
-        spelled_out = kind == "stem" and any(t.startswith(term) and m >= 0.9 * n for t, (_, m) in taken.items())
-        if not covered and not spelled_out and term not in taken and len(taken) < TERMS:
-            taken[term] = (kind, n)
-    return {t: k for t, (k, _) in taken.items()}
+        covered = any(taken.get(term[:k]) == "stem" for k in STEMS if k <= len(term))
+        spelled_out = kind == "stem" and longer.get(term, 0) >= 0.9 * n
+        if not covered and not spelled_out and term not in taken:
+            taken[term] = kind
+            for k in STEMS:
+                longer[term[:k]] = max(longer.get(term[:k], 0), n)
+    return taken
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -254,7 +291,11 @@ def measured(rows: DataFrame, terms: dict[str, str]) -> DataFrame:
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, score (0 to 1) and predicted of every row: whole texts are read; a null or empty one has no term."""
+    """doc_id, score (0 to 1) and predicted of every row: whole texts are read; a null or empty one has no term.
+
+    Equal texts get equal scores; repeated rows and null ids come back as often as they are there. Other columns are not
+    read, whatever their names. An empty table gives an empty result.
+    """
     found = measured(docs.select("doc_id", "text"), model["terms"])
     *weights, intercept = model["weights"]
     total = F.lit(intercept)
@@ -269,6 +310,8 @@ def in_training(doc_id):
 
 
 def op7_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, learned from labels of the other folds; a null doc_id is
+    fold 0 and held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(in_training(F.col("doc_id"))))
     return score(docs, model).select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", "predicted")

@@ -264,6 +264,49 @@ def test_quotation_is_told_from_abuse():
     assert quoted["quoted"] > 0 and not quoted["exact"] and not quoted["any"]
 
 
+@pytest.mark.parametrize(
+    ("text", "quoted"),
+    [
+        ("You don’t get it, you idiot, and it’s over", False),
+        ("You don't get it, you idiot, and it's over", False),
+        ("He doesn’t mind “utter idiot” as a name", True),
+        ("the dogs’ idiot and the cats’ bowl", False),
+        ("sie sagte „so ein idiot“ und ging", True),
+        ("er rief »idiot« laut", True),
+        ("« quel idiot », dit-il", True),
+        ("‘what an idiot’, she said, and didn’t stay", True),
+        ("“one” idiot “two”", False),
+        ('"one" idiot "two"', False),
+        ('a 5" idiot', False),
+        ("“opened here\nidiot” closed there", False),
+        ("„he said “you idiot” again“", True),
+        ("“" + "x " * 60 + "idiot”", False),
+    ],
+)
+def test_quotation_marks_are_paired_by_kind(text, quoted):
+    found = dict(zip(toxicity.FEATURES, toxicity.measure(toxicity.Automaton({"idiot": "word"}), text)))
+    assert (found["quoted"] > 0, found["exact"] > 0) == (quoted, not quoted)
+
+
+def test_long_words_and_many_terms_are_learned(spark):
+    names = ["".join(chr(97 + (7 * k + 3 * j * j + k * j) % 26) for j in range(45)) for k in range(700)]
+    rows = [(k, " ".join(names[j] for j in range(700) if (j + k) % 3), 1) for k in range(40)] + [(100 + k, "kind words only " * 3 + str(k), 0) for k in range(60)]
+    terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    automaton = toxicity.Automaton(terms)
+    assert all(automaton.look_up(n) for n in names)
+
+
+def test_toxicity_on_held_out_rows_of_the_real_table(spark):
+    """At sf0.1, where 352 labels are all there is to learn from: 85 % of 97 toxic documents, 0.1 % of 728 others."""
+    d, lab = (table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels"))
+    found = toxicity.op7_toxicity_automata(spark, "/root/testdata/sf0.1")
+    assert found.columns[:4] == ["doc_id", "held_out", "score", "predicted"] and found.count() == d.count()
+    held = found.join(lab.where("toxic is not null").select("doc_id", "toxic"), "doc_id").where("held_out and predicted = int(score >= 0.5)").collect()
+    toxic = [r.predicted for r in held if r.toxic]
+    clean = [r.predicted for r in held if not r.toxic]
+    assert len(held) > 800 and np.mean(toxic) > 0.8 and np.mean(clean) < 0.01
+
+
 def test_toxicity_is_learned_and_held_out(spark, odd, none):
     rng = np.random.default_rng(2)
     common = ["".join(rng.choice(list("aeiourstln"), 6)) for _ in range(200)]
