@@ -289,8 +289,9 @@ def test_quotation_marks_are_paired_by_kind(text, quoted):
 
 
 def test_long_words_and_many_terms_are_learned(spark):
-    names = ["".join(chr(97 + (7 * k + 3 * j * j + k * j) % 26) for j in range(45)) for k in range(700)]
-    rows = [(k, " ".join(names[j] for j in range(700) if (j + k) % 3), 1) for k in range(40)] + [(100 + k, "kind words only " * 3 + str(k), 0) for k in range(60)]
+    rng = np.random.default_rng(7)
+    names = ["".join(rng.choice(list("abcdefghijklmnop"), 45)) for _ in range(700)]
+    rows = [(k, " ".join(n for n in names if rng.random() < 0.5), 1) for k in range(60)] + [(100 + k, f"kind words only {k}abc", 0) for k in range(60)]
     terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, y int"))
     automaton = toxicity.Automaton(terms)
     assert all(automaton.look_up(n) for n in names)
