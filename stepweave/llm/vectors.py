@@ -51,3 +51,23 @@ def moments(rows: DataFrame, vector: str, unit: bool) -> dict[int, tuple[int, np
         x = np.array(r.sums)
         out[r.d] = (r.n, x[: r.d], x[r.d :].reshape(r.d, r.d))
     return out
+
+
+def means(rows: DataFrame, vector: str) -> dict[int, tuple[int, np.ndarray]]:
+    """For each length of vector: rows and their mean. Spark adds up one sum a partition, length and place."""
+
+    def run(batches):
+        found: dict[int, list] = {}
+        for batch in batches:
+            size = batch.column("d").to_numpy()
+            for d in np.unique(size):
+                x = matrix(batch.column("v").filter(pa.array(size == d))).astype(np.float64)
+                n, s = found.get(int(d), (0, 0.0))
+                found[int(d)] = [n + len(x), s + x.sum(0)]
+        for d, (n, s) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([d] * d, pa.int32()), pa.array([n] * d), pa.array(range(d), pa.int32()), pa.array(s)], ["d", "n", "k", "x"])
+
+    parts = rows.select(F.size(vector).alias("d"), F.col(vector).alias("v")).mapInArrow(run, "d int, n long, k int, x double")
+    sums = parts.groupBy("d", "k").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    whole = sums.groupBy("d").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("sums"))
+    return {r.d: (r.n, np.array(r.sums) / r.n) for r in whole.collect()}

@@ -26,7 +26,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Record ids of pages: this tag, then the page's number in 64 bits.
 TAG = 0x7061676500004000
-SALTS = 8
+#: Repeated payloads whose table is broadcast, at most (some 100 bytes each): beyond it, a salted join.
+REPEATS, SALTS = 200_000, 64
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -156,10 +157,15 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 0, frame_bytes: in
     returned, names those of the attempts that counted: what a lost executor left half-written is never read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("sha", F.sha1("payload"))
     shared = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1 and holder is not null")
-    shared = shared.select("sha", "holder", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    told = rows.join(shared, ["sha", "salt"], "left").select("page_id", "url", "payload", "sha", "holder")
+    shared = written(shared.select("sha", "holder"), "warc-repeats")
+    if shared.count() <= REPEATS:  # ids and digests alone are shuffled, payloads stay where they are read
+        told = rows.join(F.broadcast(shared), "sha", "left")
+    else:
+        salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        told = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"], "left")
+    told = told.select("page_id", "url", "payload", "sha", "holder")
 
     def run(batches):
         writer, path = None, ""
@@ -187,7 +193,11 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 0, frame_bytes: in
 
 
 def read_bundles(index: DataFrame, payload: bool = False) -> DataFrame:
-    """Every record of the bundles that the index names, read frame by frame; each payload is held against its digest."""
+    """Every record of the bundles that the index names, read frame by frame; each payload is held against its digest.
+
+    Records come back as often as they were written: repeated pages, and those without an id, url or payload, too. An
+    empty index gives an empty result.
+    """
     frames = index.groupBy("bundle", "frame").agg(F.count("*").alias("n"), F.max("offset").alias("last"))
     # a row of the index is small, the frame it names isn't: partitions are told by number, not left to their bytes
     tasks = min(-(-frames.count() // FRAMES) or 1, TASKS)
@@ -224,5 +234,6 @@ def read_record(bundle: str, frame: int, offset: int) -> dict:
 
 
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold, read back: one row a page; where they lie is read_bundles' to tell."""
     index = write_bundles(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    return read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "offset")
+    return read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

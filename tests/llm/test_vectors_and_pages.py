@@ -117,13 +117,51 @@ def test_recall_on_the_test_table(spark, sf_dir):
     assert hits >= 0.95 * len(found)
 
 
-def test_estimates_hold_their_bounds():
+@pytest.mark.parametrize("d", [64, 7, 100])
+def test_estimates_hold_their_bounds(d):
     rng = np.random.default_rng(8)
-    vectors, queries = rng.standard_normal((3000, 64)), rng.standard_normal((40, 64))
-    centre, rotation = vectors.mean(0), np.linalg.qr(rng.standard_normal((64, 64)))[0]
-    total, sd = ann.estimate(ann.Codes(vectors, centre, rotation), queries, centre, rotation)
-    off = np.abs(total - queries @ vectors.T) / sd
-    assert (off <= ann.SIGMAS).mean() > 0.97
+    vectors, queries = rng.standard_normal((3000, d)), rng.standard_normal((40, d))
+    centre, rotation = vectors.mean(0), np.linalg.qr(rng.standard_normal((d, d)))[0]
+    codes = ann.coded(vectors, centre, rotation)
+    assert codes.words.dtype == np.uint64 and codes.words.shape[1] == -(-d // 64)
+    total, bound = ann.estimate(codes, queries, centre, rotation)
+    signs = np.where((vectors - centre) @ rotation > 0, 1.0, -1.0)
+    opened = (queries @ centre)[:, None] + (queries @ rotation) @ signs.T * codes.scale
+    assert np.abs(total - opened).max() < 0.1 * np.abs(opened).max()  # rounding of queries alone
+    assert (np.abs(total - queries @ vectors.T) <= bound).mean() > 0.97
+
+
+def test_rows_of_a_repeated_id_are_queries_of_their_own(spark):
+    rows = [(k, [float(k % 7 + 1), float(k % 5), 1.0], 0) for k in range(1, 40)] + [(40, [1.0, 0.0, 0.0], 0), (40, [0.0, 1.0, 0.0], 0), (40, [0.0, 1.0, 0.0], 0)]
+    got = [(r.rank, r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, VECTORS), k=5).where("query_id = 40").collect()]
+    want = []
+    for i in (39, 40, 41):
+        every = sorted((-float(np.dot(rows[i][1], v)), k) for j, (k, v, _) in enumerate(rows) if j != i)[:5]
+        want += [(n, k, -s) for n, (s, k) in enumerate(every, 1)]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("spread", [0.0, 1e-9])
+def test_tiles_stay_small_whatever_the_ties(spark, spread):
+    """3,000 multiples of one vector, tied on every axis, and 1,000 far from them: no group of more than two tiles, and
+    no group of tiles that are far apart."""
+    rng = np.random.default_rng(4)
+    one = rng.standard_normal(16)
+    rows = [(k, (one * (1 + k) * (1 + spread * rng.standard_normal(16))).tolist(), 0) for k in range(3000)]
+    rows += [(3000 + k, (0.2 * rng.standard_normal(16) - one).tolist(), 0) for k in range(1000)]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<double>, label int")
+    classes = frame.select("label", "v", F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("copies"))
+    rotations = {16: np.eye(16)}
+    placed = embedding_dedup.tiled(classes, rotations, 64)
+    sizes = [r["count"] for r in placed.groupBy("t").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 80
+    pairs = embedding_dedup.tile_pairs(placed, 0.93)
+    assert pairs.count() < len(sizes) * (len(sizes) + 1) / 2 and pairs.where("x = y").count() == len(sizes)
+    got = embedding_dedup.near_vectors(frame.withColumnRenamed("v", "embedding").where("vec_id < 700 or vec_id >= 3500"), tile=64).collect()
+    x = np.array([r[1] for r in rows if r[0] < 700 or r[0] >= 3500])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = dict(zip([r[0] for r in rows if r[0] < 700 or r[0] >= 3500], ((x @ x.T) >= 0.93).sum(1) - 1))
+    assert {r.vec_id: r.n_links for r in got} == want
 
 
 # WARC
@@ -174,6 +212,16 @@ def test_small_payloads_can_stay_whole(spark):
     assert {r.record_type for r in got} == {"response"} and len(got) == len(ODD_PAGES)
 
 
+@pytest.mark.parametrize("most", [0, 1 << 30])
+def test_a_hot_payload_joins_either_way(spark, monkeypatch, most):
+    """More copies than salts, with repeats broadcast or joined by salt."""
+    monkeypatch.setattr(warc, "REPEATS", most)
+    rows = spark.createDataFrame([(k, "http://a.example/", "hot" if k % 3 else f"own {k}") for k in range(600)], PAGES)
+    got = warc.read_bundles(bundles(spark, rows)).collect()
+    assert len(got) == 600 and sum(r.record_type == "revisit" for r in got) == 399
+    assert all(r.refers_to == 1 for r in got if r.record_type == "revisit")
+
+
 def test_no_pages(spark):
     assert warc.read_bundles(bundles(spark, spark.createDataFrame([], PAGES))).count() == 0
 
