@@ -9,30 +9,40 @@ from pyspark.sql import functions as F
 
 from .common import fold_of, fresh, hash_share, held, table
 
-DIM, GRAM, SEED = 512, 3, 9
-#: Letters share random vectors by their code point modulo this, the space between words having its own.
-LETTERS = 1 << 12
+DIM, GRAM, SEED = 1024, 3, 9
+#: Bits of a code point: n-grams are numbered by their letters' code points side by side, so no two share a number.
+POINT = 21
 #: Training documents of a language, about: a documented bound; which ones depends on their ids alone.
 PER_LANGUAGE = 4000
 #: Sharpness of the score: how fast it falls as another prototype comes as near.
 SHARP = 40.0
-#: Vectors of n-grams that a Python worker keeps.
-KNOWN = 1 << 16
+#: Vectors of n-grams, and of letters, that a Python worker keeps.
+KNOWN, LETTERS = 1 << 15, 1 << 13
 
 
 class Space:
-    """Random letter vectors of +1 and -1; a letter's place in an n-gram turns its vector round."""
+    """Random letter vectors of +1 and -1, each drawn from its code point; a letter's place in an n-gram turns its vector round."""
 
     def __init__(self, dim: int = DIM, gram: int = GRAM, seed: int = SEED):
-        self.dim, self.gram = dim, gram
-        letters = np.random.default_rng(seed).integers(0, 2, (LETTERS + 1, dim), np.int8) * np.int8(2) - np.int8(1)
-        self.turned = [np.roll(letters, gram - 1 - k, axis=1) for k in range(gram)]
-        self.code = np.zeros(0x110000, np.int16)
+        if gram * POINT > 63:
+            raise ValueError("n-grams of more than 3 letters have no number")
+        self.dim, self.gram, self.seed = dim, gram, seed
+        self.code = np.zeros(0x110000, np.int64)
         found = np.array([c for c in range(0x110000) if chr(c).isalpha()])
-        self.code[found] = found % LETTERS + 1
+        self.code[found] = found
+        self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
         self.known = np.empty((KNOWN, dim), np.int8)
 
+    def letter(self, point: int) -> np.ndarray:
+        """The vector of a code point; that of the space between words is 0's."""
+        found = self.letters.get(point)
+        if found is None:
+            if len(self.letters) >= LETTERS:
+                self.letters.clear()
+            found = self.letters[point] = np.random.default_rng((self.seed, point)).integers(0, 2, self.dim, np.int8) * np.int8(2) - np.int8(1)
+        return found
+
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """The distinct n-grams of letters and single spaces of a whole text, as numbers, and how often each comes; None without a letter."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -45,7 +55,7 @@ class Space:
             return None
         joined = np.zeros(len(code) - self.gram + 1, np.int64)
         for k in range(self.gram):
-            joined = joined * (LETTERS + 1) + code[k : k + len(joined)]
+            joined = (joined << POINT) | code[k : k + len(joined)]
         return np.unique(joined, return_counts=True)
 
     def vectors(self, grams: np.ndarray) -> np.ndarray:
@@ -56,10 +66,11 @@ class Space:
         new = [g for g in grams.tolist() if g not in rows]
         if new:
             at = len(rows)
-            g, product = np.array(new), 1
+            g, product = np.array(new), np.ones((len(new), self.dim), np.int8)
             for k in reversed(range(self.gram)):
-                product = product * self.turned[k][g % (LETTERS + 1)]
-                g //= LETTERS + 1
+                points, which = np.unique(g & ((1 << POINT) - 1), return_inverse=True)
+                product *= np.stack([np.roll(self.letter(p), self.gram - 1 - k) for p in points.tolist()])[which]
+                g >>= POINT
             self.known[at : at + len(new)] = product
             rows.update(zip(new, range(at, at + len(new))))
         return np.fromiter(map(rows.__getitem__, grams.tolist()), np.int64, len(grams))
@@ -148,6 +159,8 @@ def in_training(doc_id):
 
 
 def op9_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document, learned from the other folds: a null doc_id is fold 0;
+    repeated rows and equal texts get equal predictions."""
     docs = table(spark, sf_dir, "documents")
     prototypes = train(docs.where(in_training(F.col("doc_id"))))
     found = predict(docs.select("doc_id", "text", (~in_training(F.col("doc_id"))).alias("held_out")), prototypes)

@@ -25,7 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: approximate search; tests/llm/test_queries.py holds those against plain second versions.
 ORACLES: dict[str, str] = {
     "op2_embedding_pca": """WITH RECURSIVE x AS (SELECT row_number() OVER () AS k, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-n AS (SELECT * FROM x WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, c -> c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(v, c -> c <> 0)) > 0),
+n AS (SELECT * FROM x WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0 AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(v) AS c) WHERE c IS NULL OR NOT isfinite(c)) AND EXISTS (SELECT 1 FROM (SELECT unnest(v) AS c) WHERE c <> 0)),
 p AS (SELECT a.k AS a, b.k AS b FROM n a JOIN n b ON a.label = b.label AND len(a.v) = len(b.v) AND a.k <> b.k
   WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93),
 r AS (SELECT k AS a, k AS b FROM x UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
@@ -35,6 +35,6 @@ SELECT x.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, x.vec_id = c.compo
     "op3_warc_bundles": """WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
 q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS holder FROM p)
 SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
-  list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1), '' ORDER BY i) FROM (SELECT unnest(range(32)) AS i)) AS payload_digest,
   CASE WHEN holder IS NULL OR page_id = holder THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> holder THEN holder END AS refers_to FROM q""",
 }

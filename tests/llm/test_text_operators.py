@@ -351,7 +351,14 @@ def test_license_phrases_are_all_found(docs, odd, none):
 
 
 def test_templates_need_position_and_key_phrases():
-    index = licenses.Index(dict.fromkeys({w for _, t, *_ in (*licenses.PHRASES, *licenses.TEMPLATES) for w in licenses.words_of(t)}, 1), 100)
+    index = licenses.Index(dict.fromkeys({w for _, t, *_ in (*licenses.PHRASES, *licenses.TEMPLATES, *licenses.NOTICES) for w in licenses.words_of(t)}, 1), 100)
+    for label, text, keys in licenses.NOTICES:
+        assert all(licenses._stands(licenses.words_of(text), licenses.words_of(k)) for k in keys), label
+        own = licenses.words_of(text)
+        assert label in index.scan([b"prelude"] * 7 + own + [b"end"])[1]
+        put_in = own[:9] + [b"indeed", b"so"] + own[9:20] + own[21:]  # two words more, one less, outside the phrases or not
+        labels, score = index.scan(put_in)[1:]
+        assert score > 0.8, label
     gpl = "This work is licensed under the GNU General Public License, version 3."
     assert index.scan(licenses.words_of(gpl))[1] == {"gpl-3"}
     bsd = licenses.TEMPLATES[2][1]
@@ -380,10 +387,14 @@ def test_languages_are_held_out(spark, odd, none):
 
 def test_bundle_is_the_sum_of_bound_letters():
     space = language_id.Space(64, 3, 1)
-    letters = np.random.default_rng(1).integers(0, 2, (language_id.LETTERS + 1, 64), np.int8) * 2 - 1
-    code = [0, *(ord(c) % language_id.LETTERS + 1 for c in "abc"), 0]
+    code = [0, *map(ord, "aыc"), 0]
+    letters = {c: np.random.default_rng((1, c)).integers(0, 2, 64, np.int8).astype(int) * 2 - 1 for c in code}
     want = sum(np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(code, code[1:], code[2:]))
-    assert (space.profile("  ABC!?") == want).all()
+    assert (space.profile("  AЫC!?") == want).all()
+    plane = [chr(c) for c in (0x61, 0x61 + 4096, 0x61 + 8192, 0x10FF61, 0x20061) if chr(c).isalpha()]
+    assert len({tuple(space.letter(ord(c))) for c in plane}) == len(plane) > 2  # no two letters share a vector
+    with pytest.raises(ValueError, match="3 letters"):
+        language_id.Space(64, 4)
 
 
 # Quality
