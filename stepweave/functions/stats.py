@@ -13,24 +13,31 @@ from pyspark.sql.window import Window
 METHODS = ("none", "bonferroni", "holm", "fdr", "BH")
 
 
-def p_adjust(rows: DataFrame, p: str = "p_value", method: str = "bonferroni", keys: tuple[str, ...] = (), into: str = "p_adjusted", tiebreak: tuple[str, ...] = ()) -> DataFrame:
-    """rows with adjusted p-values, over each of the keys. Null p-values stay null and don't count."""
+def p_adjust(rows: DataFrame, p: str = "p_value", method: str = "bonferroni", keys: tuple[str, ...] = (), into: str = "p_adjusted") -> DataFrame:
+    """rows with adjusted p-values, over each of the keys. Null p-values stay null and don't count.
+
+    Equal p-values are adjusted alike, so the ranks are over different ones: of a test of k replicates k + 1 at most,
+    however many rows there are. No key may be null.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; known are {', '.join(METHODS)}")
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    n, x = F.count(p).over(whole), F.col(p)
-    up = whole.orderBy(x.asc_nulls_last(), *tiebreak)
+    x = F.col(p)
     if method == "none":
-        adjusted = x
-    elif method == "bonferroni":
+        return rows.withColumn(into, x)
+    known = rows.where(x.isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("__ties"))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    n, up = F.sum("__ties").over(whole), whole.orderBy(p)
+    last = F.sum("__ties").over(up.rowsBetween(Window.unboundedPreceding, 0))
+    if method == "bonferroni":
         adjusted = F.least(x * n, F.lit(1.0))
     elif method == "holm":
-        rows = rows.withColumn("__step", x * (n - F.row_number().over(up) + 1))
+        known = known.withColumn("__step", x * (n - last + F.col("__ties")))
         adjusted = F.least(F.max("__step").over(up.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
     else:
-        rows = rows.withColumn("__step", x * n / F.row_number().over(up))
+        known = known.withColumn("__step", x * n / last)
         adjusted = F.least(F.min("__step").over(up.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0))
-    return rows.withColumn(into, F.when(x.isNotNull(), adjusted)).drop("__step")
+    known = known.select(*keys, p, adjusted.alias(into))
+    return rows.join(known, [*keys, p], "left").select(*rows.columns, into)
 
 
 def confidence_interval(rows: DataFrame, value: str, keys: tuple[str, ...] = (), level: float = 0.05, method: str = "percentile") -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,9 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import editing
 from .sequences import Sequences
+from .shared import written
 
-#: Sequences in a block of the distance matrix; sequences whose matrix the driver takes.
-BLOCK, DRIVER_ROWS = 512, 20_000
+#: Sequences in a block of the distance matrix; different sequences whose matrix the driver takes for a linkage: 12 million
+#: pairs, 0.3 GB as they come, 0.2 GB as a matrix.
+BLOCK, DRIVER_ROWS = 512, 5_000
 #: Metrics by which equal sequences are at distance 0: by lv and osa they are not.
 COLLAPSING = ("hamming", "lcs")
 
@@ -161,18 +161,6 @@ class Clusters:
     sizes: list[int]
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df, computed once into Parquet in the folder that driver and executors share."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='stepweave-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/clusters-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _pam(dist: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
     """id of each of the kinds (id, last, n) and its cluster: editing.pam with its choices among ties, every cost a sum by Spark.
 
@@ -180,7 +168,7 @@ def _pam(dist: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
     """
     turned = dist.select("i", "j", "d").unionByName(dist.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
     turned = turned.unionByName(kinds.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d")))
-    both = _written(turned.join(kinds.select(F.col("id").alias("j"), "n"), "j").join(kinds.select(F.col("id").alias("i"), "last"), "i"))
+    both = written(turned.join(kinds.select(F.col("id").alias("j"), "n"), "j").join(kinds.select(F.col("id").alias("i"), "last"), "i"))
 
     def to_nearest(medoids):
         return both.join(both.where(F.col("i").isin(medoids)).groupBy("j").agg(F.min("d").alias("near")), "j")
@@ -236,21 +224,21 @@ def cluster_sequences(seqs: Sequences, k: int, dissimilarity: str = "hamming", m
         raise ValueError(f"unknown method {method!r}; known are pam, {', '.join(editing.LINKAGES)}")
     if dissimilarity not in editing.METRICS:
         raise ValueError(f"unknown metric {dissimilarity!r}; known are {', '.join(editing.METRICS)}")
-    rows = _written(_trimmed(seqs, na_syms))
+    rows = written(_trimmed(seqs, na_syms))
     single = rows.withColumns({"last": F.col("id"), "n": F.lit(1).cast("long")})
     if k < 2 or k > rows.count():
         raise ValueError("k must be 2 at least and no more than the sequences")
     kinds = single
     if dissimilarity in COLLAPSING:
-        kinds = _written(classes(rows))
+        kinds = written(classes(rows))
         if method != "pam" and kinds.count() < k:  # equal sequences must part
             kinds = single
     dist = _pairs(kinds, dissimilarity, weighted, lambda_, blocks)
     found = _pam(dist, kinds, k) if method == "pam" else _hierarchical(dist, kinds, k, method)
     if kinds is single:
-        member = _written(found)
+        member = written(found)
     else:
-        member = _written(_class_of(rows, kinds).join(found.withColumnRenamed("id", "class"), "class").select("id", "cluster"))
+        member = written(_class_of(rows, kinds).join(found.withColumnRenamed("id", "class"), "class").select("id", "cluster"))
     sizes = {r.cluster: r["count"] for r in member.groupBy("cluster").count().collect()}
     score = silhouette(dist, member) if kinds is single else _silhouette_of_classes(dist, _class_of(rows, kinds), member)
     return Clusters(member, distances(seqs, dissimilarity, weighted, lambda_, na_syms, blocks), k, method, score.first()[0] or 0.0, [sizes.get(c + 1, 0) for c in range(k)])

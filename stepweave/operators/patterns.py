@@ -27,8 +27,10 @@ def _counted(rows: DataFrame, group: str) -> DataFrame:
 def statistic(freqs: DataFrame, group: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per pattern the root of the summed squares of observed less expected frequencies, expected from the margins of the
     patterns of all lengths. Groups in which a pattern never comes count with an observed frequency of 0."""
-    by = lambda *c: Window.partitionBy(*keys, *c) if keys or c else Window.partitionBy(F.lit(0))
-    rows = freqs.withColumn("of_pattern", F.sum("n").over(by("length", "pattern"))).withColumn("of_group", F.sum("n").over(by(group))).withColumn("of_all", F.sum("n").over(by()))
+    of_group = freqs.groupBy(*keys, group).agg(F.sum("n").alias("of_group"))  # groups are few
+    of_all = of_group.groupBy(*keys).agg(F.sum("of_group").alias("of_all"))
+    totals = of_group.join(of_all, list(keys)) if keys else of_group.crossJoin(F.broadcast(of_all))  # one row
+    rows = freqs.withColumn("of_pattern", F.sum("n").over(Window.partitionBy(*keys, "length", "pattern"))).join(totals, [*keys, group])
     return rows.groupBy(*keys, "length", "pattern").agg(F.sqrt(F.sum(F.pow(F.col("n") - F.col("of_pattern") * F.col("of_group") / F.col("of_all"), F.lit(2.0)))).alias("statistic"))
 
 
@@ -38,6 +40,11 @@ def filled(freqs: DataFrame, names: DataFrame, group: str, keys: tuple[str, ...]
     return every.join(freqs, [*keys, "length", "pattern", group], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def _two_groups(seqs: Sequences, group: str) -> None:
+    if len(seqs.frame.select(group).where(F.col(group).isNotNull()).distinct().limit(2).collect()) < 2:
+        raise ValueError("patterns are compared between two groups at least")
+
+
 def compare(seqs: Sequences, group: str, sub: tuple[int, ...] = (1, 2, 3, 4, 5), min_freq: int = 5) -> DataFrame:
     """pattern, length, group, freq and prop of patterns that every group has at least min_freq times.
 
@@ -47,6 +54,7 @@ def compare(seqs: Sequences, group: str, sub: tuple[int, ...] = (1, 2, 3, 4, 5),
         raise TypeError("sequences must have the column as a group")
     if not sub or min(sub) < 1:
         raise ValueError("lengths of patterns start at 1")
+    _two_groups(seqs, group)
     runs = occurrences(seqs, tuple(sub)).groupBy("length", "pattern", group).agg(F.count("*").alias("n"))
     names = seqs.frame.select(group).distinct().where(F.col(group).isNotNull())
     rows = filled(runs.where(F.col(group).isNotNull()), names, group)
@@ -61,6 +69,7 @@ def permutation_test(seqs: Sequences, group: str, assignment: DataFrame, sub: tu
     assignment: rep, the sequences' ids, and `group` for every replicate of every sequence. Runs are counted by sequence
     once; a replicate adds those counts up by its groups. Adjustment is within a length, over all patterns.
     """
+    _two_groups(seqs, group)
     runs = occurrences(seqs, tuple(sub)).groupBy(*seqs.keys, "length", "pattern").agg(F.count("*").alias("n"))
     names = seqs.frame.select(group).distinct()
     freqs = filled(_counted(runs, group), names, group)
@@ -73,6 +82,6 @@ def permutation_test(seqs: Sequences, group: str, assignment: DataFrame, sub: tu
         F.when(sd > 0, (F.first("statistic") - F.avg("s")) / sd).otherwise(F.lit(0.0)).alias("effect_size"),
         ((F.sum(F.when(F.col("s") >= F.col("statistic"), 1).otherwise(0)) + 1) / (F.count("*") + 1)).alias("p_value"),
     )
-    tested = p_adjust(tested, "p_value", adjust, ("length",), tiebreak=("pattern",))
+    tested = p_adjust(tested, "p_value", adjust, ("length",))
     passing = freqs.groupBy("length", "pattern").agg(F.min("n").alias("least")).where(F.col("least") >= min_freq)
     return tested.join(passing.drop("least"), ["length", "pattern"])

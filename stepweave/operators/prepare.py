@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .sequences import Sequences, to_wide
+from .shared import ranks
 
 #: Directives of strptime and the letters of Spark's patterns for them: fixed values of the two formats.
 DIRECTIVES = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm", "%S": "ss", "%f": "SSSSSS", "%p": "a", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%j": "DDD", "%z": "xx", "%Z": "VV", "%%": "%"}
@@ -91,7 +92,7 @@ def prepare(
 
     Events are ordered by `order` or else by time, then by the columns of tiebreak, which should make the order total. A
     gap of more than time_threshold seconds starts a session; one of exactly as much doesn't. Without a time each actor
-    is one session, and without an actor all events are one actor's. Several actor columns are joined by `_`, nulls as
+    is one session, named by the actor's rank from 0, and without an actor all events are one actor's. Several actor columns are joined by `_`, nulls as
     text. Windows stay within (actor, session), so the events are dealt once, by actor.
     """
     if actor is None:
@@ -111,7 +112,7 @@ def prepare(
     in_actor = Window.partitionBy("actor").orderBy(*by)
     if time is None:
         rows = rows.withColumn("session", F.lit(1).cast("long"))
-        named = F.col("actor")
+        rows, named = rows.join(ranks(rows, "actor", "__rank"), "actor", "left"), F.col("__rank")
     else:
         gap = F.expr("timestampdiff(MICROSECOND, before, ts)")
         rows = rows.withColumn("before", F.lag("ts").over(in_actor))
@@ -119,7 +120,7 @@ def prepare(
         rows = rows.withColumn("starts", starts).withColumn("session", F.sum("starts").over(in_actor.rowsBetween(Window.unboundedPreceding, 0))).drop("before", "starts")
         named = F.concat_ws("_", "actor", F.col("session").cast("string"))
     place = F.row_number().over(Window.partitionBy("actor", "session").orderBy(*by)) - 1
-    return Prepared(rows.withColumn("raw_pos", place).withColumn("session_id", named), action, time is not None)
+    return Prepared(rows.withColumn("raw_pos", place).withColumn("session_id", named).drop("__rank"), action, time is not None)
 
 
 def checked_onehot(rows: DataFrame, columns: list[str]) -> None:

@@ -56,11 +56,21 @@ def drawn(spark: SparkSession, ids: list, iterations: int, seed: int | None, id:
     return spark.createDataFrame(pd.concat(parts), f"rep int, {id} {kind}, m long")
 
 
-def poisson_multiplicity(key: Column, rep: Column) -> Column:
-    """How often a replicate takes a sequence: Poisson with mean 1, by a hash of whole numbers that any engine repeats."""
-    u = F.pmod(key * key + 7 * key * rep + 13 * rep, F.lit(9973))
-    # fixed values: 9973 times the distribution function of a Poisson variable of mean 1, at 0 to 5
-    return F.when(u < 3668, 0).when(u < 7337, 1).when(u < 9172, 2).when(u < 9783, 3).when(u < 9936, 4).when(u < 9967, 5).otherwise(6)
+def uniform(*key: Column | str) -> Column:
+    """A number in [0, 1) by MD5 of the columns as text, with blanks between them: without a period, and any engine's."""
+    text = F.concat_ws(" ", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+
+
+def poisson_multiplicity(*key: Column | str) -> Column:
+    """How often a replicate takes a sequence, the key naming both: Poisson with mean 1."""
+    u = uniform(*key)
+    # fixed values: the distribution function of a Poisson variable of mean 1, at 0 to 9
+    ends = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217)
+    out = F.when(u < ends[0], 0)
+    for k, end in enumerate(ends[1:], 1):
+        out = out.when(u < end, k)
+    return out.otherwise(len(ends))
 
 
 def replicated(counted: DataFrame, keys: tuple[str, ...], labels: DataFrame, type_: str, scaling: tuple[str, ...] = ()) -> DataFrame:
@@ -113,6 +123,25 @@ def bootstrap(model: Model, replicates: DataFrame, level: float = 0.05, method:
     return out.withColumn("sig", F.col("p_value") < level)
 
 
+@dataclass(frozen=True)
+class Bootstrap:
+    """weights of every replicate, and edges and summary (those with a weight) as bootstrap() gives them."""
+
+    weights: DataFrame
+    edges: DataFrame
+    summary: DataFrame
+
+
+def bootstrap_tna(model: Model, iterations: int = 1000, level: float = 0.05, method: str = "stability", consistency: tuple[float, float] = (0.75, 1.25), threshold: float | None = None, seed: int = 0) -> Bootstrap:
+    """A model's bootstrap in one call: for any number of sequences, each taken by each replicate as often as a Poisson
+    variable of mean 1 by hash says. For draws of exactly as many sequences as there are, see drawn()."""
+    if model.sequences is None:
+        raise ValueError("the model has no sequences to resample")
+    again = bootstrap_weights(model, iterations, poisson_multiplicity(*model.sequences.ids, "rep", F.lit(seed)))
+    edges = bootstrap(model, again, level, method, consistency, threshold)
+    return Bootstrap(again, edges, edges.where("weight > 0"))
+
+
 def significant_edges(result: DataFrame) -> DataFrame:
     return result.where("sig and weight > 0")
 
@@ -139,18 +168,21 @@ def bootstrap_centralities(model: Model, replicates: DataFrame, measures: tuple[
     return values.groupBy(*model.groups, "measure", "state").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(level / 2)).alias("ci_lower"), F.percentile("value", F.lit(1 - level / 2)).alias("ci_upper"), F.stddev_samp("value").alias("se"))
 
 
-def shuffled(spark: SparkSession, ids: list, sides: list, iterations: int, seed: int | None, id: str = "seq_id", kind: str = "long", paired: bool = False) -> DataFrame:
-    """rep, id, side: numpy's permutations of the sides of a list of sequences; paired ones swap neighbours in the list."""
+def shuffled(spark: SparkSession, ids: list, sides: list, iterations: int, seed: int | None, id: str = "seq_id", kind: str = "long", paired: bool | str = False) -> DataFrame:
+    """rep, id, side: numpy's permutations of the sides of a list of sequences.
+
+    Paired ones swap the sides of neighbours in the list, or, if paired is "halves", of the k-th sequences of its two halves.
+    """
     if len(ids) * iterations > DRIVER_DRAWS:
         raise ValueError("too many draws for the driver: give sides as an expression")
     rng, parts = np.random.default_rng(seed), []
     sides = np.array(sides)
     for rep in range(iterations):
         if paired:
-            order = np.arange(len(ids)).reshape(-1, 2)
-            flip = rng.random(len(order)) < 0.5
-            order[flip] = order[flip, ::-1]
-            order = order.ravel()
+            pairs = np.arange(len(ids)).reshape(2, -1).T if paired == "halves" else np.arange(len(ids)).reshape(-1, 2)
+            flip = rng.random(len(pairs)) < 0.5
+            order = np.arange(len(ids))
+            order[pairs[flip]] = pairs[flip, ::-1]
         else:
             order = rng.permutation(len(ids))
         parts.append(pd.DataFrame({"rep": rep, id: ids, "side": sides[order]}))
@@ -170,13 +202,13 @@ def _difference(weights: DataFrame, keys: tuple[str, ...], x: str, y: str, what:
     return weights.groupBy(*keys, *what).agg(F.sum(signed).alias("diff"))
 
 
-def permutation_test(seqs: Sequences, type_: str, real: DataFrame, replicates: DataFrame, x: str, y: str, adjust: str = "none", level: float = 0.05, measures: tuple[str, ...] = (), scaling: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame | None]:
+def permutation_test(seqs: Sequences, type_: str, real: DataFrame, replicates: DataFrame, x: str, y: str, adjust: str = "none", level: float = 0.05, measures: tuple[str, ...] = (), scaling: tuple[str, ...] = (), labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Differences of two sides of sequences, and how they lie among those of replicates.
 
     real: ids and side; replicates: rep, ids and side. Returns from_state, to_state, diff, effect_size (null where all
     replicates agree), p_value and diff_sig, and the same of the measures by state, if asked for.
     """
-    labels = seqs.labels()
+    labels = seqs.labels() if labels is None else labels
     found = side_weights(seqs, type_, real, labels, ("side",), scaling)
     again = side_weights(seqs, type_, replicates, labels, ("rep", "side"), scaling)
 
@@ -185,7 +217,7 @@ def permutation_test(seqs: Sequences, type_: str, real: DataFrame, replicates: D
         met = ds.join(d, list(what)).groupBy(*what).agg(
             F.first("diff").alias("diff"), F.stddev_samp("s").alias("sd"), ((F.sum(F.when(F.abs("s") >= F.abs("diff"), 1).otherwise(0)) + 1) / (F.count("*") + 1)).alias("p")
         )
-        met = p_adjust(met, "p", adjust, into="p_value", tiebreak=what)
+        met = p_adjust(met, "p", adjust, into="p_value")
         effect = F.when(F.col("sd") > 0, F.col("diff") / F.col("sd"))
         return met.select(*what, "diff", effect.alias("effect_size"), "p_value", F.when(F.col("p_value") < level, F.col("diff")).otherwise(F.lit(0.0)).alias("diff_sig"))
 
@@ -198,6 +230,54 @@ def permutation_test(seqs: Sequences, type_: str, real: DataFrame, replicates: D
     return edges, tested(a, b, ("state", "measure"), "value")
 
 
+def _pooled(x: Model, y: Model) -> tuple[Sequences, list[str]]:
+    """The sequences of two models as one table: side, x or y, is part of their ids."""
+    if x.sequences is None or y.sequences is None:
+        raise ValueError("both models need their sequences")
+    if x.type_ != y.type_ or x.sequences.ids != y.sequences.ids:
+        raise ValueError("both models must be of one type, and their sequences have ids of one name")
+    ids = list(x.sequences.ids)
+    parts = [m.sequences.frame.select(F.lit(side).alias("own_side"), *ids, "raw_pos", "state") for side, m in (("x", x), ("y", y))]
+    return Sequences(parts[0].unionByName(parts[1]), ("own_side", *ids)), ids
+
+
+def permutation_test_models(x: Model, y: Model, iterations: int = 1000, adjust: str = "none", paired: bool = False, level: float = 0.05, measures: tuple[str, ...] = (), seed: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """permutation_test() of two models in one call.
+
+    A replicate deals every sequence to x by hash, with x's share of all sequences as its chance, for any number of them.
+    Paired, the two sequences of one id, one of each model, change sides together or stay. For permutations that keep
+    the sides' sizes, see shuffled(). Models of different states, without sequences, or paired and of different ids are refused.
+    """
+    seqs, ids = _pooled(x, y)
+    if not x.labels.exceptAll(y.labels).isEmpty() or not y.labels.exceptAll(x.labels).isEmpty():
+        raise ValueError("both models must have the same states: build them with the labels of both")
+    return _permuted(seqs, ids, x.type_, x.scaling, x.labels, iterations, adjust, paired, level, measures, seed)
+
+
+def _permuted(seqs, ids, type_, scaling, labels, iterations, adjust, paired, level, measures, seed):
+    each = seqs.frame.select(*seqs.ids).distinct()
+    if paired and not each.groupBy(*ids).agg(F.countDistinct("own_side").alias("n")).where("n < 2").isEmpty():
+        raise ValueError("paired models must have sequences of the same ids")
+    total, first = each.agg(F.count("*"), F.count(F.when(F.col("own_side") == "x", 1))).first()
+    reps = each.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    if paired:
+        other = F.when(F.col("own_side") == "x", "y").otherwise("x")
+        side = F.when(uniform(*ids, "rep", F.lit(seed)) < 0.5, other).otherwise(F.col("own_side"))
+    else:
+        side = F.when(uniform("own_side", *ids, "rep", F.lit(seed)) < first / max(total, 1), "x").otherwise("y")
+    again = reps.withColumn("side", side)
+    return permutation_test(seqs, type_, each.withColumn("side", F.col("own_side")), again, "x", "y", adjust, level, measures, scaling, labels)
+
+
+def permutation_test_edges(x: Sequences, y: Sequences, iterations: int = 1000, correction: str = "none", type_: str = "relative", seed: int = 0) -> DataFrame:
+    """from_state, to_state, diff, p_value, p_adjusted (the same number, adjusted) and significant (below 0.05) of every
+    edge between the states of two tables of sequences: models of both are built over the states of either."""
+    a, b = Model(None, None, None, type_, sequences=x), Model(None, None, None, type_, sequences=y)
+    seqs, ids = _pooled(a, b)
+    edges, _ = _permuted(seqs, ids, type_, (), seqs.labels(), iterations, correction, False, 0.05, (), seed)
+    return edges.select("from_state", "to_state", "diff", "p_value", F.col("p_value").alias("p_adjusted"), (F.col("p_value") < 0.05).alias("significant"))
+
+
 def permutation_summary(edges: DataFrame) -> DataFrame:
     """One row: the root of the summed squared differences, and the least p value."""
     return edges.agg(F.sqrt(F.sum(F.col("diff") * F.col("diff"))).alias("observed"), F.min("p_value").alias("p_value"))

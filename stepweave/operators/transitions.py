@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,44 +72,30 @@ def windowed(seqs: Sequences, size: int = 3) -> DataFrame:
 def attention(seqs: Sequences, beta: float = 1.0) -> DataFrame:
     """All pairs of places p < q, each with weight exp(-beta (q - p)).
 
-    Sequences stream through a task place by place: what each state still weighs decays by one factor a place, so a
-    sequence costs its length times the states, and a task returns one number for each pair of states.
+    What earlier places of a state still weigh at a place is a running sum of exp(beta p), faded by exp(-beta q): one
+    window for all states. Sums start anew every `span` places, before they could overflow. A block begins with the
+    places of the one before it, as far as the sequence goes on; those before that weigh less than exp(-600). The
+    states, few whatever the data, are read first.
     """
-    keys, groups = seqs.keys, seqs.groups
-    rows = seqs.present().select(*keys, "raw_pos", "state").repartition(*keys).sortWithinPartitions(*keys, "raw_pos")
-    rows = rows.select(F.to_json(F.struct(*keys)).alias("key"), F.to_json(F.struct(*groups)).alias("grp") if groups else F.lit("").alias("grp"), "state")
-    decay = math.exp(-beta)
-
-    def run(batches):
-        number: dict[str, int] = {}
-        found: dict[str, np.ndarray] = {}
-        last, held = None, np.zeros(16)
-        for batch in batches:
-            for key, grp, state in zip(*(c.to_pylist() for c in batch.columns)):
-                at = number.setdefault(state, len(number))
-                if at >= len(held):
-                    held = np.r_[held, np.zeros(len(held))]
-                    found = {g: np.pad(m, (0, len(m))) for g, m in found.items()}
-                if key != last:
-                    held[:] = 0
-                    last = key
-                held *= decay
-                total = found.get(grp)
-                if total is None:
-                    total = found[grp] = np.zeros((len(held), len(held)))
-                total[:, at] += held
-                held[at] += 1
-        names = list(number)
-        out = [(g, names[i], names[j], float(m[i, j])) for g, m in found.items() for i, j in zip(*np.nonzero(m))]
-        for k in range(0, len(out), 1 << 14):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out[k : k + (1 << 14)])], ["grp", "from_state", "to_state", "n"])
-
-    parts = rows.mapInArrow(run, "grp string, from_state string, to_state string, n double")
-    sums = parts.groupBy("grp", "from_state", "to_state").agg(F.sum("n").alias("n"))
-    if not groups:
-        return sums.drop("grp")
-    schema = seqs.frame.select(*groups).schema
-    return sums.select(F.from_json("grp", schema).alias("grp"), "from_state", "to_state", "n").select("grp.*", "from_state", "to_state", "n")
+    states = sorted(r.label for r in seqs.labels().collect())
+    w = seqs.window()
+    rows = seqs.present().select(*seqs.keys, "state", (F.row_number().over(w) - 1).alias("pos"), F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("length"))
+    if beta > 0:
+        span = max(1, int(600 / beta))
+        block = F.floor(F.col("pos") / span).cast("long")
+        at = (F.col("pos") - block * span).cast("long")
+        own = F.struct(block.alias("block"), at.alias("at"), F.lit(True).alias("here"))
+        again = F.struct((block + 1).alias("block"), (at - span).alias("at"), F.lit(False).alias("here"))
+        rows = rows.select(*seqs.keys, "state", F.inline(F.when(F.col("length") > (block + 1) * span, F.array(own, again)).otherwise(F.array(own))))
+    else:
+        rows = rows.select(*seqs.keys, "state", F.lit(0).cast("long").alias("block"), F.col("pos").cast("long").alias("at"), F.lit(True).alias("here"))
+    before = Window.partitionBy(*seqs.keys, "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.exp(F.lit(float(beta)) * F.col("at"))
+    held = F.array(*[F.struct(F.lit(s).alias("from_state"), F.sum(F.when(F.col("state") == s, weight)).over(before).alias("held")) for s in states])
+    held = held if states else F.array().cast("array<struct<from_state: string, held: double>>")
+    pairs = rows.select(*seqs.groups, F.col("state").alias("to_state"), F.exp(F.lit(-float(beta)) * F.col("at")).alias("fade"), "here", held.alias("all")).where("here")
+    pairs = pairs.select(*seqs.groups, "to_state", "fade", F.inline("all")).where("held is not null")
+    return _summed(pairs, seqs.groups, F.sum(F.col("held") * F.col("fade")))
 
 
 def counts(seqs: Sequences, type_: str, **params) -> DataFrame:

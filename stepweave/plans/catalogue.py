@@ -128,22 +128,27 @@ def _(spark, d):
     return event_sessions(spark, d).meta_data(["user_id", "value", "props"])
 
 
-_WIDE = ", ".join(f"max(CASE WHEN p = {k} THEN s END) AS action_{k + 1}" for k in range(8))
-_TIMES = ", ".join(f"max(CASE WHEN p = {k} THEN epoch_us(ts) END) AS time_{k + 1}" for k in range(8))
+# Wide tables have as many columns as the longest session has places; these two are held against SQL by all cells of a
+# row in one text, and the _all queries return them as they are.
 
 
-@query("sequences_wide", _sql(E, select=f"SELECT seq AS session_id, {_WIDE} FROM e GROUP BY seq"))
-def _(spark, d):
-    return event_sessions(spark, d).sequence_data(8)
+def _joined(wide: DataFrame, value=lambda c: F.col(c)) -> DataFrame:
+    cells = F.array(*[value(c) for c in wide.columns[1:]])
+    return wide.select("session_id", F.lit(len(wide.columns) - 1).alias("places"), F.concat_ws(",", F.transform(cells, lambda x: F.coalesce(x.cast("string"), F.lit("-")))).alias("cells"))
+
+
+_CELLS = """ws AS (SELECT seq, max(p) + 1 AS n, string_agg({cell}, ',' ORDER BY p) AS t FROM el GROUP BY seq), wn AS (SELECT max(n) AS m FROM ws)"""
+_ROW = "SELECT seq AS session_id, CAST(m AS INTEGER) AS places, t || repeat(',-', CAST(m - n AS INTEGER)) AS cells FROM ws CROSS JOIN wn"
 
 
-@query("time_wide", _sql(E, select=f"SELECT seq AS session_id, {_TIMES} FROM el GROUP BY seq"))
+@query("sequences_wide", _sql(E, _CELLS.format(cell="s"), select=_ROW))
 def _(spark, d):
-    rows = event_sessions(spark, d).time_data(8)
-    return rows.select("session_id", *[F.unix_micros(F.col(f"time_{k + 1}").cast("timestamp")).alias(f"time_{k + 1}") for k in range(8)])
+    return _joined(event_sessions(spark, d).sequence_data())
 
 
-# The SQL of the two above has 8 columns and no more; these have every place, whatever the longest session.
+@query("time_wide", _sql(E, _CELLS.format(cell="CAST(epoch_us(ts) AS VARCHAR)"), select=_ROW))
+def _(spark, d):
+    return _joined(event_sessions(spark, d).time_data(), lambda c: F.unix_micros(F.col(c).cast("timestamp")))
 
 
 @query("sequences_wide_all")
@@ -162,7 +167,7 @@ def _(spark, d):
     return event_sessions(spark, d).long.select("session_id", F.col("raw_pos").cast("int").alias("raw_pos"), "state")
 
 
-@query("wide_round_trip", _sql(C, select="SELECT seq AS seq_id, CAST(p AS INTEGER) AS raw_pos, s AS state FROM c WHERE p < 8"))
+@query("wide_round_trip", _sql(C, select="SELECT seq AS seq_id, CAST(p AS INTEGER) AS raw_pos, s AS state FROM c"))
 def _(spark, d):
     wide = to_wide(conversations(spark, d))
     return from_wide(wide, wide.columns[1:], "seq_id").present().select("seq_id", "raw_pos", "state")
@@ -564,22 +569,24 @@ def _(spark, d):
 # Replicates, by multiplicities and sides that a hash of whole numbers gives
 
 REPS = 20
-_U = "(seq * seq + 7 * seq * rep + 13 * rep) % 9973"
-_TIMES_OF = f"CASE WHEN {_U} < 3668 THEN 0 WHEN {_U} < 7337 THEN 1 WHEN {_U} < 9172 THEN 2 WHEN {_U} < 9783 THEN 3 WHEN {_U} < 9936 THEN 4 WHEN {_U} < 9967 THEN 5 ELSE 6 END"
+_MD5 = "(CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) / 4294967296e0)"
+_U = _MD5.format(key="CAST(seq AS VARCHAR) || ' ' || CAST(rep AS VARCHAR)")
+# fixed values: the distribution function of a Poisson variable of mean 1, at 0 to 9
+_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217)
+_TIMES_OF = f"CASE {' '.join(f'WHEN {_U} < {end!r}e0 THEN {k}' for k, end in enumerate(_POISSON))} ELSE {len(_POISSON)} END"
 BOOT = O_REL + f""",
 ml AS (SELECT seq, rep, {_TIMES_OF} AS m FROM (SELECT DISTINCT seq FROM o) CROSS JOIN (SELECT unnest(range({REPS})) AS rep)),
 bc AS (SELECT rep, a.s AS f, b.s AS t, sum(m) AS n FROM o a JOIN o b ON a.seq = b.seq AND b.p = a.p + 1 JOIN ml ON ml.seq = a.seq GROUP BY ALL),
 bw AS (SELECT r.rep, w.from_state, w.to_state, w.weight AS w, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY r.rep, w.from_state) AS x FROM w CROSS JOIN (SELECT unnest(range({REPS})) AS rep) r LEFT JOIN bc ON bc.rep = r.rep AND f = from_state AND t = to_state)"""
 
 
-def _u(reps: int = REPS):
-    k, rep = F.col("seq_id"), F.col("rep")
-    return F.pmod(k * k + 7 * k * rep + 13 * rep, F.lit(9973))
+def _u():
+    return resample.uniform("seq_id", "rep")
 
 
 def _boot(spark, d):
     m = model.tna(orders(spark, d))
-    return m, resample.bootstrap_weights(m, REPS, resample.poisson_multiplicity(F.col("seq_id"), F.col("rep")))
+    return m, resample.bootstrap_weights(m, REPS, resample.poisson_multiplicity("seq_id", "rep"))
 
 
 _BSTAT = """SELECT from_state, to_state, round(any_value(w), 9) AS weight, round(avg(x), 9) AS mean, round(stddev_samp(x), 9) AS sd, round(quantile_cont(x, 0.025), 9) AS ci_lower, round(quantile_cont(x, 0.975), 9) AS ci_upper,
@@ -617,7 +624,7 @@ def _(spark, d):
 
 
 PERM = f"""sd AS (SELECT seq, CAST(seq % 2 AS INTEGER) AS side, -1 AS rep FROM (SELECT DISTINCT seq FROM o) UNION ALL
-SELECT seq, CAST(({_U}) % 2 AS INTEGER), rep FROM (SELECT DISTINCT seq FROM o) CROSS JOIN (SELECT unnest(range({REPS})) AS rep)),
+SELECT seq, CAST(floor({_U} * 2) AS INTEGER), rep FROM (SELECT DISTINCT seq FROM o) CROSS JOIN (SELECT unnest(range({REPS})) AS rep)),
 l AS (SELECT DISTINCT s FROM o), pk AS (SELECT rep, side, a.s AS f, b.s AS t, count(*) AS n FROM o a JOIN o b ON a.seq = b.seq AND b.p = a.p + 1 JOIN sd ON sd.seq = a.seq GROUP BY ALL),
 pw AS (SELECT r.rep, r.side, a.s AS f, b.s AS t, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY r.rep, r.side, a.s) AS x FROM (SELECT DISTINCT rep, side FROM sd) r CROSS JOIN l a CROSS JOIN l b
   LEFT JOIN pk ON pk.rep = r.rep AND pk.side = r.side AND pk.f = a.s AND pk.t = b.s)"""
@@ -629,7 +636,7 @@ def _perm(spark, d, measures=()):
     seqs = orders(spark, d)
     ids = seqs.frame.select("seq_id").distinct()
     real = ids.withColumn("side", F.pmod("seq_id", F.lit(2)).cast("string"))
-    again = ids.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1)))).withColumn("side", F.pmod(_u(), F.lit(2)).cast("string"))
+    again = ids.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1)))).withColumn("side", F.floor(_u() * 2).cast("string"))
     return resample.permutation_test(seqs, "relative", real, again, "0", "1", measures=measures)
 
 
@@ -650,8 +657,44 @@ def _(spark, d):
     return _rounded(resample.permutation_summary(_perm(spark, d)[0]).select("observed"), "observed")
 
 
+# Two models, of even and odd customers: the calls that take models and sequences themselves.
+
+_OWN = _MD5.format(key="CASE WHEN seq % 2 = 0 THEN 'x' ELSE 'y' END || ' ' || CAST(seq AS VARCHAR) || ' ' || CAST(rep AS VARCHAR) || ' 0'")
+PERM2 = PERM.replace(f"CAST(floor({_U} * 2) AS INTEGER)", f"CASE WHEN {_OWN} < (SELECT count(DISTINCT seq) FROM o WHERE seq % 2 = 0) / (SELECT CAST(count(DISTINCT seq) AS DOUBLE) FROM o) THEN 0 ELSE 1 END")
+_PD = "pd AS (SELECT rep, f AS from_state, t AS to_state, sum(CASE WHEN side = 0 THEN x ELSE -x END) AS diff FROM pw GROUP BY ALL)"
+
+
+def _halves(spark, d) -> tuple[Sequences, Sequences]:
+    seqs = orders(spark, d)
+    even = F.pmod("seq_id", F.lit(2)) == 0
+    return Sequences(seqs.frame.where(even), seqs.ids), Sequences(seqs.frame.where(~even), seqs.ids)
+
+
+@query("perm_models", _sql(O, PERM2, _PD, select=_PTEST.format(what="from_state, to_state", n=float(REPS + 1))))
+def _(spark, d):
+    x, y = (model.tna(s) for s in _halves(spark, d))
+    rows = _rounded(resample.permutation_test_models(x, y, REPS)[0].drop("diff_sig"), "diff", "p_value")
+    return rows.withColumn("effect_size", F.round("effect_size", 6) + 0.0)
+
+
+@query("perm_edges_models", _sql(O, PERM2, _PD, f"pt AS ({_PTEST.format(what='from_state, to_state', n=float(REPS + 1))})",
+    select="SELECT from_state, to_state, diff, p_value, p_value AS p_adjusted, p_value < 0.05 AS significant FROM pt"))
+def _(spark, d):
+    x, y = _halves(spark, d)
+    return _rounded(resample.permutation_test_edges(x, y, REPS), "diff", "p_value", "p_adjusted")
+
+
+_BOOT0 = BOOT.replace(_U, _MD5.format(key="CAST(seq AS VARCHAR) || ' ' || CAST(rep AS VARCHAR) || ' 0'"))
+
+
+@query("bootstrap_model", _sql(O, _BOOT0, select=f"SELECT * FROM ({_BSTAT.format(worse=_STABLE, n=float(REPS + 1))}) WHERE weight > 0"))
+def _(spark, d):
+    found = resample.bootstrap_tna(model.tna(orders(spark, d)), REPS)
+    return _rounded(found.summary.drop("sig"), "weight", "mean", "sd", "ci_lower", "ci_upper", "p_value")
+
+
 CSQ = O_REL + f""",
-ck AS (SELECT seq, rep, prop FROM (SELECT DISTINCT seq FROM o) CROSS JOIN (SELECT unnest(range({REPS})) AS rep) CROSS JOIN (SELECT unnest([0.2, 0.5, 0.8]) AS prop) WHERE ({_U}) % 1000 >= prop * 1000),
+ck AS (SELECT seq, rep, prop FROM (SELECT DISTINCT seq FROM o) CROSS JOIN (SELECT unnest(range({REPS})) AS rep) CROSS JOIN (SELECT unnest([0.2, 0.5, 0.8]) AS prop) WHERE {_U} >= prop),
 cc AS (SELECT prop, rep, a.s AS f, b.s AS t, count(*) AS n FROM o a JOIN o b ON a.seq = b.seq AND b.p = a.p + 1 JOIN ck ON ck.seq = a.seq GROUP BY ALL),
 cw AS (SELECT r.prop, r.rep, w.from_state, w.to_state, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY r.prop, r.rep, w.from_state) AS x FROM w CROSS JOIN (SELECT DISTINCT prop, rep FROM ck) r
   LEFT JOIN cc ON cc.prop = r.prop AND cc.rep = r.rep AND f = from_state AND t = to_state),
@@ -662,7 +705,7 @@ cs AS (SELECT prop, rep, corr(v, z) AS corr FROM ci JOIN cr USING (to_state) GRO
 def _stable(spark, d):
     m = model.tna(orders(spark, d))
     ids = m.sequences.frame.select("seq_id").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1)))).withColumn("prop", F.explode(F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8))))
-    return resample.stability(m, ids.where(F.pmod(_u(), F.lit(1000)) >= F.col("prop") * 1000), ("InStrength",))
+    return resample.stability(m, ids.where(_u() >= F.col("prop")), ("InStrength",))
 
 
 @query("cs_correlations", _sql(O, CSQ, select="SELECT CAST(prop AS DOUBLE) AS prop, CAST(rep AS INTEGER) AS rep, round(corr, 6) AS corr FROM cs"))
@@ -681,7 +724,7 @@ def _(spark, d):
 
 
 @query("patterns_perm_test", _sql(G, _RUNS, "gs AS (SELECT list(grp ORDER BY grp) AS names FROM (SELECT DISTINCT grp FROM g))",
-    f"rg AS (SELECT seq, rep, names[1 + ({_U}) % 5] AS grp FROM (SELECT DISTINCT seq FROM g) CROSS JOIN (SELECT unnest(range({REPS})) AS rep) CROSS JOIN gs)",
+    f"rg AS (SELECT seq, rep, names[1 + CAST(floor({_U} * len(names)) AS INTEGER)] AS grp FROM (SELECT DISTINCT seq FROM g) CROSS JOIN (SELECT unnest(range({REPS})) AS rep) CROSS JOIN gs)",
     "rn AS (SELECT rg.rep, t.length, t.pattern, rg.grp, count(*) AS n FROM t JOIN rg ON rg.seq = t.seq GROUP BY ALL)",
     f"rf AS (SELECT -1 AS rep, length, pattern, grp, n FROM f UNION ALL SELECT r.rep, f.length, f.pattern, f.grp, coalesce(rn.n, 0) FROM f CROSS JOIN (SELECT unnest(range({REPS})) AS rep) r LEFT JOIN rn ON rn.rep = r.rep AND rn.length = f.length AND rn.pattern = f.pattern AND rn.grp = f.grp)",
     "rm AS (SELECT *, sum(n) OVER (PARTITION BY rep, length, pattern) AS pn, sum(n) OVER (PARTITION BY rep, grp) AS gn, sum(n) OVER (PARTITION BY rep) AS an FROM rf)",
@@ -693,7 +736,7 @@ def _(spark, d):
     seqs = orders(spark, d, segments=True)
     names = seqs.frame.select("grp").distinct().agg(F.array_sort(F.collect_set("grp")).alias("names"))
     ids = seqs.frame.select("seq_id").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1)))).crossJoin(F.broadcast(names))  # one row
-    shuffled = ids.select("rep", "seq_id", F.element_at("names", (F.pmod(_u(), F.size("names")) + 1).cast("int")).alias("grp"))
+    shuffled = ids.select("rep", "seq_id", F.element_at("names", (F.floor(_u() * F.size("names")) + 1).cast("int")).alias("grp"))
     rows = patterns.permutation_test(seqs, "grp", shuffled, (1, 2, 3), min_freq=0)
     return rows.select("length", "pattern", F.round("statistic", 6).alias("statistic"), (F.round("effect_size", 6) + 0.0).alias("effect_size"), F.round("p_value", 9).alias("p_value"), F.round("p_adjusted", 9).alias("p_adjusted"))
 
@@ -703,7 +746,7 @@ _P = "pv AS (SELECT from_state, to_state, weight AS p FROM w)"
 
 def _p(spark, d, method):
     rows = model.tna(_e(spark, d)).weights.select("from_state", "to_state", F.col("weight").alias("p"))
-    rows = stats.p_adjust(rows, "p", method, tiebreak=("from_state", "to_state"))
+    rows = stats.p_adjust(rows, "p", method)
     return _rounded(rows.select("from_state", "to_state", "p_adjusted"), "p_adjusted")
 
 
@@ -741,8 +784,26 @@ def _(spark, d):
     return _rounded(clustering.distances(conversations(spark, d), weighted=True, lambda_=0.5), "d")
 
 
-for _metric in ("lv", "osa", "lcs"):
-    QUERIES[f"dist_{_metric}"] = lambda spark, d, m=_metric: clustering.distances(conversations(spark, d), m)
+# The rows of a table of edit distances one after the other; a step to the right is a running minimum (or maximum) of the row.
+_EDIT = "WITH RECURSIVE " + C.strip() + """,
+q AS (SELECT seq, list(s ORDER BY p) AS a FROM c GROUP BY seq),
+t AS (SELECT x.seq AS i, y.seq AS j, 0 AS r, x.a AS a, y.a AS b, {first} AS prev, {first} AS older FROM q x JOIN q y ON x.seq < y.seq
+UNION ALL SELECT i, j, r + 1, a, b, list_transform(range(0, len(b) + 1), lambda k: {along}), prev FROM (
+  SELECT *, list_concat([{start}], list_transform(range(1, len(b) + 1), lambda k: {cell})) AS u FROM t WHERE r < len(a)))
+SELECT i, j, CAST({result} AS DOUBLE) AS d FROM t WHERE r = len(a)"""
+_SAME = "(CASE WHEN a[r + 1] = b[k] THEN 1 ELSE 0 END)"
+_RIGHT = "k + list_min(list_transform(range(0, k + 1), lambda h: u[h + 1] - h))"
+_LV = f"least(prev[k + 1] + 1, prev[k] + {_SAME})"
+_OSA = f"CASE WHEN r >= 1 AND k >= 2 AND a[r + 1] = b[k - 1] AND a[r] = b[k] THEN least({_LV}, older[k - 1] + {_SAME}) ELSE {_LV} END"
+_COUNT, _NONE = "range(0, len(y.a) + 1)", "list_transform(range(0, len(y.a) + 1), lambda k: 0)"
+_EDITS = {
+    "lv": _EDIT.format(first=_COUNT, start="r + 1", cell=_LV, along=_RIGHT, result="prev[len(b) + 1]"),
+    "osa": _EDIT.format(first=_COUNT, start="r + 1", cell=_OSA, along=_RIGHT, result="prev[len(b) + 1]"),
+    "lcs": _EDIT.format(first=_NONE, start="0", cell=f"greatest(prev[k + 1], prev[k] + {_SAME})", along="list_max(u[1:k + 1])", result="greatest(len(a), len(b)) - prev[len(b) + 1]"),
+}
+
+for _metric, _text in _EDITS.items():
+    query(f"dist_{_metric}", _text)(lambda spark, d, m=_metric: clustering.distances(conversations(spark, d), m))
 
 
 @query("silhouette", _sql(PAD.format(w="1"), """b2 AS (SELECT i, j, d FROM hd UNION ALL SELECT j, i, d FROM hd), mm AS (SELECT i, i % 3 AS own, j % 3 AS c, avg(d) AS m FROM b2 GROUP BY 1, 2, 3),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stepweave.functions import editing, palette, stats
 from stepweave.operators import clustering, model, patterns, plotdata, prepare, resample, scaling, sequences, transitions
+from stepweave.streaming import sessions as streaming
 
 
 def seqs(spark, rows, width=None, groups=None):
@@ -44,7 +45,10 @@ def test_statistics_and_wide_form(spark):
 
 def test_no_actor_no_time_and_empty_log(spark):
     rows = log(spark).where("time is not null")
-    assert prepare.prepare(rows, "action").long.select("session_id").distinct().collect()[0][0] == "all"
+    assert prepare.prepare(rows, "action").long.select("session_id").distinct().collect()[0][0] == 0
+    ranked = prepare.prepare(spark.createDataFrame([(u, "a") for u in ("c", "b", "a", "b", None)], "user string, action string"), "action", "user").long
+    assert sorted((r.actor or "", r.session_id) for r in ranked.where("actor is not null").collect()) == [("a", 0), ("b", 1), ("b", 1), ("c", 2)]
+    assert ranked.where("actor is null and session_id is null").count() == 1
     assert prepare.prepare(rows.where("false"), "action", "user", "time").long.count() == 0
 
 
@@ -246,3 +250,119 @@ def test_saved_models_come_back(spark, tmp_path):
     m = model.tna(seqs(spark, ["ABC"]))
     m.save(str(tmp_path))
     assert weights(model.load(spark, str(tmp_path), "relative")) == weights(m)
+
+
+def test_attention_over_blocks_is_the_sum_over_all_pairs(spark):
+    """Sequences of several blocks of 666 places, and steep decays that start a new one every 3."""
+    rng, beta = np.random.default_rng(1), 0.9
+    states = ["".join(rng.choice(list("ABC"), n)) for n in (1500, 30, 1, 601, 1333)]
+    frame = spark.createDataFrame([(k, i, c) for k, row in enumerate(states) for i, c in enumerate(row)], "seq_id long, raw_pos int, state string")
+    got = {(r.from_state, r.to_state): r.n for r in transitions.attention(sequences.Sequences(frame), beta).collect()}
+    want = {}
+    for row in states:
+        held = dict.fromkeys("ABC", 0.0)
+        for c in row:
+            held = {s: v * math.exp(-beta) for s, v in held.items()}
+            for s, v in held.items():
+                want[s, c] = want.get((s, c), 0.0) + v
+            held[c] += 1
+    assert set(got) == set(want) and all(got[k] == pytest.approx(v, rel=1e-12) for k, v in want.items())
+    steep = {(r.from_state, r.to_state): r.n for r in transitions.attention(seqs(spark, ["ABCABCAB"]), 200.0).collect()}
+    assert steep["A", "B"] == pytest.approx(3 * math.exp(-200)) and steep["A", "C"] == pytest.approx(2 * math.exp(-400))
+    flat = {(r.from_state, r.to_state): r.n for r in transitions.attention(seqs(spark, ["AAB"]), 0.0).collect()}
+    assert flat == {("A", "A"): 1.0, ("A", "B"): 2.0}
+
+
+def test_adjusted_p_values_of_ties_by_group(spark):
+    values = {"a": [0.01, 0.01, 0.02, 0.02, 0.02, 0.9], "b": [0.2, 0.001, None]}
+    rows = spark.createDataFrame([(g, k, p) for g, ps in values.items() for k, p in enumerate(ps)], "g string, k int, p_value double")
+    for method in ("bonferroni", "holm", "fdr"):
+        got = {(r.g, r.k): r.p_adjusted for r in stats.p_adjust(rows, method=method, keys=("g",)).collect()}
+        for g, ps in values.items():
+            known = sorted((p, k) for k, p in enumerate(ps) if p is not None)
+            n, want = len(known), {}
+            steps = [p * {"bonferroni": n, "holm": n - r, "fdr": n / (r + 1)}[method] for r, (p, _) in enumerate(known)]
+            for r, (_, k) in enumerate(known):
+                want[k] = min(1.0, {"bonferroni": steps[r], "holm": max(steps[: r + 1]), "fdr": min(steps[r:])}[method])
+            assert {k: got[g, k] for k in want} == pytest.approx(want) and all(got[g, k] is None for k, p in enumerate(ps) if p is None)
+
+
+def test_replicates_are_independent_poisson_draws(spark):
+    """Ids that a period of the old hash tied together, and as many that it didn't: no correlation over the replicates."""
+    keys = [1, 9974, 2, 9975, 3_000_000_000, 3_000_009_973, 77, 78]
+    frame = spark.createDataFrame([(k,) for k in keys], "seq_id long").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(3999))))
+    rows = frame.withColumn("m", resample.poisson_multiplicity("seq_id", "rep")).collect()
+    m = np.zeros((len(keys), 4000))
+    for r in rows:
+        m[keys.index(r.seq_id), r.rep] = r.m
+    assert np.abs(m.mean(1) - 1).max() < 0.06 and np.abs(m.var(1) - 1).max() < 0.12
+    assert np.abs(np.corrcoef(m) - np.eye(len(keys))).max() < 0.06
+
+
+def test_bootstrap_in_one_call(spark):
+    m = model.tna(seqs(spark, ["ABAB", "ABBA", "BABA", "AABB"] * 10))
+    found = resample.bootstrap_tna(m, 60)
+    assert found.weights.select("rep").distinct().count() == 60
+    assert found.summary.count() == found.edges.where("weight > 0").count() > 0
+    other = resample.bootstrap_tna(m, 60, seed=1).edges
+    assert other.join(found.edges.withColumnRenamed("mean", "mean0"), ["from_state", "to_state"]).where("mean <> mean0").count() > 0
+    with pytest.raises(ValueError, match="no sequences"):
+        resample.bootstrap_tna(model.from_matrix(spark.createDataFrame([("A", "B", 1.0)], "from_state string, to_state string, weight double")))
+
+
+def test_models_are_compared_in_one_call(spark):
+    x, y = seqs(spark, ["ABAC"] * 60 + ["BCAB"] * 60), seqs(spark, ["ACAB"] * 60 + ["CCBA"] * 60)
+    a, b = model.tna(x), model.tna(y)
+    edges, measures = resample.permutation_test_models(a, b, 40, "holm", measures=("InStrength",))
+    real = weights(a)
+    rows = {(r.from_state, r.to_state): r for r in edges.collect()}
+    other = weights(b)
+    assert all(r.diff == pytest.approx(real[k] - other[k]) for k, r in rows.items())
+    assert rows["B", "C"].p_value < 0.5 and measures.count() == 3
+    paired = {(r.from_state, r.to_state): r.p_value for r in resample.permutation_test_models(a, a, 40, paired=True)[0].collect()}
+    assert set(paired.values()) == {1.0}
+    less = sequences.Sequences(y.frame.where("seq_id > 3"), y.ids)
+    with pytest.raises(ValueError, match="same ids"):
+        resample.permutation_test_models(a, model.tna(less), 10, paired=True)
+    with pytest.raises(ValueError, match="same states"):
+        resample.permutation_test_models(a, model.tna(seqs(spark, ["AB", "BA"])), 10)
+    with pytest.raises(ValueError, match="need their sequences"):
+        resample.permutation_test_models(a, model.from_matrix(a.weights), 10)
+    table = resample.permutation_test_edges(x, seqs(spark, ["AB", "BD"] * 60), 40, "bonferroni")
+    found = {(r.from_state, r.to_state): r for r in table.collect()}
+    assert len(found) == 16 and table.columns == ["from_state", "to_state", "diff", "p_value", "p_adjusted", "significant"]
+    assert found["B", "D"].diff == -1.0 and all(r.p_value == r.p_adjusted and r.significant == (r.p_value < 0.05) for r in found.values())
+
+
+def test_pairs_are_neighbours_or_halves(spark):
+    ids, sides = list(range(8)), ["x"] * 4 + ["y"] * 4
+    rows = resample.shuffled(spark, ids, sides, 30, 5, paired="halves").collect()
+    side = {(r.rep, r.seq_id): r.side for r in rows}
+    assert all({side[rep, k], side[rep, k + 4]} == {"x", "y"} for rep in range(30) for k in range(4)) and len(set(side[rep, 0] for rep in range(30))) == 2
+    near = resample.shuffled(spark, ids, ["x", "y"] * 4, 30, 5, paired=True).collect()
+    side = {(r.rep, r.seq_id): r.side for r in near}
+    assert all({side[rep, k], side[rep, k + 1]} == {"x", "y"} for rep in range(30) for k in (0, 2, 4, 6))
+
+
+def test_patterns_need_two_groups(spark):
+    one = seqs(spark, ["ABAB"] * 9, groups=["g"] * 9)
+    with pytest.raises(ValueError, match="two groups"):
+        patterns.compare(one, "grp")
+
+
+def test_streams_of_sessions_and_steps(spark, tmp_path):
+    rows = [("u", 0, "a"), ("u", 30, "b"), ("u", 500, "c"), ("v", 10, "a"), ("v", 40, "c"), ("u", 90_000, "a")]
+    for k, part in enumerate((rows[:4], rows[4:])):
+        frame = spark.createDataFrame([(u, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), a) for u, s, a in part], "user string, at timestamp, action string")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("user string, at timestamp, action string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def drained(frame, name):
+        q = frame.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        return spark.table(name).collect()
+
+    steps = {(r.actor, r.from_state, r.to_state) for r in drained(streaming.transitions(source, "user", "at", "action", 60, "1 day"), "steps")}
+    assert steps == {("u", "a", "b"), ("v", "a", "c")}
+    closed = {(r.user, r.n_events) for r in drained(streaming.sessions(source, "user", "at", "60 seconds", "1 hour"), "closed")}
+    assert closed == {("u", 2), ("u", 1), ("v", 2)}
