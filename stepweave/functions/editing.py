@@ -16,45 +16,76 @@ def trimmed(a: list[str]) -> list[str]:
     return a[:n]
 
 
+#: Cells of a table of distances that are worked on at once.
+CELLS = 1 << 22
+
+
+def _padded(rows: list, number: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences, trimmed, as rows of numbers, and their lengths."""
+    rows = [trimmed(list(r)) for r in rows]
+    out = np.full((len(rows), max(map(len, rows), default=0)), -1, np.int32)
+    for i, row in enumerate(rows):
+        out[i, : len(row)] = [number.setdefault(s, len(number)) for s in row]
+    return out, np.array([len(r) for r in rows], np.int64)
+
+
+def edit_distances(metric: str, left: list, right: list) -> np.ndarray:
+    """Distances of each of the left sequences from each of the right ones, by one table over all pairs at once.
+
+    lv is Levenshtein with the costs of substitution as the field's software has them: 1 for equal states, 0 for others;
+    osa has swaps of neighbours at the cost of a substitution as well; lcs is the longer length less that of the longest
+    common subsequence. A step of the table is one operation on the arrays of all pairs.
+    """
+    if metric not in ("lv", "osa", "lcs"):
+        raise ValueError(f"unknown metric {metric!r}")
+    number: dict = {}
+    (x, nx), (y, ny) = _padded(left, number), _padded(right, number)
+    out = np.zeros((len(x), len(y)))
+    step = max(1, CELLS // max(1, len(y) * (y.shape[1] + 1)))
+    for k in range(0, len(x), step):
+        out[k : k + step] = _table(metric, x[k : k + step], nx[k : k + step], y, ny)
+    return out
+
+
+def _table(metric: str, x, nx, y, ny) -> np.ndarray:
+    shape, width = (len(x), len(y)), y.shape[1]
+    row = [np.full(shape, 0 if metric == "lcs" else j, np.int32) for j in range(width + 1)]
+    before, out = row, np.zeros(shape, np.int32)
+    columns = np.arange(len(y))
+
+    def ended(i):
+        done = np.flatnonzero(nx == i)
+        if len(done):
+            out[done] = np.stack([row[n][done, c] for c, n in zip(columns, ny)], 1)
+
+    ended(0)
+    for i in range(1, x.shape[1] + 1):
+        now = [np.full(shape, 0 if metric == "lcs" else i, np.int32)]
+        for j in range(1, width + 1):
+            same = x[:, i - 1, None] == y[None, :, j - 1]
+            if metric == "lcs":
+                cell = np.maximum(np.maximum(row[j], now[j - 1]), row[j - 1] + same)
+            else:
+                cell = np.minimum(np.minimum(row[j], now[j - 1]) + 1, row[j - 1] + same)
+                if metric == "osa" and i > 1 and j > 1:
+                    swapped = (x[:, i - 1, None] == y[None, :, j - 2]) & (x[:, i - 2, None] == y[None, :, j - 1])
+                    cell = np.where(swapped, np.minimum(cell, before[j - 2] + same), cell)
+            now.append(cell.astype(np.int32))
+        before, row = row, now
+        ended(i)
+    return np.maximum(nx[:, None], ny[None, :]) - out if metric == "lcs" else out
+
+
 def lv(a: list[str], b: list[str]) -> float:
-    """Levenshtein with the costs of substitution as the field's software has them: 1 for equal states, 0 for others."""
-    a, b = trimmed(a), trimmed(b)
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x == y))
-    return float(row[-1])
+    return float(edit_distances("lv", [a], [b])[0, 0])
 
 
 def osa(a: list[str], b: list[str]) -> float:
-    """lv with swaps of neighbours at the cost of a substitution."""
-    a, b = trimmed(a), trimmed(b)
-    if not a or not b:
-        return float(max(len(a), len(b)))
-    d = np.zeros((len(a) + 1, len(b) + 1))
-    d[:, 0], d[0] = np.arange(len(a) + 1), np.arange(len(b) + 1)
-    for i, x in enumerate(a, 1):
-        for j, y in enumerate(b, 1):
-            cost = float(x == y)
-            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + cost)
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d[i, j] = min(d[i, j], d[i - 2, j - 2] + cost)
-    return float(d[-1, -1])
+    return float(edit_distances("osa", [a], [b])[0, 0])
 
 
 def lcs(a: list[str], b: list[str]) -> float:
-    """The longer length less that of the longest common subsequence."""
-    a, b = trimmed(a), trimmed(b)
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return float(max(len(a), len(b)) - row[-1])
-
-
-KERNELS = {"lv": lv, "osa": osa, "lcs": lcs}
+    return float(edit_distances("lcs", [a], [b])[0, 0])
 
 
 def silhouette(d: np.ndarray, member: np.ndarray) -> float:

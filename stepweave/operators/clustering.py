@@ -55,17 +55,11 @@ def _block(metric: str, weighted: bool, lambda_: float):
             for k, w in enumerate(weights):
                 d += w * (codes[left, k, None] != codes[None, right, k])
         else:
-            states, kernel = part.column("states").to_pylist(), editing.KERNELS[metric]
             number = {}  # equal sequences have equal distances
-            at = np.array([number.setdefault(tuple(s), len(number)) for s in states])
-            d = np.empty((len(left), len(right)))
-            known, kinds = {}, list(number)
-            for i, x in enumerate(at[left].tolist()):
-                for j, y in enumerate(at[right].tolist()):
-                    if not same or i < j:
-                        if (x, y) not in known:
-                            known[x, y] = kernel(kinds[x], kinds[y])
-                        d[i, j] = known[x, y]
+            at = np.array([number.setdefault(tuple(s), len(number)) for s in part.column("states").to_pylist()], np.int64)
+            kinds = list(number)
+            (one, row), (two, column) = (np.unique(at[k], return_inverse=True) for k in (left, right))
+            d = editing.edit_distances(metric, [kinds[k] for k in one], [kinds[k] for k in two])[row][:, column]
         i, j = np.nonzero(np.triu(np.ones(d.shape, bool), 1) if same else np.ones(d.shape, bool))
         a, b = ids[left[i]], ids[right[j]]
         return pa.table({"i": np.minimum(a, b), "j": np.maximum(a, b), "d": d[i, j]})
@@ -77,7 +71,7 @@ def distances(seqs: Sequences, metric: str = "hamming", weighted: bool = False,
     """i, j and d for all i < j, which is the result: it grows as the square of the sequences.
 
     Sequences are dealt into `blocks`, of about BLOCK sequences each if no number is given, and each pair of blocks is a
-    group of its own, so no task holds more than two. Ids must be numbers. Edit distances are looked up pair by pair, Hamming distances place by place for a whole block.
+    group of its own, so no task holds more than two. Ids must be numbers. Distances are computed place by place for a whole block.
     """
     if metric not in editing.METRICS:
         raise ValueError(f"unknown metric {metric!r}; known are {', '.join(editing.METRICS)}")

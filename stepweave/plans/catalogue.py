@@ -455,7 +455,24 @@ def _(spark, d):
     return _measure(model.tna(_e(spark, d)), "InStrength", normalize=True).drop("measure")
 
 
-@query("cent_rsp")
+# Randomised shortest paths: the sum of all powers of the killed matrix by doubling, then visits of each node over all pairs.
+
+
+def _times(a: str, b: str) -> str:
+    return f"SELECT a.f, b.t, sum(a.x * b.x) AS x FROM {a} a JOIN {b} b ON b.f = a.t GROUP BY 1, 2"
+
+
+def _rsp(doublings: int = 14) -> list[str]:
+    out = ["r0 AS (SELECT from_state AS f, to_state AS t, CASE WHEN from_state = to_state THEN 0 ELSE weight END AS x FROM w)",
+           "p0 AS (SELECT f, t, CASE WHEN x > 0 THEN x / sum(x) OVER (PARTITION BY f) * exp(-0.01 / x) ELSE 0 END AS x FROM r0)",
+           "s0 AS (SELECT f, t, CASE WHEN f = t THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM r0)"]
+    for k in range(doublings):
+        out += [f"m{k} AS ({_times(f's{k}', f'p{k}')})", f"s{k + 1} AS (SELECT a.f, a.t, a.x + b.x AS x FROM s{k} a JOIN m{k} b USING (f, t))", f"p{k + 1} AS ({_times(f'p{k}', f'p{k}')})"]
+    z = f"s{doublings}"
+    return [*out, f"vi AS (SELECT i.f AS state, sum((si.x / st.x - ti.x / tt.x) * i.x) AS x FROM {z} i JOIN {z} tt ON tt.f = i.t AND tt.t = i.t JOIN {z} st ON st.t = i.t JOIN {z} si ON si.f = st.f AND si.t = i.f JOIN {z} ti ON ti.f = i.t AND ti.t = i.f GROUP BY 1)"]
+
+
+@query("cent_rsp", _sql(E, E_REL, *_rsp(), select="SELECT state, round_even(x, 0) - min(round_even(x, 0)) OVER () + 1 AS value FROM vi"))
 def _(spark, d):
     return _measure(model.tna(_e(spark, d)), "BetweennessRSP").drop("measure")
 
@@ -879,6 +896,34 @@ def _(spark, d):
     return _rounded(plotdata.frequencies(model.tna(_e(spark, d))), "prob")
 
 
+@query("plot_network_ci", _sql(O, BOOT, select=f"SELECT from_state, to_state, round(any_value(w), 9) AS weight, round(quantile_cont(x, 0.975) - quantile_cont(x, 0.025), 9) AS ci_width, CASE WHEN (sum({_STABLE}) + 1) / {float(REPS + 1)} < 0.05 THEN 1.0 ELSE 0.3 END::DOUBLE AS alpha FROM bw GROUP BY 1, 2 HAVING any_value(w) > 0"))
+def _(spark, d):
+    m, again = _boot(spark, d)
+    return _rounded(plotdata.network_ci(resample.bootstrap(m, again)), "weight", "ci_width")
+
+
+@query("plot_permutation_histogram", _sql(O, PERM, _PD, f"pt AS ({_PTEST.format(what='from_state, to_state', n=float(REPS + 1))})", "b AS (SELECT min(p_value) AS lo, max(p_value) AS hi FROM pt)",
+    "h AS (SELECT least(floor((p_value - lo) / ((hi - lo) / 7.0) + 1e-6), 6) AS bin, count(*) AS n FROM pt CROSS JOIN b GROUP BY 1)",
+    select="SELECT CAST(k.bin AS INTEGER) AS bin, round(lo + k.bin * ((hi - lo) / 7.0), 6) AS low, round(lo + (k.bin + 1) * ((hi - lo) / 7.0), 6) AS high, coalesce(n, 0) AS n FROM (SELECT unnest(range(7)) AS bin) k CROSS JOIN b LEFT JOIN h ON h.bin = k.bin"))
+def _(spark, d):
+    edges = _perm(spark, d)[0]
+    return plotdata.permutation_histogram(edges, 7)[0].select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
+
+
+@query("plot_centrality_bars", _sql(E, E_REL, "v AS (SELECT from_state AS state, 'OutStrength' AS measure, round(sum(weight) FILTER (WHERE from_state <> to_state), 9) AS value FROM w GROUP BY 1 UNION ALL SELECT to_state, 'InStrength', round(sum(weight) FILTER (WHERE from_state <> to_state), 9) FROM w GROUP BY 1)",
+    "x AS (SELECT *, min(value) OVER (PARTITION BY measure) AS lo, max(value) OVER (PARTITION BY measure) AS hi FROM v)",
+    select="SELECT state, measure, round(CASE WHEN hi = lo THEN value ELSE (value - lo) / (hi - lo) END, 6) AS value, CAST(row_number() OVER (PARTITION BY measure ORDER BY value DESC, state) AS INTEGER) AS place FROM x"))
+def _(spark, d):
+    values = _rounded(network.centralities(model.tna(_e(spark, d)), ["OutStrength", "InStrength"]), "value")
+    return plotdata.centrality_bars(values, normalize=True).select("state", "measure", (F.round("value", 6) + 0.0).alias("value"), "place")
+
+
+@query("plot_community_nodes")
+def _(spark, d):
+    m = model.ftna(orders(spark, d))
+    return plotdata.community_nodes(network.communities(m, ("leading_eigen",)), m.inits)
+
+
 @query("plot_bootstrap_grid", _sql(O, BOOT, select=f"SELECT from_state, to_state, round(any_value(w), 9) AS weight, round(quantile_cont(x, 0.975) - quantile_cont(x, 0.025), 9) AS ci_width, CASE WHEN any_value(w) = 0 THEN 0.5 WHEN (sum({_STABLE}) + 1) / {float(REPS + 1)} < 0.05 THEN 1.0 ELSE 0.0 END::DOUBLE AS significance FROM bw GROUP BY 1, 2"))
 def _(spark, d):
     m, again = _boot(spark, d)

@@ -180,6 +180,31 @@ def test_edit_distances():
     assert editing.osa(list("AB"), list("BA")) == 0 and editing.lcs(list("ABCD"), list("ACBD")) == 1
 
 
+def test_edit_distances_of_blocks_are_those_of_plain_tables(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = ["".join(rng.choice(list("ABC*"), rng.integers(0, 9))) for _ in range(40)]
+    monkeypatch.setattr(editing, "CELLS", 900)  # several chunks
+
+    def plain(metric, a, b):
+        a, b = a.rstrip("*"), b.rstrip("*")
+        d = {(i, j): (0 if metric == "lcs" else i + j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                same = a[i - 1] == b[j - 1]
+                if metric == "lcs":
+                    d[i, j] = d[i - 1, j - 1] + 1 if same else max(d[i - 1, j], d[i, j - 1])
+                    continue
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + same)
+                if metric == "osa" and i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + same)
+        return max(len(a), len(b)) - d[len(a), len(b)] if metric == "lcs" else d[len(a), len(b)]
+
+    for metric in ("lv", "osa", "lcs"):
+        got = editing.edit_distances(metric, [list(r) for r in rows], [list(r) for r in rows[:25]])
+        assert (got == np.array([[plain(metric, a, b) for b in rows[:25]] for a in rows])).all()
+    assert editing.edit_distances("lv", [], [["A"]]).shape == (0, 1)
+
+
 def test_hamming_and_clusters(spark):
     s = seqs(spark, ["AAA"] * 4 + ["BBB"] * 4)
     d = {(r.i, r.j): r.d for r in clustering.distances(s, "hamming", blocks=3).collect()}
