@@ -136,13 +136,16 @@ LINKAGES = ("single", "complete", "average", "mcquitty", "ward.D", "ward.D2", "m
 def hierarchical(d: np.ndarray, k: int, linkage: str, weights: np.ndarray | None = None) -> np.ndarray:
     """Agglomeration by Lance and Williams; the first of tied pairs merges.
 
+    Every cluster keeps its nearest among those behind it, so that a merge looks at the clusters once and again only for those
+    whose nearest it changed.
+
     Clusters are numbered untouched points first, by index, then merged ones as they came to be. A weight is the number of
     points at distance 0 that a row stands for; they count as merged, in the order of the rows, before anything else.
     """
     n = len(d)
     d = d.astype(float) ** (2 if linkage == "ward.D2" else 1)
     np.fill_diagonal(d, np.inf)
-    alive, sizes, made = list(range(n)), np.ones(n), {}
+    alive, sizes, made = np.ones(n, bool), np.ones(n), {}
     if weights is not None:
         sizes = weights.astype(float)
         made = {int(i): i - n for i in np.flatnonzero(weights > 1)}
@@ -150,35 +153,49 @@ def hierarchical(d: np.ndarray, k: int, linkage: str, weights: np.ndarray | None
             d = d * (2 * sizes[:, None] * sizes / (sizes[:, None] + sizes))
             np.fill_diagonal(d, np.inf)
     members = {i: [i] for i in range(n)}
+    nearest, least = np.zeros(n, np.int64), np.full(n, np.inf)
+
+    def look(i: int) -> None:
+        behind = d[i, i + 1 :]
+        nearest[i], least[i] = (i, np.inf) if not len(behind) else (i + 1 + behind.argmin(), behind.min())
+
+    for i in range(n):
+        look(i)
     for step in range(n - k):
-        part = np.where(np.triu(np.ones((len(alive),) * 2, bool), 1), d[np.ix_(alive, alive)], np.inf)
-        x, y = np.unravel_index(int(part.argmin()), part.shape)
-        i, j = alive[x], alive[y]
-        ni, nj, dij = sizes[i], sizes[j], d[i, j]
-        for m in alive:
-            if m in (i, j):
-                continue
-            a, b, nm = d[m, i], d[m, j], sizes[m]
-            if linkage == "single":
-                new = min(a, b)
-            elif linkage == "complete":
-                new = max(a, b)
-            elif linkage == "average":
-                new = (ni * a + nj * b) / (ni + nj)
-            elif linkage == "mcquitty":
-                new = (a + b) / 2
-            elif linkage == "median":
-                new = (a + b) / 2 - dij / 4
-            elif linkage == "centroid":
-                new = (ni * a + nj * b) / (ni + nj) - ni * nj * dij / (ni + nj) ** 2
-            else:
-                new = ((ni + nm) * a + (nj + nm) * b - nm * dij) / (ni + nj + nm)
-            d[i, m] = d[m, i] = new
+        i = int(least.argmin())
+        j = int(nearest[i])
+        if not np.isfinite(least[i]):
+            i, j = np.flatnonzero(alive)[:2].tolist()
+        alive[[i, j]] = False
+        rest = np.flatnonzero(alive)
+        ni, nj, nm, a, b, dij = sizes[i], sizes[j], sizes[rest], d[rest, i], d[rest, j], d[i, j]
+        if linkage == "single":
+            new = np.minimum(a, b)
+        elif linkage == "complete":
+            new = np.maximum(a, b)
+        elif linkage == "average":
+            new = (ni * a + nj * b) / (ni + nj)
+        elif linkage == "mcquitty":
+            new = (a + b) / 2
+        elif linkage == "median":
+            new = (a + b) / 2 - dij / 4
+        elif linkage == "centroid":
+            new = (ni * a + nj * b) / (ni + nj) - ni * nj * dij / (ni + nj) ** 2
+        else:
+            new = ((ni + nm) * a + (nj + nm) * b - nm * dij) / (ni + nj + nm)
+        alive[i] = True
+        d[i, rest] = d[rest, i] = new
+        d[j] = d[:, j] = least[j] = np.inf
+        look(i)
+        lost = (nearest[rest] == i) | (nearest[rest] == j)
+        closer = (rest < i) & ((new < least[rest]) | ((new == least[rest]) & (i < nearest[rest]))) & ~lost
+        nearest[rest[closer]], least[rest[closer]] = i, new[closer]
+        for m in rest[lost].tolist():
+            look(m)
         members[i] += members.pop(j)
         sizes[i] += nj
         made[i] = step
-        alive.remove(j)
-    order = sorted(alive, key=lambda c: (c in made, made.get(c, c)))
+    order = sorted(np.flatnonzero(alive).tolist(), key=lambda c: (c in made, made.get(c, c)))
     out = np.empty(n, int)
     for number, c in enumerate(order):
         out[members[c]] = number

@@ -205,6 +205,39 @@ def test_edit_distances_of_blocks_are_those_of_plain_tables(monkeypatch):
     assert editing.edit_distances("lv", [], [["A"]]).shape == (0, 1)
 
 
+def merged_pair_by_pair(d, k, linkage):
+    """The first closest pair of all, again and again."""
+    n, members = len(d), {i: [i] for i in range(len(d))}
+    d, sizes, made = d.astype(float) ** (2 if linkage == "ward.D2" else 1), np.ones(n), {}
+    for step in range(n - k):
+        alive = sorted(members)
+        i, j = min(((x, y) for x in alive for y in alive if x < y), key=lambda p: (d[p], p))
+        ni, nj, dij = sizes[i], sizes[j], d[i, j]
+        for m in set(alive) - {i, j}:
+            a, b, nm = d[m, i], d[m, j], sizes[m]
+            d[i, m] = d[m, i] = {
+                "single": min(a, b), "complete": max(a, b), "average": (ni * a + nj * b) / (ni + nj), "mcquitty": (a + b) / 2, "median": (a + b) / 2 - dij / 4,
+                "centroid": (ni * a + nj * b) / (ni + nj) - ni * nj * dij / (ni + nj) ** 2,
+            }.get(linkage, ((ni + nm) * a + (nj + nm) * b - nm * dij) / (ni + nj + nm))
+        members[i] += members.pop(j)
+        sizes[i], made[i] = sizes[i] + nj, step
+    out = np.empty(n, int)
+    for number, c in enumerate(sorted(members, key=lambda c: (c in made, made.get(c, c)))):
+        out[members[c]] = number
+    return out
+
+
+@pytest.mark.parametrize("linkage", editing.LINKAGES)
+@pytest.mark.parametrize("ties", [False, True])
+def test_linkages_merge_the_first_closest_pair(linkage, ties):
+    rng = np.random.default_rng(6)
+    for n in (2, 3, 17, 40):
+        x = rng.integers(0, 4, (n, 3)).astype(float) if ties else rng.standard_normal((n, 3))
+        d = np.abs(x[:, None] - x).sum(2)
+        for k in {1, 2, n // 2 or 1, n}:
+            assert (editing.hierarchical(d.copy(), k, linkage) == merged_pair_by_pair(d, k, linkage)).all()
+
+
 def test_hamming_and_clusters(spark):
     s = seqs(spark, ["AAA"] * 4 + ["BBB"] * 4)
     d = {(r.i, r.j): r.d for r in clustering.distances(s, "hamming", blocks=3).collect()}
