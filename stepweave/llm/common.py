@@ -30,10 +30,24 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """df, computed once into a Parquet table of the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made: list[str] = []
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Removes what written() put into the shared folder so far, for callers whose results are stored by then: DataFrames
+    that were made from these tables can't be computed any more. Returns how many there were."""
+    count = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def fold_of(doc_id, n: int):
     """crc32 of the id as text, modulo n; a null id counts as fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))

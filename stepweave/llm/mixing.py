@@ -99,13 +99,35 @@ def _fold(level: int, seed: int):
     return F.aggregate("items", start, step, lambda acc: F.concat(acc["done"], F.array(acc["carry"])))
 
 
+def _settled(items, seed: int):
+    """The items of a source's root, the one still fractional rounded by chance, and what that puts the source off its
+    target made up: from large to small, an item whose words are no more than what is over or lacking is put out or in."""
+    last, done = F.element_at(items, -1), F.slice(items, F.lit(1), F.size(items) - 1)
+    size = last["size"].cast("double")
+    took = (_uniform(seed + 300, last["doc_id"], last["nth"], last["size"]) < last["p"]).cast("int")
+    ordered = F.array_sort(F.transform(done, lambda i: F.struct((-i["size"]).alias("large"), _uniform(seed + 500, i["doc_id"], i["nth"], i["size"]).alias("at"), i.alias("x"))))
+    item = lambda i, taken: F.struct(i["doc_id"].alias("doc_id"), i["source"].alias("source"), i["size"].alias("size"), i["nth"].alias("nth"), taken.alias("taken"))
+    kind = "array<struct<doc_id: bigint, source: string, size: bigint, nth: int, taken: int>>"
+
+    def step(acc, o):
+        x, over, words = o["x"], acc["over"], o["x"]["size"].cast("double")
+        out, into = (x["taken"] == 1) & (words <= over), (x["taken"] == 0) & (words <= -over)
+        taken = F.when(out, F.lit(0)).when(into, F.lit(1)).otherwise(x["taken"])
+        moved = F.when(out, -words).when(into, words).otherwise(F.lit(0.0))
+        return F.struct((over + moved).alias("over"), F.concat(acc["all"], F.array(item(x, taken)).cast(kind)).alias("all"))
+
+    start = F.struct(((took - last["p"]) * size).alias("over"), F.array(item(last, took)).cast(kind).alias("all"))
+    return F.aggregate(ordered, start, step, lambda acc: acc["all"])
+
+
 def copies(items: DataFrame, targets: DataFrame, fan: int = FAN, reserve: int = RESERVE, seed: int = 4) -> DataFrame:
     """The items with source_size, target and copies: how often the mix takes each.
 
     A source's rate, target / source_size, is a whole number of copies of each document and a chance of one more.
     The chances are rounded in groups of about `fan` documents; what stays fractional of each group goes up the tree.
-    At its root, the last of them meet about `reserve` documents of each power of two of words, larger ones first, so
-    that the one still fractional at the end is small: a source misses its target by that document's words at most.
+    At its root, the last of them meet about `reserve` documents of each power of two of words, larger ones first. The one
+    still fractional at the end is rounded by chance, and documents of the root make up what that misses, as far as any is
+    small enough: a source misses its target by about the words of its smallest documents.
     Level tables lie in the shared folder; a source of most rows is as many groups as its documents need.
     """
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -122,10 +144,11 @@ def copies(items: DataFrame, targets: DataFrame, fan: int = FAN, reserve: int =
     left = written(left.select("source", *key, "p", (_uniform(seed + 400, *map(F.col, key)) < F.col("share")).alias("kept")), "fractional")
     root, left = left.where("kept").drop("kept"), left.where("not kept").drop("kept")
 
-    def folded(rows, level: int, order: list, *by: str):
+    def folded(rows, level: int, order: list, *by: str, settle: bool = False):
         item = F.struct(*order, _uniform(seed + 200 + level, *map(F.col, key)).alias("at"), F.struct("doc_id", "source", "size", "nth", "p", F.lit(None).cast("int").alias("taken")).alias("x"))
         grouped = rows.groupBy("source", *by).agg(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["x"]).alias("items"))
-        return grouped.select(F.explode(_fold(level, seed)).alias("x")).select("x.*")
+        found = grouped.select(_fold(level, seed).alias("found"))
+        return found.select(F.explode(_settled(F.col("found"), seed) if settle else F.col("found")).alias("x")).select("x.*")
 
     done, level = [], 0
     while True:
@@ -137,11 +160,8 @@ def copies(items: DataFrame, targets: DataFrame, fan: int = FAN, reserve: int =
         left = out.where("taken is null").select("source", *key, "p")
         done.append(out.where("taken is not null"))
         level += 1
-    out = folded(root.unionByName(left), level, [(-F.col("size")).alias("large")])
-    done.append(out.withColumn("taken", F.coalesce("taken", (_uniform(seed + 300, *map(F.col, key)) < F.col("p")).cast("int"))))
-    rounded = done[0]
-    for x in done[1:]:
-        rounded = rounded.unionByName(x)
+    done.append(folded(root.unionByName(left), level, [(-F.col("size")).alias("large")], settle=True))
+    rounded = reduce(DataFrame.unionByName, [x.select("source", *key, "taken") for x in done])
     on = F.col("i.source").eqNullSafe(F.col("d.source"))
     for c in key:
         on &= F.col(f"i.{c}").eqNullSafe(F.col(f"d.{c}"))
@@ -162,7 +182,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTA
 
 
 def mixed_rows(docs: DataFrame, seed: int = 4) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
+    """The rows of docs, each as often as the mix takes it, all columns, whatever their names.
+
+    Null and empty texts have no words and are never taken. Rows that repeat an id are told apart by their texts, and where
+    those are equal too, by number: as many of them come as the mix takes, twice each at most. Null ids and sources are
+    matched like others. An empty table gives an empty result.
+    """
     chosen = mix(docs, seed=seed).where("copies > 0").select("doc_id", "source", "size", "nth", "copies")
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     own = F.struct(*docs.columns)
@@ -174,4 +199,5 @@ def mixed_rows(docs: DataFrame, seed: int = 4) -> DataFrame:
 
 
 def op4_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by their sources' weights: nulls, empty texts and repeats as mix() says."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

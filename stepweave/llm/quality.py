@@ -171,7 +171,11 @@ def compiled(model: dict) -> Column:
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, score (0 to 1) and predicted of every row; a null text scores as an empty one."""
+    """doc_id, score (0 to 1) and predicted of every row; a null text scores as an empty one, very long ones are read whole.
+
+    Equal texts get equal scores; repeated rows and null ids come back as often as they are there. Other columns are not
+    read, whatever their names. An empty table gives an empty result.
+    """
     scored = features(docs).select("doc_id", compiled(model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -181,13 +185,18 @@ def in_training(doc_id):
 
 
 def keep_good(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of docs that the model doesn't reject, all their columns."""
+    """The rows of docs that the model doesn't reject, all their columns, whatever their names: statistics get a prefix
+    that no column has. Nulls and empty texts are scored like others; of repeated rows all stay or none. An empty table
+    gives an empty result.
+    """
     prefix = fresh([c[: len(c) - len(k)] for c in docs.columns for k in STATISTICS if c.lower().endswith(k)], "__")
     renamed = model | {"names": [f"{prefix}{k}" for k in model["names"]]}
     return with_statistics(docs, *docs.columns, prefix=prefix).where(compiled(renamed) >= 0.5).select(*docs.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, learned from labels of the other folds; a null doc_id is
+    fold 0."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(in_training(F.col("doc_id"))))
     return score(docs, model).select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", "predicted")

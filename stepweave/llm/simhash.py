@@ -228,7 +228,8 @@ def simhash_groups(docs: DataFrame, width: int = 3, seed: int = 6, tile: int = T
 
 
 def keep_one_each(docs: DataFrame, width: int = 3, seed: int = 6) -> DataFrame:
-    """One row of docs of each group, all its columns: that of the smallest doc_id, nulls last.
+    """One row of docs of each group, all its columns, whatever their names: that of the smallest doc_id, nulls last, and of
+    the rows of that id one. Null, empty and wordless texts are one group. An empty table gives an empty result.
 
     Rows are told apart by a key of their own, written once with them, as ids may be repeated or null.
     """
@@ -241,4 +242,5 @@ def keep_one_each(docs: DataFrame, width: int = 3, seed: int = 6) -> DataFrame:
 
 
 def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of all documents: nulls, empty texts and repeats as simhash_groups() says."""
     return simhash_groups(table(spark, sf_dir, "documents"))
