@@ -18,6 +18,8 @@ BITS = 64
 MAX_DIFFERENCE = 3
 BLOCKS = (11, 11, 11, 11, 10, 10)
 REFERENCES = 16
+#: Keys of rows to drop that are broadcast, at most (16 bytes each); more of them are joined by a shuffle.
+GONE = 1_000_000
 #: A bucket with more fingerprints than this is compared in tiles of this side, each a task's group of its own.
 TILE = 4096
 
@@ -238,7 +240,11 @@ def keep_one_each(docs: DataFrame, width: int = 3, seed: int = 6) -> DataFrame:
     fps = written(fingerprints(rows.select("doc_id", F.col(key).alias("row_key"), "text"), width, keep=("doc_id", "row_key")), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row_key")).alias("first"))
     kept = _labelled(classes, seed, TILE).groupBy("component").agg(F.min("first").alias("first"))
-    return rows.join(kept.select(F.col("first.row_key").alias(key)), key, "left_semi").select(*docs.columns)
+    gone = fps.select(F.col("row_key").alias(key)).join(kept.select(F.col("first.row_key").alias(key)), key, "left_anti")
+    gone = written(gone, "gone")
+    if gone.count() <= GONE:  # keys alone are shuffled, texts stay where they are read
+        gone = F.broadcast(gone)
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ from stepweave.llm import common, simhash
 SAME, OTHER, LOST = "one two three four five six seven", "the quick brown fox jumps over a lazy dog", "lost words are found here again"
 
 
-def test_repeated_and_null_ids_leave_one_row_a_group(spark):
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_repeated_and_null_ids_leave_one_row_a_group(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "GONE", most)
     rows = [(1, SAME), (1, SAME), (2, SAME), (None, SAME), (1, OTHER), (0, OTHER), (None, LOST), (None, LOST)]
     docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row_key int")
     kept = simhash.keep_one_each(docs)
