@@ -64,7 +64,11 @@ def uniform(*key: Column | str) -> Column:
 
 def poisson_multiplicity(*key: Column | str) -> Column:
     """How often a replicate takes a sequence, the key naming both: Poisson with mean 1."""
-    u = uniform(*key)
+    return poisson_of(uniform(*key))
+
+
+def poisson_of(u: Column) -> Column:
+    """The Poisson variable of mean 1 that a uniform one in [0, 1) stands for."""
     # fixed values: the distribution function of a Poisson variable of mean 1, at 0 to 9
     ends = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217)
     out = F.when(u < ends[0], 0)
@@ -90,7 +94,18 @@ def bootstrap_weights(model: Model, iterations: int, multiplicity: Column | None
     if draws is not None:
         taken = own.join(draws, list(seqs.ids))
     else:
-        taken = own.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("m", multiplicity).where("m > 0")
+        taken = _each_by_replicate(own, seqs, iterations).withColumn("m", F.explode(F.array(multiplicity))).where("m > 0").select(*model.groups, "rep", "m", F.inline("cells"))
+    return _weights_of(model, taken)
+
+
+def _each_by_replicate(own: DataFrame, seqs: Sequences, iterations: int) -> DataFrame:
+    """A row for each sequence and replicate, with the sequence's counts, states squared at most, in one array: what is
+    drawn for it is worked out once, in a generator, and not for each count."""
+    each = own.groupBy(*seqs.keys).agg(F.collect_list(F.struct("from_state", "to_state", "n")).alias("cells"))
+    return each.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+
+
+def _weights_of(model: Model, taken: DataFrame) -> DataFrame:
     counted = taken.groupBy(*model.groups, "rep", "from_state", "to_state").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
     return replicated(counted, (*model.groups, "rep"), model.labels, model.type_, model.scaling)
 
@@ -137,7 +152,10 @@ def bootstrap_tna(model: Model, iterations: int = 1000, level: float = 0.05, met
     variable of mean 1 by hash says. For draws of exactly as many sequences as there are, see drawn()."""
     if model.sequences is None:
         raise ValueError("the model has no sequences to resample")
-    again = bootstrap_weights(model, iterations, poisson_multiplicity(*model.sequences.ids, "rep", F.lit(seed)))
+    seqs = model.sequences
+    drawn_ = _each_by_replicate(cells(seqs, model.type_), seqs, iterations).withColumn("u", F.explode(F.array(uniform(*seqs.ids, "rep", F.lit(seed)))))
+    taken = drawn_.withColumn("m", poisson_of(F.col("u"))).where("m > 0").select(*model.groups, "rep", "m", F.inline("cells"))
+    again = _weights_of(model, taken)
     edges = bootstrap(model, again, level, method, consistency, threshold)
     return Bootstrap(again, edges, edges.where("weight > 0"))
 
