@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, embedding_dedup, language_id, licenses, mixing, quality, sentencepiece_nbest, simhash, toxicity, warc
+from . import ann, embedding_dedup, language_id, licenses, mixing, mtree, quality, runs, sentencepiece_nbest, simhash, spelling, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_nbest": sentencepiece_nbest.op1_sentencepiece_nbest,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_index": licenses.op8_license_index,
     "op9_language_hd": language_id.op9_language_hd,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_mtree_topk": mtree.op11_mtree_topk,
+    "op12_crochemore_runs": runs.op12_crochemore_runs,
+    "op13_spelling_grams": spelling.op13_spelling_grams,
 }
 
 #: SQL of the queries whose rows SQL can give. The others rest on trained models, random rounding, XXH64, lattices or
