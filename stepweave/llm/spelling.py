@@ -90,30 +90,37 @@ class Postings:
             for p, g in enumerate(grams(word, q)):
                 self.lists[g, p].append(k)
 
-    def near(self, word: str) -> Iterator[tuple[str, int]]:
-        """Indexed words one edit from a word as long or one longer.
+    def near(self, word: str, before: int | None = None) -> Iterator[tuple[str, int]]:
+        """Indexed words one edit from a word as long or one longer; with `before`, those at earlier places alone.
 
         Of the lists of the word's grams, at their own or the position before, an answer must be in all but q. So it is in
-        one of the q + 1 shortest, which a heap merges; the long ones are looked up for what comes out alone.
+        one of the q + 1 shortest, which a heap merges; in the others what comes out is looked up, until it misses too many.
         """
-        longer = len(word) - self.length
-        found = []
-        for p, g in enumerate(grams(word, self.q)):
-            lists = [x for shift in range(longer + 1) if (x := self.lists.get((g, p - shift)))]
-            found.append(lists)
-        bound = len(found) - self.q
-        if sum(map(bool, found)) < bound:
-            return
-        found.sort(key=lambda lists: sum(map(len, lists)))
-        short, long = found[: self.q + 1], found[self.q + 1 :]
-        streams = [lists[0] if len(lists) == 1 else sorted({*lists[0], *lists[1]}) for lists in short if lists]
-        for k, same in groupby(merge(*streams)):
-            count = sum(1 for _ in same)
-            if count + len(long) < bound:
-                continue
-            for lists in long:
-                count += any((i := bisect_left(x, k)) < len(x) and x[i] == k for x in lists)
-            if count >= bound and one_edit(word, self.words[k][0]):
+        longer, q, get = len(word) - self.length, self.q, self.lists.get
+        found, missed = [], 0
+        for p, g in enumerate(grams(word, q)):
+            x = get((g, p))
+            if longer and (y := get((g, p - 1))):
+                x = sorted({*x, *y}) if x else y
+            if before is not None and x:
+                x = x[: bisect_left(x, before)]
+            if x:
+                found.append(x)
+            else:
+                missed += 1
+                if missed > q:
+                    return
+        found.sort(key=len)
+        short, long = found[: q - missed + 1], found[q - missed + 1 :]
+        for k, same in groupby(merge(*short)):
+            misses = missed + len(short) - sum(1 for _ in same)
+            for x in long:
+                i = bisect_left(x, k)
+                if i == len(x) or x[i] != k:
+                    misses += 1
+                    if misses > q:
+                        break
+            if misses <= q and one_edit(word, self.words[k][0]):
                 yield self.words[k]
 
 
@@ -174,8 +181,8 @@ def near_words(words: DataFrame, q: int = GRAM) -> DataFrame:
                     _add(out, word, n, other, m, probe)
             if len(index) > 1:
                 made = made or Postings(index, q)
-                for word, n in index:
-                    for other, m in made.near(word):
+                for k, (word, n) in enumerate(index):
+                    for other, m in made.near(word, k):
                         _add(out, word, n, other, m, 0)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.string(), pa.int64()) * 2)], ["a", "a_n", "b", "b_n"])
@@ -199,7 +206,8 @@ def forms(words: DataFrame, times: int = 2, q: int = GRAM) -> DataFrame:
     """
     words = written(words, "words")
     pairs = near_words(words, q)
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("m")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("a_n").alias("m")))
+    turned = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("m")), F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("a_n").alias("m")))
+    both = pairs.select(F.inline(turned))
     # the least of (-n, word) is the most frequent, the smallest of tied ones
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
     known = written(words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(-F.col("best.m") >= F.col("n") * times, F.col("best.other")).alias("form"), F.when(-F.col("best.m") >= F.col("n") * times, -F.col("best.m")).alias("form_n")), "forms")
