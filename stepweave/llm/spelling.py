@@ -22,11 +22,11 @@ PAD = "\0"
 RUN = "[A-Za-zÀ-ÿ]+"
 
 
-def word_counts(docs: DataFrame, edit: Callable[[int | None, str], str] | None = None, shortest: int = 5, least: int = 3, run: str = RUN, id: str = "doc_id", text: str = "text") -> DataFrame:
+def word_counts(docs: DataFrame, edit: Callable[[int | None], Callable[[str], str]] | None = None, shortest: int = 5, least: int = 3, run: str = RUN, id: str = "doc_id", text: str = "text") -> DataFrame:
     """word and n (how often it comes in all whole texts) of words of `shortest` code points and `least` occurrences.
 
-    Words are maximal runs of letters; A-Z alone are lower-cased. `edit` may put another word in place of one of a
-    document. Counts are added up in each task, over HELD words at most, before they are shuffled.
+    Words are maximal runs of letters; A-Z alone are lower-cased. `edit` gives for a
+    document's id what puts other words in place of its words. Counts are added up in each task, over HELD words at most, before they are shuffled.
     """
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
@@ -38,8 +38,9 @@ def word_counts(docs: DataFrame, edit: Callable[[int | None, str], str] | None =
                 if edit is None:
                     held.update(own)
                 else:
+                    put = edit(i)
                     for w, n in Counter(own).items():
-                        held[edit(i, w)] += n
+                        held[put(w)] += n
                 if len(held) > HELD:
                     yield _counts(held, shortest)
                     held = Counter()
@@ -175,6 +176,8 @@ def near_words(words: DataFrame, q: int = GRAM) -> DataFrame:
                 if probe == 0:
                     index.append((word, n))
                     continue
+                if not index:
+                    break  # sorted first: nothing to find
                 if made is None:
                     made = Postings(index, q)
                 for other, m in made.near(word):
@@ -221,7 +224,7 @@ def forms(words: DataFrame, times: int = 2, q: int = GRAM) -> DataFrame:
     return known.join(ways.select("word", "root"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
-def variants(docs: DataFrame, edit: Callable[[int | None, str], str] | None = None, shortest: int = 5, least: int = 3, times: int = 2, run: str = RUN, id: str = "doc_id", text: str = "text") -> DataFrame:
+def variants(docs: DataFrame, edit: Callable[[int | None], Callable[[str], str]] | None = None, shortest: int = 5, least: int = 3, times: int = 2, run: str = RUN, id: str = "doc_id", text: str = "text") -> DataFrame:
     """forms() of the words of documents.
 
     Whole texts are read. Null texts have no words; null and repeated ids and repeated rows count as any others. Texts
@@ -230,13 +233,18 @@ def variants(docs: DataFrame, edit: Callable[[int | None, str], str] | None = No
     return forms(word_counts(docs, edit, shortest, least, run, id, text), times)
 
 
-def misspelt(doc_id: int | None, word: str) -> str:
-    """The word, without one of its letters where the crc32 of the document's id and the word is a multiple of 97."""
-    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
-    if h % 97:
-        return word
-    at = h % len(word)
-    return word[:at] + word[at + 1 :]
+def misspelt(doc_id: int | None) -> Callable[[str], str]:
+    """For a document's words: the word, without one of its letters where the crc32 of id and word is a multiple of 97."""
+    head = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+
+    def put(word: str, crc32=zlib.crc32) -> str:
+        h = crc32(word.encode(), head)
+        if h % 97:
+            return word
+        at = h % len(word)
+        return word[:at] + word[at + 1 :]
+
+    return put
 
 
 def op13_spelling_grams(spark: SparkSession, sf_dir: str) -> DataFrame:

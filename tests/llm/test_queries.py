@@ -48,7 +48,7 @@ def held(duck_id, n, fold):
     return zlib.crc32(str(duck_id).encode()) % n == fold
 
 
-@pytest.mark.parametrize("n", [2, 3])
+@pytest.mark.parametrize("n", [2, 3, 11, 12, 13])
 def test_rows_are_those_of_the_sql(run, duck, n):
     name, kinds, rows = run(n)
     want = duck.sql(__spark_entry__.oracle_sql()[name])
