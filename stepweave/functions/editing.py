@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
 
 MISSING = "*"
@@ -133,26 +136,15 @@ def pam(d: np.ndarray, k: int) -> np.ndarray:
 LINKAGES = ("single", "complete", "average", "mcquitty", "ward.D", "ward.D2", "median", "centroid")
 
 
-def hierarchical(d: np.ndarray, k: int, linkage: str, weights: np.ndarray | None = None) -> np.ndarray:
-    """Agglomeration by Lance and Williams; the first of tied pairs merges.
-
-    Every cluster keeps its nearest among those behind it, so that a merge looks at the clusters once and again only for those
-    whose nearest it changed.
+def merging(d: np.ndarray, sizes: np.ndarray, linkage: str) -> Iterator[tuple[int, int, float]]:
+    """The merges (i, j into it, their distance) of a matrix by Lance and Williams, the first of tied pairs first.
 
-    Clusters are numbered untouched points first, by index, then merged ones as they came to be. A weight is the number of
-    points at distance 0 that a row stands for; they count as merged, in the order of the rows, before anything else.
+    d holds what the formulas work on: squared distances for ward.D2. Every cluster keeps its nearest among those behind
+    it, so that a merge looks at the clusters once and again only for those whose nearest it changed.
     """
     n = len(d)
-    d = d.astype(float) ** (2 if linkage == "ward.D2" else 1)
+    d, sizes, alive = d.astype(float), sizes.astype(float), np.ones(n, bool)
     np.fill_diagonal(d, np.inf)
-    alive, sizes, made = np.ones(n, bool), np.ones(n), {}
-    if weights is not None:
-        sizes = weights.astype(float)
-        made = {int(i): i - n for i in np.flatnonzero(weights > 1)}
-        if linkage.startswith("ward"):
-            d = d * (2 * sizes[:, None] * sizes / (sizes[:, None] + sizes))
-            np.fill_diagonal(d, np.inf)
-    members = {i: [i] for i in range(n)}
     nearest, least = np.zeros(n, np.int64), np.full(n, np.inf)
 
     def look(i: int) -> None:
@@ -161,7 +153,7 @@ def hierarchical(d: np.ndarray, k: int, linkage: str, weights: np.ndarray | None
 
     for i in range(n):
         look(i)
-    for step in range(n - k):
+    for _ in range(n - 1):
         i = int(least.argmin())
         j = int(nearest[i])
         if not np.isfinite(least[i]):
@@ -192,10 +184,29 @@ def hierarchical(d: np.ndarray, k: int, linkage: str, weights: np.ndarray | None
         nearest[rest[closer]], least[rest[closer]] = i, new[closer]
         for m in rest[lost].tolist():
             look(m)
-        members[i] += members.pop(j)
         sizes[i] += nj
+        yield i, j, float(dij)
+
+
+def hierarchical(d: np.ndarray, k: int, linkage: str, weights: np.ndarray | None = None) -> np.ndarray:
+    """Agglomeration into k clusters.
+
+    Clusters are numbered untouched points first, by index, then merged ones as they came to be. A weight is the number of
+    points at distance 0 that a row stands for; they count as merged, in the order of the rows, before anything else.
+    """
+    n = len(d)
+    d = d.astype(float) ** (2 if linkage == "ward.D2" else 1)
+    sizes, made = np.ones(n), {}
+    if weights is not None:
+        sizes = weights.astype(float)
+        made = {int(i): i - n for i in np.flatnonzero(weights > 1)}
+        if linkage.startswith("ward"):
+            d = d * (2 * sizes[:, None] * sizes / (sizes[:, None] + sizes))
+    members = {i: [i] for i in range(n)}
+    for step, (i, j, _) in enumerate(islice(merging(d, sizes, linkage), max(0, n - k))):
+        members[i] += members.pop(j)
         made[i] = step
-    order = sorted(np.flatnonzero(alive).tolist(), key=lambda c: (c in made, made.get(c, c)))
+    order = sorted(members, key=lambda c: (c in made, made.get(c, c)))
     out = np.empty(n, int)
     for number, c in enumerate(order):
         out[members[c]] = number

@@ -6,17 +6,19 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import editing
+from . import linkage
 from .sequences import Sequences
-from .shared import written
+from .shared import numbered, written
 
-#: Sequences in a block of the distance matrix; different sequences whose matrix the driver takes for a linkage: 12 million
-#: pairs, 0.3 GB as they come, 0.2 GB as a matrix.
+#: Sequences in a block of the distance matrix; different sequences whose matrix one task takes for the linkages that have
+#: no rounds: 25 million distances, 0.2 GB.
 BLOCK, DRIVER_ROWS = 512, 5_000
 #: Metrics by which equal sequences are at distance 0: by lv and osa they are not.
 COLLAPSING = ("hamming", "lcs")
@@ -26,8 +28,11 @@ def arrays(seqs: Sequences, na_syms: tuple[str, ...] = ("*", "%")) -> DataFrame:
     """id and states: one array of all raw places a sequence, `*` for missing states and the symbols that stand for them."""
     (id,) = seqs.ids
     state = F.when(F.col("state").isNull() | F.col("state").isin(*na_syms), editing.MISSING).otherwise(F.col("state"))
-    rows = seqs.frame.groupBy(F.col(id).alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("raw_pos", state.alias("s")))).alias("m"), F.max("raw_pos").alias("last"))
-    return rows.select("id", F.transform(F.sequence(F.lit(0), "last"), lambda k: F.coalesce(F.element_at("m", k.cast("int")), F.lit(editing.MISSING))).alias("states"))
+    # by place, with as many missing states before each as there are places without a row
+    rows = seqs.frame.groupBy(F.col(id).alias("id")).agg(F.array_sort(F.collect_list(F.struct("raw_pos", state.alias("s")))).alias("places"))
+    gap = lambda x, k: F.when(k == 0, x["raw_pos"]).otherwise(x["raw_pos"] - F.element_at("places", k)["raw_pos"] - 1)
+    filled = F.transform("places", lambda x, k: F.concat(F.array_repeat(F.lit(editing.MISSING), gap(x, k).cast("int")), F.array(x["s"])))
+    return rows.select("id", F.flatten(filled).alias("states"))
 
 
 def _codes(column) -> np.ndarray:
@@ -40,33 +45,69 @@ def _codes(column) -> np.ndarray:
     return out
 
 
+def _matrix(left: pa.ChunkedArray, right: pa.ChunkedArray, metric: str, weighted: bool, lambda_: float) -> np.ndarray:
+    """Distances of the sequences of one list from those of another."""
+    if metric == "hamming":
+        codes = _codes(pa.chunked_array([*left.chunks, *right.chunks], left.type))
+        weights = np.exp(-lambda_ * np.arange(codes.shape[1])) if weighted else np.ones(codes.shape[1])
+        x, y = codes[: len(left)], codes[len(left) :]
+        d = np.zeros((len(x), len(y)))
+        for k, w in enumerate(weights):
+            d += w * (x[:, k, None] != y[None, :, k])
+        return d
+    sides = []  # equal sequences have equal distances
+    for side in (left, right):
+        number: dict = {}
+        at = np.array([number.setdefault(tuple(s), len(number)) for s in side.to_pylist()], np.int64)
+        sides.append((list(number), at))
+    (kinds, row), (others, column) = sides
+    return editing.edit_distances(metric, kinds, others)[row][:, column]
+
+
 def _block(metric: str, weighted: bool, lambda_: float):
     def run(part: pa.Table) -> pa.Table:
         """All pairs of one pair of blocks."""
-        order = np.lexsort((np.array(part.column("id").to_pylist()),))
-        part = part.take(pa.array(order))
-        ids, side = np.array(part.column("id").to_pylist()), np.array(part.column("side").to_pylist())
+        part = part.take(pa.array(np.lexsort((part.column("id").to_numpy(),))))
         same = part.column("x")[0].as_py() == part.column("y")[0].as_py()
-        left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        if metric == "hamming":
-            codes = _codes(part.column("states"))
-            weights = np.exp(-lambda_ * np.arange(codes.shape[1])) if weighted else np.ones(codes.shape[1])
-            d = np.zeros((len(left), len(right)))
-            for k, w in enumerate(weights):
-                d += w * (codes[left, k, None] != codes[None, right, k])
-        else:
-            number = {}  # equal sequences have equal distances
-            at = np.array([number.setdefault(tuple(s), len(number)) for s in part.column("states").to_pylist()], np.int64)
-            kinds = list(number)
-            (one, row), (two, column) = (np.unique(at[k], return_inverse=True) for k in (left, right))
-            d = editing.edit_distances(metric, [kinds[k] for k in one], [kinds[k] for k in two])[row][:, column]
+        left, right = (part, part) if same else (part.filter(pc.equal(part.column("side"), k)) for k in (0, 1))
+        d = _matrix(left.column("states"), right.column("states"), metric, weighted, lambda_)
         i, j = np.nonzero(np.triu(np.ones(d.shape, bool), 1) if same else np.ones(d.shape, bool))
-        a, b = ids[left[i]], ids[right[j]]
+        a, b = left.column("id").to_numpy()[i], right.column("id").to_numpy()[j]
         return pa.table({"i": np.minimum(a, b), "j": np.maximum(a, b), "d": d[i, j]})
 
     return run
 
 
+def _in_blocks(rows: DataFrame, own, blocks: int) -> DataFrame:
+    """Rows beside x, y and side: each in every pair of blocks that its own block, an expression, is part of."""
+    rows = rows.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return rows.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), *[c for c in rows.columns if c not in ("own", "other")])
+
+
+def _distance_rows(points: DataFrame, count: int, metric: str, weighted: bool, lambda_: float) -> DataFrame:
+    """idx and d of points (idx from 0, states): one row a point, its distances from all of them as doubles in order of idx."""
+    blocks = max(1, math.ceil(count / BLOCK))
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.take(pa.array(np.argsort(part.column("idx").to_numpy())))
+        x, y = part.column("x")[0].as_py(), part.column("y")[0].as_py()
+        left, right = (part, part) if x == y else (part.filter(pc.equal(part.column("side"), k)) for k in (0, 1))
+        d = _matrix(left.column("states"), right.column("states"), metric, weighted, lambda_)
+        sides = [(left, y, d)] if x == y else [(left, y, d), (right, x, d.T)]
+        return pa.table({
+            "idx": np.concatenate([p.column("idx").to_numpy() for p, _, _ in sides]), "part": pa.array([k for p, k, _ in sides for _ in range(p.num_rows)], pa.int32()),
+            "d": pa.array([np.ascontiguousarray(row).tobytes() for _, _, m in sides for row in m], pa.binary()),
+        })
+
+    def joined(batches):
+        for batch in batches:
+            rows = [b"".join(p["d"] for p in parts) for parts in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("idx"), pa.array(rows, pa.binary())], ["idx", "d"])
+
+    pieces = _in_blocks(points.select("idx", "states"), F.floor(F.col("idx") / BLOCK), blocks).groupBy("x", "y").applyInArrow(run, "idx long, part int, d binary")
+    return pieces.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("part", "d"))).alias("parts")).mapInArrow(joined, "idx long, d binary")
+
+
 def distances(seqs: Sequences, metric: str = "hamming", weighted: bool = False, lambda_: float = 1.0, na_syms: tuple[str, ...] = ("*", "%"), blocks: int | None = None) -> DataFrame:
     """i, j and d for all i < j, which is the result: it grows as the square of the sequences.
 
@@ -82,10 +123,8 @@ def _pairs(rows: DataFrame, metric: str, weighted: bool, lambda_: float, blocks:
     """distances() of rows with id and states."""
     if blocks is None:
         blocks = max(1, math.ceil(rows.count() / BLOCK))
-    rows = rows.select("id", "states").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "states")
-    return rows.groupBy("x", "y").applyInArrow(_block(metric, weighted, lambda_), "i long, j long, d double")
+    dealt = _in_blocks(rows.select("id", "states"), F.pmod(F.xxhash64("id"), F.lit(blocks)), blocks)
+    return dealt.groupBy("x", "y").applyInArrow(_block(metric, weighted, lambda_), "i long, j long, d double")
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -105,6 +144,8 @@ def sequence_silhouette(seqs: Sequences, member: DataFrame, metric: str = "hammi
     Equal sequences must be at distance 0, which lv and osa do not give them: these are not collapsed.
     """
     rows = _trimmed(seqs, na_syms)
+    if metric == "hamming":
+        return _hamming_silhouette(written(classes(rows)), rows, member, weighted, lambda_)
     kinds = classes(rows) if metric in COLLAPSING else rows.withColumns({"last": F.col("id"), "n": F.lit(1).cast("long")})
     dist = _pairs(kinds, metric, weighted, lambda_)
     if metric not in COLLAPSING:
@@ -112,6 +153,40 @@ def sequence_silhouette(seqs: Sequences, member: DataFrame, metric: str = "hammi
     return _silhouette_of_classes(dist, _class_of(rows, kinds), member)
 
 
+def hamming_sums(kinds: DataFrame, counts: DataFrame, weighted: bool = False, lambda_: float = 1.0) -> DataFrame:
+    """i, cluster and sum: the Hamming distances of each of the kinds (id, states) from all sequences of each cluster, summed.
+
+    counts: class (the id of a kind), cluster and n. A sequence is at no distance from those that have its state at a
+    place, so its sum is the clusters' size times all places less what a histogram of states by cluster and place holds
+    of it: no pair is made. Behind its end a sequence has missing states, which those as short or missing there share.
+    """
+    weight = F.exp(F.lit(-lambda_) * F.col("p")) if weighted else F.lit(1.0)
+    width = kinds.agg(F.coalesce(F.max(F.size("states")), F.lit(0)).alias("width"))
+    ps = F.posexplode("states").alias("p", "s")
+    sized = counts.groupBy("cluster").agg(F.sum("n").alias("size"))
+    held = kinds.select(F.col("id").alias("class"), ps).join(counts, "class").groupBy("cluster", "p", "s").agg(F.sum("n").alias("c"))
+    # one row a cluster and place: what is there in all, what is missing or ended, and the latter from there on
+    grid = sized.crossJoin(F.broadcast(width)).select("cluster", "size", F.explode(F.sequence(F.lit(0), F.col("width"))).alias("p"))
+    there = held.groupBy("cluster", "p").agg(F.sum(F.when(F.col("s") != editing.MISSING, F.col("c")).otherwise(0)).alias("there"))
+    gone = grid.join(there, ["cluster", "p"], "left").withColumn("missing", F.col("size") - F.coalesce("there", F.lit(0)))
+    onward = Window.partitionBy("cluster").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.when(F.col("p") < F.col("width"), weight).otherwise(F.lit(0.0))
+    gone = gone.crossJoin(F.broadcast(width)).select("cluster", "p", "size", F.col("missing").cast("double").alias("missing"), F.sum(F.col("missing") * inside).over(onward).alias("tail"), F.sum(inside).over(onward).alias("places"))
+    own = kinds.select(F.col("id").alias("i"), ps)
+    missing = gone.select("cluster", "p", F.lit(editing.MISSING).alias("s"), F.col("missing").alias("c"))
+    same = held.where(F.col("s") != editing.MISSING).select("cluster", "p", "s", F.col("c").cast("double").alias("c")).unionByName(missing)
+    shared = own.join(same, ["p", "s"]).groupBy("i", "cluster").agg(F.sum(weight * F.col("c")).alias("shared"))
+    ends = kinds.select(F.col("id").alias("i"), F.size("states").alias("p")).join(gone.select("cluster", "p", "tail"), "p")
+    whole = gone.where("p = 0").select("cluster", "size", "places")
+    met = ends.join(F.broadcast(whole), "cluster").join(shared, ["i", "cluster"], "left")
+    return met.select("i", "cluster", (F.col("size") * F.col("places") - F.coalesce("shared", F.lit(0.0)) - F.col("tail")).alias("sum"), "size")
+
+
+def _hamming_silhouette(kinds: DataFrame, rows: DataFrame, member: DataFrame, weighted: bool, lambda_: float) -> DataFrame:
+    counts = written(_class_of(rows, kinds).join(member, "id").groupBy("class", "cluster").agg(F.count("*").alias("n")))
+    return _silhouette_of_sums(hamming_sums(kinds, counts, weighted, lambda_), counts)
+
+
 def _class_of(rows: DataFrame, kinds: DataFrame) -> DataFrame:
     """id and the class of each row."""
     return rows.join(kinds.select(F.col("id").alias("class"), "states"), "states").select("id", "class")
@@ -123,6 +198,11 @@ def _silhouette_of_classes(dist: DataFrame, class_of: DataFrame, member: DataFra
     both = dist.select("i", "j", "d").unionByName(dist.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
     both = both.unionByName(counts.select(F.col("class").alias("i"), F.col("class").alias("j"), F.lit(0.0).alias("d")).distinct())
     sums = both.join(counts.withColumnRenamed("class", "j"), "j").groupBy("i", "cluster").agg(F.sum(F.col("n") * F.col("d")).alias("sum")).join(F.broadcast(sizes), "cluster")
+    return _silhouette_of_sums(sums, counts)
+
+
+def _silhouette_of_sums(sums: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row, the mean silhouette of classes with n sequences in a cluster (counts), from sums of distances (i, cluster, sum, size)."""
     own = counts.select(F.col("class").alias("i"), F.col("cluster").alias("own"), "n")
     inner = F.col("cluster") == F.col("own")
     sides = own.join(sums, "i").groupBy("i", "own", "n").agg(
@@ -158,7 +238,8 @@ class Clusters:
 def _pam(dist: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
     """id of each of the kinds (id, last, n) and its cluster: editing.pam with its choices among ties, every cost a sum by Spark.
 
-    The driver gets one candidate a step. A step reads the written distances once.
+    The driver gets one candidate a slot. A medoid of BUILD takes one pass over the written distances, and so does every
+    swap that is made, with one more at the end: slots that gain nothing share the pass of those before.
     """
     turned = dist.select("i", "j", "d").unionByName(dist.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
     turned = turned.unionByName(kinds.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d")))
@@ -180,39 +261,56 @@ def _pam(dist: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
         if best is None:  # fewer different sequences than clusters: the others stay empty
             break
         medoids.append(best.i)
-    for _ in range(100 if len(medoids) == k else 0):
-        changed = False
-        for slot, present in enumerate(medoids):
-            rest = [m for j, m in enumerate(medoids) if j != slot]
-            costs = to_nearest(rest).groupBy("i", "last").agg(F.sum(F.col("n") * F.least("near", "d")).alias("cost")).where(~F.col("i").isin(rest))
-            found = chosen(costs, present)
-            if found.best.cost < found.now:
-                medoids[slot], changed = found.best.i, True
-        if not changed:
-            break
+    slot, sweeps, quiet = 0, 0, 0
+    found = _swaps(both, medoids) if len(medoids) == k else {}
+    while found and sweeps < 100 and quiet < k:  # until no slot gains
+        best, now, i = found[slot]
+        if best < now:
+            medoids[slot], quiet = i, 0
+            found = _swaps(both, medoids)
+        else:
+            quiet += 1
+        slot, sweeps = (slot + 1) % k, sweeps + (slot + 1 == k)
     number = F.create_map(*[F.lit(x).cast(t) for slot, m in enumerate(medoids) for x, t in ((m, "long"), (slot + 1, "int"))])
     return both.where(F.col("i").isin(medoids)).groupBy(F.col("j").alias("id")).agg(F.min(F.struct("d", F.element_at(number, F.col("i")).alias("cluster"))).cluster.alias("cluster"))
 
 
-def _hierarchical(dist: DataFrame, kinds: DataFrame, k: int, method: str) -> DataFrame:
-    """id of each of the kinds (id, n) and its cluster, by the whole matrix of the kinds on the driver."""
-    rows = kinds.select("id", "n").orderBy("id").limit(DRIVER_ROWS + 1).toPandas()
-    if len(rows) > DRIVER_ROWS:
-        raise ValueError(f"more than {DRIVER_ROWS} different sequences: cluster a part of them")
-    pairs = dist.toPandas()
-    d = np.zeros((len(rows), len(rows)))
-    i, j = np.searchsorted(rows.id, pairs.i), np.searchsorted(rows.id, pairs.j)
-    d[i, j] = d[j, i] = pairs.d
-    member = editing.hierarchical(d, k, method, rows.n.to_numpy())
-    return dist.sparkSession.createDataFrame(pd.DataFrame({"id": rows.id, "cluster": member + 1}), "id long, cluster int")
+def _swaps(both: DataFrame, medoids: list) -> dict[int, tuple[float, float, int]]:
+    """For each slot of a medoid: the least cost with another point in its place, the present cost, and that point, the first of tied ones.
+
+    One pass for all slots: beside its distance a point brings that of its nearest and second-nearest medoid. With i in
+    the place of the nearest one, it costs the least of d and the second, with i in another's, the least of d and the nearest.
+    """
+    slots = F.create_map(*[F.lit(x).cast(t) for slot, m in enumerate(medoids) for x, t in ((m, "long"), (slot, "int"))])
+    far = F.lit(float("inf"))
+    near = F.array_sort(F.collect_list(F.struct("d", F.element_at(slots, F.col("i")).alias("slot"))))
+    held = both.where(F.col("i").isin(medoids)).groupBy("j").agg(near.alias("near"))
+    held = held.select("j", F.col("near")[0]["slot"].alias("slot"), F.col("near")[0]["d"].alias("first"), (F.col("near")[1]["d"] if len(medoids) > 1 else far).alias("second"))
+    sums = both.join(held, "j").groupBy("i", "slot").agg(F.sum(F.col("n") * F.least("first", "d")).alias("kept"), F.sum(F.col("n") * F.least("second", "d")).alias("lost"))
+    each = sums.groupBy("i").agg(F.sum("kept").alias("all"), F.collect_list(F.struct("slot", "kept", "lost")).alias("of"))
+    costs = each.select("i", "all", F.inline("of")).select("i", "slot", (F.col("all") - F.col("kept") + F.col("lost")).alias("cost"))
+    own = F.element_at(F.lit([int(m) for m in medoids]).cast("array<long>"), F.col("slot") + 1)
+    costs = costs.where((F.col("i") == own) | ~F.col("i").isin(medoids))
+    best = costs.groupBy("slot").agg(F.min(F.struct("cost", "i")).alias("best"), F.max(F.when(F.col("i") == own, F.col("cost"))).alias("now"))
+    return {r.slot: (r.best.cost, r.now, r.best.i) for r in best.collect()}
+
+
+def _hierarchical(kinds: DataFrame, k: int, method: str, metric: str, weighted: bool, lambda_: float) -> DataFrame:
+    """id of each of the kinds (id, states, n) and its cluster."""
+    points = written(numbered(kinds.select("id", "states", "n"), ("id",)))
+    sizes = points.select("idx", "n").orderBy("idx").limit(linkage.POINTS + 1).toPandas().n.to_numpy()  # a number a point
+    found = linkage.clusters(_distance_rows(points, len(sizes), metric, weighted, lambda_), sizes, k, method, DRIVER_ROWS)
+    number = points.sparkSession.createDataFrame(found, "idx long, cluster int")
+    return points.select("id", "idx").join(number, "idx").select("id", "cluster")
 
 
 def cluster_sequences(seqs: Sequences, k: int, dissimilarity: str = "hamming", method: str = "pam", na_syms: tuple[str, ...] = ("*", "%"), weighted: bool = False, lambda_: float = 1.0, blocks: int | None = None) -> Clusters:
     """Clusters (from 1) by PAM or a linkage of hierarchical clustering.
 
     Equal sequences are one point of their number, except by lv and osa, which do not give them distance 0. PAM runs as
-    Spark jobs. A linkage merges one pair after the other over the whole matrix, which the driver takes: more than
-    DRIVER_ROWS points raise an error before any distance is collected.
+    Spark jobs, and so do linkages, as rounds of merges: see linkage. Median and centroid, by which merges can bring
+    clusters closer, have no rounds: one task takes their matrix, and more than DRIVER_ROWS points raise an error.
+    Up to linkage.SMALL points the first of tied pairs merges first; in rounds ties are broken by a hash of the pair.
     """
     if method != "pam" and method not in editing.LINKAGES:
         raise ValueError(f"unknown method {method!r}; known are pam, {', '.join(editing.LINKAGES)}")
@@ -228,11 +326,14 @@ def cluster_sequences(seqs: Sequences, k: int, dissimilarity: str = "hamming", m
         if method != "pam" and kinds.count() < k:  # equal sequences must part
             kinds = single
     dist = _pairs(kinds, dissimilarity, weighted, lambda_, blocks)
-    found = _pam(dist, kinds, k) if method == "pam" else _hierarchical(dist, kinds, k, method)
+    found = _pam(dist, kinds, k) if method == "pam" else _hierarchical(kinds, k, method, dissimilarity, weighted, lambda_)
     if kinds is single:
         member = written(found)
     else:
         member = written(_class_of(rows, kinds).join(found.withColumnRenamed("id", "class"), "class").select("id", "cluster"))
     sizes = {r.cluster: r["count"] for r in member.groupBy("cluster").count().collect()}
-    score = silhouette(dist, member) if kinds is single else _silhouette_of_classes(dist, _class_of(rows, kinds), member)
+    if dissimilarity == "hamming":
+        score = _hamming_silhouette(kinds, rows, member, weighted, lambda_) if kinds is not single else sequence_silhouette(seqs, member, "hamming", weighted, lambda_, na_syms)
+    else:
+        score = silhouette(dist, member) if kinds is single else _silhouette_of_classes(dist, _class_of(rows, kinds), member)
     return Clusters(member, distances(seqs, dissimilarity, weighted, lambda_, na_syms, blocks), k, method, score.first()[0] or 0.0, [sizes.get(c + 1, 0) for c in range(k)])

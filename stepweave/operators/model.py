@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,7 +67,7 @@ class Model:
 
     def group(self, **values) -> Model:
         """One group's model, or those of some values of the group columns."""
-        pick = lambda df: df.where(" and ".join(f"`{k}` = '{v}'" for k, v in values.items()))
+        pick = lambda df: df.where(reduce(and_, [F.col(k).eqNullSafe(F.lit(v)) for k, v in values.items()]))
         seqs = self.sequences and replace(self.sequences, frame=pick(self.sequences.frame))
         return replace(self, weights=pick(self.weights), inits=pick(self.inits), sequences=seqs)
 
@@ -109,7 +111,7 @@ def build_model(seqs: Sequences, type_: str = "relative", scaling: str | list[st
     """
     groups = seqs.groups
     if groups:
-        seqs = replace(seqs, frame=seqs.frame.where(" and ".join(f"`{g}` is not null" for g in groups)))
+        seqs = replace(seqs, frame=seqs.frame.where(reduce(and_, [F.col(g).isNotNull() for g in groups])))
     spark = seqs.frame.sparkSession
     known = spark.createDataFrame([(x,) for x in labels], "label string") if labels is not None else seqs.labels()
     counted, first = counts(seqs, type_, **params), initial_counts(seqs, type_, **params)

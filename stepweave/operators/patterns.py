@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.stats import p_adjust
+from .replicates import chunks, permuted, placed, summed
 from .sequences import Sequences
+from .shared import written
 
 
 def occurrences(seqs: Sequences, sub: tuple[int, ...] = (1, 2, 3, 4, 5)) -> DataFrame:
@@ -26,12 +32,21 @@ def _counted(rows: DataFrame, group: str) -> DataFrame:
 
 def statistic(freqs: DataFrame, group: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per pattern the root of the summed squares of observed less expected frequencies, expected from the margins of the
-    patterns of all lengths. Groups in which a pattern never comes count with an observed frequency of 0."""
-    of_group = freqs.groupBy(*keys, group).agg(F.sum("n").alias("of_group"))  # groups are few
-    of_all = of_group.groupBy(*keys).agg(F.sum("of_group").alias("of_all"))
-    totals = of_group.join(of_all, list(keys)) if keys else of_group.crossJoin(F.broadcast(of_all))  # one row
-    rows = freqs.withColumn("of_pattern", F.sum("n").over(Window.partitionBy(*keys, "length", "pattern"))).join(totals, [*keys, group])
-    return rows.groupBy(*keys, "length", "pattern").agg(F.sqrt(F.sum(F.pow(F.col("n") - F.col("of_pattern") * F.col("of_group") / F.col("of_all"), F.lit(2.0)))).alias("statistic"))
+    patterns of all lengths. Groups in which a pattern never comes count with an observed frequency of 0, row or no row."""
+    rows = freqs.withColumn("of_pattern", F.sum("n").over(Window.partitionBy(*keys, "length", "pattern")))
+    return _statistic(rows, freqs.groupBy(*keys, group).agg(F.sum("n").alias("of_group")), group, keys)
+
+
+def _statistic(rows: DataFrame, of_group: DataFrame, group: str, keys: tuple[str, ...]) -> DataFrame:
+    """statistic() of frequencies that have of_pattern beside them. Where a pattern has no row for a group, its square is
+    that of what is expected: those come from the squared totals of all groups less those of the groups with a row."""
+    square = F.col("of_group") * F.col("of_group")
+    whole = of_group.groupBy(*keys).agg(F.sum("of_group").alias("of_all"), F.sum(square).alias("squares"))
+    totals = of_group.join(whole, list(keys)) if keys else of_group.crossJoin(F.broadcast(whole))  # one row
+    share = F.col("of_pattern") / F.col("of_all")
+    met = rows.join(F.broadcast(totals), [*keys, group])  # replicates times groups
+    off = F.sum(F.pow(F.col("n") - share * F.col("of_group"), F.lit(2.0))) + F.pow(F.first(share), F.lit(2.0)) * (F.first("squares") - F.sum(square))
+    return met.groupBy(*keys, "length", "pattern").agg(F.sqrt(off).alias("statistic"))
 
 
 def filled(freqs: DataFrame, names: DataFrame, group: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -45,37 +60,90 @@ def _two_groups(seqs: Sequences, group: str) -> None:
         raise ValueError("patterns are compared between two groups at least")
 
 
+def _levels(places: DataFrame, group: str, names: int, longest: int, min_freq: int):
+    """For each length the counts (pattern, group, n) of its candidates, and of them the patterns that pass in every group.
+
+    places: a row for each state that is there, with its stretch of places without a hole. A run of k is a candidate only
+    if the two runs of k - 1 in it passed, as no run comes more often than a part of it.
+    """
+    w = Window.partitionBy("__id", "__stretch").orderBy("raw_pos")
+    now = places.withColumn("pattern", F.col("state"))
+    for k in range(1, longest + 1):
+        counted = now.where("pattern is not null").groupBy("pattern", group).agg(F.count("*").alias("n"))
+        counted = written(counted, "pattern_counts")
+        passing = counted.where(F.col("n") >= min_freq).groupBy("pattern").agg(F.count("*").alias("groups")).where(F.col("groups") == names).select("pattern")
+        yield k, counted, passing
+        if k < longest:
+            marked = now.join(passing.withColumn("good", F.lit(True)), "pattern", "left")
+            grown = F.when(F.col("good") & F.lead("good").over(w), F.concat_ws("->", "pattern", F.lead("state", k).over(w)))
+            now = marked.select("__id", "__stretch", "raw_pos", group, "state", grown.alias("pattern"))
+
+
 def compare(seqs: Sequences, group: str, sub: tuple[int, ...] = (1, 2, 3, 4, 5), min_freq: int = 5) -> DataFrame:
-    """pattern, length, group, freq and prop of patterns that every group has at least min_freq times.
+    """pattern, length, group, freq and prop of patterns that every group has at least min_freq times, by length, pattern and group.
 
-    Proportions are within length and group and count patterns that don't pass, too.
+    Proportions are within length and group and count patterns that don't pass, too: every window of so many places
+    without a hole. Patterns grow a place at a time out of those that passed. Sequences of a null group don't count.
     """
     if group not in seqs.groups:
         raise TypeError("sequences must have the column as a group")
     if not sub or min(sub) < 1:
         raise ValueError("lengths of patterns start at 1")
     _two_groups(seqs, group)
-    runs = occurrences(seqs, tuple(sub)).groupBy("length", "pattern", group).agg(F.count("*").alias("n"))
-    names = seqs.frame.select(group).distinct().where(F.col(group).isNotNull())
-    rows = filled(runs.where(F.col(group).isNotNull()), names, group)
-    share = F.sum("n").over(Window.partitionBy("length", group))
-    rows = rows.withColumn("prop", F.when(share > 0, F.col("n") / share).otherwise(F.lit(0.0))).withColumn("least", F.min("n").over(Window.partitionBy("length", "pattern")))
-    return rows.where(F.col("least") >= min_freq).select("pattern", "length", group, F.col("n").alias("freq"), "prop")
+    seqs = _grouped(seqs, group)
+    names = seqs.frame.select(group).distinct()
+    if min_freq < 1:  # what never comes in a group passes as well
+        runs = occurrences(seqs, tuple(sub)).groupBy("length", "pattern", group).agg(F.count("*").alias("n"))
+        share = F.sum("n").over(Window.partitionBy("length", group))
+        rows = filled(runs, names, group).withColumn("prop", F.when(share > 0, F.col("n") / share).otherwise(F.lit(0.0)))
+        return rows.select("pattern", "length", group, F.col("n").alias("freq"), "prop").orderBy("length", "pattern", group)
+    w = seqs.window()
+    stretch = F.col("raw_pos") - F.row_number().over(w)
+    places = seqs.present().select(F.struct(*seqs.keys).alias("__id"), group, "raw_pos", "state", stretch.alias("__stretch"))
+    ahead = F.count("*").over(Window.partitionBy("__id", "__stretch").orderBy(F.col("raw_pos").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    lengths = F.array(*[F.lit(k) for k in sub])
+    windows = places.select(group, ahead.alias("ahead")).select(group, F.explode(F.filter(lengths, lambda k: k <= F.col("ahead"))).alias("length")).groupBy("length", group).agg(F.count("*").alias("windows"))
+    parts = None
+    for k, counted, passing in _levels(places, group, names.count(), max(sub), min_freq):
+        if k in sub:
+            rows = counted.join(passing, "pattern", "left_semi").withColumn("length", F.lit(k))
+            parts = rows if parts is None else parts.unionByName(rows)
+    met = parts.join(windows, ["length", group])
+    return met.select("pattern", "length", group, F.col("n").alias("freq"), (F.col("n") / F.col("windows")).alias("prop")).orderBy("length", "pattern", group)
+
+
+def _grouped(seqs: Sequences, group: str) -> Sequences:
+    """Without sequences of a null group."""
+    return replace(seqs, frame=seqs.frame.where(F.col(group).isNotNull()))
 
 
 def permutation_test(seqs: Sequences, group: str, assignment: DataFrame, sub: tuple[int, ...] = (1, 2, 3, 4, 5), min_freq: int = 5, adjust: str = "bonferroni") -> DataFrame:
     """pattern, length, statistic, effect size, p value and adjusted p value, given shuffled groups.
 
     assignment: rep, the sequences' ids, and `group` for every replicate of every sequence. Runs are counted by sequence
-    once; a replicate adds those counts up by its groups. Adjustment is within a length, over all patterns.
+    once; a replicate adds those counts up by its groups. Adjustment is within a length, over all patterns. Sequences of a
+    null group, in the data or in a replicate, don't count.
     """
     _two_groups(seqs, group)
-    runs = occurrences(seqs, tuple(sub)).groupBy(*seqs.keys, "length", "pattern").agg(F.count("*").alias("n"))
-    names = seqs.frame.select(group).distinct()
-    freqs = filled(_counted(runs, group), names, group)
-    real = statistic(freqs, group)
-    shuffled = runs.drop(group).join(assignment, list(seqs.ids)).groupBy("rep", "length", "pattern", group).agg(F.sum("n").alias("n"))
-    again = statistic(filled(shuffled, names, group, ("rep",)), group, ("rep",)).withColumnRenamed("statistic", "s")
+    seqs = _grouped(seqs, group)
+    runs, freqs = _runs_by_sequence(seqs, group, sub)
+    shuffled = runs.drop(group).join(assignment.where(F.col(group).isNotNull()), list(seqs.ids)).groupBy("rep", "length", "pattern", "of_pattern", group).agg(F.sum("n").alias("n"))
+    return _tested(freqs, shuffled, seqs.frame.select(group).distinct(), group, min_freq, adjust)
+
+
+def _runs_by_sequence(seqs: Sequences, group: str, sub: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """Counts of runs by sequence, and by group, both with of_pattern, how often the run comes in all."""
+    runs = written(occurrences(seqs, tuple(sub)).groupBy(*seqs.keys, "length", "pattern").agg(F.count("*").alias("n")), "runs")
+    freqs = _counted(runs, group)
+    whole = freqs.groupBy("length", "pattern").agg(F.sum("n").alias("of_pattern"))
+    return runs.join(whole, ["length", "pattern"]), freqs.join(whole, ["length", "pattern"])
+
+
+def _tested(freqs: DataFrame, shuffled: DataFrame, names: DataFrame, group: str, min_freq: int, adjust: str) -> DataFrame:
+    of_group = lambda rows, *keys: rows.groupBy(*keys, group).agg(F.sum("n").alias("of_group"))
+    real = _statistic(freqs, of_group(freqs), group, ())
+    shuffled = written(shuffled, "shuffled")
+    again = _statistic(shuffled, of_group(shuffled, "rep"), group, ("rep",)).withColumnRenamed("statistic", "s")
     met = again.join(real, ["length", "pattern"])
     sd = F.stddev_pop("s")
     tested = met.groupBy("length", "pattern", "statistic").agg(
@@ -83,5 +151,33 @@ def permutation_test(seqs: Sequences, group: str, assignment: DataFrame, sub: tu
         ((F.sum(F.when(F.col("s") >= F.col("statistic"), 1).otherwise(0)) + 1) / (F.count("*") + 1)).alias("p_value"),
     )
     tested = p_adjust(tested, "p_value", adjust, ("length",))
-    passing = freqs.groupBy("length", "pattern").agg(F.min("n").alias("least")).where(F.col("least") >= min_freq)
-    return tested.join(passing.drop("least"), ["length", "pattern"])
+    if min_freq < 1:
+        return tested
+    passing = freqs.where(F.col("n") >= min_freq).groupBy("length", "pattern").agg(F.count("*").alias("groups"))
+    count = names.agg(F.count("*").alias("names"))
+    passing = passing.crossJoin(F.broadcast(count)).where("groups = names").select("length", "pattern")  # one row
+    return tested.join(passing, ["length", "pattern"], "left_semi")
+
+
+def permuted_patterns(seqs: Sequences, group: str, iterations: int = 1000, sub: tuple[int, ...] = (1, 2, 3, 4, 5), min_freq: int = 5, adjust: str = "bonferroni", seed: int = 0) -> DataFrame:
+    """permutation_test() in one call, by adjusted p value, length and pattern: a replicate deals the groups out anew, each to
+    as many sequences as it has, for any number of sequences."""
+    _two_groups(seqs, group)
+    seqs = _grouped(seqs, group)
+    each = seqs.frame.select(*seqs.keys).distinct()
+    sizes = [(r[group], r.n) for r in each.groupBy(group).agg(F.count("*").alias("n")).orderBy(group).collect()]  # groups are few
+    ends, chunked = np.cumsum([n for _, n in sizes]), chunks(iterations)
+
+    def dealt(start, total, first, size):
+        for reps in chunked:
+            side = np.searchsorted(ends, permuted(np.arange(first, first + size), total, reps, seed), side="right")
+            for label in range(len(sizes)):
+                yield label, reps.start, side == label
+
+    runs, freqs = _runs_by_sequence(seqs, group, sub)
+    what = ("length", "pattern", "of_pattern")
+    shuffled = summed(placed(runs, each, seqs.keys), (), what, dealt)
+    kind = each.schema[group].dataType
+    names = each.sparkSession.createDataFrame([(k, g) for k, (g, _) in enumerate(sizes)], StructType([StructField("label", IntegerType()), StructField(group, kind)]))
+    shuffled = shuffled.join(F.broadcast(names), "label").select("rep", *what, group, "n")
+    return _tested(freqs, shuffled, names.select(group), group, min_freq, adjust).orderBy("p_adjusted", "length", "pattern")

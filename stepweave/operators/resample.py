@@ -1,9 +1,12 @@
 """Bootstrap, permutation and stability of models, over replicates as one more key of a plan.
 
-A replicate is a table of how often it takes each sequence, or of the side each sequence is on. It may be drawn on the
-driver by numpy (bit for bit repeatable, for as many sequences as a driver holds), or be an expression of the sequence's
-key and the replicate's number, for any number of sequences: counts by sequence are multiplied on the executors and
-added up before the shuffle, so what moves is replicates times edges, however many sequences there are.
+The calls that take a model, bootstrap_tna, permutation_test_models, permutation_test_edges and estimate_cs, draw exactly
+(n of n, sides of their sizes, shares of their sizes) for any number of sequences, by blocks of sequences: see
+replicates. What moves is replicates times edges for each task, however many sequences there are.
+
+Where a replicate is given, it is a table of how often it takes each sequence, or of the side each sequence is on: drawn
+on the driver by numpy, for as many sequences as a driver holds, or an expression of the sequence's key and the
+replicate's number.
 """
 
 from __future__ import annotations
@@ -18,25 +21,37 @@ from pyspark.sql.window import Window
 
 from ..functions import graph
 from ..functions.stats import p_adjust
+from . import replicates
 from . import scaling as scalings
-from .model import Model
+from .model import Model, build_model
+from .replicates import chunks, key, mixed, multiplicities, permuted, placed, summed
 from .sequences import Sequences
+from .shared import written
+from .transitions import blocks_of
 
 DRIVER_DRAWS = 50_000_000
 COUNTED = ("relative", "frequency", "reverse", "co-occurrence")
 
 
-def cells(seqs: Sequences, type_: str = "relative") -> DataFrame:
-    """keys, from_state, to_state and n: the counts of every sequence, by raw places: a hole breaks a pair."""
+def cells(seqs: Sequences, type_: str = "relative", params: dict | None = None) -> DataFrame:
+    """keys, from_state, to_state and n: the counts of every sequence, by raw places: a hole breaks a pair.
+
+    params are those of the model: of a windowed co-occurrence model pairs are counted within blocks of places.
+    """
     if type_ not in COUNTED:
         raise ValueError(f"models of type {type_!r} can't be resampled; those of {', '.join(COUNTED)} can")
-    w = seqs.window()
+    w, windowed = seqs.window(), bool((params or {}).get("windowed"))
     if type_ == "co-occurrence":
-        counts = seqs.present().groupBy(*seqs.keys, "state").agg(F.count("*").cast("double").alias("c"))
-        left = counts.select(*seqs.keys, F.col("state").alias("from_state"), F.col("c").alias("a"))
-        both = left.join(counts.select(*seqs.keys, F.col("state").alias("to_state"), F.col("c").alias("b")), list(seqs.keys))
-        n = F.when(F.col("from_state") == F.col("to_state"), F.col("a") * (F.col("a") - 1) / 2).otherwise(F.col("a") * F.col("b"))
-        return both.select(*seqs.keys, "from_state", "to_state", n.alias("n")).where("n > 0")
+        keys, rows = seqs.keys, seqs.present()
+        if windowed:
+            keys, rows = (*keys, "block"), blocks_of(seqs, params.get("window_size", 1), params.get("window_span", 1))
+        counts = rows.groupBy(*keys, "state").agg(F.count("*").cast("double").alias("c"))
+        left = counts.select(*keys, F.col("state").alias("from_state"), F.col("c").alias("a"))
+        both = left.join(counts.select(*keys, F.col("state").alias("to_state"), F.col("c").alias("b")), list(keys))
+        own = F.col("a") * F.col("a") if windowed else F.col("a") * (F.col("a") - 1) / 2
+        n = F.when(F.col("from_state") == F.col("to_state"), own).otherwise(F.col("a") * F.col("b"))
+        found = both.select(*seqs.keys, "from_state", "to_state", n.alias("n")).where("n > 0")
+        return found.groupBy(*seqs.keys, "from_state", "to_state").agg(F.sum("n").alias("n")) if windowed else found
     to = F.when(F.lead("raw_pos").over(w) == F.col("raw_pos") + 1, F.lead("state").over(w))
     pairs = seqs.frame.select(*seqs.keys, F.col("state").alias("from_state"), to.alias("to_state")).where("from_state is not null and to_state is not null")
     if type_ == "reverse":
@@ -77,25 +92,37 @@ def poisson_of(u: Column) -> Column:
     return out.otherwise(len(ends))
 
 
-def replicated(counted: DataFrame, keys: tuple[str, ...], labels: DataFrame, type_: str, scaling: tuple[str, ...] = ()) -> DataFrame:
-    """Dense weights of every replicate from its counts (keys, from_state, to_state, n)."""
+def replicated(counted: DataFrame, keys: tuple[str, ...], labels: DataFrame, type_: str, scaling: tuple[str, ...] = (), grid: DataFrame | None = None) -> DataFrame:
+    """Dense weights of every replicate from its counts (keys, from_state, to_state, n).
+
+    grid: the replicates there are, one row each, those that took no pair too; without it, those with a count.
+    """
     states = labels.select(F.col("label").alias("from_state")).crossJoin(labels.select(F.col("label").alias("to_state")))
-    full = counted.select(*keys).distinct().crossJoin(states)  # replicates and states: both few
+    full = (counted.select(*keys).distinct() if grid is None else grid.select(*keys)).crossJoin(states)  # replicates and states: both few
     weights = full.join(counted, [*keys, "from_state", "to_state"], "left").select(*keys, "from_state", "to_state", F.coalesce("n", F.lit(0.0)).alias("weight"))
     if type_ in ("relative", "reverse"):
         weights = scalings.row_normalize(weights, keys)
     return scalings.apply_scaling(weights, list(scaling), keys)
 
 
+def _reps(spark: SparkSession, iterations: int, *more: DataFrame | None) -> DataFrame:
+    """rep from 0, for each row of some small tables."""
+    out = spark.range(iterations).select(F.col("id").cast("int").alias("rep"))
+    for rows in more:
+        out = out if rows is None else out.crossJoin(F.broadcast(rows))
+    return out
+
+
 def bootstrap_weights(model: Model, iterations: int, multiplicity: Column | None = None, draws: DataFrame | None = None) -> DataFrame:
     """rep, from_state, to_state, weight for every replicate: by an expression over the ids and `rep`, or by a table of draws."""
     seqs = model.sequences
-    own = cells(seqs, model.type_)
+    own = cells(seqs, model.type_, model.params)
     if draws is not None:
         taken = own.join(draws, list(seqs.ids))
     else:
         taken = _each_by_replicate(own, seqs, iterations).withColumn("m", F.explode(F.array(multiplicity))).where("m > 0").select(*model.groups, "rep", "m", F.inline("cells"))
-    return _weights_of(model, taken)
+    counted = taken.groupBy(*model.groups, "rep", "from_state", "to_state").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+    return _weights_of(model, counted, iterations)
 
 
 def _each_by_replicate(own: DataFrame, seqs: Sequences, iterations: int) -> DataFrame:
@@ -105,12 +132,24 @@ def _each_by_replicate(own: DataFrame, seqs: Sequences, iterations: int) -> Data
     return each.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
 
 
-def _weights_of(model: Model, taken: DataFrame) -> DataFrame:
-    counted = taken.groupBy(*model.groups, "rep", "from_state", "to_state").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
-    return replicated(counted, (*model.groups, "rep"), model.labels, model.type_, model.scaling)
+def _weights_of(model: Model, counted: DataFrame, iterations: int) -> DataFrame:
+    names = model.sequences.frame.select(*model.groups).distinct() if model.groups else None
+    return replicated(counted, (*model.groups, "rep"), model.labels, model.type_, model.scaling, _reps(counted.sparkSession, iterations, names))
+
+
+def bootstrap_draws(model: Model, iterations: int = 1000, seed: int = 0) -> DataFrame:
+    """groups, rep, from_state, to_state, weight: every replicate draws as many sequences of each group as there are, with replacement."""
+    seqs, parts, block = model.sequences, chunks(iterations), replicates.BLOCK
 
+    def drawn_(start, total, first, size):
+        for reps in parts:
+            yield 0, reps.start, multiplicities(first, total, reps, seed, start, block)
 
-def bootstrap(model: Model, replicates: DataFrame, level: float = 0.05, method: str = "stability", consistency: tuple[float, float] = (0.75, 1.25), threshold: float | None = None) -> DataFrame:
+    own = placed(cells(seqs, model.type_, model.params), seqs.frame, seqs.keys, seqs.groups)
+    return _weights_of(model, summed(own, seqs.groups, ("from_state", "to_state"), drawn_).drop("label"), iterations)
+
+
+def bootstrap(model: Model, again: DataFrame, level: float = 0.05, method: str = "stability", consistency: tuple[float, float] = (0.75, 1.25), threshold: float | None = None) -> DataFrame:
     """groups, from_state, to_state, weight, mean, sd, ci_lower, ci_upper, p_value, sig: edges over their replicates.
 
     Stability counts replicates at or beyond the consistency range of the weight, on either side; threshold counts those
@@ -124,7 +163,7 @@ def bootstrap(model: Model, replicates: DataFrame, level: float = 0.05, method:
         real = real.join(cut, keys) if keys else real.crossJoin(F.broadcast(cut))  # one row
     else:
         real = real.withColumn("thr", F.lit(threshold))
-    met = replicates.join(real, [*keys, "from_state", "to_state"])
+    met = again.join(real, [*keys, "from_state", "to_state"])
     if method == "stability":
         worse = (F.col("weight") <= F.col("w") * consistency[0]).cast("int") + (F.col("weight") >= F.col("w") * consistency[1]).cast("int")
     elif method == "threshold":
@@ -147,15 +186,14 @@ class Bootstrap:
     summary: DataFrame
 
 
-def bootstrap_tna(model: Model, iterations: int = 1000, level: float = 0.05, method: str = "stability", consistency: tuple[float, float] = (0.75, 1.25), threshold: float | None = None, seed: int = 0) -> Bootstrap:
-    """A model's bootstrap in one call: for any number of sequences, each taken by each replicate as often as a Poisson
-    variable of mean 1 by hash says. For draws of exactly as many sequences as there are, see drawn()."""
+def bootstrap_tna(model: Model | Sequences, iterations: int = 1000, level: float = 0.05, method: str = "stability", consistency: tuple[float, float] = (0.75, 1.25), threshold: float | None = None, seed: int = 0) -> Bootstrap:
+    """A model's bootstrap in one call, for any number of sequences: a replicate draws as many of each group, with
+    replacement, as the group has. Sequences may be given in place of a model: they are modelled as relative ones."""
+    if isinstance(model, Sequences):
+        model = build_model(model)
     if model.sequences is None:
         raise ValueError("the model has no sequences to resample")
-    seqs = model.sequences
-    drawn_ = _each_by_replicate(cells(seqs, model.type_), seqs, iterations).withColumn("u", F.explode(F.array(uniform(*seqs.ids, "rep", F.lit(seed)))))
-    taken = drawn_.withColumn("m", poisson_of(F.col("u"))).where("m > 0").select(*model.groups, "rep", "m", F.inline("cells"))
-    again = _weights_of(model, taken)
+    again = written(bootstrap_draws(model, iterations, seed), "bootstrap")
     edges = bootstrap(model, again, level, method, consistency, threshold)
     return Bootstrap(again, edges, edges.where("weight > 0"))
 
@@ -207,11 +245,11 @@ def shuffled(spark: SparkSession, ids: list, sides: list, iterations: int, seed:
     return spark.createDataFrame(pd.concat(parts), f"rep int, {id} {kind}, side string")
 
 
-def side_weights(seqs: Sequences, type_: str, sides: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("rep", "side"), scaling: tuple[str, ...] = ()) -> DataFrame:
-    """Weights of every side of every replicate."""
-    own = cells(Sequences(seqs.frame, seqs.ids), type_)
+def side_weights(seqs: Sequences, type_: str, sides: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("rep", "side"), scaling: tuple[str, ...] = (), grid: DataFrame | None = None, params: dict | None = None) -> DataFrame:
+    """Weights of every side of every replicate: those of the grid, or else all that any sequence is dealt to."""
+    own = cells(Sequences(seqs.frame, seqs.ids), type_, params)
     counted = own.join(sides, list(seqs.ids)).groupBy(*keys, "from_state", "to_state").agg(F.sum("n").alias("n"))
-    return replicated(counted, keys, labels, type_, scaling)
+    return replicated(counted, keys, labels, type_, scaling, sides.select(*keys).distinct() if grid is None else grid)
 
 
 def _difference(weights: DataFrame, keys: tuple[str, ...], x: str, y: str, what: tuple[str, ...], value: str = "weight") -> DataFrame:
@@ -220,15 +258,20 @@ def _difference(weights: DataFrame, keys: tuple[str, ...], x: str, y: str, what:
     return weights.groupBy(*keys, *what).agg(F.sum(signed).alias("diff"))
 
 
-def permutation_test(seqs: Sequences, type_: str, real: DataFrame, replicates: DataFrame, x: str, y: str, adjust: str = "none", level: float = 0.05, measures: tuple[str, ...] = (), scaling: tuple[str, ...] = (), labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+def permutation_test(seqs: Sequences, type_: str, real: DataFrame, replicates: DataFrame, x: str, y: str, adjust: str = "none", level: float = 0.05, measures: tuple[str, ...] = (), scaling: tuple[str, ...] = (), labels: DataFrame | None = None, params: dict | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Differences of two sides of sequences, and how they lie among those of replicates.
 
     real: ids and side; replicates: rep, ids and side. Returns from_state, to_state, diff, effect_size (null where all
     replicates agree), p_value and diff_sig, and the same of the measures by state, if asked for.
     """
     labels = seqs.labels() if labels is None else labels
-    found = side_weights(seqs, type_, real, labels, ("side",), scaling)
-    again = side_weights(seqs, type_, replicates, labels, ("rep", "side"), scaling)
+    found = side_weights(seqs, type_, real, labels, ("side",), scaling, params=params)
+    again = side_weights(seqs, type_, replicates, labels, ("rep", "side"), scaling, params=params)
+    return _tested_sides(found, again, type_, x, y, adjust, level, measures)
+
+
+def _tested_sides(found: DataFrame, again: DataFrame, type_: str, x: str, y: str, adjust: str, level: float, measures: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
+    """permutation_test() from the weights of the sides and those of replicates."""
 
     def tested(a: DataFrame, b: DataFrame, what: tuple[str, ...], value: str) -> DataFrame:
         d, ds = _difference(a, (), x, y, what, value), _difference(b, ("rep",), x, y, what, value).withColumnRenamed("diff", "s")
@@ -252,8 +295,8 @@ def _pooled(x: Model, y: Model) -> tuple[Sequences, list[str]]:
     """The sequences of two models as one table: side, x or y, is part of their ids."""
     if x.sequences is None or y.sequences is None:
         raise ValueError("both models need their sequences")
-    if x.type_ != y.type_ or x.sequences.ids != y.sequences.ids:
-        raise ValueError("both models must be of one type, and their sequences have ids of one name")
+    if x.type_ != y.type_ or x.params != y.params or x.sequences.ids != y.sequences.ids:
+        raise ValueError("both models must be of one type and have the same parameters, and their sequences have ids of one name")
     ids = list(x.sequences.ids)
     parts = [m.sequences.frame.select(F.lit(side).alias("own_side"), *ids, "raw_pos", "state") for side, m in (("x", x), ("y", y))]
     return Sequences(parts[0].unionByName(parts[1]), ("own_side", *ids)), ids
@@ -262,29 +305,43 @@ def _pooled(x: Model, y: Model) -> tuple[Sequences, list[str]]:
 def permutation_test_models(x: Model, y: Model, iterations: int = 1000, adjust: str = "none", paired: bool = False, level: float = 0.05, measures: tuple[str, ...] = (), seed: int = 0) -> tuple[DataFrame, DataFrame | None]:
     """permutation_test() of two models in one call.
 
-    A replicate deals every sequence to x by hash, with x's share of all sequences as its chance, for any number of them.
-    Paired, the two sequences of one id, one of each model, change sides together or stay. For permutations that keep
-    the sides' sizes, see shuffled(). Models of different states, without sequences, or paired and of different ids are refused.
+    A replicate deals as many sequences to x as x has, for any number of them. Paired, the two sequences of one id, one of
+    each model, change sides together or stay. Models of different states, types or parameters, without sequences, or
+    paired and of different ids are refused.
     """
     seqs, ids = _pooled(x, y)
     if not x.labels.exceptAll(y.labels).isEmpty() or not y.labels.exceptAll(x.labels).isEmpty():
         raise ValueError("both models must have the same states: build them with the labels of both")
-    return _permuted(seqs, ids, x.type_, x.scaling, x.labels, iterations, adjust, paired, level, measures, seed)
+    return _permuted(seqs, ids, x.type_, x.scaling, x.labels, iterations, adjust, paired, level, measures, seed, x.params)
 
 
-def _permuted(seqs, ids, type_, scaling, labels, iterations, adjust, paired, level, measures, seed):
+def _permuted(seqs, ids, type_, scaling, labels, iterations, adjust, paired, level, measures, seed, params=None):
     each = seqs.frame.select(*seqs.ids).distinct()
     if paired and not each.groupBy(*ids).agg(F.countDistinct("own_side").alias("n")).where("n < 2").isEmpty():
         raise ValueError("paired models must have sequences of the same ids")
-    total, first = each.agg(F.count("*"), F.count(F.when(F.col("own_side") == "x", 1))).first()
-    reps = each.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    if paired:
-        other = F.when(F.col("own_side") == "x", "y").otherwise("x")
-        side = F.when(uniform(*ids, "rep", F.lit(seed)) < 0.5, other).otherwise(F.col("own_side"))
-    else:
-        side = F.when(uniform("own_side", *ids, "rep", F.lit(seed)) < first / max(total, 1), "x").otherwise("y")
-    again = reps.withColumn("side", side)
-    return permutation_test(seqs, type_, each.withColumn("side", F.col("own_side")), again, "x", "y", adjust, level, measures, scaling, labels)
+    count, chunked = each.where("own_side = 'x'").count(), chunks(iterations)
+
+    def stay(start, total, first, size):  # pairs by replicate: 1 where the two keep their sides
+        at = np.arange(first, first + size, dtype=np.uint32)
+        for reps in chunked:
+            keys = np.array([key(seed, rep) for rep in reps], np.uint32)[:, None]
+            yield 0, reps.start, mixed(at[None, :], keys) >> np.uint32(31)
+
+    def first_ones(start, total, first, size):
+        for reps in chunked:
+            yield 0, reps.start, permuted(np.arange(first, first + size), total, reps, seed) < count
+
+    own, what = cells(seqs, type_, params), ("from_state", "to_state")
+    own = written(placed(own, seqs.frame, seqs.ids, by=tuple(ids) if paired else None), "placed")
+    on_x = summed(own, (), what, stay if paired else first_ones, "own_side" if paired else None).select("rep", *what, "n")
+    sums = own.groupBy("own_side", *what).agg(F.sum("n").alias("n"))
+    all_ = sums.groupBy(*what).agg(F.sum("n").alias("n"))
+    rest = _reps(seqs.frame.sparkSession, iterations, all_.withColumnRenamed("n", "of_all")).join(on_x, ["rep", *what], "left").select("rep", *what, (F.col("of_all") - F.coalesce("n", F.lit(0.0))).alias("n"))
+    both = on_x.withColumn("side", F.lit("x")).unionByName(rest.withColumn("side", F.lit("y")))
+    sides = seqs.frame.sparkSession.createDataFrame([("x",), ("y",)], "side string")
+    again = written(replicated(both, ("rep", "side"), labels, type_, scaling, _reps(seqs.frame.sparkSession, iterations, sides)), "permuted")
+    found = replicated(sums.withColumnRenamed("own_side", "side"), ("side",), labels, type_, scaling, sides)
+    return _tested_sides(found, again, type_, "x", "y", adjust, level, measures)
 
 
 def permutation_test_edges(x: Sequences, y: Sequences, iterations: int = 1000, correction: str = "none", type_: str = "relative", seed: int = 0) -> DataFrame:
@@ -306,9 +363,15 @@ def stability(model: Model, kept: DataFrame, measures: tuple[str, ...] = ("OutSt
 
     kept: prop, rep and the ids that stay. A measure that doesn't vary has correlation 0.
     """
-    seqs, directed = model.sequences, model.type_ not in ("co-occurrence", "attention")
-    counted = cells(seqs, model.type_).join(kept, list(seqs.ids)).groupBy("prop", "rep", "from_state", "to_state").agg(F.sum("n").alias("n"))
-    again = _replicate_measures(replicated(counted, ("prop", "rep"), model.labels, model.type_, model.scaling), ("prop", "rep"), measures, loops, directed)
+    seqs = model.sequences
+    counted = cells(seqs, model.type_, model.params).join(kept, list(seqs.ids)).groupBy("prop", "rep", "from_state", "to_state").agg(F.sum("n").alias("n"))
+    return _stability_of(model, replicated(counted, ("prop", "rep"), model.labels, model.type_, model.scaling, kept.select("prop", "rep").distinct()), measures, method, loops)
+
+
+def _stability_of(model: Model, weights: DataFrame, measures: tuple[str, ...], method: str, loops: bool) -> DataFrame:
+    """stability() from the weights of every share and replicate."""
+    directed = model.type_ not in ("co-occurrence", "attention")
+    again = _replicate_measures(weights, ("prop", "rep"), measures, loops, directed)
     whole = _replicate_measures(model.weights.withColumn("rep", F.lit(0)), ("rep",), measures, loops, directed).select("state", "measure", F.col("value").alias("real"))
     met = again.join(whole, ["state", "measure"])
     if method == "spearman":
@@ -317,8 +380,8 @@ def stability(model: Model, kept: DataFrame, measures: tuple[str, ...] = ("OutSt
             met = met.withColumn(c, F.rank().over(keys.orderBy(c)) + (F.count("*").over(Window.partitionBy("prop", "rep", "measure", c)) - 1) / 2)
     elif method != "pearson":
         raise ValueError(f"unknown method {method!r}; known are pearson, spearman")
-    flat = (F.stddev_samp("value") == 0) | (F.stddev_samp("real") == 0)
-    return met.groupBy("prop", "rep", "measure").agg(F.when(flat, F.lit(0.0)).otherwise(F.corr("value", "real")).alias("corr"))
+    spread = F.stddev_pop("value") * F.stddev_pop("real")
+    return met.groupBy("prop", "rep", "measure").agg(F.when(spread == 0, F.lit(0.0)).otherwise(F.covar_pop("value", "real") / spread).alias("corr"))
 
 
 def cs_coefficients(correlations: DataFrame, threshold: float = 0.7, certainty: float = 0.95) -> DataFrame:
@@ -334,12 +397,25 @@ class CentralityStability:
     coefficients: DataFrame
 
 
-def estimate_cs(model: Model, ids: list, iterations: int = 1000, props: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), seed: int | None = None, kind: str = "long", **options) -> CentralityStability:
-    """Case-dropping stability with numpy's draws for ids that fit the driver."""
-    (id,) = model.sequences.ids
-    spark, kept = model.weights.sparkSession, None
-    for k, p in enumerate(props):
-        part = drawn(spark, ids, iterations, None if seed is None else seed + k, id, kind, share=1 - p).select(F.lit(p).alias("prop"), "rep", id)
-        kept = part if kept is None else kept.unionByName(part)
-    found = stability(model, kept, **options)
-    return CentralityStability(found, cs_coefficients(found))
+def estimate_cs(model: Model, iterations: int = 1000, props: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), seed: int = 0, threshold: float = 0.7, certainty: float = 0.95, **options) -> CentralityStability:
+    """Case-dropping stability in one call, for any number of sequences: of n, a replicate drops floor(n * share), and those
+    dropped at one share are among those dropped at a larger one. All shares come from one pass."""
+    if model.sequences is None:
+        raise ValueError("the model has no sequences to drop")
+    if model.groups:
+        raise ValueError("stability is that of one model: take one group")
+    seqs, chunked = model.sequences, chunks(iterations)
+
+    def kept(start, total, first, size):
+        for reps in chunked:
+            at = permuted(np.arange(first, first + size), total, reps, seed)
+            for label, prop in enumerate(props):
+                yield label, reps.start, at < total - int(np.floor(total * prop))
+
+    own = placed(cells(seqs, model.type_, model.params), seqs.frame, seqs.keys)
+    spark = seqs.frame.sparkSession
+    shares = spark.createDataFrame(list(enumerate(map(float, props))), "label int, prop double")
+    counted = summed(own, (), ("from_state", "to_state"), kept).join(F.broadcast(shares), "label")
+    weights = replicated(counted, ("prop", "rep"), model.labels, model.type_, model.scaling, _reps(spark, iterations, shares))
+    found = written(_stability_of(model, weights, **{"measures": ("OutStrength", "InStrength", "Betweenness"), "method": "pearson", "loops": False} | options), "stability")
+    return CentralityStability(found, cs_coefficients(found, threshold, certainty))

@@ -47,10 +47,14 @@ def co_occurrence(seqs: Sequences) -> DataFrame:
     return _summed(_same(counts, seqs.keys, F.col("a") * (F.col("a") - 1) / 2), seqs.groups, F.sum("n")).where("n > 0")
 
 
+def blocks_of(seqs: Sequences, window_size: int = 1, window_span: int = 1) -> DataFrame:
+    """The states that are there, each with its block of window_size * window_span raw places."""
+    return seqs.present().withColumn("block", F.floor(F.col("raw_pos") / (window_size * window_span)))
+
+
 def co_occurrence_windowed(seqs: Sequences, window_size: int = 1, window_span: int = 1) -> DataFrame:
     """Ordered pairs of places, each with itself too, within blocks of window_size * window_span raw places."""
-    rows = seqs.present().withColumn("block", F.floor(F.col("raw_pos") / (window_size * window_span)))
-    keys = (*seqs.keys, "block")
+    rows, keys = blocks_of(seqs, window_size, window_span), (*seqs.keys, "block")
     counts = rows.groupBy(*keys, "state").agg(F.count("*").cast("double").alias("c"))
     return _summed(_same(counts, keys, F.col("a") * F.col("a")), seqs.groups, F.sum("n"))
 

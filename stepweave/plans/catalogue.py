@@ -687,18 +687,28 @@ def _halves(spark, d) -> tuple[Sequences, Sequences]:
     return Sequences(seqs.frame.where(even), seqs.ids), Sequences(seqs.frame.where(~even), seqs.ids)
 
 
+def _hashed_halves(spark, d) -> DataFrame:
+    """Differences of the two, each replicate dealing every sequence by hash, with the share of the even ones as its chance."""
+    seqs = orders(spark, d)
+    own = F.when(F.pmod("seq_id", F.lit(2)) == 0, "x").otherwise("y")
+    ids = seqs.frame.select("seq_id").distinct().withColumn("side", own)
+    total, first = ids.agg(F.count("*"), F.count(F.when(F.col("side") == "x", 1))).first()
+    again = ids.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1))))
+    again = again.withColumn("side", F.when(resample.uniform("side", "seq_id", "rep", F.lit(0)) < first / max(total, 1), "x").otherwise("y"))
+    return resample.permutation_test(seqs, "relative", ids, again, "x", "y")[0]
+
+
 @query("perm_models", _sql(O, PERM2, _PD, select=_PTEST.format(what="from_state, to_state", n=float(REPS + 1))))
 def _(spark, d):
-    x, y = (model.tna(s) for s in _halves(spark, d))
-    rows = _rounded(resample.permutation_test_models(x, y, REPS)[0].drop("diff_sig"), "diff", "p_value")
+    rows = _rounded(_hashed_halves(spark, d).drop("diff_sig"), "diff", "p_value")
     return rows.withColumn("effect_size", F.round("effect_size", 6) + 0.0)
 
 
 @query("perm_edges_models", _sql(O, PERM2, _PD, f"pt AS ({_PTEST.format(what='from_state, to_state', n=float(REPS + 1))})",
     select="SELECT from_state, to_state, diff, p_value, p_value AS p_adjusted, p_value < 0.05 AS significant FROM pt"))
 def _(spark, d):
-    x, y = _halves(spark, d)
-    return _rounded(resample.permutation_test_edges(x, y, REPS), "diff", "p_value", "p_adjusted")
+    rows = _hashed_halves(spark, d).withColumn("p_adjusted", F.col("p_value")).withColumn("significant", F.col("p_value") < 0.05)
+    return _rounded(rows.select("from_state", "to_state", "diff", "p_value", "p_adjusted", "significant"), "diff", "p_value", "p_adjusted")
 
 
 _BOOT0 = BOOT.replace(_U, _MD5.format(key="CAST(seq AS VARCHAR) || ' ' || CAST(rep AS VARCHAR) || ' 0'"))
@@ -706,8 +716,105 @@ _BOOT0 = BOOT.replace(_U, _MD5.format(key="CAST(seq AS VARCHAR) || ' ' || CAST(r
 
 @query("bootstrap_model", _sql(O, _BOOT0, select=f"SELECT * FROM ({_BSTAT.format(worse=_STABLE, n=float(REPS + 1))}) WHERE weight > 0"))
 def _(spark, d):
-    found = resample.bootstrap_tna(model.tna(orders(spark, d)), REPS)
-    return _rounded(found.summary.drop("sig"), "weight", "mean", "sd", "ci_lower", "ci_upper", "p_value")
+    m = model.tna(orders(spark, d))
+    found = resample.bootstrap(m, resample.bootstrap_weights(m, REPS, resample.poisson_multiplicity("seq_id", "rep", F.lit(0))))
+    return _rounded(found.where("weight > 0").drop("sig"), "weight", "mean", "sd", "ci_lower", "ci_upper", "p_value")
+
+
+# A windowed model keeps its windows under resampling.
+
+_BOOTW = f"""{_full("o", _pairs("o", "a.p // 6 = b.p // 6"), normal=False)},
+ml AS (SELECT seq, rep, {_TIMES_OF} AS m FROM (SELECT DISTINCT seq FROM o) CROSS JOIN (SELECT unnest(range({REPS})) AS rep)),
+bc AS (SELECT rep, a.s AS f, b.s AS t, sum(m) AS n FROM o a JOIN o b ON a.seq = b.seq AND a.p // 6 = b.p // 6 JOIN ml ON ml.seq = a.seq GROUP BY ALL),
+bw AS (SELECT r.rep, w.from_state, w.to_state, w.weight AS w, CAST(coalesce(n, 0) AS DOUBLE) AS x FROM w CROSS JOIN (SELECT unnest(range({REPS})) AS rep) r LEFT JOIN bc ON bc.rep = r.rep AND f = from_state AND t = to_state)"""
+
+
+@query("bootstrap_windowed", _sql(O, _BOOTW, select=_BSTAT.format(worse=_STABLE, n=float(REPS + 1))))
+def _(spark, d):
+    m = model.ctna(orders(spark, d), windowed=True, window_size=2, window_span=3)
+    found = resample.bootstrap(m, resample.bootstrap_weights(m, REPS, resample.poisson_multiplicity("seq_id", "rep")))
+    return _rounded(found.drop("sig"), "weight", "mean", "sd", "ci_lower", "ci_upper", "p_value")
+
+
+# n of n draws come from binomials of a counter-based generator, which SQL has not.
+
+
+@query("bootstrap_exact")
+def _(spark, d):
+    found = resample.bootstrap_tna(model.tna(orders(spark, d)), 200)
+    return _rounded(found.edges, "weight", "mean", "sd", "ci_lower", "ci_upper", "p_value")
+
+
+# Permutations of exact sizes: places of sequences in a keyed network, which SQL can walk.
+
+
+def _walk(ids: str, order: str, reps: int = REPS, rounds: int = 8) -> str:
+    """SQL tables: fi (ids, idx), fy (rep, idx, y), y being where number idx stands in the permutation of a replicate."""
+    word = lambda t: f"[CAST('0x' || substr(md5('0 ' || CAST(rep AS VARCHAR) || ' {t}'), 1, 8) AS UBIGINT)]"
+    # a round takes [left, right] to [right, left xor mixed(right)]
+    a = "((xor(s[2], k[1]) * 2246822507::UBIGINT) % 4294967296::UBIGINT)"
+    b = f"((xor({a}, {a} >> 13) * 3266489909::UBIGINT) % 4294967296::UBIGINT)"
+    walked = f"list_reduce(list_prepend([y >> w, y & m], keys), lambda s, k: [s[2], xor(s[1], xor({b}, {b} >> 16) & m)])"
+    return f"""fi AS (SELECT *, CAST(row_number() OVER (ORDER BY {order}) - 1 AS UBIGINT) AS idx FROM ({ids})),
+fn AS (SELECT n, w, (1::UBIGINT << w) - 1 AS m FROM (SELECT CAST(count(*) AS UBIGINT) AS n, CAST(greatest(4, (length(bin(count(*) - 1)) + 1) // 2) AS UBIGINT) AS w FROM fi)),
+fk AS (SELECT rep, [{", ".join(word(t) for t in range(rounds))}] AS keys FROM (SELECT unnest(range({reps})) AS rep)),
+fw AS (SELECT rep, idx, idx AS y, true AS fresh FROM fi CROSS JOIN fk UNION ALL
+  SELECT rep, idx, (h[1] << w) + h[2] AS y, false FROM (SELECT fw.rep, idx, w, {walked} AS h FROM fw JOIN fk ON fk.rep = fw.rep CROSS JOIN fn WHERE fresh OR y >= n)),
+fy AS (SELECT rep, idx, y FROM fw CROSS JOIN fn WHERE NOT fresh AND y < n)"""
+
+
+def _recursive(base: str, *more: str, select: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([base.strip(), *more]) + "\n" + select
+
+
+_PERMX = f"""{_walk("SELECT DISTINCT CASE WHEN seq % 2 = 0 THEN 'x' ELSE 'y' END AS own, seq FROM o", "own, seq")},
+sd AS (SELECT seq, CASE WHEN own = 'x' THEN 0 ELSE 1 END AS side, -1 AS rep FROM fi UNION ALL SELECT seq, CASE WHEN y < (SELECT count(*) FROM fi WHERE own = 'x') THEN 0 ELSE 1 END, rep FROM fy JOIN fi USING (idx)),
+l AS (SELECT DISTINCT s FROM o), pk {PERM[PERM.index("AS (SELECT rep, side, a.s AS f"):]}"""
+
+
+@query("perm_exact", _recursive(O, _PERMX, _PD, select=_PTEST.format(what="from_state, to_state", n=float(REPS + 1))))
+def _(spark, d):
+    x, y = (model.tna(s) for s in _halves(spark, d))
+    rows = _rounded(resample.permutation_test_models(x, y, REPS)[0].drop("diff_sig"), "diff", "p_value")
+    return rows.withColumn("effect_size", F.round("effect_size", 6) + 0.0)
+
+
+@query("perm_edges_exact", _recursive(O, _PERMX, _PD, f"pt AS ({_PTEST.format(what='from_state, to_state', n=float(REPS + 1))})",
+    select="SELECT from_state, to_state, diff, p_value, round(least(1, p_value * count(*) OVER ()), 9) AS p_adjusted, p_value * count(*) OVER () < 0.05 AS significant FROM pt"))
+def _(spark, d):
+    x, y = _halves(spark, d)
+    rows = resample.permutation_test_edges(x, y, REPS, "none")
+    return _rounded(stats.p_adjust(rows.drop("p_adjusted"), "p_value", "bonferroni").withColumn("significant", F.col("p_adjusted") < 0.05), "diff", "p_value", "p_adjusted")
+
+
+_CSX = O_REL + f""",
+{_walk("SELECT DISTINCT seq FROM o", "seq")},
+dp AS (SELECT unnest([0.1e0, 0.2e0, 0.3e0, 0.4e0, 0.5e0, 0.6e0, 0.7e0, 0.8e0, 0.9e0]) AS prop),
+ck AS (SELECT prop, rep, seq FROM fy JOIN fi USING (idx) CROSS JOIN dp CROSS JOIN fn WHERE y < n - CAST(floor(CAST(n AS DOUBLE) * prop) AS BIGINT)),
+cc AS (SELECT prop, rep, a.s AS f, b.s AS t, count(*) AS n FROM o a JOIN o b ON a.seq = b.seq AND b.p = a.p + 1 JOIN ck ON ck.seq = a.seq GROUP BY ALL),
+cw AS (SELECT r.prop, r.rep, w.from_state, w.to_state, coalesce(n, 0) / greatest(sum(coalesce(n, 0)) OVER (PARTITION BY r.prop, r.rep, w.from_state), 1) AS x FROM w CROSS JOIN (SELECT prop, rep FROM dp CROSS JOIN fk) r
+  LEFT JOIN cc ON cc.prop = r.prop AND cc.rep = r.rep AND f = from_state AND t = to_state),
+ms AS (SELECT prop, rep, 'InStrength' AS measure, to_state AS state, sum(x) FILTER (WHERE from_state <> to_state) AS v FROM cw GROUP BY ALL UNION ALL
+  SELECT prop, rep, 'OutStrength', from_state, sum(x) FILTER (WHERE from_state <> to_state) FROM cw GROUP BY ALL),
+mr AS (SELECT 'InStrength' AS measure, to_state AS state, sum(weight) FILTER (WHERE from_state <> to_state) AS z FROM w GROUP BY 2 UNION ALL
+  SELECT 'OutStrength', from_state, sum(weight) FILTER (WHERE from_state <> to_state) FROM w GROUP BY 2),
+cs AS (SELECT prop, rep, measure, corr(v, z) AS corr FROM ms JOIN mr USING (measure, state) GROUP BY ALL)"""
+
+
+@query("cs_exact", _recursive(O, _CSX, select="SELECT prop, CAST(rep AS INTEGER) AS rep, measure, round(corr, 6) AS corr FROM cs"))
+def _(spark, d):
+    found = resample.estimate_cs(model.tna(orders(spark, d)), REPS, measures=("OutStrength", "InStrength"))
+    return found.correlations.select("prop", "rep", "measure", F.round("corr", 6).alias("corr"))
+
+
+@query("cs_exact_coefficients", _recursive(O, _CSX, "ca AS (SELECT measure, prop, avg(CASE WHEN corr >= 0.7 THEN 1.0 ELSE 0.0 END) AS share FROM cs GROUP BY ALL)", select="SELECT measure, CAST(coalesce(max(CASE WHEN share >= 0.95 THEN prop END), 0) AS DOUBLE) AS cs FROM ca GROUP BY measure"))
+def _(spark, d):
+    return resample.estimate_cs(model.tna(orders(spark, d)), REPS, measures=("OutStrength", "InStrength")).coefficients
+
+
+@query("cs_exact_all")
+def _(spark, d):
+    return resample.estimate_cs(model.tna(orders(spark, d)), 100).coefficients
 
 
 CSQ = O_REL + f""",
