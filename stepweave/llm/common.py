@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,23 @@ def held(key: tuple, make: Callable[[], object]):
     return _held[key]
 
 
+def column(name: str) -> Column:
+    """The column of just this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def mapped(rows: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """rows.mapInArrow(run, schema), whatever the columns' names: inside they are c0, c1 and so on, by place."""
+    inner = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema)])
+    names = inner.names
+
+    def renamed(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names)
+
+    return rows.toDF(*[f"c{k}" for k in range(len(rows.columns))]).mapInArrow(renamed, inner).toDF(*schema.names)
+
+
 def fresh(taken: list[str], name: str) -> str:
     """The name, or one like it that none of the columns has."""
     low = {c.lower() for c in taken}

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, fresh, hash_share, held, table
+from .common import column, fold_of, fresh, hash_share, held, mapped, table
 
 DIM, GRAM, SEED = 1024, 3, 9
 #: Bits of a code point: n-grams are numbered by their letters' code points side by side, so no two share a number.
@@ -129,7 +129,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
     """
     names, rows = list(prototypes), docs.drop(*into).select("*", docs["text"].alias(fresh(docs.columns, "__text")))
     models = np.stack([prototypes[k] for k in names]) if names else np.zeros((0, dim))
-    schema = rows.select(*rows.columns[:-1], F.lit("").alias(into[0]), F.lit(0.0).alias(into[1])).schema
+    schema = rows.select(*map(column, rows.columns[:-1]), F.lit("").alias(into[0]), F.lit(0.0).alias(into[1])).schema
     columns = schema.names
 
     def run(batches):
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
                     scores.append(float(1 / np.exp(SHARP * (cosine - cosine[best])).sum()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], columns)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def in_training(doc_id):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import column, table, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -178,6 +178,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTA
     """
     items = written(sizes(docs), "sizes")  # texts are read once
     chosen = copies(items, source_targets(items, weights, total, most), seed=seed)
+    chosen = chosen.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0))
     return chosen.withColumn("taken", F.col("copies") * F.col("size"))
 
 
@@ -190,7 +191,7 @@ def mixed_rows(docs: DataFrame, seed: int = 4) -> DataFrame:
     """
     chosen = mix(docs, seed=seed).where("copies > 0").select("doc_id", "source", "size", "nth", "copies")
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    own = F.struct(*docs.columns)
+    own = F.struct(*map(column, docs.columns))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("order"), own.alias("row"))
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("order")))
     on = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("doc_id", "source", "size", "nth")])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, fresh, hash_share, table
+from .common import column, fold_of, fresh, hash_share, mapped, table
 
 #: Labelled rows that the rules are fitted on, about: a documented bound; which ones depends on their ids alone.
 SAMPLE = 12_000
@@ -43,8 +43,8 @@ def statistics(text: str | None) -> list[float]:
 def with_statistics(docs: DataFrame, *keep: str, prefix: str = "") -> DataFrame:
     """The columns to keep and the statistics of every row, each computed once, however many rules use it."""
     names = [f"{prefix}{k}" for k in STATISTICS]
-    rows = docs.select(*keep, F.col("text").alias(fresh(docs.columns, "__text")))
-    schema = docs.select(*keep, *[F.lit(0.0).alias(k) for k in names]).schema
+    rows = docs.select(*map(column, keep), F.col("text").alias(fresh(docs.columns, "__text")))
+    schema = docs.select(*map(column, keep), *[F.lit(0.0).alias(k) for k in names]).schema
     columns = schema.names
 
     def run(batches):
@@ -54,7 +54,7 @@ def with_statistics(docs: DataFrame, *keep: str, prefix: str = "") -> DataFrame:
                 found = np.array([statistics(t.as_py()) for t in part.columns[-1]], np.float64).reshape(-1, len(names))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, found.T)], columns)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def keep_good(docs: DataFrame, model: dict) -> DataFrame:
     """
     prefix = fresh([c[: len(c) - len(k)] for c in docs.columns for k in STATISTICS if c.lower().endswith(k)], "__")
     renamed = model | {"names": [f"{prefix}{k}" for k in model["names"]]}
-    return with_statistics(docs, *docs.columns, prefix=prefix).where(compiled(renamed) >= 0.5).select(*docs.columns)
+    return with_statistics(docs, *docs.columns, prefix=prefix).where(compiled(renamed) >= 0.5).select(*map(column, docs.columns))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, held, table
+from .common import column, fresh, held, mapped, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
@@ -225,6 +225,11 @@ class Lattice:
         text = self.text
         return b"".join([text[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
+    def decode_any(self, ids) -> str:
+        """decode() of ids that may be null or not of the vocabulary: each of these is a U+FFFD."""
+        known = range(len(self.text))
+        return b"".join([self.text[i] if i in known else b"\xef\xbf\xbd" for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+
 
 def _shipped(docs: DataFrame, model: str, n_best: int):
     """A function that gives a Python worker its lattice: one for all of its tasks."""
@@ -247,7 +252,7 @@ def encoded(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL, alternati
     ready = _shipped(docs, model, n_best)
     added = {"scores": F.array(F.lit(0.0)), "pieces": F.array(F.lit(0)), "round_trip": F.lit(True)} | ({"others": F.array(F.array(F.lit(0)))} if alternatives else {})
     rows = docs.drop(*added).select("*", docs["text"].alias(fresh(docs.columns, "__text")))
-    schema = rows.select(*rows.columns[:-1], *[c.alias(k) for k, c in added.items()]).schema
+    schema = rows.select(*map(column, rows.columns[:-1]), *[c.alias(k) for k, c in added.items()]).schema
     columns = schema.names
 
     def run(batches):
@@ -268,24 +273,28 @@ def encoded(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL, alternati
                     cols.append(pa.array(others, pa.list_(pa.list_(pa.int32()))))
                 yield pa.RecordBatch.from_arrays(cols, columns)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def decoded(rows: DataFrame, pieces: str = "pieces", text: str = "decoded", model: str = MODEL) -> DataFrame:
-    """rows with the text of a column of ids; null stays null."""
+    """rows with the text of a column of ids; a column of that name is replaced.
+
+    Null stays null, and no ids are an empty text. A null id, or one that the vocabulary has not, gives a U+FFFD. Other
+    columns pass, whatever their names; an empty table gives an empty result.
+    """
     ready = _shipped(rows, model, 1)
-    schema = rows.withColumn(text, F.lit("")).schema
-    columns, place = rows.columns, rows.columns.index(pieces)
-    if text in columns:
-        raise ValueError(f"rows has a column {text} already")
+    kept = [c for c in rows.columns if c != text]
+    ids = rows.select(*map(column, kept), column(pieces).cast("array<long>").alias(fresh(rows.columns, "__ids")))
+    schema = ids.select(*map(column, kept), F.lit(None).cast("string").alias(text)).schema
+    names = schema.names
 
     def run(batches):
         lattice = ready()
         for batch in batches:
-            found = [None if x.as_py() is None else lattice.decode(x.as_py()) for x in batch.columns[place]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*columns, text])
+            found = [None if x.as_py() is None else lattice.decode_any(x.as_py()) for x in batch.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], names)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(ids, run, schema)
 
 
 def digest(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) -> DataFrame:

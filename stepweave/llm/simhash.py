@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table, written
+from .common import column, fresh, table, written
 from .components import connected_components
 
 BITS = 64
@@ -244,7 +244,7 @@ def keep_one_each(docs: DataFrame, width: int = 3, seed: int = 6) -> DataFrame:
     gone = written(gone, "gone")
     if gone.count() <= GONE:  # keys alone are shuffled, texts stay where they are read
         gone = F.broadcast(gone)
-    return rows.join(gone, key, "left_anti").select(*docs.columns)
+    return rows.join(gone, key, "left_anti").select(*map(column, docs.columns))
 
 
 def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

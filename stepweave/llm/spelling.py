@@ -28,6 +28,8 @@ def word_counts(docs: DataFrame, edit: Callable[[int | None], Callable[[str], st
     Words are maximal runs of letters; A-Z alone are lower-cased. `edit` gives for a
     document's id what puts other words in place of its words. Counts are added up in each task, over HELD words at most, before they are shuffled.
     """
+    if shortest < 2:
+        raise ValueError("words have two letters at least: an edit leaves no gram of a shorter one")
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def counted(batches):

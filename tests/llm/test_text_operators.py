@@ -1,6 +1,7 @@
 """Operators on documents: brute force, round trips, held-out accuracy and odd rows."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from stepweave.llm.common import table
 from stepweave.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHES = ("score", "lang_pred", "size", "nth", "copies", "row", "__text", "__size", "pieces", "fp", "label", "upper", "__upper", "component")
+CLASHES = ("score", "lang_pred", "size", "nth", "copies", "row", "__text", "__size", "pieces", "fp", "label", "upper", "__upper", "component", "meta.url", "a`b")
 ODD = [
     (1, None, None, None, None),
     (2, "", "en", "", 0),
@@ -482,8 +483,18 @@ def test_pipeline_stages_take_odd_rows(spark, sf_dir, odd, none):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         for rows in (odd, none):
             out = stage(spark, rows, sf_dir)
-            assert out.count() >= 0
-            assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == rows.columns
+            found, given = out.collect(), rows.collect()
+            if k == len(corpus_pipeline.STAGES) - 1:
+                assert sorted(str(r.doc_id) for r in found) == sorted(str(r.doc_id) for r in given) and all(r.round_trip for r in found)
+                continue
+            assert out.columns == rows.columns
+            times, there = Counter(map(tuple, found)), Counter(map(tuple, given))
+            most = 2 if k == 3 else 1  # the mix takes a document twice at most
+            assert all(n <= most * there[r] for r, n in times.items())
+            if k == 2:  # one of each text, odd ones too
+                assert {r.text for r in found} - {None, "", " \n\t "} == {r.text for r in given} - {None, "", " \n\t "}
+            if k == 3:
+                assert all((r.text or "").split() for r in found)
 
 
 def test_pipeline_runs_and_filters(spark, sf_dir, docs):
@@ -496,3 +507,13 @@ def test_pipeline_runs_and_filters(spark, sf_dir, docs):
     good = corpus_pipeline.STAGES[0][1](spark, docs, sf_dir)
     left = corpus_pipeline.STAGES[1][1](spark, good, sf_dir)
     assert left.count() >= 0.99 * good.count()
+
+
+def test_decoded_takes_any_ids_and_columns(spark):
+    ids = sentencepiece_nbest.encoded(spark.createDataFrame([(1, "so it is")], "doc_id long, text string")).first().pieces
+    rows = [(1, ids, "old"), (2, [*ids, 10**9, None, -1], "old"), (3, [], "old"), (4, None, "old")]
+    table_ = spark.createDataFrame([(*r, "u", "b") for r in rows], "doc_id long, pieces array<long>, decoded string, `meta.url` string, `a``b` string")
+    got = sentencepiece_nbest.decoded(table_)
+    assert got.columns == ["doc_id", "pieces", "meta.url", "a`b", "decoded"]
+    assert {r.doc_id: r.decoded for r in got.collect()} == {1: "so it is", 2: "so it is���", 3: "", 4: None}
+    assert sentencepiece_nbest.decoded(table_.limit(0)).count() == 0
