@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm import language_id, mixing, quality, sentencepiece_nbest, simhash
-from stepweave.llm.common import fresh, table, written
+from stepweave.llm.common import column, fresh, table, written
 
 #: A document goes if no language is as likely as this.
 LANGUAGE_SCORE = 0.4
@@ -23,7 +23,7 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     prototypes = language_id.train(docs.where(language_id.in_training(F.col("doc_id"))))
     pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")
     found = language_id.predict(docs, prototypes, into=(pred, score))
-    return found.where((F.col(pred) != "und") & (F.col(score) >= LANGUAGE_SCORE)).select(*docs.columns)
+    return found.where((F.col(pred) != "und") & (F.col(score) >= LANGUAGE_SCORE)).select(*map(column, docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
