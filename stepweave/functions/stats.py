@@ -54,17 +54,20 @@ def confidence_interval(rows: DataFrame, value: str, keys: tuple[str, ...] = (),
 
 def bca_ci(data: np.ndarray, statistic: Callable[[np.ndarray], float], n_boot: int = 1000, level: float = 0.05, seed: int | None = None) -> tuple[float, float]:
     """Bias-corrected and accelerated interval of a statistic of rows that fit the driver."""
-    rng, normal, n = np.random.default_rng(seed), NormalDist(), len(data)
+    rng, n = np.random.default_rng(seed), len(data)
     observed = statistic(data)
     boot = np.array([statistic(data[rng.choice(n, n, replace=True)]) for _ in range(n_boot)])
-    below = min(max((boot < observed).mean(), 1 / (n_boot + 1)), n_boot / (n_boot + 1))
-    z0 = normal.inv_cdf(float(below))
     left_out = np.array([statistic(np.delete(data, k, 0)) for k in range(n)])
     off = left_out.mean() - left_out
     spread = 6 * (off**2).sum() ** 1.5
-    a = (off**3).sum() / spread if spread else 0.0
-    ends = []
+    return bca_ends(boot, float((boot < observed).mean()), float((off**3).sum() / spread) if spread else 0.0, level)[1:]
+
+
+def bca_ends(boot: np.ndarray, below: float, acceleration: float, level: float = 0.05) -> tuple[float, float, float]:
+    """The bias correction and the two ends, from replicates, the share of them below what was observed, and the acceleration."""
+    normal, n = NormalDist(), len(boot)
+    z0, ends = normal.inv_cdf(min(max(below, 1 / (n + 1)), n / (n + 1))), []
     for q in (level / 2, 1 - level / 2):
         z = z0 + normal.inv_cdf(q)
-        ends.append(float(np.quantile(boot, normal.cdf(z0 + z / (1 - a * z)))))
-    return ends[0], ends[1]
+        ends.append(float(np.quantile(boot, normal.cdf(z0 + z / (1 - acceleration * z)))))
+    return z0, ends[0], ends[1]

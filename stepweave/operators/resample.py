@@ -17,9 +17,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions import graph
+from ..functions import graph, stats
 from ..functions.stats import p_adjust
 from . import replicates
 from . import scaling as scalings
@@ -198,6 +199,51 @@ def bootstrap_tna(model: Model | Sequences, iterations: int = 1000, level: float
     return Bootstrap(again, edges, edges.where("weight > 0"))
 
 
+def bca_edges(model: Model, iterations: int = 1000, level: float = 0.05, seed: int = 0, draws: DataFrame | None = None) -> DataFrame:
+    """groups, from_state, to_state, weight, bias, acceleration, ci_lower, ci_upper: bias-corrected and accelerated intervals
+    of every edge, from its replicates (bootstrap_draws() if none are given).
+
+    A weight without one sequence is that of the totals less the sequence's counts, so the acceleration takes three sums of
+    how far these weights are off, over the sequences with a place in the edge's row; all others leave it as it is. Models
+    of row shares or of counts have these; those that were scaled afterwards are refused.
+    """
+    if model.scaling:
+        raise ValueError("intervals are those of weights before scaling")
+    keys, seqs = list(model.groups), model.sequences
+    again = bootstrap_draws(model, iterations, seed) if draws is None else draws
+    own = written(cells(seqs, model.type_, model.params), "cells")
+    edge = [*keys, "from_state", "to_state"]
+    totals = model.weights.select(*edge, "weight").join(own.groupBy(*edge).agg(F.sum("n").alias("c")), edge, "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
+    if model.type_ in ("relative", "reverse"):
+        totals = totals.withColumn("r", F.sum("c").over(Window.partitionBy(*keys, "from_state")))
+        rows = own.groupBy(*seqs.keys, "from_state").agg(F.sum("n").alias("row"))
+        met = rows.join(totals, [*keys, "from_state"]).join(own, [*seqs.keys, "from_state", "to_state"], "left")
+        left = F.when(F.col("r") > F.col("row"), (F.col("c") - F.coalesce("n", F.lit(0.0))) / F.nullif(F.col("r") - F.col("row"), F.lit(0.0))).otherwise(F.lit(0.0))
+        off = left - F.when(F.col("r") > 0, F.col("c") / F.nullif("r", F.lit(0.0))).otherwise(F.lit(0.0))
+    else:
+        met, off = own, -F.col("n")
+    sums = met.withColumn("off", off).groupBy(*edge).agg(*[F.sum(F.pow("off", F.lit(float(k)))).alias(f"s{k}") for k in (1, 2, 3)])
+    sizes = seqs.frame.select(*seqs.keys).distinct().groupBy(*keys).agg(F.count("*").alias("size"))
+    whole = totals.select(*edge, "weight").join(sums, edge, "left").na.fill(0.0, ["s1", "s2", "s3"])
+    whole = whole.join(sizes, keys) if keys else whole.crossJoin(F.broadcast(sizes))  # one row
+    mean = F.col("s1") / F.col("size")
+    second = F.col("s2") - F.col("size") * mean * mean
+    third = F.col("size") * F.pow(mean, F.lit(3.0)) - 3 * mean * mean * F.col("s1") + 3 * mean * F.col("s2") - F.col("s3")
+    spread = 6 * F.pow(F.greatest(second, F.lit(0.0)), F.lit(1.5))
+    whole = whole.select(*edge, "weight", F.coalesce(third / F.nullif(spread, F.lit(0.0)), F.lit(0.0)).alias("acceleration"))
+    values = again.withColumnRenamed("weight", "value").join(whole, edge).groupBy(*edge, "weight", "acceleration").agg(F.avg(F.when(F.col("value") < F.col("weight"), 1.0).otherwise(0.0)).alias("below"), F.array_sort(F.collect_list("value")).alias("values"))
+    fields = [*values.select(*edge, "weight", "acceleration").schema.fields]
+    schema = StructType([*fields, *[StructField(c, DoubleType()) for c in ("bias", "ci_lower", "ci_upper")]])
+
+    def ends(parts):
+        for part in parts:
+            found = [stats.bca_ends(np.asarray(v), b, a, level) for v, b, a in zip(part["values"], part["below"], part["acceleration"])]
+            yield part.drop(columns=["values", "below"]).assign(**{c: [f[k] for f in found] for k, c in enumerate(("bias", "ci_lower", "ci_upper"))})
+
+    out = values.select(*edge, "weight", "acceleration", "below", "values").mapInPandas(ends, schema)
+    return out.select(*edge, "weight", "bias", "acceleration", "ci_lower", "ci_upper")
+
+
 def significant_edges(result: DataFrame) -> DataFrame:
     return result.where("sig and weight > 0")
 

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from .sequences import Sequences
 
 TYPES = ("relative", "frequency", "co-occurrence", "reverse", "n-gram", "gap", "window", "attention")
+#: States that attention has a running sum each for in one window.
+WIDE = 64
 NORMALISED = ("relative", "reverse", "n-gram", "gap", "window")
 
 
@@ -76,12 +78,13 @@ def windowed(seqs: Sequences, size: int = 3) -> DataFrame:
 def attention(seqs: Sequences, beta: float = 1.0) -> DataFrame:
     """All pairs of places p < q, each with weight exp(-beta (q - p)).
 
-    What earlier places of a state still weigh at a place is a running sum of exp(beta p), faded by exp(-beta q): one
-    window for all states. Sums start anew every `span` places, before they could overflow. A block begins with the
-    places of the one before it, as far as the sequence goes on; those before that weigh less than exp(-600). The
-    states, few whatever the data, are read first.
+    What earlier places of a state still weigh at a place is a running sum of exp(beta p), faded by exp(-beta q). Sums start
+    anew every `span` places, before they could overflow. A block begins with the places of the one before it, as far as
+    the sequence goes on; those before that weigh less than exp(-600). Up to WIDE states have a sum each in one window,
+    which takes the states to be read first; beyond, every place is set beside the states of its block, and one sum runs
+    through the places of each, so that the plan is the same for any number of states.
     """
-    states = sorted(r.label for r in seqs.labels().collect())
+    states = sorted(r.label for r in seqs.labels().limit(WIDE + 1).collect())
     w = seqs.window()
     rows = seqs.present().select(*seqs.keys, "state", (F.row_number().over(w) - 1).alias("pos"), F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("length"))
     if beta > 0:
@@ -93,11 +96,18 @@ def attention(seqs: Sequences, beta: float = 1.0) -> DataFrame:
         rows = rows.select(*seqs.keys, "state", F.inline(F.when(F.col("length") > (block + 1) * span, F.array(own, again)).otherwise(F.array(own))))
     else:
         rows = rows.select(*seqs.keys, "state", F.lit(0).cast("long").alias("block"), F.col("pos").cast("long").alias("at"), F.lit(True).alias("here"))
+    weight, fade = F.exp(F.lit(float(beta)) * F.col("at")), F.exp(F.lit(-float(beta)) * F.col("at"))
+    if len(states) > WIDE:
+        there = F.collect_set("state").over(Window.partitionBy(*seqs.keys, "block"))
+        beside = rows.withColumn("there", there).select(*seqs.keys, "block", "at", "here", F.col("state").alias("to_state"), F.explode("there").alias("from_state"))
+        before = Window.partitionBy(*seqs.keys, "block", "from_state").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        held = F.sum(F.when(F.col("to_state") == F.col("from_state"), weight)).over(before)
+        pairs = beside.select(*seqs.groups, "from_state", "to_state", "here", fade.alias("fade"), held.alias("held")).where("here and held is not null")
+        return _summed(pairs, seqs.groups, F.sum(F.col("held") * F.col("fade")))
     before = Window.partitionBy(*seqs.keys, "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    weight = F.exp(F.lit(float(beta)) * F.col("at"))
     held = F.array(*[F.struct(F.lit(s).alias("from_state"), F.sum(F.when(F.col("state") == s, weight)).over(before).alias("held")) for s in states])
     held = held if states else F.array().cast("array<struct<from_state: string, held: double>>")
-    pairs = rows.select(*seqs.groups, F.col("state").alias("to_state"), F.exp(F.lit(-float(beta)) * F.col("at")).alias("fade"), "here", held.alias("all")).where("here")
+    pairs = rows.select(*seqs.groups, F.col("state").alias("to_state"), fade.alias("fade"), "here", held.alias("all")).where("here")
     pairs = pairs.select(*seqs.groups, "to_state", "fade", F.inline("all")).where("held is not null")
     return _summed(pairs, seqs.groups, F.sum(F.col("held") * F.col("fade")))
 

@@ -745,6 +745,12 @@ def _(spark, d):
     return _rounded(found.edges, "weight", "mean", "sd", "ci_lower", "ci_upper", "p_value")
 
 
+@query("bootstrap_bca")
+def _(spark, d):
+    found = resample.bca_edges(model.tna(orders(spark, d)), 200)
+    return _rounded(found, "weight", "bias", "acceleration", "ci_lower", "ci_upper")
+
+
 # Permutations of exact sizes: places of sequences in a keyed network, which SQL can walk.
 
 
