@@ -871,6 +871,34 @@ def _(spark, d):
     return rows.select("length", "pattern", F.round("statistic", 6).alias("statistic"), (F.round("effect_size", 6) + 0.0).alias("effect_size"), F.round("p_value", 9).alias("p_value"), F.round("p_adjusted", 9).alias("p_adjusted"))
 
 
+# The same with lengths 1 to 5 and groups dealt out anew to as many sequences as they have, which are the defaults.
+
+_RUNS5 = """u AS (SELECT seq, grp, p, s, lead(s, 1) OVER x AS s1, lead(s, 2) OVER x AS s2, lead(s, 3) OVER x AS s3, lead(s, 4) OVER x AS s4 FROM g WINDOW x AS (PARTITION BY seq ORDER BY p)),
+t AS (SELECT seq, grp, 1 AS length, s AS pattern FROM u UNION ALL SELECT seq, grp, 2, s || '->' || s1 FROM u WHERE s1 IS NOT NULL UNION ALL SELECT seq, grp, 3, s || '->' || s1 || '->' || s2 FROM u WHERE s2 IS NOT NULL
+  UNION ALL SELECT seq, grp, 4, s || '->' || s1 || '->' || s2 || '->' || s3 FROM u WHERE s3 IS NOT NULL UNION ALL SELECT seq, grp, 5, s || '->' || s1 || '->' || s2 || '->' || s3 || '->' || s4 FROM u WHERE s4 IS NOT NULL),
+""" + _RUNS[_RUNS.index("f AS (SELECT a.length"):]
+
+
+@query("patterns_compare_default", _sql(G, _RUNS5, select="""SELECT pattern, length, grp, freq, prop FROM (SELECT pattern, length, grp, n AS freq, round(n / sum(n) OVER (PARTITION BY length, grp), 9) AS prop,
+min(n) OVER (PARTITION BY length, pattern) AS least FROM f) WHERE least >= 5"""))
+def _(spark, d):
+    return _rounded(patterns.compare(orders(spark, d, segments=True), "grp"), "prop")
+
+
+@query("patterns_perm_exact", _recursive(G, _RUNS5, _walk("SELECT DISTINCT grp, seq FROM g", "grp, seq"), "gz AS (SELECT grp, sum(count(*)) OVER (ORDER BY grp) AS e FROM fi GROUP BY grp)",
+    "rg AS (SELECT fy.rep, fi.seq, min(gz.grp) AS grp FROM fy JOIN fi USING (idx) JOIN gz ON gz.e > fy.y GROUP BY ALL)",
+    "rn AS (SELECT rg.rep, t.length, t.pattern, rg.grp, count(*) AS n FROM t JOIN rg ON rg.seq = t.seq GROUP BY ALL)",
+    f"rf AS (SELECT -1 AS rep, length, pattern, grp, n FROM f UNION ALL SELECT r.rep, f.length, f.pattern, f.grp, coalesce(rn.n, 0) FROM f CROSS JOIN (SELECT unnest(range({REPS})) AS rep) r LEFT JOIN rn ON rn.rep = r.rep AND rn.length = f.length AND rn.pattern = f.pattern AND rn.grp = f.grp)",
+    "rm AS (SELECT *, sum(n) OVER (PARTITION BY rep, length, pattern) AS pn, sum(n) OVER (PARTITION BY rep, grp) AS gn, sum(n) OVER (PARTITION BY rep) AS an FROM rf)",
+    "rs AS (SELECT rep, length, pattern, sqrt(sum(pow(n - pn * gn / an, 2))) AS s FROM rm GROUP BY ALL)",
+    f"rt AS (SELECT length, pattern, any_value(a) AS a, avg(s) AS mu, stddev_pop(s) AS sd, (sum(CASE WHEN s >= a THEN 1 ELSE 0 END) + 1) / {float(REPS + 1)} AS p FROM (SELECT *, max(CASE WHEN rep = -1 THEN s END) OVER (PARTITION BY length, pattern) AS a FROM rs) WHERE rep >= 0 GROUP BY ALL)",
+    "ra AS (SELECT *, least(1, p * count(*) OVER (PARTITION BY length)) AS pa FROM rt)", "fm AS (SELECT length, pattern, min(n) AS least FROM f GROUP BY 1, 2)",
+    select="""SELECT length, pattern, round(a, 6) AS statistic, round(CASE WHEN sd > 0 THEN (a - mu) / sd ELSE 0 END, 6) AS effect_size, round(p, 9) AS p_value, round(pa, 9) AS p_adjusted FROM ra JOIN fm USING (length, pattern) WHERE fm.least >= 5"""))
+def _(spark, d):
+    rows = patterns.permuted_patterns(orders(spark, d, segments=True), "grp", REPS)
+    return rows.select("length", "pattern", F.round("statistic", 6).alias("statistic"), (F.round("effect_size", 6) + 0.0).alias("effect_size"), F.round("p_value", 9).alias("p_value"), F.round("p_adjusted", 9).alias("p_adjusted"))
+
+
 _P = "pv AS (SELECT from_state, to_state, weight AS p FROM w)"
 
 
