@@ -5,13 +5,17 @@ import hashlib
 import os
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from stepweave.llm import language_id, quality
+from stepweave.llm.common import table
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -182,3 +186,54 @@ def test_op9_knows_languages_of_held_out_documents(run, texts):
             if r.held_out and lang[r.doc_id]:
                 right.append(r.lang_pred == lang[r.doc_id])
     assert len(right) > 200 and np.mean(right) > 0.97
+
+
+def test_op10_scores_are_those_of_its_rules(run, spark, texts):
+    """Every score anew: the statistics of a whole text, and the weights of the rules that hold for them."""
+    _, _, rows = run(10)
+    labels = table(spark, SF, "labels").where(quality.in_training(F.col("doc_id")))
+    model = quality.fit(table(spark, SF, "documents"), labels)
+    text = {k: t for k, t, *_ in texts}
+    assert model["rules"]
+    for r in rows:
+        x = quality.statistics(text[r.doc_id])
+        total = model["intercept"] + sum(w for rule, w in zip(model["rules"], model["weights"]) if all((x[f] <= cut) == low for f, cut, low in rule))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12) and r.predicted == int(r.score >= 0.5)
+
+
+def test_op9_predictions_are_those_of_plain_profiles(run, texts):
+    """Prototypes and cosines anew, from n-grams of strings and vectors of letters in double precision."""
+    _, _, rows = run(9)
+    dim, n, seed = language_id.DIM, language_id.GRAM, language_id.SEED
+    letters, bound = {}, {}
+
+    def vector(gram):
+        if gram not in bound:
+            out = np.ones(dim)
+            for k, c in enumerate(gram):
+                if c not in letters:
+                    letters[c] = np.random.default_rng((seed, 0 if c == " " else ord(c))).integers(0, 2, dim, np.int8) * 2.0 - 1
+                out *= np.roll(letters[c], n - 1 - k)
+            bound[gram] = out
+        return bound[gram]
+
+    def profile(text):
+        plain = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " ")
+        grams = Counter(plain[k : k + n] for k in range(len(plain) - n + 1)) if plain.strip() else {}
+        out = sum((c * vector(g) for g, c in grams.items()), np.zeros(dim))
+        return out / np.linalg.norm(out) if out.any() else None
+
+    profiles, sums = {k: profile(t) for k, t, *_ in texts}, {}
+    for k, _, _, lang in texts:
+        if lang is not None and profiles[k] is not None and not held(k, 3, 1):
+            sums[lang] = sums.get(lang, 0) + profiles[k]
+    names = sorted(sums)
+    models = np.stack([sums[x] / np.linalg.norm(sums[x]) for x in names])
+    for r in rows:
+        p = profiles[r.doc_id]
+        if p is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosine = models @ p
+        assert r.lang_pred == names[int(cosine.argmax())]
+        assert r.score == pytest.approx(1 / np.exp(language_id.SHARP * (cosine - cosine.max())).sum(), abs=1e-3)
