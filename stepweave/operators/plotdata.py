@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .model import Model
+from .network import centralities
 from .sequences import Sequences
 
 
@@ -30,6 +31,16 @@ def network(model: Model, minimum: float = 0.0, loops: bool = True, cut: float |
     return out if cut is None else out.withColumn("alpha", F.when(F.col("weight") < cut, F.lit(alphas[0])).otherwise(F.col("alpha")))
 
 
+def node_sizes(model: Model, by: str, sizes: tuple[float, float] = (800.0, 3000.0)) -> DataFrame:
+    """groups, state, size: nodes as large as a centrality says, its least and largest values being the ends of `sizes`. A
+    measure that doesn't vary gives all of them the middle."""
+    values = centralities(model, [by])
+    w = Window.partitionBy(*model.groups) if model.groups else Window.partitionBy(F.lit(0))  # states of a model: few
+    low, high = F.min("value").over(w), F.max("value").over(w)
+    share = F.when(high > low, (F.col("value") - low) / F.nullif(high - low, F.lit(0.0))).otherwise(F.lit(0.5))
+    return values.select(*model.groups, "state", (sizes[0] + share * (sizes[1] - sizes[0])).alias("size"))
+
+
 def circular(model: Model, radius: float = 1.0) -> DataFrame:
     """state, x, y: states in order around a circle, from the top."""
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("label")) - 1  # states of a model: few

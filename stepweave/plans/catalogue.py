@@ -1071,3 +1071,9 @@ def _(spark, d):
     return _rounded(plotdata.bootstrap_grid(resample.bootstrap(m, again)), "weight", "ci_width")
 
 
+
+
+@query("plot_node_sizes", _sql(E, E_REL, "z AS (SELECT from_state AS state, sum(weight) FILTER (WHERE from_state <> to_state) AS v FROM w GROUP BY 1)",
+    select="SELECT state, round(800 + (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) * 2200, 9) AS size FROM z"))
+def _(spark, d):
+    return _rounded(plotdata.node_sizes(model.tna(_e(spark, d)), "OutStrength"), "size")
