@@ -76,7 +76,8 @@ def _levels(places: DataFrame, group: str, names: int, longest: int, min_freq: i
         if k < longest:
             marked = now.join(passing.withColumn("good", F.lit(True)), "pattern", "left")
             grown = F.when(F.col("good") & F.lead("good").over(w), F.concat_ws("->", "pattern", F.lead("state", k).over(w)))
-            now = marked.select("__id", "__stretch", "raw_pos", group, "state", grown.alias("pattern"))
+            grown_rows = marked.select("__id", "__stretch", "raw_pos", group, "state", grown.alias("pattern"))
+            now = written(grown_rows, "places")  # or each level would do all before it anew
 
 
 def compare(seqs: Sequences, group: str, sub: tuple[int, ...] = (1, 2, 3, 4, 5), min_freq: int = 5) -> DataFrame:
@@ -100,6 +101,7 @@ def compare(seqs: Sequences, group: str, sub: tuple[int, ...] = (1, 2, 3, 4, 5),
     w = seqs.window()
     stretch = F.col("raw_pos") - F.row_number().over(w)
     places = seqs.present().select(F.struct(*seqs.keys).alias("__id"), group, "raw_pos", "state", stretch.alias("__stretch"))
+    places = written(places, "places")
     ahead = F.count("*").over(Window.partitionBy("__id", "__stretch").orderBy(F.col("raw_pos").desc()).rowsBetween(Window.unboundedPreceding, 0))
     lengths = F.array(*[F.lit(k) for k in sub])
     windows = places.select(group, ahead.alias("ahead")).select(group, F.explode(F.filter(lengths, lambda k: k <= F.col("ahead"))).alias("length")).groupBy("length", group).agg(F.count("*").alias("windows"))
