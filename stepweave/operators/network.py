@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import replace
 
 import numpy as np
@@ -12,10 +13,13 @@ from pyspark.sql.window import Window
 
 from ..functions import graph
 from .model import Model
+from .shared import written
 
 #: Measures that are sums over edges or products with them: these never leave the JVM.
 NATIVE = ("OutStrength", "InStrength")
 UNDIRECTED = ("co-occurrence", "attention")
+#: States from which one task searches paths, about.
+SOURCES = 64
 
 
 def _matrix(edges: pd.DataFrame) -> tuple[list[str], np.ndarray]:
@@ -40,29 +44,66 @@ def _per_group(edges: DataFrame, groups: tuple[str, ...], kernel, schema: str) -
     return edges.groupBy(*keys).applyInPandas(run, f"{fields}, {schema}" if groups else schema)
 
 
+def _by_source(edges: DataFrame, groups: tuple[str, ...], kernel, schema: str) -> DataFrame:
+    """kernel(labels, matrix, sources, first) for each group and block of about SOURCES of its states, with the group's
+    columns; the values of equal rows are still to be added up. Every block gets the group's edges and searches from its own
+    states, which the hash of their label deals out; first marks one block of each group."""
+    sizes = edges.groupBy(*groups).agg(F.ceil(F.greatest(F.count_distinct("from_state"), F.count_distinct("to_state")) / SOURCES).cast("int").alias("__blocks"))
+    sizes = sizes.select(*[F.col(g).alias(f"__of_{g}") for g in groups], "__blocks", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__block"))
+    if groups:
+        same = F.lit(True)
+        for g in groups:
+            same = same & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+        dealt = edges.join(sizes, same)
+    else:
+        dealt = edges.crossJoin(F.broadcast(sizes))  # a row for each block of SOURCES states
+    fields = edges.select(*groups).schema.simpleString()[7:-1].replace(":", " ") if groups else ""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        block, blocks = int(part["__block"].iloc[0]), int(part["__blocks"].iloc[0])
+        labels, w = _matrix(part)
+        out = kernel(labels, w, np.array([k for k, s in enumerate(labels) if zlib.crc32(str(s).encode()) % blocks == block], int), block == 0)
+        for k, g in enumerate(groups):
+            out.insert(k, g, part[g].iloc[0])
+        return out
+
+    return dealt.groupBy(*groups, "__block").applyInPandas(run, f"{fields}, {schema}" if groups else schema)
+
+
 def centralities(model: Model, measures: list[str] | None = None, loops: bool = False, normalize: bool = False) -> DataFrame:
     """groups, state, measure and value. Loops don't count unless asked for; undirected models have undirected betweenness.
 
-    Strengths are aggregations; what needs paths or inverses gets each group's matrix in a task of its own.
+    Strengths are aggregations, measures by paths are added up over blocks of their sources, and what needs products or
+    inverses gets each group's matrix in a task of its own. Edges are written to a table first, which all parts read.
     """
     wanted = list(graph.MEASURES) if measures is None else list(measures)
     unknown = set(wanted) - set(graph.MEASURES)
     if unknown:
         raise ValueError(f"unknown measures: {sorted(unknown)}")
     groups, directed = model.groups, model.type_ not in UNDIRECTED
-    edges = model.weights
+    edges = written(model.weights, "edges")
     own = edges if loops else edges.withColumn("weight", F.when(F.col("from_state") == F.col("to_state"), F.lit(0.0)).otherwise(F.col("weight")))
     parts = []
     for name, side in (("OutStrength", "from_state"), ("InStrength", "to_state")):
         if name in wanted:
             parts.append(own.groupBy(*groups, F.col(side).alias("state")).agg(F.sum("weight").alias("value")).select(*groups, "state", F.lit(name).alias("measure"), "value"))
-    rest = [m for m in graph.MEASURES if m in wanted and m not in NATIVE]
+    schema = "state string, measure string, value double"
+    paths = [m for m in graph.BY_SOURCE if m in wanted]
+    if paths:
+
+        def searched(labels, w, sources, first):
+            own = set(sources.tolist())
+            found = [(s, m, float(v)) for m in paths for k, (s, v) in enumerate(zip(labels, graph.measure(m, w, loops, directed, sources))) if k in own or v]
+            return pd.DataFrame(found, columns=["state", "measure", "value"])
+
+        parts.append(_by_source(edges, groups, searched, schema).groupBy(*groups, "state", "measure").agg(F.sum("value").alias("value")))
+    rest = [m for m in graph.MEASURES if m in wanted and m not in NATIVE and m not in paths]
     if rest:
 
         def kernel(labels, w):
             return pd.DataFrame([(s, m, float(v)) for m in rest for s, v in zip(labels, graph.measure(m, w, loops, directed))], columns=["state", "measure", "value"])
 
-        parts.append(_per_group(edges, groups, kernel, "state string, measure string, value double"))
+        parts.append(_per_group(edges, groups, kernel, schema))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -92,14 +133,21 @@ def diffusion(model: Model, steps: int, loops: bool = False) -> DataFrame:
 
 
 def betweenness_network(model: Model) -> Model:
-    """A model whose weights are the numbers of shortest paths over each edge; loops are no part of any."""
-    directed = model.type_ not in UNDIRECTED
+    """A model whose weights are the numbers of shortest paths over each edge; loops are no part of any.
 
-    def kernel(labels, w):
-        out = graph.edge_betweenness(w if directed else graph.undirected(w), directed)
-        return pd.DataFrame([(a, b, float(out[i, j])) for i, a in enumerate(labels) for j, b in enumerate(labels)], columns=["from_state", "to_state", "weight"])
+    Paths are searched by blocks of sources. Each gives the edges it has paths over, and one gives every edge a row.
+    """
+    directed, groups = model.type_ not in UNDIRECTED, model.groups
+
+    def kernel(labels, w, sources, first):
+        out = graph.edge_betweenness(w if directed else graph.undirected(w), directed, sources)
+        at = np.nonzero(np.ones(out.shape) if first else out)
+        names = np.array(labels, object)
+        return pd.DataFrame({"from_state": names[at[0]], "to_state": names[at[1]], "weight": out[at]})
 
-    return replace(model, weights=_per_group(model.weights, model.groups, kernel, "from_state string, to_state string, weight double"), type_="betweenness", sequences=None)
+    parts = _by_source(written(model.weights, "edges"), groups, kernel, "from_state string, to_state string, weight double")
+    weights = parts.groupBy(*groups, "from_state", "to_state").agg(F.sum("weight").alias("weight"))
+    return replace(model, weights=weights, type_="betweenness", sequences=None)
 
 
 def cliques(model: Model, size: int = 2, threshold: float = 0.0) -> DataFrame:

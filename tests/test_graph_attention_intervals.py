@@ -5,10 +5,11 @@ import time
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from stepweave.functions import graph, stats
-from stepweave.operators import model, resample, transitions
+from stepweave.operators import model, network, resample, transitions
 from stepweave.operators.sequences import Sequences
 
 
@@ -138,3 +139,70 @@ def test_intervals_of_edges_are_those_of_left_out_sequences(spark, type_):
 def test_intervals_of_scaled_models_are_refused(spark):
     with pytest.raises(ValueError, match="before scaling"):
         resample.bca_edges(model.tna(long(spark, ["AB", "BA"]), scaling="max"))
+
+
+def searched_from(weights, source):
+    """Distances by relaxing all edges until none gets shorter, then paths counted along them by distance."""
+    n, far = len(weights), {source: 0.0}
+    edges = [(u, v, 1.0 / weights[u, v]) for u in range(n) for v in range(n) if u != v and weights[u, v] > 0]
+    changed = True
+    while changed:
+        changed = False
+        for u, v, d in edges:
+            if u in far and far[u] + d < far.get(v, math.inf):
+                far[v], changed = far[u] + d, True
+    count = dict.fromkeys(far, 0)
+    count[source] = 1
+    for v in sorted(far, key=far.get):
+        if v != source:
+            count[v] = sum(count[u] for u, x, d in edges if x == v and u in far and far[u] + d == far[v])
+    return far, count
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_paths_side_by_side(seed):
+    rng = np.random.default_rng(seed)
+    w = 2.0 ** rng.integers(0, 3, (9, 9)) * (rng.random((9, 9)) < 0.4)  # lengths that add up exactly, so paths tie
+    far, count, order = graph.paths(w, np.arange(9))
+    for s in range(9):
+        want, paths = searched_from(w, s)
+        assert {v: d for v, d in enumerate(far[s]) if d < math.inf} == want
+        assert {v: count[s, v] for v in want} == paths
+        assert sorted(order[s][order[s] >= 0]) == sorted(want) and (np.diff(far[s, order[s][order[s] >= 0]]) >= 0).all()
+    parts = [np.array([0, 3]), np.array([], int), np.array([1, 2, 4, 5, 6, 7, 8])]
+    for whole, part in ((graph.betweenness(w), [graph.betweenness(w, sources=p) for p in parts]), (graph.edge_betweenness(w, False), [graph.edge_betweenness(w, False, p) for p in parts])):
+        assert np.allclose(whole, sum(part))
+    assert np.array_equal(graph.closeness(w), sum(graph.closeness(w, p) for p in parts))
+
+
+def test_paths_by_blocks_of_sources(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(g, f"s{a}", f"s{b}", float(x)) for g in ("a", None, "o'x") for a in range(12) for b in range(12) if (x := rng.random()) < 0.5]
+    edges = spark.createDataFrame(rows, "grp string, from_state string, to_state string, weight double")
+    for type_ in ("relative", "co-occurrence"):
+        m = model.Model(edges, edges.limit(0), edges.limit(0), type_, ("grp",))
+        measures = ["ClosenessIn", "Closeness", "Betweenness", "InStrength", "Clustering"]
+        found = {}
+        for size in (64, 5, 1):
+            monkeypatch.setattr(network, "SOURCES", size)
+            values = {(r.grp, r.state, r.measure): r.value for r in network.centralities(m, measures).collect()}
+            flows = {(r.grp, r.from_state, r.to_state): r.weight for r in network.betweenness_network(m).weights.collect()}
+            found[size] = (values, flows)
+        for k in (0, 1):
+            assert len(found[64][k]) == (3 * 12 * 5, 3 * 144)[k]
+            assert found[5][k] == pytest.approx(found[64][k], abs=1e-9) and found[1][k] == pytest.approx(found[64][k], abs=1e-9)
+
+
+def test_paths_of_many_states_take_many_tasks(spark):
+    n = 200
+    rng = np.random.default_rng(5)
+    w = rng.random((n, n)) * (rng.random((n, n)) < 0.3)
+    cells = spark.createDataFrame([(f"s{a:03}", f"s{b:03}", float(w[a, b])) for a in range(n) for b in range(n)], "from_state string, to_state string, weight double")
+    m = model.from_matrix(cells, "frequency")
+    got = {r.state: r.value for r in network.centralities(m, ["Betweenness"]).collect()}
+    np.fill_diagonal(w, 0)
+    assert np.allclose([got[f"s{a:03}"] for a in range(n)], graph.betweenness(w))
+    blocks = network._by_source(m.weights, (), lambda labels, w, sources, first: pd.DataFrame({"n": [len(sources)]}), "n long").collect()
+    assert len(blocks) == 4 and sum(r.n for r in blocks) == n
+    empty = model.Model(cells.limit(0), cells, cells, "relative")
+    assert network.centralities(empty).count() == 0 and network.betweenness_network(empty).weights.count() == 0
