@@ -55,29 +55,42 @@ def filled(freqs: DataFrame, names: DataFrame, group: str, keys: tuple[str, ...]
     return every.join(freqs, [*keys, "length", "pattern", group], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def _two_groups(seqs: Sequences, group: str) -> None:
-    if len(seqs.frame.select(group).where(F.col(group).isNotNull()).distinct().limit(2).collect()) < 2:
+def _groups(seqs: Sequences, group: str) -> int:
+    """How many groups there are."""
+    count = seqs.frame.agg(F.count_distinct(group)).first()[0]
+    if count < 2:
         raise ValueError("patterns are compared between two groups at least")
+    return count
 
 
-def _levels(places: DataFrame, group: str, names: int, longest: int, min_freq: int):
+def _runs(seqs: Sequences, group: str, longest: int) -> DataFrame:
+    """group, run and n: the states from a place on, `longest` of them or as many as come before a hole, and how often.
+
+    One window finds them and one aggregation, combined before its shuffle, leaves each different run once, so what
+    comes after grows with the different runs and not with the places.
+    """
+    w = seqs.window()
+    ahead = [F.col("state")] + [F.when(F.lead("raw_pos", d).over(w) == F.col("raw_pos") + d, F.lead("state", d).over(w)) for d in range(1, longest)]
+    rows = seqs.frame.select(group, F.array(*ahead).alias("ahead"))
+    hole = F.array_position(F.transform("ahead", lambda x: x.isNull()), True)
+    rows = rows.select(group, F.when(hole == 0, F.col("ahead")).otherwise(F.slice("ahead", F.lit(1), F.greatest(hole, F.lit(1)).cast("int") - 1)).alias("run"))
+    return rows.where(F.size("run") > 0).groupBy(group, "run").agg(F.count("*").alias("n"))
+
+
+def _levels(runs: DataFrame, group: str, names: int, longest: int, min_freq: int):
     """For each length the counts (pattern, group, n) of its candidates, and of them the patterns that pass in every group.
 
-    places: a row for each state that is there, with its stretch of places without a hole. A run of k is a candidate only
-    if the two runs of k - 1 in it passed, as no run comes more often than a part of it.
+    A run of k is a candidate only if the two runs of k - 1 in it passed, as no run comes more often than a part of it.
     """
-    w = Window.partitionBy("__id", "__stretch").orderBy("raw_pos")
-    now = places.withColumn("pattern", F.col("state"))
+    passing = None
     for k in range(1, longest + 1):
-        counted = now.where("pattern is not null").groupBy("pattern", group).agg(F.count("*").alias("n"))
-        counted = written(counted, "pattern_counts")
+        part = lambda first, size: F.array_join(F.slice("run", first, size), "->")
+        now = runs.where(F.size("run") >= k).select(group, "n", part(1, k).alias("pattern"), part(1, k - 1).alias("head"), part(2, k - 1).alias("tail"))
+        for side in ("head", "tail") if k > 1 else ():
+            now = now.join(passing.select(F.col("pattern").alias(side)), side, "left_semi")
+        counted = written(now.groupBy("pattern", group).agg(F.sum("n").alias("n")), "pattern_counts")  # or each level would do all before it anew
         passing = counted.where(F.col("n") >= min_freq).groupBy("pattern").agg(F.count("*").alias("groups")).where(F.col("groups") == names).select("pattern")
         yield k, counted, passing
-        if k < longest:
-            marked = now.join(passing.withColumn("good", F.lit(True)), "pattern", "left")
-            grown = F.when(F.col("good") & F.lead("good").over(w), F.concat_ws("->", "pattern", F.lead("state", k).over(w)))
-            grown_rows = marked.select("__id", "__stretch", "raw_pos", group, "state", grown.alias("pattern"))
-            now = written(grown_rows, "places")  # or each level would do all before it anew
 
 
 def compare(seqs: Sequences, group: str, sub: tuple[int, ...] = (1, 2, 3, 4, 5), min_freq: int = 5) -> DataFrame:
@@ -90,23 +103,18 @@ def compare(seqs: Sequences, group: str, sub: tuple[int, ...] = (1, 2, 3, 4, 5),
         raise TypeError("sequences must have the column as a group")
     if not sub or min(sub) < 1:
         raise ValueError("lengths of patterns start at 1")
-    _two_groups(seqs, group)
-    seqs = _grouped(seqs, group)
-    names = seqs.frame.select(group).distinct()
+    count, seqs = _groups(seqs, group), _grouped(seqs, group)
     if min_freq < 1:  # what never comes in a group passes as well
+        names = seqs.frame.select(group).distinct()
         runs = occurrences(seqs, tuple(sub)).groupBy("length", "pattern", group).agg(F.count("*").alias("n"))
         share = F.sum("n").over(Window.partitionBy("length", group))
         rows = filled(runs, names, group).withColumn("prop", F.when(share > 0, F.col("n") / share).otherwise(F.lit(0.0)))
         return rows.select("pattern", "length", group, F.col("n").alias("freq"), "prop").orderBy("length", "pattern", group)
-    w = seqs.window()
-    stretch = F.col("raw_pos") - F.row_number().over(w)
-    places = seqs.present().select(F.struct(*seqs.keys).alias("__id"), group, "raw_pos", "state", stretch.alias("__stretch"))
-    places = written(places, "places")
-    ahead = F.count("*").over(Window.partitionBy("__id", "__stretch").orderBy(F.col("raw_pos").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    lengths = F.array(*[F.lit(k) for k in sub])
-    windows = places.select(group, ahead.alias("ahead")).select(group, F.explode(F.filter(lengths, lambda k: k <= F.col("ahead"))).alias("length")).groupBy("length", group).agg(F.count("*").alias("windows"))
+    runs = written(_runs(seqs, group, max(sub)), "runs")
+    lengths = F.array(*[F.lit(k) for k in sorted(set(sub))])
+    windows = runs.select(group, "n", F.explode(F.filter(lengths, lambda k: k <= F.size("run"))).alias("length")).groupBy("length", group).agg(F.sum("n").alias("windows"))
     parts = None
-    for k, counted, passing in _levels(places, group, names.count(), max(sub), min_freq):
+    for k, counted, passing in _levels(runs, group, count, max(sub), min_freq):
         if k in sub:
             rows = counted.join(passing, "pattern", "left_semi").withColumn("length", F.lit(k))
             parts = rows if parts is None else parts.unionByName(rows)
@@ -126,11 +134,10 @@ def permutation_test(seqs: Sequences, group: str, assignment: DataFrame, sub: tu
     once; a replicate adds those counts up by its groups. Adjustment is within a length, over all patterns. Sequences of a
     null group, in the data or in a replicate, don't count.
     """
-    _two_groups(seqs, group)
-    seqs = _grouped(seqs, group)
+    count, seqs = _groups(seqs, group), _grouped(seqs, group)
     runs, freqs = _runs_by_sequence(seqs, group, sub)
     shuffled = runs.drop(group).join(assignment.where(F.col(group).isNotNull()), list(seqs.ids)).groupBy("rep", "length", "pattern", "of_pattern", group).agg(F.sum("n").alias("n"))
-    return _tested(freqs, shuffled, seqs.frame.select(group).distinct(), group, min_freq, adjust)
+    return _tested(freqs, shuffled, count, group, min_freq, adjust)
 
 
 def _runs_by_sequence(seqs: Sequences, group: str, sub: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +148,7 @@ def _runs_by_sequence(seqs: Sequences, group: str, sub: tuple[int, ...]) -> tupl
     return runs.join(whole, ["length", "pattern"]), freqs.join(whole, ["length", "pattern"])
 
 
-def _tested(freqs: DataFrame, shuffled: DataFrame, names: DataFrame, group: str, min_freq: int, adjust: str) -> DataFrame:
+def _tested(freqs: DataFrame, shuffled: DataFrame, names: int, group: str, min_freq: int, adjust: str) -> DataFrame:
     of_group = lambda rows, *keys: rows.groupBy(*keys, group).agg(F.sum("n").alias("of_group"))
     real = _statistic(freqs, of_group(freqs), group, ())
     shuffled = written(shuffled, "shuffled")
@@ -156,18 +163,17 @@ def _tested(freqs: DataFrame, shuffled: DataFrame, names: DataFrame, group: str,
     if min_freq < 1:
         return tested
     passing = freqs.where(F.col("n") >= min_freq).groupBy("length", "pattern").agg(F.count("*").alias("groups"))
-    count = names.agg(F.count("*").alias("names"))
-    passing = passing.crossJoin(F.broadcast(count)).where("groups = names").select("length", "pattern")  # one row
-    return tested.join(passing, ["length", "pattern"], "left_semi")
+    return tested.join(passing.where(F.col("groups") == names), ["length", "pattern"], "left_semi")
 
 
 def permuted_patterns(seqs: Sequences, group: str, iterations: int = 1000, sub: tuple[int, ...] = (1, 2, 3, 4, 5), min_freq: int = 5, adjust: str = "bonferroni", seed: int = 0) -> DataFrame:
     """permutation_test() in one call, by adjusted p value, length and pattern: a replicate deals the groups out anew, each to
     as many sequences as it has, for any number of sequences."""
-    _two_groups(seqs, group)
     seqs = _grouped(seqs, group)
     each = seqs.frame.select(*seqs.keys).distinct()
     sizes = [(r[group], r.n) for r in each.groupBy(group).agg(F.count("*").alias("n")).orderBy(group).collect()]  # groups are few
+    if len(sizes) < 2:
+        raise ValueError("patterns are compared between two groups at least")
     ends, chunked = np.cumsum([n for _, n in sizes]), chunks(iterations)
 
     def dealt(start, total, first, size):
@@ -182,4 +188,4 @@ def permuted_patterns(seqs: Sequences, group: str, iterations: int = 1000, sub:
     kind = each.schema[group].dataType
     names = each.sparkSession.createDataFrame([(k, g) for k, (g, _) in enumerate(sizes)], StructType([StructField("label", IntegerType()), StructField(group, kind)]))
     shuffled = shuffled.join(F.broadcast(names), "label").select("rep", *what, group, "n")
-    return _tested(freqs, shuffled, names.select(group), group, min_freq, adjust).orderBy("p_adjusted", "length", "pattern")
+    return _tested(freqs, shuffled, len(sizes), group, min_freq, adjust).orderBy("p_adjusted", "length", "pattern")

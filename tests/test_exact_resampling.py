@@ -208,8 +208,9 @@ def test_compared_patterns_grow_level_by_level(spark, least):
 
 def test_candidates_are_runs_whose_parts_passed(spark):
     s = seqs(spark, ["ABCABC" + x for x in "DEFGHI"] * 10, ["g", "h"] * 30)
-    places = s.frame.selectExpr("struct(seq_id) as __id", "grp", "raw_pos", "state", "0 as __stretch")
-    counted = {k: {r.pattern for r in rows.collect()} for k, rows, _ in patterns._levels(places, "grp", 2, 3, 15)}
+    runs = patterns._runs(s, "grp", 3)
+    assert {tuple(r.run): r.n for r in runs.where("grp = 'g'").collect()}["A", "B", "C"] == 60
+    counted = {k: {r.pattern for r in rows.collect()} for k, rows, _ in patterns._levels(runs, "grp", 2, 3, 15)}
     assert counted[2] == {"A->B", "B->C", "C->A"} and counted[3] == {"A->B->C", "B->C->A", "C->A->B"}
 
 
