@@ -28,11 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which remove_written() clears."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def hadoop(spark: SparkSession, path: str):
+    """The path as Hadoop's file systems see it, with scheme and host, and the file system it lies in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(path), system
+
+
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """df, computed once into a Parquet table of the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -41,12 +54,12 @@ _made: list[str] = []
 
 
 def remove_written(spark: SparkSession) -> int:
-    """Removes what written() put into the shared folder so far, for callers whose results are stored by then: DataFrames
+    """Removes what written() and shared_folder()'s callers put into the shared folder so far, for callers whose results are stored by then: DataFrames
     that were made from these tables can't be computed any more. Returns how many there were."""
     count = len(_made)
     while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = hadoop(spark, _made.pop())
+        system.delete(path, True)
     return count
 
 

@@ -6,7 +6,7 @@ import base64
 import hashlib
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import hadoop, shared_folder, table, written
 
 #: Magic numbers of the public seekable format: the skippable frame that holds the table, and the table's own end.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -24,21 +24,37 @@ FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 28
 FRAMES, TASKS = 64, 20_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Record ids of pages: this tag, then the page's number in 64 bits.
-TAG = 0x7061676500004000
+#: Record ids of pages: this tag in 32 bits, 16 and 12 bits of the payload's digest around the version 4, then the page's
+#: number in 64 bits.
+TAG, VERSION = 0x70616765, 4
+#: Names that Hadoop has for file systems, and the ones that Arrow has.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
 #: Repeated payloads whose table is broadcast, at most (some 100 bytes each): beyond it, a salted join.
 REPEATS, SALTS = 200_000, 64
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path)
+Opened = Callable[[str], tuple[fs.FileSystem, str]]
+
+
+def arrow_uri(path: str) -> str:
+    """The path as Arrow writes it: its own schemes, and three slashes before a local path."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    return f"{SCHEMES.get(scheme, scheme)}:{'//' if rest.startswith('/') and not rest.startswith('//') else ''}{rest}"
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path of Hadoop's, and the path's name there. Credentials are those of Arrow's surroundings;
+    where others are needed, writers and readers take another function like this one."""
+    return fs.FileSystem.from_uri(arrow_uri(path))
 
 
 class BundleWriter:
     """Appends records to one bundle; record() tells where each lies. close() writes the seek table."""
 
-    def __init__(self, path: str, frame_bytes: int = FRAME_BYTES, level: int = 3):
-        system, name = _open(path)
+    def __init__(self, path: str, frame_bytes: int = FRAME_BYTES, level: int = 3, opened: Opened = opened):
+        system, name = opened(path)
         self.out, self.frame_bytes = system.open_output_stream(name, compression=None), frame_bytes
         self.zstd, self.table, self.held, self.at, self.bytes = zstandard.ZstdCompressor(level=level), [], [], 0, 0
 
@@ -69,8 +85,8 @@ class BundleWriter:
 class BundleReader:
     """Frames of a bundle by number: the footer is read first, then only the frames asked for."""
 
-    def __init__(self, path: str):
-        system, name = _open(path)
+    def __init__(self, path: str, opened: Opened = opened):
+        system, name = opened(path)
         self.file = system.open_input_file(name)
         end = self.file.size()
         count, flags, magic = struct.unpack("<IBI", self.file.read_at(9, end - 9))
@@ -93,15 +109,23 @@ class BundleReader:
 
 
 def record_id(page_id: int | None, url: str | None, digest: str) -> str:
-    value = uuid.UUID(int=(TAG << 64) | (page_id & ((1 << 64) - 1))) if page_id is not None else uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {digest}")
-    return f"<urn:uuid:{value}>"
+    """Of a page: its number and 28 bits of its payload's digest, so that pages of one number differ if their payloads do;
+    rows alike in both are the same record. Of a page without a number: a name from its url and digest."""
+    if page_id is None:
+        return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {digest}')}>"
+    bits = int.from_bytes(base64.b32decode(digest)[:4], "big") >> 4
+    value = TAG << 96 | bits >> 12 << 80 | VERSION << 76 | (bits & 0xFFF) << 64 | page_id & ((1 << 64) - 1)
+    return f"<urn:uuid:{uuid.UUID(int=value)}>"
 
 
 def page_of(record: str | None) -> int | None:
+    """The number in a record id of a page; names from urls have another version."""
     if not record:
         return None
     value = uuid.UUID(record.strip("<>").removeprefix("urn:uuid:")).int
-    return None if value >> 64 != TAG else int.from_bytes((value & ((1 << 64) - 1)).to_bytes(8, "big"), "big", signed=True)
+    if value >> 96 != TAG or value >> 76 & 0xF != VERSION:
+        return None
+    return int.from_bytes((value & ((1 << 64) - 1)).to_bytes(8, "big"), "big", signed=True)
 
 
 def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -146,7 +170,7 @@ def records(data: bytes) -> Iterator[tuple[int, dict]]:
 INDEX = "page_id long, bundle string, frame int, offset int, length int"
 
 
-def write_bundles(pages: DataFrame, folder: str, least: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+def write_bundles(pages: DataFrame, folder: str, least: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, opened: Opened = opened) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html) into bundles of the folder; returns the index of records.
 
     Of rows with equal payloads of at least `least` bytes, those with the smallest page_id hold it (all of them, should
@@ -154,8 +178,13 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 0, frame_bytes: in
     of such rows alone each is a response. A null html is an empty payload, a null url leaves its header out.
 
     A task streams its rows into bundles of its own names, and the index, which is written to a table before it is
-    returned, names those of the attempts that counted: what a lost executor left half-written is never read.
+    returned, names those of the attempts that counted: what a lost executor left half-written is never read, and
+    remove_unnamed() clears it. The folder is made by Hadoop, where spark's own tables are; tasks write by Arrow.
     """
+    spark = pages.sparkSession
+    place, system = hadoop(spark, folder)
+    system.mkdirs(place)
+    folder = folder if ":" in folder.split("/")[0] else place.toString()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
     shared = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1 and holder is not null")
@@ -175,7 +204,7 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 0, frame_bytes: in
                 for r in batch.slice(k, 256).to_pylist():
                     if writer is None:
                         path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
-                        writer = BundleWriter(path, frame_bytes)
+                        writer = BundleWriter(path, frame_bytes, opened=opened)
                     revisit = r["holder"] is not None and r["page_id"] != r["holder"]
                     digest = base64.b32encode(bytes.fromhex(r["sha"])).decode()
                     data = warc_record(r["page_id"], r["url"], r["payload"], digest, r["holder"] if revisit else None, revisit)
@@ -188,11 +217,24 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 0, frame_bytes: in
         if writer is not None:
             writer.close()
 
-    _open(folder)[0].create_dir(_open(folder)[1], recursive=True)
     return written(told.mapInArrow(run, INDEX), "warc-index")
 
 
-def read_bundles(index: DataFrame, payload: bool = False) -> DataFrame:
+def remove_unnamed(index: DataFrame, folder: str) -> int:
+    """Removes the folder's bundles that the index doesn't name, as lost tasks leave them; returns how many. To be called
+    once nothing writes there. What the driver holds is names, of which there is one for some BUNDLE_BYTES of archive."""
+    place, system = hadoop(index.sparkSession, folder)
+    if not system.exists(place):
+        return 0
+    named = {r.bundle.rsplit("/", 1)[1] for r in index.select("bundle").distinct().toLocalIterator()}
+    found = [x.getPath() for x in system.listStatus(place)]
+    gone = [x for x in found if x.getName().endswith(".warc.zst") and x.getName() not in named]
+    for path in gone:
+        system.delete(path, False)
+    return len(gone)
+
+
+def read_bundles(index: DataFrame, payload: bool = False, opened: Opened = opened) -> DataFrame:
     """Every record of the bundles that the index names, read frame by frame; each payload is held against its digest.
 
     Records come back as often as they were written: repeated pages, and those without an id, url or payload, too. An
@@ -213,7 +255,7 @@ def read_bundles(index: DataFrame, payload: bool = False) -> DataFrame:
                 if held != row["bundle"]:
                     if reader:
                         reader.close()
-                    reader, held = BundleReader(row["bundle"]), row["bundle"]
+                    reader, held = BundleReader(row["bundle"], opened), row["bundle"]
                 found = [r | {"bundle": held, "frame": row["frame"], "offset": at} for at, r in records(reader.frame(row["frame"]))]
                 if len(found) != row["n"] or found[-1]["offset"] != row["last"]:
                     raise ValueError(f"frame {row['frame']} of {held} doesn't hold what its index says")
@@ -224,9 +266,9 @@ def read_bundles(index: DataFrame, payload: bool = False) -> DataFrame:
     return frames.mapInArrow(run, schema)
 
 
-def read_record(bundle: str, frame: int, offset: int) -> dict:
+def read_record(bundle: str, frame: int, offset: int, opened: Opened = opened) -> dict:
     """One record by its place: the bundle's footer and one frame are all that is read."""
-    reader = BundleReader(bundle)
+    reader = BundleReader(bundle, opened)
     try:
         return parse(reader.frame(frame), offset)[0]
     finally:
@@ -235,5 +277,5 @@ def read_record(bundle: str, frame: int, offset: int) -> dict:
 
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives of all pages hold, read back: one row a page; where they lie is read_bundles' to tell."""
-    index = write_bundles(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    index = write_bundles(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
     return read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

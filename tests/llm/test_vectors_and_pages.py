@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stepweave.llm import ann, embedding_dedup, warc
-from stepweave.llm.common import shared_dir, table
+from stepweave.llm import ann, common, embedding_dedup, warc
+from stepweave.llm.common import hadoop, remove_written, shared_dir, shared_folder, table
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 NAN, INF = float("nan"), float("inf")
@@ -226,6 +226,61 @@ def test_no_pages(spark):
     assert warc.read_bundles(bundles(spark, spark.createDataFrame([], PAGES))).count() == 0
 
 
+def test_record_ids_tell_payloads_of_one_page_apart(spark):
+    rows = spark.createDataFrame([(5, "http://a.example/", "x"), (5, "http://a.example/", "y"), (7, "http://b.example/", "y"), (-1, None, "x"), (None, None, "z")], PAGES)
+    got = warc.read_bundles(bundles(spark, rows)).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == [(False, -1, "response", 0), (False, 5, "response", 0), (False, 5, "revisit", -1), (False, 7, "revisit", 5), (True, 0, "response", 0)]
+    digests = [base64.b32encode(hashlib.sha1(x).digest()).decode() for x in (b"x", b"y")]
+    for page in (0, 5, -1, (1 << 63) - 1, -(1 << 63)):
+        ids = {warc.record_id(page, url, d) for d in digests for url in (None, "http://a.example/")}
+        assert len(ids) == 2 and {warc.page_of(x) for x in ids} == {page}
+    assert warc.page_of(warc.record_id(None, "http://a.example/", digests[0])) is None and warc.page_of(None) is None
+
+
+def test_bundles_of_lost_tasks_are_removed(spark, tmp_path):
+    for folder in (f"{tmp_path}/plain", f"file://{tmp_path}/uri"):
+        index = warc.write_bundles(spark.createDataFrame(ODD_PAGES, PAGES), folder)
+        writer = warc.BundleWriter(f"{folder}/lost.warc.zst")
+        writer.record(b"half")
+        writer.close()
+        assert warc.remove_unnamed(index, folder) == 1 and warc.remove_unnamed(index, folder) == 0
+        assert warc.read_bundles(index).count() == len(ODD_PAGES)
+    assert warc.remove_unnamed(index, f"{tmp_path}/none") == 0
+
+
+def opened_elsewhere(path):
+    from pyarrow import fs
+
+    return fs.LocalFileSystem(), path.removeprefix("other:/")
+
+
+def test_paths_of_other_file_systems(spark, tmp_path):
+    assert warc.arrow_uri("s3a://b/k") == "s3://b/k" and warc.arrow_uri("hdfs://n:8020/k") == "hdfs://n:8020/k"
+    assert warc.arrow_uri("file:/tmp/x") == warc.arrow_uri("file:///tmp/x") == "file:///tmp/x" and warc.arrow_uri("/tmp/a:b") == "/tmp/a:b"
+    writer = warc.BundleWriter(f"other:/{tmp_path}/one.warc.zst", opened=opened_elsewhere)
+    digest = base64.b32encode(hashlib.sha1(b"p").digest()).decode()
+    where = writer.record(warc.warc_record(3, None, b"p", digest, None, False))
+    writer.close()
+    assert warc.read_record(f"other:/{tmp_path}/one.warc.zst", *where, opened=opened_elsewhere)["page_id"] == 3
+    index = warc.write_bundles(spark.createDataFrame(ODD_PAGES, PAGES), f"{tmp_path}/more", opened=opened_here)
+    assert warc.read_bundles(index, opened=opened_here).count() == len(ODD_PAGES)
+
+
+def opened_here(path):
+    return opened_elsewhere("other:/" + path.removeprefix("file:"))
+
+
+def test_written_tables_and_archives_are_removed(spark, monkeypatch):
+    monkeypatch.setattr(common, "_made", [])  # other tests' tables stay
+    before = shared_dir(spark)
+    folder = shared_folder(spark, "warc")
+    index = warc.write_bundles(spark.createDataFrame(ODD_PAGES, PAGES), folder)
+    assert index.count() == len(ODD_PAGES)
+    assert remove_written(spark) >= 3 and remove_written(spark) == 0
+    path, system = hadoop(spark, folder)
+    assert not system.exists(path) and shared_dir(spark) == before
+
+
 def test_bundles_are_plain_zstandard(spark, sf_dir):
     import zstandard
     from pyarrow import fs
