@@ -25,8 +25,9 @@ from ..functions.stats import p_adjust
 from . import replicates
 from . import scaling as scalings
 from .model import Model, build_model
+from .prepare import Prepared
 from .replicates import chunks, key, mixed, multiplicities, permuted, placed, summed
-from .sequences import Sequences
+from .sequences import Sequences, from_frame
 from .shared import written
 from .transitions import blocks_of
 
@@ -187,11 +188,21 @@ class Bootstrap:
     summary: DataFrame
 
 
-def bootstrap_tna(model: Model | Sequences, iterations: int = 1000, level: float = 0.05, method: str = "stability", consistency: tuple[float, float] = (0.75, 1.25), threshold: float | None = None, seed: int = 0) -> Bootstrap:
+def _modelled(data: Model | Sequences | Prepared | DataFrame, type_: str, scaling: str | list[str] | None) -> Model:
+    if isinstance(data, Model):
+        return data
+    if isinstance(data, Prepared):
+        data = data.sequences
+    elif isinstance(data, DataFrame):
+        data = from_frame(data)
+    return build_model(data, type_, scaling)
+
+
+def bootstrap_tna(model: Model | Sequences | Prepared | DataFrame, iterations: int = 1000, level: float = 0.05, method: str = "stability", consistency: tuple[float, float] = (0.75, 1.25), threshold: float | None = None, seed: int = 0, type_: str = "relative", scaling: str | list[str] | None = None) -> Bootstrap:
     """A model's bootstrap in one call, for any number of sequences: a replicate draws as many of each group, with
-    replacement, as the group has. Sequences may be given in place of a model: they are modelled as relative ones."""
-    if isinstance(model, Sequences):
-        model = build_model(model)
+    replacement, as the group has. Sequences, a prepared log or a wide frame (a sequence a row, a place a column) may be
+    given in place of a model: they are modelled by type_ and scaling, which a model has of its own."""
+    model = _modelled(model, type_, scaling)
     if model.sequences is None:
         raise ValueError("the model has no sequences to resample")
     again = written(bootstrap_draws(model, iterations, seed), "bootstrap")
@@ -199,14 +210,16 @@ def bootstrap_tna(model: Model | Sequences, iterations: int = 1000, level: float
     return Bootstrap(again, edges, edges.where("weight > 0"))
 
 
-def bca_edges(model: Model, iterations: int = 1000, level: float = 0.05, seed: int = 0, draws: DataFrame | None = None) -> DataFrame:
+def bca_edges(model: Model | Sequences | Prepared | DataFrame, iterations: int = 1000, level: float = 0.05, seed: int = 0, draws: DataFrame | None = None) -> DataFrame:
     """groups, from_state, to_state, weight, bias, acceleration, ci_lower, ci_upper: bias-corrected and accelerated intervals
     of every edge, from its replicates (bootstrap_draws() if none are given).
 
     A weight without one sequence is that of the totals less the sequence's counts, so the acceleration takes three sums of
     how far these weights are off, over the sequences with a place in the edge's row; all others leave it as it is. Models
-    of row shares or of counts have these; those that were scaled afterwards are refused.
+    of row shares or of counts have these; those that were scaled afterwards are refused. What isn't a model is modelled as
+    bootstrap_tna() does.
     """
+    model = _modelled(model, "relative", None)
     if model.scaling:
         raise ValueError("intervals are those of weights before scaling")
     keys, seqs = list(model.groups), model.sequences

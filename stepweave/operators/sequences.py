@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import written
+
 
 @dataclass(frozen=True)
 class Sequences:
@@ -57,6 +59,14 @@ def from_wide(rows: DataFrame, columns: list[str], id: str, groups: tuple[str, .
     return Sequences(long.withColumn("state", F.when(~gone, F.col("state"))), (id,), groups)
 
 
+def from_frame(rows: DataFrame, missing: tuple[str, ...] = ()) -> Sequences:
+    """A sequence a row and a place a column, in their order, whatever their names. Rows get numbers as their ids, which are
+    written down with them, so that every pass over the sequences sees the same ones."""
+    columns = [f"place_{k}" for k in range(len(rows.columns))]
+    numbers = written(rows.toDF(*columns).withColumn("seq_id", F.monotonically_increasing_id()), "frame")
+    return from_wide(numbers, columns, "seq_id", missing=missing)
+
+
 def width_of(seqs: Sequences) -> int:
     """Places of the longest sequence, padding counted: one number of one pass."""
     return (seqs.frame.agg(F.max("raw_pos")).first()[0] or 0) + 1

@@ -375,14 +375,14 @@ def _(spark, d):
 
 # Graphs
 
-PATHS = """x AS (SELECT from_state AS f, to_state AS t, {w} AS weight FROM w WHERE from_state <> to_state),
-y AS (SELECT f, t, 1.0 / weight AS d FROM x WHERE weight > 0),
-r AS (SELECT f, t, d, [f, t] AS path FROM y UNION ALL SELECT r.f, y.t, r.d + y.d, list_append(r.path, y.t) FROM r JOIN y ON y.f = r.t WHERE NOT list_contains(r.path, y.t)),
-b AS (SELECT f, t, min(d) AS d FROM r GROUP BY 1, 2)"""
+PATHS = """x{k} AS (SELECT from_state AS f, to_state AS t, {w} AS weight FROM w WHERE from_state <> to_state),
+y{k} AS (SELECT f, t, 1.0 / weight AS d FROM x{k} WHERE weight > 0),
+r{k} AS (SELECT f, t, d, [f, t] AS path FROM y{k} UNION ALL SELECT r.f, y.t, r.d + y.d, list_append(r.path, y.t) FROM r{k} r JOIN y{k} y ON y.f = r.t WHERE NOT list_contains(r.path, y.t)),
+b{k} AS (SELECT f, t, min(d) AS d FROM r{k} GROUP BY 1, 2)"""
 
 
 def _paths(base: str, weights: str, select: str, w: str = "weight") -> str:
-    return "WITH RECURSIVE " + ",\n".join([base.strip(), weights, PATHS.format(w=w)]) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join([base.strip(), weights, PATHS.format(w=w, k="")]) + "\n" + select
 
 
 _CLOSE = "SELECT s AS state, round(coalesce((SELECT 1 / sum(d) FROM b WHERE b.{side} = l.s), 0), 9) AS value FROM l"
@@ -443,8 +443,13 @@ def _(spark, d):
     return _rounded(network.diffusion(model.tna(_e(spark, d)), len(_kinds(spark, d))), "value")
 
 
-@query("cent_clustering", _sql(E, E_REL, "z AS (SELECT w.from_state AS f, w.to_state AS t, CASE WHEN w.from_state = w.to_state THEN 0 ELSE w.weight + v.weight END AS m FROM w JOIN w v ON v.from_state = w.to_state AND v.to_state = w.from_state)",
+_CLUSTERING = [
+    "z AS (SELECT w.from_state AS f, w.to_state AS t, CASE WHEN w.from_state = w.to_state THEN 0 ELSE w.weight + v.weight END AS m FROM w JOIN w v ON v.from_state = w.to_state AND v.to_state = w.from_state)",
     "num AS (SELECT a.f AS s, sum(a.m * b.m * c.m) AS n FROM z a JOIN z b ON b.f = a.t JOIN z c ON c.f = b.t AND c.t = a.f GROUP BY 1)", "den AS (SELECT t AS s, pow(sum(m), 2) - sum(m * m) AS d FROM z GROUP BY 1)",
+]
+
+
+@query("cent_clustering", _sql(E, E_REL, *_CLUSTERING,
     select="SELECT s AS state, round(n / d, 9) AS value FROM num JOIN den USING (s)"))
 def _(spark, d):
     return _measure(model.tna(_e(spark, d)), "Clustering").drop("measure")
@@ -477,10 +482,26 @@ def _(spark, d):
     return _measure(model.tna(_e(spark, d)), "BetweennessRSP").drop("measure")
 
 
-@query("cent_all_wide")
+def _all_measures() -> str:
+    parts = [E.strip(), E_REL, PATHS.format(w="weight", k=""), _BEST.removeprefix(", "), PATHS.format(w=_BOTH, k="_both"), *_rsp(), _diffused(5), *_CLUSTERING]
+    values = {
+        "OutStrength": "(SELECT sum(weight) FROM w WHERE from_state = l.s AND to_state <> l.s)",
+        "InStrength": "(SELECT sum(weight) FROM w WHERE to_state = l.s AND from_state <> l.s)",
+        "ClosenessIn": "coalesce((SELECT 1 / sum(d) FROM b WHERE t = l.s), 0)",
+        "ClosenessOut": "coalesce((SELECT 1 / sum(d) FROM b WHERE f = l.s), 0)",
+        "Closeness": "coalesce((SELECT 1 / sum(d) FROM b_both WHERE f = l.s), 0)",
+        "Betweenness": "coalesce((SELECT sum(1.0 / n) FROM best WHERE f <> l.s AND t <> l.s AND list_contains(path, l.s)), 0)",
+        "BetweennessRSP": "(SELECT round_even(x, 0) - (SELECT min(round_even(x, 0)) FROM vi) + 1 FROM vi WHERE vi.state = l.s)",
+        "Diffusion": "(SELECT sum(x) FROM (" + " UNION ALL ".join(f"SELECT * FROM v{k}" for k in range(1, 6)) + ") v WHERE v.s = l.s)",
+        "Clustering": "(SELECT n / d FROM num JOIN den USING (s) WHERE num.s = l.s)",
+    }
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\nSELECT s AS state, " + ", ".join(f"round(CAST({v} AS DOUBLE), 9) AS {k}" for k, v in values.items()) + " FROM l"
+
+
+@query("cent_all_wide", _all_measures())
 def _(spark, d):
-    m = model.tna(_e(spark, d))
-    return network.wide(network.centralities(m))
+    found = network.wide(network.centralities(model.tna(_e(spark, d))))
+    return _rounded(found, *found.columns[1:])
 
 
 _MUTUAL = "q AS (SELECT a.from_state AS i, a.to_state AS j FROM w a JOIN w b ON b.from_state = a.to_state AND b.to_state = a.from_state WHERE a.weight > 0.19 AND b.weight > 0.19 AND a.from_state < a.to_state)"

@@ -6,8 +6,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from stepweave.operators import model, patterns, replicates, resample
-from stepweave.operators.sequences import Sequences
+from stepweave.operators import model, patterns, prepare, replicates, resample
+from stepweave.operators.sequences import Sequences, from_frame
 
 
 def seqs(spark, texts, groups=None):
@@ -224,3 +224,21 @@ def test_patterns_are_tested_in_one_call(spark, monkeypatch):
     real = {r.pattern: r.statistic for r in patterns.statistic(patterns.occurrences(seqs(spark, data, groups), (1, 2)).groupBy("length", "pattern", "grp").count().withColumnRenamed("count", "n"), "grp").collect()}
     assert {p: r.statistic for p, r in by.items()} == pytest.approx(real)
     assert by["A->B"].p_value == pytest.approx(1 / 61) and by["A->B"].effect_size > 3
+
+
+def test_bootstraps_take_models_logs_and_frames(spark):
+    data = texts(60)
+    wide = spark.createDataFrame([tuple(t.ljust(8, ".").replace(".", "\0")) for t in data], [f"a.{k}" for k in range(8)]).replace("\0", None)
+    log = spark.createDataFrame([(k, p, s) for k, t in enumerate(data) for p, s in enumerate(t)], "who long, place int, what string")
+    log = prepare.prepare(log, action="what", actor="who", order="place")
+    edges = lambda rows: {(r.from_state, r.to_state): r.weight for r in rows.collect()}
+    for type_, scaling in (("relative", None), ("frequency", "max")):
+        want = edges(model.build_model(seqs(spark, data), type_, scaling).weights)
+        for given in (seqs(spark, data), log, wide):
+            found = resample.bootstrap_tna(given, 12, type_=type_, scaling=scaling)
+            assert edges(found.edges) == pytest.approx(want)
+            assert found.weights.select("rep").distinct().count() == 12
+    assert edges(resample.bca_edges(wide, 12)) == pytest.approx(edges(model.tna(seqs(spark, data)).weights))
+    assert from_frame(wide.limit(0)).labels().count() == 0
+    with pytest.raises(ValueError):
+        resample.bootstrap_tna(model.from_matrix(log.long.selectExpr("state as from_state", "state as to_state", "1 as weight").distinct()), 5)
