@@ -151,12 +151,16 @@ def _(spark, d):
     return _joined(event_sessions(spark, d).time_data(), lambda c: F.unix_micros(F.col(c).cast("timestamp")))
 
 
-@query("sequences_wide_all")
+# The same with a column a place, as many as the longest session has.
+_WIDE = "PIVOT (SELECT seq AS session_id, '{name}_' || (p + 1) AS place, {cell} AS cell FROM el) ON place USING max(cell) GROUP BY session_id"
+
+
+@query("sequences_wide_all", _sql(E, select=_WIDE.format(name="action", cell="s")))
 def _(spark, d):
     return event_sessions(spark, d).sequence_data()
 
 
-@query("time_wide_all")
+@query("time_wide_all", _sql(E, select=_WIDE.format(name="time", cell="epoch_us(ts)")))
 def _(spark, d):
     rows = event_sessions(spark, d).time_data()
     return rows.select("session_id", *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in rows.columns[1:]])
