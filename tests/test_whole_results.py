@@ -1,6 +1,7 @@
 """Queries and operators give all of a result: no prefix, no fixed size, no row lost."""
 
 import datetime as dt
+from dataclasses import replace
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -137,3 +138,19 @@ def test_shuffled_groups_are_all_groups(spark, other_types, monkeypatch):
     monkeypatch.setattr(catalogue.patterns, "permutation_test", lambda seqs, grp, shuffled, *a, **o: drawn.append(shuffled) or seqs.frame.selectExpr("1 as length", "'' as pattern", "0d as statistic", "0d as effect_size", "0d as p_value", "0d as p_adjusted"))
     catalogue.QUERIES["patterns_perm_test"](spark, other_types[0])
     assert {r.grp for r in drawn[0].select("grp").distinct().collect()} == {f"segment{k}" for k in range(6)}
+
+
+@pytest.mark.parametrize("metric", editing.METRICS)
+def test_pairs_of_few_kinds_come_from_their_table(spark, monkeypatch, metric):
+    """Pairs are joined from a table of the different sequences, without Python, and are those of the blocks' kernels."""
+    rows, seqs = random_sequences(spark, 60, 5)
+    seqs = replace(seqs, frame=seqs.frame.unionByName(seqs.frame.where("seq_id = 7").withColumn("seq_id", F.lit(None).cast("long"))))  # in no pair
+    pairs = lambda **more: clustering.distances(seqs, metric, weighted=True, lambda_=0.5, digits=9, **more)
+    for blocks in (None, 1, 7):
+        found = pairs(blocks=blocks)
+        assert "InArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) == len(rows) * (len(rows) - 1) // 2
+        with monkeypatch.context() as m:
+            m.setattr(clustering, "KINDS", 0)
+            assert set(got) == {tuple(r) for r in pairs().collect()}
