@@ -90,6 +90,15 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def with_text(rows: DataFrame, text: Column) -> tuple[DataFrame, int]:
+    """rows and the place of their column `text`, as Spark finds it; where there is none, or more than one, with the given one
+    behind them. A text that is there needn't go to Python twice."""
+    found = [k for k, c in enumerate(rows.columns) if c.lower() == "text"]
+    if len(found) == 1:
+        return rows, found[0]
+    return rows.select("*", text.alias(fresh(rows.columns, "__text"))), len(rows.columns)
+
+
 def mapped(rows: DataFrame, run: Callable, schema: StructType) -> DataFrame:
     """rows.mapInArrow(run, schema), whatever the columns' names: inside they are c0, c1 and so on, by place."""
     inner = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema)])

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, fold_of, fresh, hash_share, held, mapped, table
+from .common import column, fold_of, hash_share, held, mapped, table, with_text
 
 DIM, GRAM, SEED = 1024, 3, 9
 #: Bits of a code point: n-grams are numbered by their letters' code points side by side, so no two share a number.
@@ -81,8 +81,8 @@ class Space:
         if found is None:
             return None
         out = np.zeros(self.dim, np.float32)
-        for k in range(0, len(found[0]), 1 << 12):
-            grams, counts = found[0][k : k + (1 << 12)], found[1][k : k + (1 << 12)]
+        for k in range(0, len(found[0]), 1 << 10):
+            grams, counts = found[0][k : k + (1 << 10)], found[1][k : k + (1 << 10)]
             out += counts.astype(np.float32) @ self.known[self.vectors(grams)].astype(np.float32)
         return out
 
@@ -127,9 +127,11 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
     A null text, or one without a letter, is `und` with score 0, as is everything where nothing was learned. Whole
     texts count, long ones in pieces. Ties go to the language that sorts first. Other columns pass.
     """
-    names, rows = list(prototypes), docs.drop(*into).select("*", docs["text"].alias(fresh(docs.columns, "__text")))
+    names, columns = list(prototypes), docs.drop(*into).columns
+    rows, at = with_text(docs.drop(*into), docs["text"])
+    width = len(columns)
     models = np.stack([prototypes[k] for k in names]) if names else np.zeros((0, dim))
-    schema = rows.select(*map(column, rows.columns[:-1]), F.lit("").alias(into[0]), F.lit(0.0).alias(into[1])).schema
+    schema = rows.select(*map(column, columns), F.lit("").alias(into[0]), F.lit(0.0).alias(into[1])).schema
     columns = schema.names
 
     def run(batches):
@@ -138,7 +140,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 langs, scores = [], []
-                for x in part.columns[-1]:
+                for x in part.columns[at]:
                     profile = space.profile(x.as_py())
                     size = 0 if profile is None else np.linalg.norm(profile)
                     if not size or not names:
@@ -149,7 +151,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
                     best = int(cosine.argmax())
                     langs.append(names[best])
                     scores.append(float(1 / np.exp(SHARP * (cosine - cosine[best])).sum()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], columns)
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], columns)
 
     return mapped(rows, run, schema)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import column, table, written
+from .common import column, fresh, table, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -18,6 +18,8 @@ TOTAL, MOST = 1.5, 2
 FAN = 64
 #: Documents of each power of two of words that wait for the root.
 RESERVE = 32
+#: Keys of rows to take that are broadcast, at most (16 bytes each); more of them are joined by a shuffle of the texts.
+TAKEN = 1_000_000
 #: Copy probabilities this close to a whole number are whole.
 EPS = 1e-9
 
@@ -187,16 +189,22 @@ def mixed_rows(docs: DataFrame, seed: int = 4) -> DataFrame:
 
     Null and empty texts have no words and are never taken. Rows that repeat an id are told apart by their texts, and where
     those are equal too, by number: as many of them come as the mix takes, twice each at most. Null ids and sources are
-    matched like others. An empty table gives an empty result.
+    matched like others. An empty table gives an empty result. Rows are told apart by a key of their own, written once
+    with them.
     """
-    chosen = mix(docs, seed=seed).where("copies > 0").select("doc_id", "source", "size", "nth", "copies")
+    key = fresh(docs.columns, "row_key")
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    chosen = mix(rows, seed=seed).where("copies > 0").select("doc_id", "source", "size", "nth", "copies")
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    own = F.struct(*map(column, docs.columns))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("order"), own.alias("row"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("order")))
+    own = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("order"), F.col(key).alias("row_key"))
+    own = own.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("order", "row_key")))
     on = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("doc_id", "source", "size", "nth")])
-    taken = rows.alias("r").join(chosen.alias("c"), on).select("r.row", F.explode(F.sequence(F.lit(1), F.col("c.copies"))))
-    return taken.select("row.*")
+    times = fresh([*docs.columns, key], "copies")
+    taken = written(own.alias("r").join(chosen.alias("c"), on).select(F.col("r.row_key").alias(key), F.col("c.copies").cast("int").alias(times)), "taken")
+    if taken.count() <= TAKEN:  # keys alone are shuffled, texts stay where they are read
+        taken = F.broadcast(taken)
+    found = rows.join(taken, key).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return found.select(*map(column, docs.columns))
 
 
 def op4_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:

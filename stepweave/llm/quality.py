@@ -43,7 +43,8 @@ def statistics(text: str | None) -> list[float]:
 def with_statistics(docs: DataFrame, *keep: str, prefix: str = "") -> DataFrame:
     """The columns to keep and the statistics of every row, each computed once, however many rules use it."""
     names = [f"{prefix}{k}" for k in STATISTICS]
-    rows = docs.select(*map(column, keep), F.col("text").alias(fresh(docs.columns, "__text")))
+    listed = [*map(column, keep)] + ([] if "text" in map(str.lower, keep) else [F.col("text")])
+    rows, at, width = docs.select(*listed), [c.lower() for c in (*keep, "text")].index("text"), len(keep)
     schema = docs.select(*map(column, keep), *[F.lit(0.0).alias(k) for k in names]).schema
     columns = schema.names
 
@@ -51,8 +52,8 @@ def with_statistics(docs: DataFrame, *keep: str, prefix: str = "") -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                found = np.array([statistics(t.as_py()) for t in part.columns[-1]], np.float64).reshape(-1, len(names))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, found.T)], columns)
+                found = np.array([statistics(t.as_py()) for t in part.columns[at]], np.float64).reshape(-1, len(names))
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *map(pa.array, found.T)], columns)
 
     return mapped(rows, run, schema)
 

@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, fresh, held, mapped, table
+from .common import column, fresh, held, mapped, table, with_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
@@ -251,8 +251,10 @@ def encoded(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL, alternati
     """
     ready = _shipped(docs, model, n_best)
     added = {"scores": F.array(F.lit(0.0)), "pieces": F.array(F.lit(0)), "round_trip": F.lit(True)} | ({"others": F.array(F.array(F.lit(0)))} if alternatives else {})
-    rows = docs.drop(*added).select("*", docs["text"].alias(fresh(docs.columns, "__text")))
-    schema = rows.select(*map(column, rows.columns[:-1]), *[c.alias(k) for k, c in added.items()]).schema
+    kept = docs.drop(*added).columns
+    rows, at = with_text(docs.drop(*added), docs["text"])
+    width = len(kept)
+    schema = rows.select(*map(column, kept), *[c.alias(k) for k, c in added.items()]).schema
     columns = schema.names
 
     def run(batches):
@@ -261,14 +263,14 @@ def encoded(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL, alternati
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 scores, best, same, others = [], [], [], []
-                for x in part.columns[-1]:
+                for x in part.columns[at]:
                     text = x.as_py()
                     s, ids, more = lattice.encode(text, alternatives)
                     scores.append(s)
                     best.append(np.frombuffer(ids, np.int32))
                     others.append(more)
                     same.append(lattice.decode(ids) == (text or "").replace(SPACE, " "))
-                cols = [*part.columns[:-1], pa.array(scores, pa.list_(pa.float64())), pa.array(best, pa.list_(pa.int32())), pa.array(same)]
+                cols = [*part.columns[:width], pa.array(scores, pa.list_(pa.float64())), pa.array(best, pa.list_(pa.int32())), pa.array(same)]
                 if alternatives:
                     cols.append(pa.array(others, pa.list_(pa.list_(pa.int32()))))
                 yield pa.RecordBatch.from_arrays(cols, columns)

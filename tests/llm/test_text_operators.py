@@ -517,3 +517,22 @@ def test_decoded_takes_any_ids_and_columns(spark):
     assert got.columns == ["doc_id", "pieces", "meta.url", "a`b", "decoded"]
     assert {r.doc_id: r.decoded for r in got.collect()} == {1: "so it is", 2: "so it is���", 3: "", 4: None}
     assert sentencepiece_nbest.decoded(table_.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", (0, 1_000_000))
+def test_mix_and_stages_handle_each_text_once(spark, monkeypatch, most):
+    """No window shuffles the texts to pick rows, whether keys are broadcast or not, and no stage sends one to Python twice."""
+    monkeypatch.setattr(mixing, "TAKEN", most)
+    docs = spark.createDataFrame([(k // 2, f"s{k % 3}", "a b c " * (k % 7), k, "x") for k in range(60)], "doc_id long, source string, Text string, copies int, row_key string")
+    found = mixing.mixed_rows(docs)
+    want = {(r.doc_id, r.source, r.size): 0 for r in mixing.mix(docs).collect()}
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source, r.size] += r.copies
+    got = dict.fromkeys(want, 0)
+    for r in found.collect():
+        got[r.doc_id, r.source, len((r.Text or "").split())] += 1
+    assert got == want and found.columns == docs.columns
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for out in (language_id.predict(docs, {}), quality.with_statistics(docs, *docs.columns), sentencepiece_nbest.encoded(docs)):
+        analyzed = out._jdf.queryExecution().analyzed().toString()
+        assert "__text" not in analyzed and [r[3] for r in out.select(*docs.columns).collect()] == [r[3] for r in docs.collect()]
