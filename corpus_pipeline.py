@@ -10,6 +10,8 @@ from stepweave.llm.common import column, fresh, table, written
 
 #: A document goes if no language is as likely as this.
 LANGUAGE_SCORE = 0.4
+#: Segments that a Python worker remembers, twice over: workers share an executor with a heap that earlier stages have filled.
+REMEMBERED = 60_000
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document of the mix with the ids of its best segmentation and the scores of the best few."""
-    return sentencepiece_nbest.encoded(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    return sentencepiece_nbest.encoded(docs.select("doc_id", "lang", "source", "text"), remembered=REMEMBERED).drop("text")
 
 
 STAGES = [

@@ -60,8 +60,8 @@ class Lattice:
     covers is spelled in bytes, at 10 below the worst score of a text piece for the character.
     """
 
-    def __init__(self, pieces: list[tuple[str, float, str]], n_best: int = N_BEST):
-        self.n_best = n_best
+    def __init__(self, pieces: list[tuple[str, float, str]], n_best: int = N_BEST, remembered: int = REMEMBERED):
+        self.n_best, self.remembered = n_best, remembered
         #: Nodes of a trie: the next nodes by character, and the piece that ends here as (score, ids).
         self.trie: dict[str, list] = {}
         self.bytes = [-1] * 256
@@ -179,7 +179,7 @@ class Lattice:
                 if entry is None:
                     (first,), loss = self.segment(s, 1)
                     entry = (*first, loss)
-                if len(young) >= REMEMBERED:
+                if len(young) >= self.remembered:
                     self.old, self.young = old, young = young, {}
                 if len(s) < 64:
                     young[s] = entry
@@ -231,25 +231,26 @@ class Lattice:
         return b"".join([self.text[i] if i in known else b"\xef\xbf\xbd" for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
-def _shipped(docs: DataFrame, model: str, n_best: int):
+def _shipped(docs: DataFrame, model: str, n_best: int, remembered: int = REMEMBERED):
     """A function that gives a Python worker its lattice: one for all of its tasks."""
     pieces = load_pieces(model)
-    key = ("lattice", model, zlib.crc32(repr(pieces).encode()), n_best)
+    key = ("lattice", model, zlib.crc32(repr(pieces).encode()), n_best, remembered)
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
 
-    return lambda: held(key, lambda: Lattice(sent.value, n_best))
+    return lambda: held(key, lambda: Lattice(sent.value, n_best, remembered))
 
 
-def encoded(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL, alternatives: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL, alternatives: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """docs with scores (of up to n_best segmentations, best first), pieces (the best one's ids) and round_trip, whether
-    decoding them gives the text back; alternatives adds the ids of the others.
+    decoding them gives the text back; alternatives adds the ids of the others. What a worker remembers costs about 300
+    bytes a segment, twice over; results don't depend on it.
 
     Whole texts are segmented; the vocabulary, which doesn't grow with the data, is read by the driver and broadcast. A
     null or empty text has one segmentation, of no pieces, with score 0. The character U+2581 is written as a space, so a text that
     holds it comes back with spaces. A text of one unbroken word is one lattice, linear in its length. Other columns pass, but for those of
     the names that are added, which are replaced.
     """
-    ready = _shipped(docs, model, n_best)
+    ready = _shipped(docs, model, n_best, remembered)
     added = {"scores": F.array(F.lit(0.0)), "pieces": F.array(F.lit(0)), "round_trip": F.lit(True)} | ({"others": F.array(F.array(F.lit(0)))} if alternatives else {})
     kept = docs.drop(*added).columns
     rows, at = with_text(docs.drop(*added), docs["text"])

@@ -157,6 +157,19 @@ def test_encoding_of_odd_rows(odd, none):
     assert sentencepiece_nbest.encoded(none).count() == 0 and sentencepiece_nbest.digest(none).count() == 0
 
 
+def test_what_a_worker_remembers_is_bounded_and_changes_no_result(lattice, odd):
+    few = sentencepiece_nbest.Lattice(sentencepiece_nbest.load_pieces(), 4, remembered=50)
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        text = " ".join("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(60))
+        assert few.encode(text, True) == lattice.encode(text, True)
+        assert len(few.young) <= 50 and len(few.old) <= 50
+    assert len(lattice.young) + len(lattice.old) > 100
+    rows = lambda **more: sorted(map(repr, sentencepiece_nbest.encoded(odd, **more).collect()))
+    assert rows(remembered=2) == rows()
+    assert corpus_pipeline.REMEMBERED < sentencepiece_nbest.REMEMBERED
+
+
 # SimHash
 
 
