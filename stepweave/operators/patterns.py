@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.stats import p_adjust
 from .replicates import chunks, permuted, placed, summed
 from .sequences import Sequences
-from .shared import written
+from .shared import ranks, written
 
 
 def occurrences(seqs: Sequences, sub: tuple[int, ...] = (1, 2, 3, 4, 5)) -> DataFrame:
@@ -69,12 +69,17 @@ def _runs(seqs: Sequences, group: str, longest: int) -> DataFrame:
     One window finds them and one aggregation, combined before its shuffle, leaves each different run once, so what
     comes after grows with the different runs and not with the places.
     """
+    return _runs_by(seqs, longest, group)
+
+
+def _runs_by(seqs: Sequences, longest: int, *by: str) -> DataFrame:
+    """_runs() by any columns of the sequences."""
     w = seqs.window()
     ahead = [F.col("state")] + [F.when(F.lead("raw_pos", d).over(w) == F.col("raw_pos") + d, F.lead("state", d).over(w)) for d in range(1, longest)]
-    rows = seqs.frame.select(group, F.array(*ahead).alias("ahead"))
+    rows = seqs.frame.select(*by, F.array(*ahead).alias("ahead"))
     hole = F.array_position(F.transform("ahead", lambda x: x.isNull()), True)
-    rows = rows.select(group, F.when(hole == 0, F.col("ahead")).otherwise(F.slice("ahead", F.lit(1), F.greatest(hole, F.lit(1)).cast("int") - 1)).alias("run"))
-    return rows.where(F.size("run") > 0).groupBy(group, "run").agg(F.count("*").alias("n"))
+    rows = rows.select(*by, F.when(hole == 0, F.col("ahead")).otherwise(F.slice("ahead", F.lit(1), F.greatest(hole, F.lit(1)).cast("int") - 1)).alias("run"))
+    return rows.where(F.size("run") > 0).groupBy(*by, "run").agg(F.count("*").alias("n"))
 
 
 def _levels(runs: DataFrame, group: str, names: int, longest: int, min_freq: int):
@@ -135,17 +140,31 @@ def permutation_test(seqs: Sequences, group: str, assignment: DataFrame, sub: tu
     null group, in the data or in a replicate, don't count.
     """
     count, seqs = _groups(seqs, group), _grouped(seqs, group)
-    runs, freqs = _runs_by_sequence(seqs, group, sub)
-    shuffled = runs.drop(group).join(assignment.where(F.col(group).isNotNull()), list(seqs.ids)).groupBy("rep", "length", "pattern", "of_pattern", group).agg(F.sum("n").alias("n"))
-    return _tested(freqs, shuffled, count, group, min_freq, adjust)
+    runs, parts, freqs = _runs_by_sequence(seqs, group, sub)
+    shuffled = runs.drop(group).join(assignment.where(F.col(group).isNotNull()), list(seqs.ids)).groupBy("rep", "run_id", group).agg(F.sum("n").alias("n"))
+    return _tested(freqs, _of_patterns(shuffled, parts, "rep", group), count, group, min_freq, adjust)
+
 
+def _runs_by_sequence(seqs: Sequences, group: str, sub: tuple[int, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts by sequence of the runs that _runs() takes, by the number of the run; the patterns that each of these begins with
+    (run_id, length, pattern, of_pattern); and counts of patterns by group. of_pattern is how often a pattern comes in all.
 
-def _runs_by_sequence(seqs: Sequences, group: str, sub: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
-    """Counts of runs by sequence, and by group, both with of_pattern, how often the run comes in all."""
-    runs = written(occurrences(seqs, tuple(sub)).groupBy(*seqs.keys, "length", "pattern").agg(F.count("*").alias("n")), "runs")
-    freqs = _counted(runs, group)
+    A place is one row, however many lengths there are, and replicates add up numbers of runs: patterns are cut out of the
+    different runs only, once those are counted.
+    """
+    own = written(_runs_by(seqs, max(sub), *seqs.keys), "runs")
+    kinds = written(ranks(own, "run", "run_id"), "kinds")
+    runs, lengths = own.join(kinds, "run").drop("run"), F.array(*[F.lit(k) for k in sorted(set(sub))])
+    parts = kinds.select("run_id", "run", F.explode(F.filter(lengths, lambda k: k <= F.size("run"))).alias("length"))
+    parts = written(parts.select("run_id", "length", F.array_join(F.slice("run", F.lit(1), F.col("length")), "->").alias("pattern")), "parts")
+    freqs = written(_counted(runs.groupBy("run_id", group).agg(F.sum("n").alias("n")).join(parts, "run_id"), group), "freqs")
     whole = freqs.groupBy("length", "pattern").agg(F.sum("n").alias("of_pattern"))
-    return runs.join(whole, ["length", "pattern"]), freqs.join(whole, ["length", "pattern"])
+    return runs, parts.join(whole, ["length", "pattern"]), freqs.join(whole, ["length", "pattern"])
+
+
+def _of_patterns(counted: DataFrame, parts: DataFrame, *by: str) -> DataFrame:
+    """Counts of runs (by, run_id, n) as those of the patterns that they begin with."""
+    return counted.join(parts, "run_id").groupBy(*by, "length", "pattern", "of_pattern").agg(F.sum("n").alias("n"))
 
 
 def _tested(freqs: DataFrame, shuffled: DataFrame, names: int, group: str, min_freq: int, adjust: str) -> DataFrame:
@@ -170,7 +189,7 @@ def permuted_patterns(seqs: Sequences, group: str, iterations: int = 1000, sub:
     """permutation_test() in one call, by adjusted p value, length and pattern: a replicate deals the groups out anew, each to
     as many sequences as it has, for any number of sequences."""
     seqs = _grouped(seqs, group)
-    each = seqs.frame.select(*seqs.keys).distinct()
+    each = written(seqs.frame.select(*seqs.keys).distinct(), "sequences")
     sizes = [(r[group], r.n) for r in each.groupBy(group).agg(F.count("*").alias("n")).orderBy(group).collect()]  # groups are few
     if len(sizes) < 2:
         raise ValueError("patterns are compared between two groups at least")
@@ -182,10 +201,10 @@ def permuted_patterns(seqs: Sequences, group: str, iterations: int = 1000, sub:
             for label in range(len(sizes)):
                 yield label, reps.start, side == label
 
-    runs, freqs = _runs_by_sequence(seqs, group, sub)
-    what = ("length", "pattern", "of_pattern")
-    shuffled = summed(placed(runs, each, seqs.keys), (), what, dealt)
+    runs, parts, freqs = _runs_by_sequence(seqs, group, sub)
+    counted = written(summed(placed(runs, each, seqs.keys), (), ("run_id",), dealt), "counted")
+    shuffled = _of_patterns(counted, parts, "label", "rep")
     kind = each.schema[group].dataType
     names = each.sparkSession.createDataFrame([(k, g) for k, (g, _) in enumerate(sizes)], StructType([StructField("label", IntegerType()), StructField(group, kind)]))
-    shuffled = shuffled.join(F.broadcast(names), "label").select("rep", *what, group, "n")
+    shuffled = shuffled.join(F.broadcast(names), "label").select("rep", "length", "pattern", "of_pattern", group, "n")
     return _tested(freqs, shuffled, len(sizes), group, min_freq, adjust).orderBy("p_adjusted", "length", "pattern")

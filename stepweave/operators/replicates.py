@@ -184,9 +184,15 @@ class _Held:
         self.sums: dict[int, np.ndarray] = {}
 
     def columns(self, block: pd.DataFrame) -> np.ndarray:
-        codes, kinds = pd.MultiIndex.from_frame(block[list(self.what)]).factorize()
+        codes, kinds = self._kinds(block)
         return np.array([self.names.setdefault(k, len(self.names)) for k in kinds], np.int64)[codes]
 
+    def _kinds(self, block: pd.DataFrame):
+        if len(self.what) > 1:
+            return pd.MultiIndex.from_frame(block[list(self.what)]).factorize()
+        codes, kinds = pd.factorize(block[self.what[0]])  # without a tuple a row
+        return codes, [(k,) for k in kinds.tolist()]
+
     def add(self, label: int, rep: int, sums: np.ndarray, columns: np.ndarray) -> None:
         if not sums.size:
             return
@@ -202,12 +208,12 @@ class _Held:
         return sum(x.size for x in self.sums.values())
 
     def out(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        names = list(self.names)
+        names = [pa.array([k[j] for k in self.names], schema.field(c).type) for j, c in enumerate(self.what)]
         for label, sums in self.sums.items():
             rep, at = np.nonzero(sums)
             for a in range(0, len(rep), 100_000):
                 r, k = rep[a : a + 100_000], at[a : a + 100_000]
                 columns = [pa.array([h] * len(r), schema.field(c).type) for c, h in zip(self.carry, (None if pd.isna(h) else h for h in self.head))]
-                columns += [pa.array([names[i][j] for i in k.tolist()], schema.field(c).type) for j, c in enumerate(self.what)]
+                columns += [x.take(pa.array(k)) for x in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(r), label, np.int32)), pa.array(r.astype(np.int32)), pa.array(sums[r, k])], schema=schema)
         self.names, self.sums = {}, {}

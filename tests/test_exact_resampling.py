@@ -242,3 +242,19 @@ def test_bootstraps_take_models_logs_and_frames(spark):
     assert from_frame(wide.limit(0)).labels().count() == 0
     with pytest.raises(ValueError):
         resample.bootstrap_tna(model.from_matrix(log.long.selectExpr("state as from_state", "state as to_state", "1 as weight").distinct()), 5)
+
+
+def test_replicates_get_a_row_for_each_place_and_not_for_each_length(spark, monkeypatch):
+    given = []
+
+    def seen(own, *rest):
+        given.append(own.count())
+        return summed(own, *rest)
+
+    summed = patterns.summed
+    monkeypatch.setattr(patterns, "summed", seen)
+    data, groups = ["ABCAB", "BCA", "A.BC", "CCB", "AB"] * 4, ["x", "y"] * 10
+    found = {(r.length, r.pattern) for r in patterns.permuted_patterns(seqs(spark, data, groups), "grp", 6, (1, 2, 3), 0).collect()}
+    states = [x for d in data for x in d.split(".")]
+    assert found == {(k, "->".join(x[i : i + k])) for x in states for k in (1, 2, 3) for i in range(len(x) - k + 1)}
+    assert given == [given[0]] and given[0] <= sum(map(len, states))
