@@ -154,3 +154,28 @@ def test_pairs_of_few_kinds_come_from_their_table(spark, monkeypatch, metric):
         with monkeypatch.context() as m:
             m.setattr(clustering, "KINDS", 0)
             assert set(got) == {tuple(r) for r in pairs().collect()}
+
+
+@pytest.mark.parametrize("metric", editing.METRICS)
+def test_pairs_of_many_strips_and_rounds_are_all_pairs(spark, monkeypatch, metric):
+    for name, value in (("STRIP", 4), ("ROUND", 2), ("MEMBERS", 8)):
+        monkeypatch.setattr(clustering, name, value)
+    rows, seqs = random_sequences(spark, 61, 6)
+    rows = {9 * k - 200: row for k, row in rows.items()}  # ids are neither places nor from 0
+    seqs = replace(seqs, frame=seqs.frame.withColumn("seq_id", 9 * F.col("seq_id") - 200))
+    d = dict(zip(rows, matrix(rows, metric)))
+    at = {k: n for n, k in enumerate(rows)}
+    for blocks in (None, 3):
+        got = [tuple(r) for r in clustering.distances(seqs, metric, blocks=blocks).collect()]
+        assert len(got) == 61 * 60 // 2 and set(got) == {(i, j, d[i][at[j]]) for i in rows for j in rows if i < j}
+
+
+def test_files_of_pairs_take_a_fraction_of_a_byte_each(spark, tmp_path):
+    """The same state, or kind of row, follows itself: 47 billion pairs at 6 GB once took more disk than there is."""
+    n = 3000
+    frame = spark.range(n).select(F.col("id").alias("seq_id"), F.explode(F.sequence(F.lit(0), (F.hash("id") % 5 + 5).cast("int"))).alias("raw_pos")).withColumn("state", F.when(F.hash("seq_id", "raw_pos") % 9 == 0, "B").otherwise("A"))
+    found = clustering.distances(sequences.Sequences(frame.where("raw_pos < 6")), "lcs")
+    found.write.parquet(f"{tmp_path}/pairs")
+    files = list((tmp_path / "pairs").glob("*.parquet"))
+    assert sum(pq.read_metadata(f).num_rows for f in files) == n * (n - 1) // 2
+    assert sum(f.stat().st_size for f in files) < 0.5 * n * (n - 1) // 2
