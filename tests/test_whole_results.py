@@ -170,11 +170,12 @@ def test_pairs_of_many_strips_and_rounds_are_all_pairs(spark, monkeypatch, metri
         assert len(got) == 61 * 60 // 2 and set(got) == {(i, j, d[i][at[j]]) for i in rows for j in rows if i < j}
 
 
-def test_files_of_pairs_take_a_fraction_of_a_byte_each(spark, tmp_path):
+@pytest.mark.parametrize("metric", ["lcs", "lv"])
+def test_files_of_pairs_take_a_fraction_of_a_byte_each(spark, tmp_path, metric):
     """The same state, or kind of row, follows itself: 47 billion pairs at 6 GB once took more disk than there is."""
     n = 3000
     frame = spark.range(n).select(F.col("id").alias("seq_id"), F.explode(F.sequence(F.lit(0), (F.hash("id") % 5 + 5).cast("int"))).alias("raw_pos")).withColumn("state", F.when(F.hash("seq_id", "raw_pos") % 9 == 0, "B").otherwise("A"))
-    found = clustering.distances(sequences.Sequences(frame.where("raw_pos < 6")), "lcs")
+    found = clustering.distances(sequences.Sequences(frame.where("raw_pos < 6")), metric, weighted=True, lambda_=0.5, digits=9)
     found.write.parquet(f"{tmp_path}/pairs")
     files = list((tmp_path / "pairs").glob("*.parquet"))
     assert sum(pq.read_metadata(f).num_rows for f in files) == n * (n - 1) // 2
