@@ -170,7 +170,7 @@ def test_pairs_of_many_strips_and_rounds_are_all_pairs(spark, monkeypatch, metri
         assert len(got) == 61 * 60 // 2 and set(got) == {(i, j, d[i][at[j]]) for i in rows for j in rows if i < j}
 
 
-@pytest.mark.parametrize("metric", ["lcs", "lv", "osa"])
+@pytest.mark.parametrize("metric", ["lcs", "lv", "osa", "hamming"])
 def test_files_of_pairs_take_a_fraction_of_a_byte_each(spark, tmp_path, metric):
     """The same state, or kind of row, follows itself: 47 billion pairs at 6 GB once took more disk than there is."""
     n = 3000
